@@ -1,20 +1,27 @@
 """The user matrix and user-grain features (AGG6, AGG9, JN4, EXT1, EXT2).
 
-Shape of the plan (two branches, each starting with a partial aggregate
+Shape of the plan (three branches, each starting with a partial aggregate
 so the event volume is reduced on the map side before any shuffle):
 
-    events -> group (userId, sessionId): 6 sums, max gender, max churn
+    events -> group (userId, sessionId): 6 sums, max churn
            -> group userId: totals, means, label             -- session branch
     events -> group (userId, date) -> window per user (day grain)
            -> group userId: day maxima                       -- day branch
-    session branch JOIN day branch ON userId
+    events -> distinct (userId, gender) -> group userId: max -- gender branch
+    session branch JOIN day branch JOIN gender branch ON userId
 
-Both branches end hash-partitioned by userId, so the join adds no
-exchange; adaptive execution may still turn it into a broadcast join
-when the measured side is small. No branch keys an event-grain window by
+All branches end hash-partitioned by userId, so the joins add no
+exchange; adaptive execution may still turn them into broadcast joins
+when a measured side is small. No branch keys an event-grain window by
 userId alone, so a user holding a large share of the events is spread
 over sessions and days.
 
+Gender has its own branch because ``max`` of a string cannot live in a
+hash-aggregate buffer: inside the session aggregate it would force a
+sort-based aggregate over every event. As grouping keys strings are
+fine, so the distinct (userId, gender) pairs are hash-aggregated and the
+string ``max`` runs only over those few rows per user.
+
 ``most_listens_one_month`` in the reference is the maximum of a row
 number over the user's listens (Q5), i.e. the user's listen count. It is
 taken unweighted even under ``fanout`` because the reference numbered
@@ -26,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlab.functions import event_date, page_flag, period_start
+from churnlab.functions import churn_flag, event_date, page_flag, period_start
 from churnlab.operators.days import day_user_maxima, listen_gaps, longest_streak, user_days
 from churnlab.operators.listens import most_listens_in_month
 from churnlab.operators.sessions import flagged
@@ -44,16 +51,14 @@ INTENDED_COLUMNS = ("most_listens_in_month", "longest_streak_days", "most_days_w
 
 
 def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
-    """Session branch: per-user totals, session means, gender and churn label."""
-    ev = flagged(events.select("userId", "sessionId", "ts", "page", "gender"), roles, fanout)
+    """Session branch: per-user totals, session means and churn label."""
+    ev = flagged(events.select("userId", "sessionId", "ts", "page"), roles, fanout)
     sess = ev.groupBy("userId", "sessionId").agg(
         *[F.sum(F.col(f"w_{c}")).cast("long").alias(m) for c, m in zip(FLAG_COLUMNS, SESSION_MEASURES)],
         F.sum("listen_flag").cast("long").alias("_listens"),
-        F.max("gender").alias("_gender"),
         F.max("churn").alias("_churn"),
     )
     return sess.groupBy("userId").agg(
-        F.max("_gender").alias("gender"),
         F.max("_churn").alias("churn"),
         F.sum("_listens").cast("int").alias("most_listens_one_month"),
         *[F.sum(s).cast("long").alias(t) for s, t in zip(SESSION_MEASURES, TOTAL_MEASURES)],
@@ -61,9 +66,21 @@ def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout:
     )
 
 
+def user_gender(events: DataFrame) -> DataFrame:
+    """``(userId, gender)`` = max gender per user, via distinct pairs (hash aggregate)."""
+    return events.select("userId", "gender").distinct().groupBy("userId").agg(F.max("gender").alias("gender"))
+
+
+def user_churn(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
+    """``(userId, churn)`` = max churn-event flag per user."""
+    return events.select("userId", churn_flag("page", roles.churn).alias("c")).groupBy("userId").agg(
+        F.max("c").alias("churn")
+    )
+
+
 def user_attributes(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
     """AGG9: ``(userId, gender, churn)`` - max gender, max churn-event flag."""
-    return session_rollup(events, roles).select("userId", "gender", "churn")
+    return user_gender(events).join(user_churn(events, roles), "userId").select("userId", "gender", "churn")
 
 
 def user_totals(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
@@ -86,7 +103,7 @@ def user_matrix(
     """
     sessions = session_rollup(events, roles, fanout)
     days = user_days(events, roles, only_listen_days)
-    matrix = sessions.join(day_user_maxima(days), "userId")
+    matrix = sessions.join(day_user_maxima(days), "userId").join(user_gender(events), "userId")
     cols = list(USER_MATRIX_COLUMNS)
     if intended:
         all_days = days if not only_listen_days else user_days(events, roles)
