@@ -50,15 +50,35 @@ from churnlab.schema import (
 INTENDED_COLUMNS = ("most_listens_in_month", "longest_streak_days", "most_days_without_listen")
 
 
-def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
-    """Session branch: per-user totals, session means and churn label."""
+SESSION_PART_COLUMNS = ("userId", "sessionId", *SESSION_MEASURES, "_listens", "_churn")
+
+
+def session_parts(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
+    """Per (userId, sessionId): the six session sums, raw listen count, churn flag.
+
+    Additive (sums) and idempotent (max) measures only, so parts built
+    from separate slices of the log can be merged by grouping again
+    (see ``merge_session_parts``).
+    """
     ev = flagged(events.select("userId", "sessionId", "ts", "page"), roles, fanout)
-    sess = ev.groupBy("userId", "sessionId").agg(
+    return ev.groupBy("userId", "sessionId").agg(
         *[F.sum(F.col(f"w_{c}")).cast("long").alias(m) for c, m in zip(FLAG_COLUMNS, SESSION_MEASURES)],
         F.sum("listen_flag").cast("long").alias("_listens"),
         F.max("churn").alias("_churn"),
     )
-    return sess.groupBy("userId").agg(
+
+
+def merge_session_parts(parts: DataFrame) -> DataFrame:
+    """Merge session parts that may repeat a (userId, sessionId) key."""
+    return parts.groupBy("userId", "sessionId").agg(
+        *[F.sum(m).cast("long").alias(m) for m in (*SESSION_MEASURES, "_listens")],
+        F.max("_churn").alias("_churn"),
+    )
+
+
+def rollup_sessions(parts: DataFrame) -> DataFrame:
+    """Session parts -> per-user totals, session means and churn label."""
+    return parts.groupBy("userId").agg(
         F.max("_churn").alias("churn"),
         F.sum("_listens").cast("int").alias("most_listens_one_month"),
         *[F.sum(s).cast("long").alias(t) for s, t in zip(SESSION_MEASURES, TOTAL_MEASURES)],
@@ -66,9 +86,29 @@ def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout:
     )
 
 
+def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
+    """Session branch: per-user totals, session means and churn label."""
+    return rollup_sessions(session_parts(events, roles, fanout))
+
+
+def gender_pairs(events: DataFrame) -> DataFrame:
+    """Distinct (userId, gender) pairs: strings as hash-aggregate keys."""
+    return events.select("userId", "gender").distinct()
+
+
+def max_gender(pairs: DataFrame) -> DataFrame:
+    """``(userId, gender)`` = max gender per user, from distinct pairs."""
+    return pairs.groupBy("userId").agg(F.max("gender").alias("gender"))
+
+
 def user_gender(events: DataFrame) -> DataFrame:
     """``(userId, gender)`` = max gender per user, via distinct pairs (hash aggregate)."""
-    return events.select("userId", "gender").distinct().groupBy("userId").agg(F.max("gender").alias("gender"))
+    return max_gender(gender_pairs(events))
+
+
+def assemble_matrix(session_users: DataFrame, day_maxima: DataFrame, genders: DataFrame) -> DataFrame:
+    """JN4: inner-join the three user-grain tables into the 18 matrix columns."""
+    return session_users.join(day_maxima, "userId").join(genders, "userId").select(*USER_MATRIX_COLUMNS)
 
 
 def user_churn(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
@@ -101,9 +141,8 @@ def user_matrix(
     ``longest_streak_days`` and ``most_days_without_listen``, the values
     the reference's feature names describe.
     """
-    sessions = session_rollup(events, roles, fanout)
     days = user_days(events, roles, only_listen_days)
-    matrix = sessions.join(day_user_maxima(days), "userId").join(user_gender(events), "userId")
+    matrix = assemble_matrix(session_rollup(events, roles, fanout), day_user_maxima(days), user_gender(events))
     cols = list(USER_MATRIX_COLUMNS)
     if intended:
         all_days = days if not only_listen_days else user_days(events, roles)

@@ -25,6 +25,7 @@ from churnlab.operators.events import drop_blank_users, keep_page, with_flags, w
 from churnlab.plans import model as ML
 from churnlab.schema import DEFAULT_ROLES
 from churnlab.sources.events import load_events
+from churnlab.streaming import stream as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -304,6 +305,19 @@ def ext3_baseline_lift(spark, sf):
     return round_doubles(ML.lift(ML.baseline_predictions(matrix(spark, sf))))
 
 
+# ------------------------------------------------------------------ streaming
+def str2_page_hour_counts(spark, sf):
+    return STR.streamed_page_hour_counts(spark, events(spark, sf, attrs=False))
+
+
+def str3_user_day_totals(spark, sf):
+    return STR.streamed_user_day_totals(spark, events(spark, sf, attrs=False))
+
+
+def str4_streamed_user_matrix(spark, sf):
+    return round_doubles(STR.streamed_user_matrix(spark, raw_events(spark, sf)))
+
+
 QUERIES: dict[str, Query] = {
     "prf1_shape": prf1_shape,
     "prf3_levels": prf3_levels,
@@ -362,6 +376,9 @@ QUERIES: dict[str, Query] = {
     "ext1_thumbs_up_by_period": ext1_thumbs_up_by_period,
     "ext2_thumbs_ratio": ext2_thumbs_ratio,
     "ext3_baseline_lift": ext3_baseline_lift,
+    "str2_page_hour_counts": str2_page_hour_counts,
+    "str3_user_day_totals": str3_user_day_totals,
+    "str4_streamed_user_matrix": str4_streamed_user_matrix,
 }
 
 # Model training is iterative and seeded inside MLlib: no SQL oracle.

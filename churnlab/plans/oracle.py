@@ -400,4 +400,14 @@ SELECT CAST(count(*) FILTER (WHERE prediction = 1) AS BIGINT) AS n_predicted,
        round(avg(label), 6) AS churn_rate_overall,
        round((avg(label) FILTER (WHERE prediction = 1)) / avg(label), 6) AS lift
 FROM pred""",
+    # ------------------------------------------------------------ streaming (stream = batch)
+    "str2_page_hour_counts": _with(ADAPTER)
+    + "\nSELECT (ts // 3600000) * 3600000 AS window_start, page, count(*) AS n_events FROM ev GROUP BY 1, 2",
+    "str3_user_day_totals": _with(ADAPTER)
+    + """
+SELECT userId, date, count(*) AS n_events, CAST(sum(listen_flag) AS BIGINT) AS n_listens,
+       CAST(CASE WHEN sum(listen_flag) > 0 THEN 1 ELSE 0 END AS INTEGER) AS listen_flag
+FROM fl GROUP BY userId, date""",
 }
+
+SQL["str4_streamed_user_matrix"] = SQL["jn4_user_matrix"]
