@@ -14,13 +14,19 @@ in rows to the previous listen. Computing them with one window over all
 events of a user would put a heavy user in one task, so they are
 computed in two levels instead:
 
-1. a window per (userId, date) gives positions and counts inside a day;
-2. a window over the user's day summaries (bounded by the calendar)
-   gives the rows and listens before each day and the position of the
-   last listen before it;
-3. an equi-join on (userId, date) puts the two together. The event side
-   is already partitioned by those keys from step 1, so only the small
-   day table moves.
+1. a window per (userId, time bucket) gives positions and counts inside
+   the bucket (``bucket_ms``, one hour by default);
+2. a window over the user's bucket summaries (one row per active bucket,
+   bounded by the calendar, not by the event volume) gives the rows and
+   listens before each bucket and the position of the last listen
+   before it;
+3. an equi-join on (userId, bucket) puts the two together. The event
+   side is already partitioned by those keys from step 1, so only the
+   small summary table moves.
+
+A user with a large share of all events is thus spread over as many
+tasks as it has active buckets; a narrower bucket splits hot users
+further at the price of a longer summary table.
 """
 
 from __future__ import annotations
@@ -39,7 +45,12 @@ _UNBOUNDED = Window.unboundedPreceding
 _CURRENT = Window.currentRow
 
 
-def listen_positions(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizon: int | None = REFERENCE_FILL_HORIZON) -> DataFrame:
+def listen_positions(
+    events: DataFrame,
+    roles: PageRoles = DEFAULT_ROLES,
+    horizon: int | None = REFERENCE_FILL_HORIZON,
+    bucket_ms: int = 3_600_000,
+) -> DataFrame:
     """WIN3 + WIN4 for every event.
 
     Keeps the input columns and adds ``date``, ``listen_flag``,
@@ -48,38 +59,40 @@ def listen_positions(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizo
     earlier listen, however far back.
     """
     listen = page_flag("page", roles.listen)
-    ev = events.withColumns({"date": event_date("ts"), "listen_flag": listen})
+    ev = events.withColumns(
+        {"date": event_date("ts"), "listen_flag": listen, "_bucket": F.floor(F.col("ts") / F.lit(bucket_ms))}
+    )
 
-    w_day = Window.partitionBy("userId", "date").orderBy("ts", "seq")
-    w_day_run = w_day.rowsBetween(_UNBOUNDED, _CURRENT)
+    w_in = Window.partitionBy("userId", "_bucket").orderBy("ts", "seq")
+    w_in_run = w_in.rowsBetween(_UNBOUNDED, _CURRENT)
     is_listen = F.col("listen_flag") == 1
-    ev = ev.withColumn("_pos", F.row_number().over(w_day)).withColumns(
+    ev = ev.withColumn("_pos", F.row_number().over(w_in)).withColumns(
         {
-            "_listens_in_day": F.sum("listen_flag").over(w_day_run),
-            "_last_listen_pos": F.max(F.when(is_listen, F.col("_pos"))).over(w_day_run),
+            "_listens_in": F.sum("listen_flag").over(w_in_run),
+            "_last_listen_pos": F.max(F.when(is_listen, F.col("_pos"))).over(w_in_run),
         }
     )
 
-    day = ev.groupBy("userId", "date").agg(
+    summary = ev.groupBy("userId", "_bucket").agg(
         F.count(F.lit(1)).alias("_n_rows"),
         F.sum("listen_flag").alias("_n_listens"),
-        F.max(F.when(is_listen, F.col("_pos"))).alias("_day_last_listen_pos"),
+        F.max(F.when(is_listen, F.col("_pos"))).alias("_bucket_last_listen_pos"),
     )
-    w_user = Window.partitionBy("userId").orderBy("date")
+    w_user = Window.partitionBy("userId").orderBy("_bucket")
     w_before = w_user.rowsBetween(_UNBOUNDED, -1)
-    day = day.withColumns(
+    summary = summary.withColumns(
         {
             "_rows_before": F.coalesce(F.sum("_n_rows").over(w_before), F.lit(0)),
             "_listens_before": F.coalesce(F.sum("_n_listens").over(w_before), F.lit(0)),
         }
-    ).withColumn("_last_listen_gpos", F.col("_rows_before") + F.col("_day_last_listen_pos"))
-    day = day.withColumn("_prev_listen_gpos", F.max("_last_listen_gpos").over(w_before)).select(
-        "userId", "date", "_rows_before", "_listens_before", "_prev_listen_gpos"
+    ).withColumn("_last_listen_gpos", F.col("_rows_before") + F.col("_bucket_last_listen_pos"))
+    summary = summary.withColumn("_prev_listen_gpos", F.max("_last_listen_gpos").over(w_before)).select(
+        "userId", "_bucket", "_rows_before", "_listens_before", "_prev_listen_gpos"
     )
 
     # Left join: an event with a null ts keeps its row (and fills 0).
-    joined = ev.join(day, ["userId", "date"], "left")
-    cum = (F.col("_listens_before") + F.col("_listens_in_day")).cast("int")
+    joined = ev.join(summary, ["userId", "_bucket"], "left")
+    cum = (F.col("_listens_before") + F.col("_listens_in")).cast("int")
     distance = F.when(F.col("_last_listen_pos").isNotNull(), F.col("_pos") - F.col("_last_listen_pos")).otherwise(
         F.col("_rows_before") + F.col("_pos") - F.col("_prev_listen_gpos")
     )
@@ -89,7 +102,7 @@ def listen_positions(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizo
             "running_listens_mon": F.when(is_listen, cum),
             "running_listens_mon_fill": F.when(reached, cum).otherwise(F.lit(0)),
         }
-    ).drop("_pos", "_listens_in_day", "_last_listen_pos", "_rows_before", "_listens_before", "_prev_listen_gpos")
+    ).drop("_bucket", "_pos", "_listens_in", "_last_listen_pos", "_rows_before", "_listens_before", "_prev_listen_gpos")
 
 
 def running_listens(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
@@ -101,9 +114,14 @@ def running_listens(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> Data
     )
 
 
-def filled_running_listens(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizon: int | None = REFERENCE_FILL_HORIZON) -> DataFrame:
+def filled_running_listens(
+    events: DataFrame,
+    roles: PageRoles = DEFAULT_ROLES,
+    horizon: int | None = REFERENCE_FILL_HORIZON,
+    bucket_ms: int = 3_600_000,
+) -> DataFrame:
     """WIN4: every event with its running and filled running listen count."""
-    return listen_positions(events, roles, horizon).select(
+    return listen_positions(events, roles, horizon, bucket_ms).select(
         "userId", "ts", "seq", "page", "running_listens_mon", "running_listens_mon_fill"
     )
 

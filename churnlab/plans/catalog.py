@@ -8,6 +8,7 @@ DuckDB oracles in ``churnlab.plans.oracle``.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -45,14 +46,29 @@ def raw_events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFram
     return load_events(spark, sf_dir, attrs)
 
 
+_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _reuse(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """Hand out the same lazy plan object for the same session and key.
+
+    Only the driver-side plan is reused (no data is cached): every query
+    still scans the input files in full when it runs.
+    """
+    plans = _PLANS.setdefault(spark, {})
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
+
+
 def events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFrame:
     """Adapted events without blank / null users (FLT1)."""
-    return drop_blank_users(load_events(spark, sf_dir, attrs))
+    return _reuse(spark, ("events", sf_dir, attrs), lambda: drop_blank_users(load_events(spark, sf_dir, attrs)))
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 18-column user matrix (unrounded)."""
-    return M.user_matrix(events(spark, sf_dir))
+    return _reuse(spark, ("matrix", sf_dir), lambda: M.user_matrix(events(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ profile
@@ -264,7 +280,7 @@ def ml12_baseline_metrics(spark, sf):
 
 # ------------------------------------------------------------------ model (no SQL oracle)
 def _prepared(spark, sf) -> ML.Prepared:
-    return ML.prepare(matrix(spark, sf).persist())
+    return ML.prepare(matrix(spark, sf))
 
 
 def ml8_compare_models(spark, sf):

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from churnlab.functions import hash_percent
 from churnlab.schema import FEATURE_COLUMNS
+from churnlab.session import ensure_checkpoint_dir
 
 SEED = 42
 TRAIN_PERCENT = 80
@@ -90,12 +91,31 @@ class Prepared:
     test: DataFrame
 
 
-def prepare(matrix: DataFrame, fit_on: str = "train", folds: int = 3, train_percent: int = TRAIN_PERCENT) -> Prepared:
+def materialized(matrix: DataFrame) -> DataFrame:
+    """Write the user matrix to the session's checkpoint folder and cut its lineage.
+
+    Model fitting reads the matrix a dozen times or more (folds x grid);
+    a reliable checkpoint keeps those reads off the event pipeline and
+    survives the loss of executors, unlike an executor-local cache.
+    """
+    ensure_checkpoint_dir(matrix.sparkSession)
+    return matrix.checkpoint(eager=True)
+
+
+def prepare(
+    matrix: DataFrame,
+    fit_on: str = "train",
+    folds: int = 3,
+    train_percent: int = TRAIN_PERCENT,
+    materialize: bool = True,
+) -> Prepared:
     """Split users, fit index + assemble + scale, return train and test frames.
 
     ``fit_on="train"`` (default) fits the preparation on training users
     only; ``"all"`` fits on every user as the reference did.
     """
+    if materialize:
+        matrix = materialized(matrix)
     split = with_split(matrix, train_percent)
     train_users = split.where(F.col("split") == "train")
     model = preparation().fit(train_users if fit_on == "train" else split)

@@ -10,6 +10,8 @@ All three return lazy DataFrames; nothing is collected.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,12 +137,30 @@ def _sessions(ev: DataFrame) -> DataFrame:
     )
 
 
-def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFrame:
+_BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, reuse: bool = True) -> DataFrame:
     """SRC3: the driver's ``events`` table as a canonical event frame.
 
     ``attrs=False`` leaves out gender, location and level, so queries that
     do not need them skip the join with customer / nation / region.
+
+    The returned DataFrame is a lazy plan; with ``reuse`` the same plan
+    object is handed out again for the same session and folder, which
+    saves re-reading parquet footers and re-analysing the adapter on the
+    driver. Every action still scans the files in full.
     """
+    if not reuse:
+        return _build_events(spark, sf_dir, attrs)
+    built = _BUILT.setdefault(spark, {})
+    key = (sf_dir.rstrip("/"), attrs)
+    if key not in built:
+        built[key] = _build_events(spark, sf_dir, attrs)
+    return built[key]
+
+
+def _build_events(spark: SparkSession, sf_dir: str, attrs: bool) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     micros = _epoch_micros(F.col("ts"), raw.schema["ts"].dataType)
     t_us = F.lit(ORIGIN_US) + F.lit(STRETCH) * (micros - F.lit(ORIGIN_US))

@@ -42,8 +42,12 @@ def _fill_by_plain_window(ev, horizon):
 
 
 @pytest.mark.parametrize("horizon", [0, 1, 3, 7, None])
-def test_two_level_fill_equals_plain_window(random_log, horizon):
-    got = {r.seq: (r.running_listens_mon_fill, r.running_listens_mon) for r in L.filled_running_listens(random_log, horizon=horizon).collect()}
+@pytest.mark.parametrize("bucket_ms", [60_000, 3_600_000, 86_400_000])
+def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms):
+    got = {
+        r.seq: (r.running_listens_mon_fill, r.running_listens_mon)
+        for r in L.filled_running_listens(random_log, horizon=horizon, bucket_ms=bucket_ms).collect()
+    }
     want = {r.seq: (r.fill, r.run) for r in _fill_by_plain_window(random_log, horizon).collect()}
     assert got == want
 
