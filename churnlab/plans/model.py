@@ -62,7 +62,7 @@ def scaler() -> StandardScaler:
 
 
 def preparation() -> Pipeline:
-    """ML1-ML3 as one pipeline."""
+    """ML1-ML3 as one MLlib Pipeline (index, assemble, scale)."""
     return Pipeline(stages=[gender_indexer(), assembler(), scaler()])
 
 
@@ -95,7 +95,7 @@ def materialized(matrix: DataFrame) -> DataFrame:
     """Write the user matrix to the session's checkpoint folder and cut its lineage.
 
     Model fitting reads the matrix a dozen times or more (folds x grid);
-    a reliable checkpoint keeps those reads off the event pipeline and
+    a reliable checkpoint keeps those reads off the event-level plan and
     survives the loss of executors, unlike an executor-local cache.
     """
     ensure_checkpoint_dir(matrix.sparkSession)
