@@ -187,3 +187,17 @@ def running_listens_by_churn(events: DataFrame, roles: PageRoles = DEFAULT_ROLES
         F.avg("running_listens_mon").alias("avg_running_listens"),
         F.avg("running_listens_mon_fill").alias("avg_running_listens_fill"),
     )
+
+
+def event_listing(events: DataFrame, n: int = 20, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
+    """SRT6: events with their running listen number, by user and time, first ``n``.
+
+    A global top-n: each task keeps its own first ``n`` rows and only those
+    are merged, so the sort never gathers the whole log in one place.
+    """
+    return (
+        listen_positions(events, roles)
+        .orderBy("userId", "ts", "seq")
+        .select("userId", "date", "page", "running_listens_mon")
+        .limit(n)
+    )
