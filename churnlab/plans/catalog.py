@@ -248,6 +248,21 @@ def jn4_user_matrix(spark, sf):
     return round_doubles(matrix(spark, sf))
 
 
+def jn4_user_matrix_fanout(spark, sf):
+    """JN4 with the reference's tie fan-out reproduced by weights (Q6)."""
+    return round_doubles(M.user_matrix(events(spark, sf), fanout=True))
+
+
+def jn4_user_matrix_intended(spark, sf):
+    """JN4 plus most_listens_in_month, longest_streak_days, most_days_without_listen."""
+    return round_doubles(M.user_matrix(events(spark, sf), intended=True))
+
+
+def win1_consecutive_listen_days(spark, sf):
+    """WIN1 over listening days only (intended reading of Q1)."""
+    return D.consecutive_days(events(spark, sf, attrs=False), only_listen_days=True)
+
+
 # ------------------------------------------------------------------ sort / limit
 def srt1_states_ranked(spark, sf):
     """SRT1: the ordered listing, with its order made visible as ``rank``.
@@ -379,6 +394,7 @@ QUERIES: dict[str, Query] = {
     "agg14_churn_by_gender": agg14_churn_by_gender,
     "agg15_listens_by_part_long": agg15_listens_by_part_long,
     "win1_consecutive_days": win1_consecutive_days,
+    "win1_consecutive_listen_days": win1_consecutive_listen_days,
     "win1b_longest_streak": win1b_longest_streak,
     "win2_days_since_last": win2_days_since_last,
     "win2b_listen_gaps": win2b_listen_gaps,
@@ -387,6 +403,8 @@ QUERIES: dict[str, Query] = {
     "win4_filled_running_listens": win4_filled_running_listens,
     "jn1_enriched_events": jn1_enriched_events,
     "jn4_user_matrix": jn4_user_matrix,
+    "jn4_user_matrix_fanout": jn4_user_matrix_fanout,
+    "jn4_user_matrix_intended": jn4_user_matrix_intended,
     "srt1_states_ranked": srt1_states_ranked,
     "srt2_top_listeners": srt2_top_listeners,
     "srt5_streak_listing": srt5_streak_listing,

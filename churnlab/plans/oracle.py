@@ -134,6 +134,52 @@ matrix AS (
 )"""
 )
 
+# Tie fan-out parity (Q6): each event weighted by greatest(1, listens at its (userId, ts)).
+MATRIX_FANOUT = (
+    MATRIX.replace("FROM fl GROUP BY userId, sessionId", "FROM flw GROUP BY userId, sessionId")
+    .replace("FROM fl GROUP BY userId\n),\nmatrix", "FROM flw GROUP BY userId\n),\nmatrix")
+    .replace("SUM(listen_flag) AS BIGINT) AS sess_listens", "SUM(listen_flag * w) AS BIGINT) AS sess_listens")
+    .replace("SUM(thU_flag) AS BIGINT) AS sess_thU", "SUM(thU_flag * w) AS BIGINT) AS sess_thU")
+    .replace("SUM(thD_flag) AS BIGINT) AS sess_thD", "SUM(thD_flag * w) AS BIGINT) AS sess_thD")
+    .replace("SUM(err_flag) AS BIGINT) AS sess_err", "SUM(err_flag * w) AS BIGINT) AS sess_err")
+    .replace("SUM(addP_flag) AS BIGINT) AS sess_addP", "SUM(addP_flag * w) AS BIGINT) AS sess_addP")
+    .replace("SUM(addF_flag) AS BIGINT) AS sess_addF", "SUM(addF_flag * w) AS BIGINT) AS sess_addF")
+    .replace("SUM(listen_flag) AS BIGINT) AS total_listens", "SUM(listen_flag * w) AS BIGINT) AS total_listens")
+    .replace("SUM(thU_flag) AS BIGINT) AS total_thumbsU", "SUM(thU_flag * w) AS BIGINT) AS total_thumbsU")
+    .replace("SUM(thD_flag) AS BIGINT) AS total_thumbsD", "SUM(thD_flag * w) AS BIGINT) AS total_thumbsD")
+    .replace("SUM(err_flag) AS BIGINT) AS total_err", "SUM(err_flag * w) AS BIGINT) AS total_err")
+    .replace("SUM(addP_flag) AS BIGINT) AS total_add_pl", "SUM(addP_flag * w) AS BIGINT) AS total_add_pl")
+    .replace("SUM(addF_flag) AS BIGINT) AS total_add_fr", "SUM(addF_flag * w) AS BIGINT) AS total_add_fr")
+)
+WEIGHTS = """
+flw AS (SELECT fl.*, GREATEST(1, SUM(listen_flag) OVER (PARTITION BY userId, ts)) AS w FROM fl)"""
+
+# Intended features next to the reference values.
+INTENDED = """
+mim AS (
+  SELECT userId, CAST(max(n) AS BIGINT) AS most_listens_in_month
+  FROM (SELECT userId, date_trunc('month', date) AS m, sum(listen_flag) AS n FROM fl GROUP BY 1, 2) x GROUP BY userId
+),
+streak AS (
+  SELECT userId, CAST(max(run) AS BIGINT) AS longest_streak_days FROM (
+    SELECT userId, island, count(*) AS run FROM (
+      SELECT userId, date - CAST(row_number() OVER (PARTITION BY userId ORDER BY date) AS INTEGER) AS island FROM days
+    ) i GROUP BY userId, island
+  ) r GROUP BY userId
+),
+lgap AS (
+  SELECT u.userId, CAST(COALESCE(max(g.gap), 0) AS INTEGER) AS most_days_without_listen
+  FROM (SELECT DISTINCT userId FROM days) u
+  LEFT JOIN (SELECT userId, CAST(date - lag(date) OVER (PARTITION BY userId ORDER BY date) AS INTEGER) AS gap
+             FROM days WHERE listen_flag = 1) g ON g.userId = u.userId
+  GROUP BY u.userId
+)"""
+
+# WIN1 over listening days only (the intended reading of Q1).
+LISTEN_DAYS = """
+ldays AS (SELECT userId, date FROM (SELECT userId, date, max(listen_flag) AS l FROM fl GROUP BY userId, date) d WHERE l = 1),
+ldayp AS (SELECT *, lag(date) OVER (PARTITION BY userId ORDER BY date) AS prev_day FROM ldays)"""
+
 MATRIX_SELECT = """
   userId, gender, churn, most_listens_one_month, most_days_since_last_listen, most_days_consec_listen,
   total_listens, total_thumbsU, total_thumbsD, total_err, total_add_pl, total_add_fr,
@@ -411,3 +457,21 @@ FROM fl GROUP BY userId, date""",
 }
 
 SQL["str4_streamed_user_matrix"] = SQL["jn4_user_matrix"]
+
+SQL["jn4_user_matrix_fanout"] = _with(ADAPTER, WEIGHTS, MATRIX_FANOUT) + f"\nSELECT {MATRIX_SELECT} FROM matrix"
+SQL["jn4_user_matrix_intended"] = (
+    _with(ADAPTER, MATRIX, INTENDED)
+    + f"""
+SELECT {MATRIX_SELECT}, mim.most_listens_in_month, streak.longest_streak_days, lgap.most_days_without_listen
+FROM matrix JOIN mim USING (userId) JOIN streak USING (userId) JOIN lgap USING (userId)"""
+)
+SQL["win1_consecutive_listen_days"] = (
+    _with(ADAPTER, LISTEN_DAYS)
+    + """
+SELECT userId, date, prev_day,
+       CASE WHEN prev_day IS NOT NULL AND date = prev_day + 1 THEN 1 ELSE 0 END AS date_group,
+       CAST(SUM(CASE WHEN prev_day IS NOT NULL AND date = prev_day + 1 THEN 1 ELSE 0 END)
+            OVER (PARTITION BY userId ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+         AS days_consec_listen
+FROM ldayp"""
+)
