@@ -94,13 +94,17 @@ def user_day_totals(stream: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> Data
 
 
 # ------------------------------------------------------------------ epoch-partitioned sinks
-def write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
-    """Write one micro-batch's rows as partition ``epoch=<id>``, idempotently."""
+def write_epoch(df: DataFrame, path: str, epoch_id: int, partition_by: Sequence[str] = ()) -> None:
+    """Write one micro-batch's rows as partition ``epoch=<id>``, idempotently.
+
+    Dynamic partition overwrite replaces only the partitions this batch
+    writes, so a replayed micro-batch overwrites its own earlier output.
+    """
     (
         df.withColumn("epoch", F.lit(int(epoch_id)).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("epoch")
+        .partitionBy(*partition_by, "epoch")
         .parquet(path)
     )
 
@@ -139,29 +143,48 @@ class MatrixUpkeep:
     """foreachBatch function that keeps the user matrix current.
 
     Layout under ``base``: ``days/``, ``sessions/``, ``genders/`` hold the
-    partial aggregates of every micro-batch; ``matrix/`` holds, per epoch,
-    the recomputed rows of the users touched in that epoch. The current
-    matrix is the latest row per user (``current_matrix``).
+    partial aggregates of every micro-batch, partitioned by a hash bucket
+    of userId and by epoch; ``matrix/`` holds, per epoch, the recomputed
+    rows of the users touched in that epoch. The current matrix is the
+    latest row per user (``current_matrix``).
+
+    Each micro-batch reads back only the buckets it touched (partition
+    pruning on a list of at most ``buckets`` integers) and, inside them,
+    only the touched users (semi join), then recomputes those users'
+    rows with the same operators as the batch matrix.
     """
 
-    def __init__(self, base: str, roles: PageRoles = DEFAULT_ROLES):
+    def __init__(self, base: str, roles: PageRoles = DEFAULT_ROLES, buckets: int = 16):
         self.base = base.rstrip("/")
         self.roles = roles
+        self.buckets = buckets
 
     def part(self, name: str) -> str:
         return f"{self.base}/{name}"
 
+    def bucket(self) -> F.Column:
+        return F.pmod(F.xxhash64("userId"), F.lit(self.buckets)).cast("int")
+
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
         ev = drop_blank_users(batch).persist()
         try:
-            write_epoch(user_days(ev, self.roles), self.part("days"), epoch_id)
-            write_epoch(session_parts(ev, self.roles), self.part("sessions"), epoch_id)
-            write_epoch(gender_pairs(ev), self.part("genders"), epoch_id)
-            touched = ev.select("userId").distinct()
+            for name, part in (
+                ("days", user_days(ev, self.roles)),
+                ("sessions", session_parts(ev, self.roles)),
+                ("genders", gender_pairs(ev)),
+            ):
+                write_epoch(part.withColumn("ubucket", self.bucket()), self.part(name), epoch_id, ["ubucket"])
+            touched = ev.select("userId").distinct().withColumn("ubucket", self.bucket())
+            hot = [r.ubucket for r in touched.select("ubucket").distinct().collect()]  # <= self.buckets values
 
             def stored(name: str) -> DataFrame:
-                return spark.read.parquet(self.part(name)).drop("epoch").join(touched, "userId", "left_semi")
+                return (
+                    spark.read.parquet(self.part(name))
+                    .where(F.col("ubucket").isin(hot))
+                    .join(touched, ["ubucket", "userId"], "left_semi")
+                    .drop("epoch", "ubucket")
+                )
 
             days = stored("days").groupBy("userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
             sessions = rollup_sessions(merge_session_parts(stored("sessions")))
