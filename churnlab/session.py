@@ -40,13 +40,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     used as is. Only when nothing is configured (tests, local runs) is a
     fresh temporary folder set.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # no SparkContext handle (remote session)
+        sc = None
+    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get(CHECKPOINT_CONF, None)
     if current:
-        if not sc.getCheckpointDir():
+        if sc is not None and not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
     path = tempfile.mkdtemp(prefix="churnlab-ckpt-")
-    sc.setCheckpointDir(path)
-    spark.conf.set(CHECKPOINT_CONF, path)
+    if sc is not None:
+        sc.setCheckpointDir(path)
+    try:
+        spark.conf.set(CHECKPOINT_CONF, path)
+    except Exception:  # static in some deployments; the context setting suffices
+        pass
     return path
