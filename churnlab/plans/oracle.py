@@ -96,15 +96,25 @@ runf AS (
   FROM run
 )"""
 
-MATRIX = (
-    DAYS
-    + """,
+def _matrix_sql(src: str = "fl", weight: str = "") -> str:
+    """User-matrix CTEs over the flagged events ``src``.
+
+    ``weight`` multiplies every flag in the session and user sums (the tie
+    fan-out parity form uses ``' * w'``); the listen count behind
+    ``most_listens_one_month`` stays unweighted.
+    """
+    def s(flag: str) -> str:
+        return f"SUM({flag}{weight})"
+
+    return (
+        DAYS
+        + f""",
 sess AS (
   SELECT userId, sessionId,
-         CAST(SUM(listen_flag) AS BIGINT) AS sess_listens, CAST(SUM(thU_flag) AS BIGINT) AS sess_thU,
-         CAST(SUM(thD_flag) AS BIGINT) AS sess_thD, CAST(SUM(err_flag) AS BIGINT) AS sess_err,
-         CAST(SUM(addP_flag) AS BIGINT) AS sess_addP, CAST(SUM(addF_flag) AS BIGINT) AS sess_addF
-  FROM fl GROUP BY userId, sessionId
+         CAST({s('listen_flag')} AS BIGINT) AS sess_listens, CAST({s('thU_flag')} AS BIGINT) AS sess_thU,
+         CAST({s('thD_flag')} AS BIGINT) AS sess_thD, CAST({s('err_flag')} AS BIGINT) AS sess_err,
+         CAST({s('addP_flag')} AS BIGINT) AS sess_addP, CAST({s('addF_flag')} AS BIGINT) AS sess_addF
+  FROM {src} GROUP BY userId, sessionId
 ),
 sess_u AS (
   SELECT userId, avg(sess_listens) AS avg_sess_listens, avg(sess_thU) AS avg_sess_thU,
@@ -120,10 +130,10 @@ day_u AS (
 tot AS (
   SELECT userId, max(gender) AS gender, max(churn) AS churn,
          CAST(SUM(listen_flag) AS INTEGER) AS most_listens_one_month,
-         CAST(SUM(listen_flag) AS BIGINT) AS total_listens, CAST(SUM(thU_flag) AS BIGINT) AS total_thumbsU,
-         CAST(SUM(thD_flag) AS BIGINT) AS total_thumbsD, CAST(SUM(err_flag) AS BIGINT) AS total_err,
-         CAST(SUM(addP_flag) AS BIGINT) AS total_add_pl, CAST(SUM(addF_flag) AS BIGINT) AS total_add_fr
-  FROM fl GROUP BY userId
+         CAST({s('listen_flag')} AS BIGINT) AS total_listens, CAST({s('thU_flag')} AS BIGINT) AS total_thumbsU,
+         CAST({s('thD_flag')} AS BIGINT) AS total_thumbsD, CAST({s('err_flag')} AS BIGINT) AS total_err,
+         CAST({s('addP_flag')} AS BIGINT) AS total_add_pl, CAST({s('addF_flag')} AS BIGINT) AS total_add_fr
+  FROM {src} GROUP BY userId
 ),
 matrix AS (
   SELECT t.userId, t.gender, t.churn, t.most_listens_one_month,
@@ -132,27 +142,15 @@ matrix AS (
          s.avg_sess_listens, s.avg_sess_thU, s.avg_sess_thD, s.avg_sess_err, s.avg_sess_addP, s.avg_sess_addF
   FROM tot t JOIN day_u d ON d.userId = t.userId JOIN sess_u s ON s.userId = t.userId
 )"""
-)
+    )
+
+
+MATRIX = _matrix_sql()
 
 # Tie fan-out parity (Q6): each event weighted by greatest(1, listens at its (userId, ts)).
-MATRIX_FANOUT = (
-    MATRIX.replace("FROM fl GROUP BY userId, sessionId", "FROM flw GROUP BY userId, sessionId")
-    .replace("FROM fl GROUP BY userId\n),\nmatrix", "FROM flw GROUP BY userId\n),\nmatrix")
-    .replace("SUM(listen_flag) AS BIGINT) AS sess_listens", "SUM(listen_flag * w) AS BIGINT) AS sess_listens")
-    .replace("SUM(thU_flag) AS BIGINT) AS sess_thU", "SUM(thU_flag * w) AS BIGINT) AS sess_thU")
-    .replace("SUM(thD_flag) AS BIGINT) AS sess_thD", "SUM(thD_flag * w) AS BIGINT) AS sess_thD")
-    .replace("SUM(err_flag) AS BIGINT) AS sess_err", "SUM(err_flag * w) AS BIGINT) AS sess_err")
-    .replace("SUM(addP_flag) AS BIGINT) AS sess_addP", "SUM(addP_flag * w) AS BIGINT) AS sess_addP")
-    .replace("SUM(addF_flag) AS BIGINT) AS sess_addF", "SUM(addF_flag * w) AS BIGINT) AS sess_addF")
-    .replace("SUM(listen_flag) AS BIGINT) AS total_listens", "SUM(listen_flag * w) AS BIGINT) AS total_listens")
-    .replace("SUM(thU_flag) AS BIGINT) AS total_thumbsU", "SUM(thU_flag * w) AS BIGINT) AS total_thumbsU")
-    .replace("SUM(thD_flag) AS BIGINT) AS total_thumbsD", "SUM(thD_flag * w) AS BIGINT) AS total_thumbsD")
-    .replace("SUM(err_flag) AS BIGINT) AS total_err", "SUM(err_flag * w) AS BIGINT) AS total_err")
-    .replace("SUM(addP_flag) AS BIGINT) AS total_add_pl", "SUM(addP_flag * w) AS BIGINT) AS total_add_pl")
-    .replace("SUM(addF_flag) AS BIGINT) AS total_add_fr", "SUM(addF_flag * w) AS BIGINT) AS total_add_fr")
-)
 WEIGHTS = """
 flw AS (SELECT fl.*, GREATEST(1, SUM(listen_flag) OVER (PARTITION BY userId, ts)) AS w FROM fl)"""
+MATRIX_FANOUT = _matrix_sql("flw", " * w")
 
 # Intended features next to the reference values.
 INTENDED = """
