@@ -128,19 +128,74 @@ def user_totals(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: boo
     return user_matrix(events, roles, fanout).select("userId", *USER_MATRIX_COLUMNS[3:12])
 
 
+def matrix_base(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
+    """One partial aggregate per (userId, sessionId, date, gender).
+
+    Session sums, the user-day table and the gender pairs all derive from
+    it exactly (sums add up, maxima and distinct pairs merge), so a single
+    scan of the events feeds every branch of the matrix.
+    """
+    ev = flagged(events.select("userId", "sessionId", "ts", "page", "gender"), roles, fanout)
+    return ev.withColumn("date", event_date("ts")).groupBy("userId", "sessionId", "date", "gender").agg(
+        *[F.sum(F.col(f"w_{c}")).cast("long").alias(m) for c, m in zip(FLAG_COLUMNS, SESSION_MEASURES)],
+        F.sum("listen_flag").cast("long").alias("_listens"),
+        F.max("churn").alias("_churn"),
+    )
+
+
+def base_days(base: DataFrame, only_listen_days: bool = False) -> DataFrame:
+    """The user-day table (AGG5) from the matrix base."""
+    days = base.groupBy("userId", "date").agg(F.max((F.col("_listens") > 0).cast("int")).alias("listen_flag"))
+    return days.where(F.col("listen_flag") == 1) if only_listen_days else days
+
+
+def matrix_from_base(base: DataFrame, only_listen_days: bool = False, intended: bool = False) -> DataFrame:
+    """The user matrix from a (usually materialized) matrix base."""
+    sessions = rollup_sessions(merge_session_parts(base.drop("date", "gender")))
+    days = base_days(base, only_listen_days)
+    matrix = assemble_matrix(sessions, day_user_maxima(days), max_gender(base.select("userId", "gender").distinct()))
+    if not intended:
+        return matrix
+    all_days = base_days(base)
+    monthly = (
+        base.groupBy("userId", F.trunc("date", "month").alias("month"))
+        .agg(F.sum("_listens").alias("n"))
+        .groupBy("userId")
+        .agg(F.max("n").cast("long").alias("most_listens_in_month"))
+    )
+    return (
+        matrix.join(monthly, "userId", "left")
+        .join(longest_streak(all_days), "userId", "left")
+        .join(listen_gaps(all_days), "userId", "left")
+        .select(*USER_MATRIX_COLUMNS, *INTENDED_COLUMNS)
+    )
+
+
 def user_matrix(
     events: DataFrame,
     roles: PageRoles = DEFAULT_ROLES,
     fanout: bool = False,
     only_listen_days: bool = False,
     intended: bool = False,
+    materialize: bool = False,
 ) -> DataFrame:
     """JN4: the 18-column user matrix, one row per user.
 
     ``intended=True`` appends ``most_listens_in_month``,
     ``longest_streak_days`` and ``most_days_without_listen``, the values
     the reference's feature names describe.
+
+    ``materialize=True`` scans the events once: the matrix base is
+    written to the session's checkpoint folder (an eager job) and every
+    branch reads it. The default stays lazy and lets each branch start
+    from its own partial aggregate of the events.
     """
+    if materialize:
+        from churnlab.session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(events.sparkSession)
+        base = matrix_base(events, roles, fanout).checkpoint(eager=True)
+        return matrix_from_base(base, only_listen_days, intended)
     days = user_days(events, roles, only_listen_days)
     matrix = assemble_matrix(session_rollup(events, roles, fanout), day_user_maxima(days), user_gender(events))
     cols = list(USER_MATRIX_COLUMNS)

@@ -24,7 +24,7 @@ from churnlab.operators import profile as P
 from churnlab.operators import sessions as S
 from churnlab.operators.events import drop_blank_users, keep_page, with_flags, with_state, with_time_parts
 from churnlab.plans import model as ML
-from churnlab.schema import DEFAULT_ROLES
+from churnlab.schema import DEFAULT_ROLES, USER_MATRIX_COLUMNS
 from churnlab.sources.events import load_events
 from churnlab.streaming import stream as STR
 
@@ -66,8 +66,16 @@ def events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFrame:
     return _reuse(spark, ("events", sf_dir, attrs), lambda: drop_blank_users(load_events(spark, sf_dir, attrs)))
 
 
-def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 18-column user matrix (unrounded)."""
+def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    """The 18-column user matrix (unrounded), lazy three-branch form.
+
+    On columnar input each branch reads only its own columns and starts
+    with its own partial aggregate; measured at sf0.1 this beats scanning
+    once into a checkpointed base (``materialize=True``, used by the batch
+    job on JSON, where every scan parses whole lines).
+    """
+    if options:
+        return M.user_matrix(events(spark, sf_dir), **options)
     return _reuse(spark, ("matrix", sf_dir), lambda: M.user_matrix(events(spark, sf_dir)))
 
 
@@ -171,7 +179,7 @@ def agg5_user_days(spark, sf):
 
 
 def agg6_user_totals(spark, sf):
-    return M.user_totals(events(spark, sf))
+    return matrix(spark, sf).select("userId", *USER_MATRIX_COLUMNS[3:12])
 
 
 def agg7_session_totals(spark, sf):
@@ -250,12 +258,12 @@ def jn4_user_matrix(spark, sf):
 
 def jn4_user_matrix_fanout(spark, sf):
     """JN4 with the reference's tie fan-out reproduced by weights (Q6)."""
-    return round_doubles(M.user_matrix(events(spark, sf), fanout=True))
+    return round_doubles(matrix(spark, sf, fanout=True))
 
 
 def jn4_user_matrix_intended(spark, sf):
     """JN4 plus most_listens_in_month, longest_streak_days, most_days_without_listen."""
-    return round_doubles(M.user_matrix(events(spark, sf), intended=True))
+    return round_doubles(matrix(spark, sf, intended=True))
 
 
 def win1_consecutive_listen_days(spark, sf):

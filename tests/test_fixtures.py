@@ -45,8 +45,9 @@ def test_day_table_user_b(ev1):
     assert [(r.date_group, r.days_consec_listen, r.days_since_last_listen) for r in rows] == [(0, 0, 0)]
 
 
-def test_matrix_exact(ev1):
-    m = _by_user(M.user_matrix(ev1))
+@pytest.mark.parametrize("materialize", [False, True])
+def test_matrix_exact(ev1, materialize):
+    m = _by_user(M.user_matrix(ev1, materialize=materialize))
     a, b = m["a"], m["b"]
     assert (a["gender"], a["churn"], b["gender"], b["churn"]) == ("M", 1, "F", 0)
     assert a["most_listens_one_month"] == 6 and b["most_listens_one_month"] == 0
@@ -58,16 +59,18 @@ def test_matrix_exact(ev1):
     assert (b["avg_sess_listens"], b["avg_sess_thU"], b["avg_sess_thD"], b["avg_sess_err"]) == (0.0, 0.0, 1.0, 0.0)
 
 
-def test_matrix_fanout_parity(ev1):
-    a = _by_user(M.user_matrix(ev1, fanout=True))["a"]
+@pytest.mark.parametrize("materialize", [False, True])
+def test_matrix_fanout_parity(ev1, materialize):
+    a = _by_user(M.user_matrix(ev1, fanout=True, materialize=materialize))["a"]
     assert (a["total_listens"], a["total_thumbsU"], a["total_err"]) == (8, 3, 1)
     assert (a["avg_sess_listens"], a["avg_sess_thU"], a["avg_sess_err"]) == (2.0, 0.75, 0.25)
     # the row number is taken before the reference's tie join
     assert a["most_listens_one_month"] == 6
 
 
-def test_matrix_intended_columns(ev1):
-    m = _by_user(M.user_matrix(ev1, intended=True))
+@pytest.mark.parametrize("materialize", [False, True])
+def test_matrix_intended_columns(ev1, materialize):
+    m = _by_user(M.user_matrix(ev1, intended=True, materialize=materialize))
     assert (m["a"]["most_listens_in_month"], m["b"]["most_listens_in_month"]) == (5, 0)
     assert (m["a"]["longest_streak_days"], m["b"]["longest_streak_days"]) == (2, 1)
     assert (m["a"]["most_days_without_listen"], m["b"]["most_days_without_listen"]) == (26, 0)

@@ -52,6 +52,13 @@ def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms):
     assert got == want
 
 
+def test_materialized_matrix_equals_lazy(random_log):
+    for kw in ({}, {"fanout": True}, {"intended": True}, {"only_listen_days": True}):
+        lazy = sorted(M.user_matrix(random_log, **kw).collect())
+        mat = sorted(M.user_matrix(random_log, materialize=True, **kw).collect())
+        assert lazy == mat, kw
+
+
 def test_results_do_not_depend_on_layout(random_log):
     a = sorted(M.user_matrix(random_log.repartition(1)).collect())
     b = sorted(M.user_matrix(random_log.repartition(5, "page")).collect())
