@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import event_date, event_hour, page_flag
+from churnlab.functions.columns import MS_PER_DAY
 from churnlab.operators.days import day_features, user_days
 from churnlab.operators.events import with_flags
 from churnlab.schema import DEFAULT_ROLES, PageRoles
@@ -50,6 +51,7 @@ def listen_positions(
     roles: PageRoles = DEFAULT_ROLES,
     horizon: int | None = REFERENCE_FILL_HORIZON,
     bucket_ms: int = 3_600_000,
+    day_columns: DataFrame | None = None,
 ) -> DataFrame:
     """WIN3 + WIN4 for every event.
 
@@ -57,7 +59,15 @@ def listen_positions(
     ``running_listens_mon`` (int, null on non-listen rows) and
     ``running_listens_mon_fill`` (int). ``horizon=None`` fills from any
     earlier listen, however far back.
+
+    ``day_columns`` - a frame keyed by (userId, date) - is attached to the
+    per-bucket summary rather than to the events: a bucket never spans two
+    dates (``bucket_ms`` divides a day), so its columns reach every event
+    through the one join the running counts need anyway, and the event
+    stream is shuffled once.
     """
+    if MS_PER_DAY % bucket_ms:
+        raise ValueError("bucket_ms must divide one day")
     listen = page_flag("page", roles.listen)
     ev = events.withColumns(
         {"date": event_date("ts"), "listen_flag": listen, "_bucket": F.floor(F.col("ts") / F.lit(bucket_ms))}
@@ -89,6 +99,9 @@ def listen_positions(
     summary = summary.withColumn("_prev_listen_gpos", F.max("_last_listen_gpos").over(w_before)).select(
         "userId", "_bucket", "_rows_before", "_listens_before", "_prev_listen_gpos"
     )
+    if day_columns is not None:
+        bucket_date = F.date_from_unix_date(F.floor(F.col("_bucket") * F.lit(bucket_ms) / F.lit(MS_PER_DAY)).cast("int"))
+        summary = summary.withColumn("date", bucket_date).join(day_columns, ["userId", "date"], "left").drop("date")
 
     # Left join: an event with a null ts keeps its row (and fills 0).
     joined = ev.join(summary, ["userId", "_bucket"], "left")
@@ -143,14 +156,14 @@ def most_listens_in_month(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -
 def enriched_events(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizon: int | None = REFERENCE_FILL_HORIZON) -> DataFrame:
     """JN1: each event with its day features, running counts, flags, churn flag.
 
-    The day features come from the user-day table through one left join
-    on (userId, date) - the reference's two day-level joins (JN1, JN2)
-    share one day table - and the running counts need no join on ts at
-    all (JN3 removed), so there is no fan-out on tied timestamps.
+    The day features come from the user-day table - the reference's two
+    day-level joins (JN1, JN2) share one day table - and ride on the
+    per-bucket summary of ``listen_positions``, so the events take part
+    in a single join. The running counts need no join on ts at all (JN3
+    removed), so there is no fan-out on tied timestamps.
     """
-    ev = listen_positions(events, roles, horizon)
     days = day_features(user_days(events, roles)).select("userId", "date", "days_consec_listen", "days_since_last_listen")
-    ev = ev.join(days, ["userId", "date"], "left")
+    ev = listen_positions(events, roles, horizon, day_columns=days)
     ev = with_flags(ev.drop("listen_flag"), roles)
     return ev.select(
         "userId",
