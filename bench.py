@@ -8,6 +8,7 @@ runs first so JVM start-up and code loading are not charged to a query.
     BENCH_CPUS     default 8       (local[N])
     BENCH_QUERIES  optional comma-separated subset
     BENCH_REPEAT   default 1       (best of N per query)
+    BENCH_MEM      default 4g      (driver memory; local mode runs in the driver)
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ def main() -> None:
     if chosen:
         names = [n for n in chosen.split(",") if n in QUERIES]
 
-    spark = local_session(cpus, shuffle_partitions=max(8, cpus))
+    spark = local_session(cpus, shuffle_partitions=max(8, cpus), driver_memory=os.environ.get("BENCH_MEM", "4g"))
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["agg1_page_visits"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
 

@@ -1,6 +1,5 @@
 """The end-to-end batch job on a JSON log derived from the driver's events."""
 
-from pyspark.sql import functions as F
 
 from churnlab.operators.matrix import user_matrix
 from churnlab.plans.catalog import events as adapted_events

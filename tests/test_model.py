@@ -1,7 +1,6 @@
 """ML1-ML14, EXT3 by properties: seeded repeat, evaluator parity, reload."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from churnlab.plans import model as ML
 from churnlab.plans.catalog import matrix

@@ -1,12 +1,9 @@
 """Streaming: stream = batch, late data, idempotent epochs, scheduled scoring."""
 
-import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.sql import functions as F
 
 from churnlab.operators import matrix as M
-from churnlab.operators.events import drop_blank_users
 from churnlab.plans import model as ML
 from churnlab.plans.catalog import events as adapted_events
 from churnlab.streaming import stream as STR
