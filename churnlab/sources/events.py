@@ -189,19 +189,32 @@ def _build_events(spark: SparkSession, sf_dir: str, attrs: bool) -> DataFrame:
     if not attrs:
         return out.drop("_user_id")
 
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey", "c_acctbal")
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey")
-    region = spark.read.parquet(f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
-    # Join order: the two small dimension tables first, then the event
-    # side once. Strategies are left to the planner, which broadcasts a
-    # side only when its measured size is under the broadcast threshold.
+    # The keys below are primary keys. Grouping by them changes no value but
+    # makes the uniqueness visible to the optimizer, which then removes the
+    # attribute join from every plan that uses none of its columns (for
+    # example the session and day branches of the user matrix). Customer is
+    # grouped on numeric columns only, so the aggregate stays hash-based;
+    # the string maxima run over the 25 nations and 5 regions.
+    customer = (
+        spark.read.parquet(f"{sf_dir}/customer.parquet")
+        .groupBy(F.col("c_custkey").alias("_user_id"))
+        .agg(F.max("c_nationkey").alias("c_nationkey"), F.max("c_acctbal").alias("c_acctbal"))
+    )
+    nation = (
+        spark.read.parquet(f"{sf_dir}/nation.parquet")
+        .groupBy("n_nationkey")
+        .agg(F.max("n_name").alias("n_name"), F.max("n_regionkey").alias("n_regionkey"))
+    )
+    region = spark.read.parquet(f"{sf_dir}/region.parquet").groupBy("r_regionkey").agg(F.max("r_name").alias("r_name"))
+    # Strategies are left to the planner, which broadcasts a side only when
+    # its measured size is under the broadcast threshold.
     cust = (
         customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
         .join(region, F.col("n_regionkey") == region.r_regionkey, "left")
         .select(
-            F.col("c_custkey").alias("_user_id"),
-            F.when(F.col("c_custkey") % 2 == 0, F.lit("M"))
-            .when(F.col("c_custkey") % 2 != 0, F.lit("F"))
+            "_user_id",
+            F.when(F.col("_user_id") % 2 == 0, F.lit("M"))
+            .when(F.col("_user_id") % 2 != 0, F.lit("F"))
             .alias("gender"),
             F.concat(F.col("n_name"), F.lit(", "), F.left(F.col("r_name"), F.lit(2))).alias("location"),
             F.when(F.col("c_acctbal") > 0, F.lit("paid")).when(F.col("c_acctbal") <= 0, F.lit("free")).alias("level"),
