@@ -83,7 +83,9 @@ def listen_positions(
         }
     )
 
-    summary = ev.groupBy("userId", "_bucket").agg(
+    # Events without a time cannot be ordered: they keep their row (no
+    # running count, fill 0) but do not shift the positions of others.
+    summary = ev.where(F.col("_bucket").isNotNull()).groupBy("userId", "_bucket").agg(
         F.count(F.lit(1)).alias("_n_rows"),
         F.sum("listen_flag").alias("_n_listens"),
         F.max(F.when(is_listen, F.col("_pos"))).alias("_bucket_last_listen_pos"),
@@ -103,7 +105,6 @@ def listen_positions(
         bucket_date = F.date_from_unix_date(F.floor(F.col("_bucket") * F.lit(bucket_ms) / F.lit(MS_PER_DAY)).cast("int"))
         summary = summary.withColumn("date", bucket_date).join(day_columns, ["userId", "date"], "left").drop("date")
 
-    # Left join: an event with a null ts keeps its row (and fills 0).
     joined = ev.join(summary, ["userId", "_bucket"], "left")
     cum = (F.col("_listens_before") + F.col("_listens_in")).cast("int")
     distance = F.when(F.col("_last_listen_pos").isNotNull(), F.col("_pos") - F.col("_last_listen_pos")).otherwise(
@@ -113,7 +114,7 @@ def listen_positions(
     return joined.withColumns(
         {
             "running_listens_mon": F.when(is_listen, cum),
-            "running_listens_mon_fill": F.when(reached, cum).otherwise(F.lit(0)),
+            "running_listens_mon_fill": F.coalesce(F.when(reached, cum), F.lit(0)),
         }
     ).drop("_bucket", "_pos", "_listens_in", "_last_listen_pos", "_rows_before", "_listens_before", "_prev_listen_gpos")
 

@@ -144,3 +144,11 @@ def test_time_parts_are_utc_whatever_the_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
     assert (r.d.isoformat(), r.h) == ("2018-10-01", 23)
+
+
+def test_null_ts_rows_do_not_shift_running_counts(ev2):
+    rows = L.filled_running_listens(drop_blank_users(ev2)).where("userId = 'c'").collect()
+    by_ts = {r.ts: (r.running_listens_mon, r.running_listens_mon_fill) for r in rows}
+    assert by_ts[None] == (None, 0)
+    timed = [v for k, v in sorted((k, v) for k, v in by_ts.items() if k is not None)]
+    assert timed == [(None, 0), (1, 1)]
