@@ -35,3 +35,13 @@ def test_hash_percent_is_stable(spark):
     again = spark.createDataFrame([("abc",), ("11",), ("10",)], "k string").select(hash_percent("k").alias("p")).collect()
     assert sorted(v.p for v in vals) == sorted(v.p for v in again)
     assert all(0 <= v.p < 100 for v in vals)
+
+
+def test_cli_list_and_sql(capsys):
+    from churnlab.__main__ import main
+
+    assert main(["list"]) == 0
+    listed = capsys.readouterr().out.split("\n")
+    assert "jn4_user_matrix" in listed
+    assert main(["sql", "agg1_page_visits"]) == 0
+    assert "count_visits" in capsys.readouterr().out
