@@ -118,6 +118,17 @@ def prf5_null_counts(spark, sf):
     return P.null_counts(raw_events(spark, sf))
 
 
+def prf1_matrix_shape(spark, sf):
+    """PRF1 on the user matrix: one row per user, 18 columns."""
+    return P.shape(matrix(spark, sf))
+
+
+def prf5_running_listen_nulls(spark, sf):
+    """PRF5 on the running listen count before and after the fill."""
+    ev = L.filled_running_listens(events(spark, sf, attrs=False))
+    return P.null_counts(ev, ["running_listens_mon", "running_listens_mon_fill"])
+
+
 # ------------------------------------------------------------------ filters / scalar
 def flt1_nonblank_events(spark, sf):
     return events(spark, sf, attrs=False).select("userId", "sessionId", "ts", "page", "seq")
@@ -375,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "prf3_locations": prf3_locations,
     "prf4_distinct_counts": prf4_distinct_counts,
     "prf5_null_counts": prf5_null_counts,
+    "prf1_matrix_shape": prf1_matrix_shape,
+    "prf5_running_listen_nulls": prf5_running_listen_nulls,
     "flt1_nonblank_events": flt1_nonblank_events,
     "flt2_listen_events": flt2_listen_events,
     "scl1_state": scl1_state,

@@ -473,3 +473,12 @@ SELECT userId, date, prev_day,
          AS days_consec_listen
 FROM ldayp"""
 )
+
+SQL["prf1_matrix_shape"] = _with(ADAPTER, MATRIX) + "\nSELECT count(*) AS n_rows, CAST(18 AS INTEGER) AS n_cols FROM matrix"
+SQL["prf5_running_listen_nulls"] = (
+    _with(ADAPTER, RUNNING)
+    + """
+SELECT CAST(count_if(running_listens_mon IS NULL) AS BIGINT) AS n_null_running_listens_mon,
+       CAST(count_if(running_listens_mon_fill IS NULL) AS BIGINT) AS n_null_running_listens_mon_fill
+FROM runf"""
+)
