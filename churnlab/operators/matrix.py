@@ -106,9 +106,22 @@ def user_gender(events: DataFrame) -> DataFrame:
     return max_gender(gender_pairs(events))
 
 
-def assemble_matrix(session_users: DataFrame, day_maxima: DataFrame, genders: DataFrame) -> DataFrame:
-    """JN4: inner-join the three user-grain tables into the 18 matrix columns."""
-    return session_users.join(day_maxima, "userId").join(genders, "userId").select(*USER_MATRIX_COLUMNS)
+def assemble_matrix(
+    session_users: DataFrame, day_maxima: DataFrame, genders: DataFrame, keep_users_without_days: bool = False
+) -> DataFrame:
+    """JN4: join the three user-grain tables into the 18 matrix columns.
+
+    Inner joins, as in the reference (every user has an active day). With
+    listening days only, a user may have none: ``keep_users_without_days``
+    keeps such users with day features 0.
+    """
+    if keep_users_without_days:
+        days = session_users.join(day_maxima, "userId", "left").fillna(
+            0, ["most_days_since_last_listen", "most_days_consec_listen"]
+        )
+    else:
+        days = session_users.join(day_maxima, "userId")
+    return days.join(genders, "userId").select(*USER_MATRIX_COLUMNS)
 
 
 def user_churn(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
@@ -153,7 +166,8 @@ def matrix_from_base(base: DataFrame, only_listen_days: bool = False, intended:
     """The user matrix from a (usually materialized) matrix base."""
     sessions = rollup_sessions(merge_session_parts(base.drop("date", "gender")))
     days = base_days(base, only_listen_days)
-    matrix = assemble_matrix(sessions, day_user_maxima(days), max_gender(base.select("userId", "gender").distinct()))
+    genders = max_gender(base.select("userId", "gender").distinct())
+    matrix = assemble_matrix(sessions, day_user_maxima(days), genders, keep_users_without_days=only_listen_days)
     if not intended:
         return matrix
     all_days = base_days(base)
@@ -197,7 +211,12 @@ def user_matrix(
         base = matrix_base(events, roles, fanout).checkpoint(eager=True)
         return matrix_from_base(base, only_listen_days, intended)
     days = user_days(events, roles, only_listen_days)
-    matrix = assemble_matrix(session_rollup(events, roles, fanout), day_user_maxima(days), user_gender(events))
+    matrix = assemble_matrix(
+        session_rollup(events, roles, fanout),
+        day_user_maxima(days),
+        user_gender(events),
+        keep_users_without_days=only_listen_days,
+    )
     cols = list(USER_MATRIX_COLUMNS)
     if intended:
         all_days = days if not only_listen_days else user_days(events, roles)

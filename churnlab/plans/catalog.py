@@ -277,6 +277,11 @@ def jn4_user_matrix_intended(spark, sf):
     return round_doubles(matrix(spark, sf, intended=True))
 
 
+def jn4_user_matrix_listen_days(spark, sf):
+    """JN4 with day features over listening days only (intended reading of Q1)."""
+    return round_doubles(matrix(spark, sf, only_listen_days=True))
+
+
 def win1_consecutive_listen_days(spark, sf):
     """WIN1 over listening days only (intended reading of Q1)."""
     return D.consecutive_days(events(spark, sf, attrs=False), only_listen_days=True)
@@ -426,6 +431,7 @@ QUERIES: dict[str, Query] = {
     "jn4_user_matrix": jn4_user_matrix,
     "jn4_user_matrix_fanout": jn4_user_matrix_fanout,
     "jn4_user_matrix_intended": jn4_user_matrix_intended,
+    "jn4_user_matrix_listen_days": jn4_user_matrix_listen_days,
     "srt1_states_ranked": srt1_states_ranked,
     "srt2_top_listeners": srt2_top_listeners,
     "srt5_streak_listing": srt5_streak_listing,

@@ -482,3 +482,26 @@ SELECT CAST(count_if(running_listens_mon IS NULL) AS BIGINT) AS n_null_running_l
        CAST(count_if(running_listens_mon_fill IS NULL) AS BIGINT) AS n_null_running_listens_mon_fill
 FROM runf"""
 )
+
+# Day features over listening days only; users without one keep 0.
+SQL["jn4_user_matrix_listen_days"] = (
+    _with(
+        ADAPTER,
+        _matrix_sql()
+        .replace(
+            "days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date)",
+            "days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date"
+            " HAVING max(listen_flag) = 1)",
+        )
+        .replace(
+            "FROM tot t JOIN day_u d ON d.userId = t.userId",
+            "FROM tot t LEFT JOIN day_u d ON d.userId = t.userId",
+        )
+        .replace(
+            "d.most_days_since_last_listen, d.most_days_consec_listen,",
+            "COALESCE(d.most_days_since_last_listen, 0) AS most_days_since_last_listen,"
+            " COALESCE(d.most_days_consec_listen, 0) AS most_days_consec_listen,",
+        ),
+    )
+    + f"\nSELECT {MATRIX_SELECT} FROM matrix"
+)

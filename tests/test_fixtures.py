@@ -152,3 +152,12 @@ def test_null_ts_rows_do_not_shift_running_counts(ev2):
     assert by_ts[None] == (None, 0)
     timed = [v for k, v in sorted((k, v) for k, v in by_ts.items() if k is not None)]
     assert timed == [(None, 0), (1, 1)]
+
+
+@pytest.mark.parametrize("materialize", [False, True])
+def test_listen_day_matrix_keeps_users_without_listens(ev1, materialize):
+    m = _by_user(M.user_matrix(ev1, only_listen_days=True, materialize=materialize))
+    assert set(m) == {"a", "b"}
+    assert (m["b"]["most_days_since_last_listen"], m["b"]["most_days_consec_listen"]) == (0, 0)
+    # listening days of a: 10-01, 10-02, 10-06, 11-01 -> one adjacent pair, largest gap 26
+    assert (m["a"]["most_days_since_last_listen"], m["a"]["most_days_consec_listen"]) == (26, 1)
