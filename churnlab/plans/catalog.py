@@ -357,6 +357,13 @@ def ml11_test_predictions(spark, sf):
     return ML.predict(model, prep.test).select("userId", "label", "prediction")
 
 
+def ext3_gbt_lift(spark, sf):
+    """EXT3 for the seeded GBT: churn rate of its predicted churners over the test users' rate."""
+    prep = _prepared(spark, sf)
+    model = ML.estimators()["GBTClassifier"].fit(prep.train)
+    return round_doubles(ML.lift(ML.predict(model, prep.test)))
+
+
 # ------------------------------------------------------------------ extensions
 def ext1_thumbs_up_by_period(spark, sf):
     return M.thumbs_up_by_period(events(spark, sf, attrs=False))
@@ -444,6 +451,7 @@ QUERIES: dict[str, Query] = {
     "ml11_test_predictions": ml11_test_predictions,
     "ml13_grid_results": ml13_grid_results,
     "ml14_feature_importances": ml14_feature_importances,
+    "ext3_gbt_lift": ext3_gbt_lift,
     "ext1_thumbs_up_by_period": ext1_thumbs_up_by_period,
     "ext2_thumbs_ratio": ext2_thumbs_ratio,
     "ext3_baseline_lift": ext3_baseline_lift,
@@ -459,4 +467,5 @@ NO_ORACLE = {
     "ml11_test_predictions",
     "ml13_grid_results",
     "ml14_feature_importances",
+    "ext3_gbt_lift",
 }
