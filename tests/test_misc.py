@@ -45,3 +45,11 @@ def test_cli_list_and_sql(capsys):
     assert "jn4_user_matrix" in listed
     assert main(["sql", "agg1_page_visits"]) == 0
     assert "count_visits" in capsys.readouterr().out
+
+
+def test_checkpoint_folder_is_taken_from_the_session(spark):
+    from churnlab.session import ensure_checkpoint_dir
+
+    first = ensure_checkpoint_dir(spark)
+    assert first and ensure_checkpoint_dir(spark) == first
+    assert spark.sparkContext.getCheckpointDir().rstrip("/").endswith(first.rstrip("/").split("/")[-1])
