@@ -390,6 +390,20 @@ def str4_streamed_user_matrix(spark, sf):
     return round_doubles(STR.streamed_user_matrix(spark, raw_events(spark, sf)))
 
 
+def str5_scheduled_scores(spark, sf):
+    """STR5: a model fitted on the batch matrix scores the streamed matrix rows.
+
+    Preparation and a seeded GBT are fitted on the training users of the
+    batch matrix; the scheduled run scores every user the stream touched.
+    """
+    from pyspark.ml import Pipeline
+
+    batch = materialized_matrix(spark, sf)
+    train = ML.with_split(batch).where(F.col("split") == "train").withColumn("label", F.col("churn").cast("double"))
+    model = Pipeline(stages=[ML.preparation(), ML.estimators()["GBTClassifier"]]).fit(train)
+    return STR.streamed_scores(spark, raw_events(spark, sf), model)
+
+
 QUERIES: dict[str, Query] = {
     "prf1_shape": prf1_shape,
     "prf3_levels": prf3_levels,
@@ -458,6 +472,7 @@ QUERIES: dict[str, Query] = {
     "str2_page_hour_counts": str2_page_hour_counts,
     "str3_user_day_totals": str3_user_day_totals,
     "str4_streamed_user_matrix": str4_streamed_user_matrix,
+    "str5_scheduled_scores": str5_scheduled_scores,
 }
 
 # Model training is iterative and seeded inside MLlib: no SQL oracle.
@@ -468,4 +483,5 @@ NO_ORACLE = {
     "ml13_grid_results",
     "ml14_feature_importances",
     "ext3_gbt_lift",
+    "str5_scheduled_scores",
 }

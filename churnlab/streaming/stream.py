@@ -266,3 +266,13 @@ def streamed_user_matrix(spark: SparkSession, events: DataFrame, files_per_trigg
     stream = read_event_stream(spark, f"{base}/landing", max_files_per_trigger=files_per_trigger)
     keep_matrix_current(stream, f"{base}/state", f"{base}/checkpoint")
     return current_matrix(spark, f"{base}/state")
+
+
+def streamed_scores(spark: SparkSession, events: DataFrame, model, files_per_trigger: int = 2) -> DataFrame:
+    """STR4 + STR5 end to end: keep the matrix current, then score the changed rows."""
+    base = scratch(spark, "str5")
+    land_events(events, f"{base}/landing")
+    stream = read_event_stream(spark, f"{base}/landing", max_files_per_trigger=files_per_trigger)
+    keep_matrix_current(stream, f"{base}/state", f"{base}/checkpoint-upkeep")
+    score_matrix_updates(spark, model, f"{base}/state", f"{base}/scores", f"{base}/checkpoint-scores")
+    return latest_by_key(spark.read.parquet(f"{base}/scores"), ["userId"])
