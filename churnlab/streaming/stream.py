@@ -139,6 +139,112 @@ def run_available(stream_out: DataFrame, sink: Callable[[DataFrame, int], None],
 
 
 # ------------------------------------------------------------------ STR4
+def _fs_path(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _fs_path(spark, path)
+    return bool(fs.exists(p))
+
+
+def snapshot_generation(spark: SparkSession, base: str) -> int | None:
+    """Epoch through which the latest *completed* snapshot reaches (None if none).
+
+    A snapshot counts only once its marker folder holds the ``_SUCCESS``
+    file Spark writes when the marker job commits; the marker is written
+    after the snapshot data, so a crash anywhere before leaves it unused.
+    """
+    root, fs = _fs_path(spark, f"{base.rstrip('/')}/snapshots/_done")
+    if not fs.exists(root):
+        return None
+    gens = []
+    for st in fs.listStatus(root):
+        name = st.getPath().getName()
+        if name.startswith("gen=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            gens.append(int(name.split("=", 1)[1]))
+    return max(gens) if gens else None
+
+
+def read_stored(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """A stored table of the upkeep: latest snapshot plus the epochs after it.
+
+    Snapshot rows get ``epoch`` = their generation, so ``latest_by_key``
+    still prefers newer epochs.
+    """
+    base = base.rstrip("/")
+    parts = spark.read.parquet(f"{base}/{name}")
+    gen = snapshot_generation(spark, base)
+    if gen is None:
+        return parts
+    snap = spark.read.parquet(f"{base}/snapshots/{name}/gen={gen}").withColumn("epoch", F.lit(gen).cast("long"))
+    return parts.where(F.col("epoch") > gen).unionByName(snap)
+
+
+def compact(spark: SparkSession, base: str, buckets: int = 16, purge: bool = False) -> int | None:
+    """Merge the upkeep's per-epoch files into one snapshot; returns its epoch.
+
+    Run between scheduled upkeep runs. Steps: merge every stored table
+    through the latest epoch E into ``snapshots/<table>/gen=E`` (overwrite,
+    so a crashed attempt is simply redone), then write the marker
+    ``snapshots/_done/gen=E``. Readers switch to the snapshot only when
+    the marker exists. ``purge`` then deletes epoch folders before E and
+    older snapshots; correctness never depends on that deletion.
+    """
+    base = base.rstrip("/")
+    if not path_exists(spark, f"{base}/sessions"):
+        return None
+    last = spark.read.parquet(f"{base}/sessions").agg(F.max("epoch").alias("e")).first().e  # one value
+    if last is None or last == snapshot_generation(spark, base):
+        return snapshot_generation(spark, base)
+    bucket = F.pmod(F.xxhash64("userId"), F.lit(buckets)).cast("int")
+    for name in ("days", "sessions", "genders"):
+        merged = read_stored(spark, base, name).where(F.col("epoch") <= last).drop("epoch")
+        if name == "days":
+            merged = merged.groupBy("userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
+        elif name == "sessions":
+            merged = merge_session_parts(merged.drop("ubucket"))
+        else:
+            merged = merged.select("userId", "gender").distinct()
+        merged.withColumn("ubucket", bucket).write.mode("overwrite").partitionBy("ubucket").parquet(
+            f"{base}/snapshots/{name}/gen={last}"
+        )
+    matrix = latest_by_key(read_stored(spark, base, "matrix").where(F.col("epoch") <= last), ["userId"])
+    matrix.write.mode("overwrite").parquet(f"{base}/snapshots/matrix/gen={last}")
+    spark.range(1).select(F.lit(last).cast("long").alias("epoch_through")).write.mode("overwrite").parquet(
+        f"{base}/snapshots/_done/gen={last}"
+    )
+    if purge:
+        _purge(spark, base, last)
+    return last
+
+
+def _purge(spark: SparkSession, base: str, gen: int) -> None:
+    """Delete epoch folders before ``gen`` and snapshots older than ``gen``.
+
+    The files of epoch ``gen`` itself stay: readers already skip them, and
+    they keep every table readable (parquet needs a file to infer from).
+    """
+    for name in ("days", "sessions", "genders", "matrix"):
+        root, fs = _fs_path(spark, f"{base}/{name}")
+        if not fs.exists(root):
+            continue
+        for top in fs.listStatus(root):
+            targets = [top] if top.getPath().getName().startswith("epoch=") else list(fs.listStatus(top.getPath()))
+            for st in targets:
+                label = st.getPath().getName()
+                if label.startswith("epoch=") and int(label.split("=", 1)[1]) < gen:
+                    fs.delete(st.getPath(), True)
+        snaps, fs = _fs_path(spark, f"{base}/snapshots/{name}")
+        if fs.exists(snaps):
+            for st in fs.listStatus(snaps):
+                label = st.getPath().getName()
+                if label.startswith("gen=") and int(label.split("=", 1)[1]) < gen:
+                    fs.delete(st.getPath(), True)
+
+
 class MatrixUpkeep:
     """foreachBatch function that keeps the user matrix current.
 
@@ -180,7 +286,7 @@ class MatrixUpkeep:
 
             def stored(name: str) -> DataFrame:
                 return (
-                    spark.read.parquet(self.part(name))
+                    read_stored(spark, self.base, name)
                     .where(F.col("ubucket").isin(hot))
                     .join(touched, ["ubucket", "userId"], "left_semi")
                     .drop("epoch", "ubucket")
@@ -197,7 +303,7 @@ class MatrixUpkeep:
 
 def current_matrix(spark: SparkSession, base: str) -> DataFrame:
     """The user matrix kept by ``MatrixUpkeep``: latest row per user."""
-    return latest_by_key(spark.read.parquet(f"{base.rstrip('/')}/matrix"), ["userId"]).select(*USER_MATRIX_COLUMNS)
+    return latest_by_key(read_stored(spark, base, "matrix"), ["userId"]).select(*USER_MATRIX_COLUMNS)
 
 
 def keep_matrix_current(stream: DataFrame, base: str, checkpoint: str, roles: PageRoles = DEFAULT_ROLES) -> None:

@@ -65,3 +65,41 @@ def test_replayed_events_counted_once(spark, tmp_path):
     STR.run_available(counts, STR.upsert_sink(f"{base}/out"), f"{base}/ckpt")
     got = STR.latest_by_key(spark.read.parquet(f"{base}/out"), ["window_start", "page"]).collect()
     assert [(r.page, r.n_events) for r in got] == [("NextSong", 2)]
+
+
+def _halves(spark):
+    from pyspark.sql import functions as F
+
+    ev = adapted_events(spark, SF001)
+    cut = 1707955200000  # 2024-02-15 00:00 UTC in the stretched time of the adapter
+    return ev, ev.where(F.col("ts") < cut), ev.where(F.col("ts") >= cut)
+
+
+def test_compaction_between_runs_keeps_the_matrix_exact(spark, tmp_path):
+    base = str(tmp_path)
+    ev, first, second = _halves(spark)
+    STR.land_events(first, f"{base}/landing/part1")
+    stream = lambda: STR.read_event_stream(spark, f"{base}/landing/*", max_files_per_trigger=2)
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    gen = STR.compact(spark, f"{base}/state", purge=True)
+    assert gen is not None and STR.snapshot_generation(spark, f"{base}/state") == gen
+    STR.land_events(second, f"{base}/landing/part2")
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    got = sorted(STR.current_matrix(spark, f"{base}/state").collect())
+    assert got == sorted(M.user_matrix(ev).collect())
+
+
+def test_snapshot_without_marker_is_ignored(spark, tmp_path):
+    base = str(tmp_path)
+    ev, first, second = _halves(spark)
+    STR.land_events(first, f"{base}/landing/part1")
+    stream = lambda: STR.read_event_stream(spark, f"{base}/landing/*", max_files_per_trigger=2)
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    gen = STR.compact(spark, f"{base}/state")
+    # simulate a crash after the snapshot data but before the marker
+    p, fs = STR._fs_path(spark, f"{base}/state/snapshots/_done/gen={gen}")
+    fs.delete(p, True)
+    assert STR.snapshot_generation(spark, f"{base}/state") is None
+    STR.land_events(second, f"{base}/landing/part2")
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == sorted(M.user_matrix(ev).collect())
