@@ -40,6 +40,8 @@ def summarize(log_file: str) -> list[dict]:
         if kind == "SparkListenerStageCompleted":
             info = ev["Stage Info"]
             names[info["Stage ID"]] = info["Stage Name"].split(" at ")[0]
+            if info.get("Submission Time") and info.get("Completion Time"):
+                stages[info["Stage ID"]]["ms"] = info["Completion Time"] - info["Submission Time"]
         if kind != "SparkListenerTaskEnd" or "Task Metrics" not in ev:
             continue
         m = ev["Task Metrics"]
@@ -77,11 +79,11 @@ def main() -> None:
         spark.stop()
         log_file = sorted(glob.glob(f"{log_dir}/*"))[0]
         lines = [f"-- {name} on {sf_dir}: per-stage rows from the event log (local[8])",
-                 f"{'stage':>5} {'tasks':>5} {'input':>9} {'sh_read':>9} {'sh_write':>9} {'max_task':>9}  operation"]
+                 f"{'stage':>5} {'tasks':>5} {'ms':>6} {'input':>9} {'sh_read':>9} {'sh_write':>9} {'max_task':>9}"]
         for s in summarize(log_file):
             lines.append(
-                f"{s['stage']:>5} {s.get('tasks', 0):>5} {s.get('input_rows', 0):>9} {s.get('shuffle_rows_read', 0):>9} "
-                f"{s.get('shuffle_rows_written', 0):>9} {s.get('max_task_rows', 0):>9}  {s['name']}"
+                f"{s['stage']:>5} {s.get('tasks', 0):>5} {s.get('ms', 0):>6} {s.get('input_rows', 0):>9} "
+                f"{s.get('shuffle_rows_read', 0):>9} {s.get('shuffle_rows_written', 0):>9} {s.get('max_task_rows', 0):>9}"
             )
         (out / f"{name}.txt").write_text("\n".join(lines) + "\n")
         print("\n".join(lines))
