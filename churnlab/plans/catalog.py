@@ -25,7 +25,7 @@ from churnlab.operators import sessions as S
 from churnlab.operators.events import drop_blank_users, keep_page, with_flags, with_state, with_time_parts
 from churnlab.plans import model as ML
 from churnlab.schema import DEFAULT_ROLES, USER_MATRIX_COLUMNS
-from churnlab.sources.events import load_events
+from churnlab.sources.events import load_events, source_version
 from churnlab.streaming import stream as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,7 +63,8 @@ def _reuse(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
 
 def events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFrame:
     """Adapted events without blank / null users (FLT1)."""
-    return _reuse(spark, ("events", sf_dir, attrs), lambda: drop_blank_users(load_events(spark, sf_dir, attrs)))
+    key = ("events", sf_dir, attrs, source_version(sf_dir))
+    return _reuse(spark, key, lambda: drop_blank_users(load_events(spark, sf_dir, attrs)))
 
 
 def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -76,7 +77,7 @@ def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     """
     if options:
         return M.user_matrix(events(spark, sf_dir), **options)
-    return _reuse(spark, ("matrix", sf_dir), lambda: M.user_matrix(events(spark, sf_dir)))
+    return _reuse(spark, ("matrix", sf_dir, source_version(sf_dir)), lambda: M.user_matrix(events(spark, sf_dir)))
 
 
 def materialized_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ All three return lazy DataFrames; nothing is collected.
 
 from __future__ import annotations
 
+import os
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -138,6 +139,20 @@ def _sessions(ev: DataFrame) -> DataFrame:
 
 
 _BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_TABLES = ("events", "customer", "nation", "region")
+
+
+def source_version(sf_dir: str) -> tuple:
+    """Modification times of the adapter's input files (local paths only).
+
+    Part of the key under which built plans are reused, so replacing the
+    files gives a freshly listed plan. Remote paths give an empty tuple.
+    """
+    stamps = []
+    for t in _TABLES:
+        path = os.path.join(sf_dir, f"{t}.parquet")
+        stamps.append(os.path.getmtime(path) if os.path.exists(path) else None)
+    return tuple(stamps)
 
 
 def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, reuse: bool = True) -> DataFrame:
@@ -154,7 +169,7 @@ def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, reuse: boo
     if not reuse:
         return _build_events(spark, sf_dir, attrs)
     built = _BUILT.setdefault(spark, {})
-    key = (sf_dir.rstrip("/"), attrs)
+    key = (sf_dir.rstrip("/"), attrs, source_version(sf_dir))
     if key not in built:
         built[key] = _build_events(spark, sf_dir, attrs)
     return built[key]

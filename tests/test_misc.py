@@ -53,3 +53,20 @@ def test_checkpoint_folder_is_taken_from_the_session(spark):
     first = ensure_checkpoint_dir(spark)
     assert first and ensure_checkpoint_dir(spark) == first
     assert spark.sparkContext.getCheckpointDir().rstrip("/").endswith(first.rstrip("/").split("/")[-1])
+
+
+def test_plan_reuse_follows_file_changes(spark, tmp_path):
+    import shutil
+
+    from churnlab.plans.catalog import events
+    from conftest import SF001
+
+    d = tmp_path / "sf"
+    shutil.copytree(SF001, d)
+    a = events(spark, str(d))
+    assert events(spark, str(d)) is a  # same plan object while the files are unchanged
+    import os
+
+    p = d / "events.parquet"
+    os.utime(p, (p.stat().st_atime, p.stat().st_mtime + 10))
+    assert events(spark, str(d)) is not a
