@@ -66,10 +66,28 @@ def preparation() -> Pipeline:
     return Pipeline(stages=[gender_indexer(), assembler(), scaler()])
 
 
-def with_split(matrix: DataFrame, train_percent: int = TRAIN_PERCENT) -> DataFrame:
-    """ML4: ``split`` = 'train' / 'test' from a hash of userId (Q13)."""
-    return matrix.withColumn(
-        "split", F.when(hash_percent("userId") < train_percent, F.lit("train")).otherwise(F.lit("test"))
+def with_split(matrix: DataFrame, train_percent: int = TRAIN_PERCENT, stratified: bool = False) -> DataFrame:
+    """ML4: ``split`` = 'train' / 'test' from a hash of userId (Q13).
+
+    The plain split is stratified in expectation (the hash does not see the
+    label). ``stratified=True`` makes each churn class split at its own
+    ``train_percent`` quantile of a 32-bit userId hash; the quantiles come
+    from ``percentile_approx`` - one row per class, a bounded table - so no
+    class is ever ranked inside a single task.
+    """
+    if not stratified:
+        return matrix.withColumn(
+            "split", F.when(hash_percent("userId") < train_percent, F.lit("train")).otherwise(F.lit("test"))
+        )
+    h = F.conv(F.substring(F.md5(F.col("userId")), 1, 8), 16, 10).cast("long")
+    hashed = matrix.withColumn("_h", h)
+    cuts = hashed.groupBy("churn").agg(
+        F.percentile_approx("_h", train_percent / 100.0, 100_000).alias("_cut")
+    )
+    return (
+        hashed.join(cuts, "churn", "left")
+        .withColumn("split", F.when(F.col("_h") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test")))
+        .drop("_h", "_cut")
     )
 
 
@@ -108,6 +126,7 @@ def prepare(
     folds: int = 3,
     train_percent: int = TRAIN_PERCENT,
     materialize: bool = True,
+    stratified: bool = False,
 ) -> Prepared:
     """Split users, fit index + assemble + scale, return train and test frames.
 
@@ -116,7 +135,7 @@ def prepare(
     """
     if materialize:
         matrix = materialized(matrix)
-    split = with_split(matrix, train_percent)
+    split = with_split(matrix, train_percent, stratified)
     train_users = split.where(F.col("split") == "train")
     model = preparation().fit(train_users if fit_on == "train" else split)
 

@@ -70,3 +70,13 @@ def test_fit_on_all_differs_only_in_scaler(spark):
     a, b = ML.prepare(m, fit_on="train"), ML.prepare(m, fit_on="all")
     assert a.train.count() == b.train.count()
     assert sorted(a.train.select("userId").collect()) == sorted(b.train.select("userId").collect())
+
+
+def test_stratified_split_keeps_class_shares(spark):
+    from pyspark.sql import functions as F
+
+    m = ML.with_split(matrix(spark, SF01), stratified=True)
+    shares = m.groupBy("churn").agg(F.avg((F.col("split") == "train").cast("double")).alias("s")).collect()
+    assert all(abs(r.s - 0.8) < 0.02 for r in shares)
+    again = ML.with_split(matrix(spark, SF01), stratified=True)
+    assert sorted(m.select("userId", "split").collect()) == sorted(again.select("userId", "split").collect())
