@@ -68,9 +68,13 @@ def session_parts(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: b
     )
 
 
-def merge_session_parts(parts: DataFrame) -> DataFrame:
-    """Merge session parts that may repeat a (userId, sessionId) key."""
-    return parts.groupBy("userId", "sessionId").agg(
+def merge_session_parts(parts: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:
+    """Merge session parts that may repeat a (userId, sessionId) key.
+
+    ``extra_keys`` are carried along; they must be functions of userId
+    (for example a hash bucket), so they do not split a session.
+    """
+    return parts.groupBy(*extra_keys, "userId", "sessionId").agg(
         *[F.sum(m).cast("long").alias(m) for m in (*SESSION_MEASURES, "_listens")],
         F.max("_churn").alias("_churn"),
     )

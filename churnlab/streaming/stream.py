@@ -183,7 +183,7 @@ def read_stored(spark: SparkSession, base: str, name: str) -> DataFrame:
     return parts.where(F.col("epoch") > gen).unionByName(snap)
 
 
-def compact(spark: SparkSession, base: str, buckets: int = 16, purge: bool = False) -> int | None:
+def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
     """Merge the upkeep's per-epoch files into one snapshot; returns its epoch.
 
     Run between scheduled upkeep runs. Steps: merge every stored table
@@ -199,18 +199,17 @@ def compact(spark: SparkSession, base: str, buckets: int = 16, purge: bool = Fal
     last = spark.read.parquet(f"{base}/sessions").agg(F.max("epoch").alias("e")).first().e  # one value
     if last is None or last == snapshot_generation(spark, base):
         return snapshot_generation(spark, base)
-    bucket = F.pmod(F.xxhash64("userId"), F.lit(buckets)).cast("int")
+    # Rows keep the bucket the upkeep gave them (a function of userId), so
+    # the upkeep's bucket pruning finds them in the snapshot too.
     for name in ("days", "sessions", "genders"):
         merged = read_stored(spark, base, name).where(F.col("epoch") <= last).drop("epoch")
         if name == "days":
-            merged = merged.groupBy("userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
+            merged = merged.groupBy("ubucket", "userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
         elif name == "sessions":
-            merged = merge_session_parts(merged.drop("ubucket"))
+            merged = merge_session_parts(merged, extra_keys=("ubucket",))
         else:
-            merged = merged.select("userId", "gender").distinct()
-        merged.withColumn("ubucket", bucket).write.mode("overwrite").partitionBy("ubucket").parquet(
-            f"{base}/snapshots/{name}/gen={last}"
-        )
+            merged = merged.select("ubucket", "userId", "gender").distinct()
+        merged.write.mode("overwrite").partitionBy("ubucket").parquet(f"{base}/snapshots/{name}/gen={last}")
     matrix = latest_by_key(read_stored(spark, base, "matrix").where(F.col("epoch") <= last), ["userId"])
     matrix.write.mode("overwrite").parquet(f"{base}/snapshots/matrix/gen={last}")
     spark.range(1).select(F.lit(last).cast("long").alias("epoch_through")).write.mode("overwrite").parquet(
