@@ -106,3 +106,11 @@ def test_window_detector_catches_event_grain_user_window(spark, parquet_log):
     ev = spark.read.parquet(parquet_log)
     naive = ev.withColumn("rn", F.row_number().over(Window.partitionBy("userId").orderBy("ts")))
     assert _windows_by_user_alone_over_events(naive._jdf.queryExecution().optimizedPlan().toString())
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in NO_ORACLE and n not in STREAMING])
+def test_no_cross_join_in_plan(spark, name):
+    df = QUERIES[name](spark, SF001)
+    df.collect()  # final adaptive plan
+    plan = plan_of(df)
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
