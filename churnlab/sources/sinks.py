@@ -28,6 +28,21 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "err
     return path
 
 
+def land_events_by_date(events: DataFrame, path: str, mode: str = "errorifexists") -> str:
+    """Write an event log partitioned by its UTC ``date`` (derived from ``ts``).
+
+    Later reads that filter on ``date`` prune whole folders at planning
+    time (``PartitionFilters``). Rows are clustered by date before the
+    write so each task writes few folders; the shuffle key is (date,
+    userId), so one busy day is still spread over many tasks.
+    """
+    from churnlab.functions import event_date
+
+    dated = events.withColumn("date", event_date("ts"))
+    dated.repartition("date", "userId").write.mode(mode).partitionBy("date").parquet(path)
+    return path
+
+
 def model_path(base_dir: str, model, accuracy: float, f1: float, now: _dt.datetime | None = None) -> str:
     """SNK2 path: ``<base>/<epoch seconds>_<model>_Acc_<acc>_F1_<f1>``."""
     stamp = (now or _dt.datetime.now(_dt.timezone.utc)).timestamp()

@@ -73,3 +73,17 @@ def test_write_matrix_json_round_trip_and_fail_if_present(spark, tmp_path):
     assert sorted(back.collect()) == sorted(m.collect())
     with pytest.raises(Exception):
         write_table(m, out, fmt="json")
+
+
+def test_events_landed_by_date_prune_on_date_filters(spark, tmp_path):
+    import datetime as dt
+
+    from churnlab.sources import land_events_by_date
+    from fixtures import h1
+
+    path = land_events_by_date(h1(spark), str(tmp_path / "by_date"))
+    ev = spark.read.parquet(path).where(F.col("date") >= dt.date(2018, 11, 1)).drop("date")
+    plan = ev._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(date" in plan and "2018-11-01" in plan
+    want = h1(spark).where(F.col("ts") >= 1541030400000)  # 2018-11-01 00:00 UTC
+    assert sorted(M.user_matrix(drop_blank_users(ev)).collect()) == sorted(M.user_matrix(drop_blank_users(want)).collect())
