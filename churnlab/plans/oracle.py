@@ -65,9 +65,12 @@ fl AS (
   FROM ev
 )"""
 
-# User-day table with the reference's day features (active days).
-DAYS = """
-days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date),
+# User-day table with the reference's day features (active days, or
+# listening days only when ``listen_only``).
+def _days_sql(listen_only: bool = False) -> str:
+    having = " HAVING max(listen_flag) = 1" if listen_only else ""
+    return f"""
+days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date{having}),
 dayp AS (SELECT *, lag(date) OVER (PARTITION BY userId ORDER BY date) AS prev_day FROM days),
 dayc AS (
   SELECT userId, date, listen_flag, prev_day,
@@ -79,6 +82,9 @@ dayc AS (
   FROM dayp
 )"""
 
+
+DAYS = _days_sql()
+
 # Running listen count and "a listen within the last 7 rows" per event.
 RUNNING = """
 run AS (
@@ -96,18 +102,20 @@ runf AS (
   FROM run
 )"""
 
-def _matrix_sql(src: str = "fl", weight: str = "") -> str:
+def _matrix_sql(src: str = "fl", weight: str = "", listen_only: bool = False) -> str:
     """User-matrix CTEs over the flagged events ``src``.
 
     ``weight`` multiplies every flag in the session and user sums (the tie
     fan-out parity form uses ``' * w'``); the listen count behind
-    ``most_listens_one_month`` stays unweighted.
+    ``most_listens_one_month`` stays unweighted. ``listen_only`` takes the
+    day features over listening days; users without one keep 0.
     """
     def s(flag: str) -> str:
         return f"SUM({flag}{weight})"
 
+    join = "LEFT JOIN" if listen_only else "JOIN"
     return (
-        DAYS
+        _days_sql(listen_only)
         + f""",
 sess AS (
   SELECT userId, sessionId,
@@ -137,10 +145,11 @@ tot AS (
 ),
 matrix AS (
   SELECT t.userId, t.gender, t.churn, t.most_listens_one_month,
-         d.most_days_since_last_listen, d.most_days_consec_listen,
+         COALESCE(d.most_days_since_last_listen, 0) AS most_days_since_last_listen,
+         COALESCE(d.most_days_consec_listen, 0) AS most_days_consec_listen,
          t.total_listens, t.total_thumbsU, t.total_thumbsD, t.total_err, t.total_add_pl, t.total_add_fr,
          s.avg_sess_listens, s.avg_sess_thU, s.avg_sess_thD, s.avg_sess_err, s.avg_sess_addP, s.avg_sess_addF
-  FROM tot t JOIN day_u d ON d.userId = t.userId JOIN sess_u s ON s.userId = t.userId
+  FROM tot t {join} day_u d ON d.userId = t.userId JOIN sess_u s ON s.userId = t.userId
 )"""
     )
 
@@ -484,24 +493,4 @@ FROM runf"""
 )
 
 # Day features over listening days only; users without one keep 0.
-SQL["jn4_user_matrix_listen_days"] = (
-    _with(
-        ADAPTER,
-        _matrix_sql()
-        .replace(
-            "days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date)",
-            "days AS (SELECT userId, date, max(listen_flag) AS listen_flag FROM fl GROUP BY userId, date"
-            " HAVING max(listen_flag) = 1)",
-        )
-        .replace(
-            "FROM tot t JOIN day_u d ON d.userId = t.userId",
-            "FROM tot t LEFT JOIN day_u d ON d.userId = t.userId",
-        )
-        .replace(
-            "d.most_days_since_last_listen, d.most_days_consec_listen,",
-            "COALESCE(d.most_days_since_last_listen, 0) AS most_days_since_last_listen,"
-            " COALESCE(d.most_days_consec_listen, 0) AS most_days_consec_listen,",
-        ),
-    )
-    + f"\nSELECT {MATRIX_SELECT} FROM matrix"
-)
+SQL["jn4_user_matrix_listen_days"] = _with(ADAPTER, _matrix_sql(listen_only=True)) + f"\nSELECT {MATRIX_SELECT} FROM matrix"
