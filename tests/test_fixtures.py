@@ -161,3 +161,14 @@ def test_listen_day_matrix_keeps_users_without_listens(ev1, materialize):
     assert (m["b"]["most_days_since_last_listen"], m["b"]["most_days_consec_listen"]) == (0, 0)
     # listening days of a: 10-01, 10-02, 10-06, 11-01 -> one adjacent pair, largest gap 26
     assert (m["a"]["most_days_since_last_listen"], m["a"]["most_days_consec_listen"]) == (26, 1)
+
+
+def test_page_roles_are_parameters(ev1):
+    from churnlab.schema import PageRoles
+
+    only_cancel = PageRoles(churn=("Cancellation Confirmation",))
+    m = _by_user(M.user_matrix(ev1, roles=only_cancel))
+    assert m["a"]["churn"] == 0  # a downgraded but never cancelled
+    home_is_listen = PageRoles(listen="Home")
+    h = _by_user(M.user_matrix(ev1, roles=home_is_listen))
+    assert (h["a"]["total_listens"], h["b"]["total_listens"]) == (2, 1)
