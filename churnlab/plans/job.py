@@ -64,7 +64,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--format", default="json", choices=["json", "parquet"])
     p.add_argument("--grid", default="script", choices=sorted(ML.GRID_PRESETS))
     args = p.parse_args(argv)
-    spark = SparkSession.builder.appName("churnlab-job").getOrCreate()
+    spark = SparkSession.builder.appName("churnlab-job").config("spark.ui.enabled", "false").getOrCreate()
     try:
         path = choose_event_path(args.size, args.mini, args.full)
         print(json.dumps(run(spark, path, args.out, fmt=args.format, grid=args.grid)))
