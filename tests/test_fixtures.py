@@ -76,8 +76,9 @@ def test_matrix_intended_columns(ev1, materialize):
     assert (m["a"]["most_days_without_listen"], m["b"]["most_days_without_listen"]) == (26, 0)
 
 
-def test_running_and_filled_listens(ev1):
-    rows = L.filled_running_listens(ev1).where("userId = 'a'").orderBy("ts", "seq").collect()
+@pytest.mark.parametrize("hot_user_rows", [None, 0, L.HOT_USER_ROWS])
+def test_running_and_filled_listens(ev1, hot_user_rows):
+    rows = L.filled_running_listens(ev1, hot_user_rows=hot_user_rows).where("userId = 'a'").orderBy("ts", "seq").collect()
     assert [r.running_listens_mon for r in rows] == [None, 1, None, 2, 3, None, 4, None, 5, 6, None, None]
     assert [r.running_listens_mon_fill for r in rows] == [0, 1, 1, 2, 3, 3, 4, 4, 5, 6, 6, 6]
     b = L.filled_running_listens(ev1).where("userId = 'b'").collect()
@@ -113,15 +114,23 @@ def test_state_edges(spark, ev2):
     assert got[None] is None and got["A"] == "A"
 
 
-def test_fill_before_first_listen_is_zero(ev2):
-    rows = L.filled_running_listens(drop_blank_users(ev2)).where("userId = 'late'").orderBy("ts", "seq").collect()
+@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
+def test_fill_before_first_listen_is_zero(ev2, hot_user_rows):
+    rows = (
+        L.filled_running_listens(drop_blank_users(ev2), hot_user_rows=hot_user_rows)
+        .where("userId = 'late'")
+        .orderBy("ts", "seq")
+        .collect()
+    )
     assert [r.running_listens_mon_fill for r in rows] == [0] * 10 + [1]
 
 
-def test_fill_stops_after_seven_rows_across_days(ev2):
-    rows = L.filled_running_listens(drop_blank_users(ev2)).where("userId = 'tail'").orderBy("ts", "seq").collect()
+@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
+def test_fill_stops_after_seven_rows_across_days(ev2, hot_user_rows):
+    ev = drop_blank_users(ev2)
+    rows = L.filled_running_listens(ev, hot_user_rows=hot_user_rows).where("userId = 'tail'").orderBy("ts", "seq").collect()
     assert [r.running_listens_mon_fill for r in rows] == [1] * 8 + [0, 0]
-    unbounded = L.filled_running_listens(drop_blank_users(ev2), horizon=None).where("userId = 'tail'").collect()
+    unbounded = L.filled_running_listens(ev, horizon=None, hot_user_rows=hot_user_rows).where("userId = 'tail'").collect()
     assert all(r.running_listens_mon_fill == 1 for r in unbounded)
 
 
@@ -146,8 +155,9 @@ def test_time_parts_are_utc_whatever_the_session_zone(spark):
     assert (r.d.isoformat(), r.h) == ("2018-10-01", 23)
 
 
-def test_null_ts_rows_do_not_shift_running_counts(ev2):
-    rows = L.filled_running_listens(drop_blank_users(ev2)).where("userId = 'c'").collect()
+@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
+def test_null_ts_rows_do_not_shift_running_counts(ev2, hot_user_rows):
+    rows = L.filled_running_listens(drop_blank_users(ev2), hot_user_rows=hot_user_rows).where("userId = 'c'").collect()
     by_ts = {r.ts: (r.running_listens_mon, r.running_listens_mon_fill) for r in rows}
     assert by_ts[None] == (None, 0)
     timed = [v for k, v in sorted((k, v) for k, v in by_ts.items() if k is not None)]

@@ -43,10 +43,14 @@ def _fill_by_plain_window(ev, horizon):
 
 @pytest.mark.parametrize("horizon", [0, 1, 3, 7, None])
 @pytest.mark.parametrize("bucket_ms", [60_000, 3_600_000, 86_400_000])
-def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms):
+@pytest.mark.parametrize("hot_user_rows", [None, 0, 30])
+def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms, hot_user_rows):
+    """None: every user two-level; 0: every user hot; 30: a mix of both paths."""
     got = {
         r.seq: (r.running_listens_mon_fill, r.running_listens_mon)
-        for r in L.filled_running_listens(random_log, horizon=horizon, bucket_ms=bucket_ms).collect()
+        for r in L.filled_running_listens(
+            random_log, horizon=horizon, bucket_ms=bucket_ms, hot_user_rows=hot_user_rows
+        ).collect()
     }
     want = {r.seq: (r.fill, r.run) for r in _fill_by_plain_window(random_log, horizon).collect()}
     assert got == want
@@ -84,8 +88,9 @@ def test_streak_bounds(spark):
     assert bad.count() == 0
 
 
-def test_unbounded_fill_is_running_count_after_first_listen(random_log):
-    df = L.filled_running_listens(random_log, horizon=None)
+@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
+def test_unbounded_fill_is_running_count_after_first_listen(random_log, hot_user_rows):
+    df = L.filled_running_listens(random_log, horizon=None, hot_user_rows=hot_user_rows)
     w = Window.partitionBy("userId").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.max(F.col("running_listens_mon").isNotNull().cast("int")).over(w)
     check = df.withColumn("seen", seen).where("seen = 1 AND running_listens_mon_fill = 0")

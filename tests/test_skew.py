@@ -53,12 +53,18 @@ def test_bucket_key_spreads_the_hot_user(hot_log):
     assert largest_share(hot_log, "userId", "sessionId") < 0.15
 
 
-def test_results_exact_under_skew(hot_log):
+@pytest.mark.parametrize("hot_user_rows", [1000, L.HOT_USER_ROWS])
+def test_results_exact_under_skew(hot_log, hot_user_rows):
     from test_properties import _fill_by_plain_window
 
-    got = {r.seq: r.running_listens_mon_fill for r in L.filled_running_listens(hot_log).collect()}
+    got = {r.seq: r.running_listens_mon_fill for r in L.filled_running_listens(hot_log, hot_user_rows=hot_user_rows).collect()}
     want = {r.seq: r.fill for r in _fill_by_plain_window(hot_log, 7).collect()}
     assert got == want
     hot = M.user_matrix(hot_log).where("userId = 'hot'").first()
     n_listens = hot_log.where("userId = 'hot' AND page = 'NextSong'").count()
     assert hot.total_listens == n_listens == hot.most_listens_one_month
+
+
+def test_only_hot_users_take_the_two_level_path(hot_log):
+    plan = L.filled_running_listens(hot_log, hot_user_rows=1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan and "_bucket" in plan
