@@ -28,11 +28,12 @@ A user with a large share of all events is thus spread over as many
 tasks as it has active buckets; a narrower bucket splits hot users
 further at the price of a longer summary table.
 
-The two levels cost about 1.7 times one plain window per user (a second,
-narrow pass over the events feeds the summary). So only *hot* users take
-them: a per-user row count (a partial aggregate) picks the users above
-``hot_user_rows``; every other user - bounded by that threshold - gets one
-plain window, and the two results are unioned.
+The second pass costs: on one machine two levels for every user take
+about 1.7 times one plain window per user. So only *hot* users are
+bucketed: a per-user row count (a partial aggregate) picks the users
+above ``hot_user_rows``; every other user - bounded by that threshold -
+has a single first-level group covering its whole history and needs no
+summary. One plan serves both: the events are scanned in full once.
 """
 
 from __future__ import annotations
@@ -52,7 +53,7 @@ _UNBOUNDED = Window.unboundedPreceding
 _CURRENT = Window.currentRow
 
 
-HOT_USER_ROWS = 1_000_000  # users with more events take the two-level path
+HOT_USER_ROWS = 1_000_000  # users with more events get hour buckets
 
 
 def listen_positions(
@@ -71,64 +72,53 @@ def listen_positions(
     earlier listen, however far back. Events without a time keep their
     row (no running count, fill 0) and do not shift the others.
 
+    The first-level window runs per (userId, key): for users with more
+    than ``hot_user_rows`` events the key is the time bucket, for all
+    others it is one constant, i.e. the user's whole history. Only hot
+    users need the bucket summary (the second pass). ``hot_user_rows=None``
+    buckets every user.
+
     ``day_columns`` - a frame keyed by (userId, date) - is added to every
-    event. ``hot_user_rows=None`` sends every user through the two-level
-    path.
+    event.
     """
     if MS_PER_DAY % bucket_ms:
         raise ValueError("bucket_ms must divide one day")
     ev = events.withColumns({"date": event_date("ts"), "listen_flag": page_flag("page", roles.listen)})
+    bucket = F.floor(F.col("ts") / F.lit(bucket_ms))
     if hot_user_rows is None:
-        return _two_level(ev, horizon, bucket_ms, day_columns)
-    # At most (total rows / hot_user_rows) users: a small table, which
-    # adaptive execution broadcasts once measured.
-    hot = ev.groupBy("userId").agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_user_rows).select("userId")
-    cold = _per_user(ev.join(hot, "userId", "left_anti"), horizon, day_columns)
-    heavy = _two_level(ev.join(hot, "userId", "left_semi"), horizon, bucket_ms, day_columns)
-    return cold.unionByName(heavy)
-
-
-def _per_user(ev: DataFrame, horizon: int | None, day_columns: DataFrame | None) -> DataFrame:
-    """One window per user; only for users below the hot-user threshold."""
-    w = Window.partitionBy("userId").orderBy("ts", "seq")
-    timed_listen = F.when(F.col("ts").isNotNull(), F.col("listen_flag")).otherwise(F.lit(0))
-    ev = ev.withColumn("_l", timed_listen)
-    cum = F.sum("_l").over(w.rowsBetween(_UNBOUNDED, _CURRENT))
-    back = w.rowsBetween(_UNBOUNDED, _CURRENT) if horizon is None else w.rowsBetween(-horizon, _CURRENT)
-    near = F.max("_l").over(back)
-    out = ev.withColumns(
-        {
-            "running_listens_mon": F.when(F.col("_l") == 1, cum).cast("int"),
-            "running_listens_mon_fill": F.coalesce(F.when(near == 1, cum), F.lit(0)).cast("int"),
-        }
-    ).drop("_l")
-    if day_columns is not None:
-        out = out.join(day_columns, ["userId", "date"], "left")
-    return out
-
-
-def _two_level(ev: DataFrame, horizon: int | None, bucket_ms: int, day_columns: DataFrame | None) -> DataFrame:
-    """Windows per (userId, time bucket) plus a window over bucket summaries."""
-    ev = ev.withColumn("_bucket", F.floor(F.col("ts") / F.lit(bucket_ms)))
+        ev = ev.withColumns({"_hot": F.lit(True), "_bucket": bucket})
+    else:
+        # At most (total rows / hot_user_rows) users: a small table, which
+        # adaptive execution broadcasts once measured; no event moves here.
+        hot = (
+            ev.groupBy("userId")
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            .where(F.col("_rows") > hot_user_rows)
+            .select("userId", F.lit(True).alias("_hot"))
+        )
+        ev = ev.join(hot, "userId", "left").withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+        ev = ev.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(-1).cast("long")))
+
+    # Listens without a time never count: they cannot be ordered.
+    ev = ev.withColumn("_l", F.when(F.col("ts").isNotNull(), F.col("listen_flag")).otherwise(F.lit(0)))
+    is_listen = F.col("_l") == 1
     w_in = Window.partitionBy("userId", "_bucket").orderBy("ts", "seq")
     w_in_run = w_in.rowsBetween(_UNBOUNDED, _CURRENT)
-    is_listen = F.col("listen_flag") == 1
     ev = ev.withColumn("_pos", F.row_number().over(w_in)).withColumns(
         {
-            "_listens_in": F.sum("listen_flag").over(w_in_run),
+            "_listens_in": F.sum("_l").over(w_in_run),
             "_last_listen_pos": F.max(F.when(is_listen, F.col("_pos"))).over(w_in_run),
         }
     )
 
-    # Events without a time cannot be ordered: they keep their row (no
-    # running count, fill 0) but do not shift the positions of others.
-    summary = ev.where(F.col("_bucket").isNotNull()).groupBy("userId", "_bucket").agg(
+    # Second pass, hot users only: rows and listens before each bucket and
+    # the global position of the last listen before it.
+    summary = ev.where(F.col("_hot") & F.col("_bucket").isNotNull()).groupBy("userId", "_bucket").agg(
         F.count(F.lit(1)).alias("_n_rows"),
-        F.sum("listen_flag").alias("_n_listens"),
+        F.sum("_l").alias("_n_listens"),
         F.max(F.when(is_listen, F.col("_pos"))).alias("_bucket_last_listen_pos"),
     )
-    w_user = Window.partitionBy("userId").orderBy("_bucket")
-    w_before = w_user.rowsBetween(_UNBOUNDED, -1)
+    w_before = Window.partitionBy("userId").orderBy("_bucket").rowsBetween(_UNBOUNDED, -1)
     summary = summary.withColumns(
         {
             "_rows_before": F.coalesce(F.sum("_n_rows").over(w_before), F.lit(0)),
@@ -138,24 +128,29 @@ def _two_level(ev: DataFrame, horizon: int | None, bucket_ms: int, day_columns:
     summary = summary.withColumn("_prev_listen_gpos", F.max("_last_listen_gpos").over(w_before)).select(
         "userId", "_bucket", "_rows_before", "_listens_before", "_prev_listen_gpos"
     )
-    if day_columns is not None:
-        # A bucket never spans two dates, so day columns ride on the small
-        # summary and reach the events through the one join below.
-        bucket_date = F.date_from_unix_date(F.floor(F.col("_bucket") * F.lit(bucket_ms) / F.lit(MS_PER_DAY)).cast("int"))
-        summary = summary.withColumn("date", bucket_date).join(day_columns, ["userId", "date"], "left").drop("date")
 
     joined = ev.join(summary, ["userId", "_bucket"], "left")
-    cum = (F.col("_listens_before") + F.col("_listens_in")).cast("int")
+    # Users without buckets start at zero; timed rows of hot users always
+    # find their summary row, rows without a time find none.
+    offset_rows = F.when(F.col("_hot"), F.col("_rows_before")).otherwise(F.lit(0))
+    offset_listens = F.when(F.col("_hot"), F.col("_listens_before")).otherwise(F.lit(0))
+    cum = (offset_listens + F.col("_listens_in")).cast("int")
     distance = F.when(F.col("_last_listen_pos").isNotNull(), F.col("_pos") - F.col("_last_listen_pos")).otherwise(
-        F.col("_rows_before") + F.col("_pos") - F.col("_prev_listen_gpos")
+        offset_rows + F.col("_pos") - F.col("_prev_listen_gpos")
     )
     reached: Column = distance.isNotNull() if horizon is None else distance <= F.lit(horizon)
-    return joined.withColumns(
+    out = joined.withColumns(
         {
             "running_listens_mon": F.when(is_listen, cum),
             "running_listens_mon_fill": F.coalesce(F.when(reached, cum), F.lit(0)),
         }
-    ).drop("_bucket", "_pos", "_listens_in", "_last_listen_pos", "_rows_before", "_listens_before", "_prev_listen_gpos")
+    ).drop(
+        "_hot", "_l", "_bucket", "_pos", "_listens_in", "_last_listen_pos",
+        "_rows_before", "_listens_before", "_prev_listen_gpos",
+    )
+    if day_columns is not None:
+        out = out.join(day_columns, ["userId", "date"], "left")
+    return out
 
 
 def running_listens(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:

@@ -54,8 +54,8 @@ def _windows_by_user_alone_over_events(plan: str) -> list[str]:
         for below in lines[i + 1 :]:
             if len(below) - len(below.lstrip(" :+-")) <= depth:
                 break
-            if "Aggregate" in below or "LeftAnti" in below:
-                break  # over an aggregate, or restricted to users below the hot threshold
+            if "Aggregate" in below:
+                break
             if "Relation" in below or "LogicalRDD" in below:
                 bad.append(line.strip()[:120])
                 break

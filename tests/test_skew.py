@@ -65,6 +65,10 @@ def test_results_exact_under_skew(hot_log, hot_user_rows):
     assert hot.total_listens == n_listens == hot.most_listens_one_month
 
 
-def test_only_hot_users_take_the_two_level_path(hot_log):
-    plan = L.filled_running_listens(hot_log, hot_user_rows=1000)._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftAnti" in plan and "LeftSemi" in plan and "_bucket" in plan
+def test_only_hot_users_are_bucketed_in_one_plan(hot_log):
+    from pyspark.sql import functions as F
+
+    df = L.filled_running_listens(hot_log, hot_user_rows=1000)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "_hot" in plan and "LeftAnti" not in plan and "Union" not in plan
+    assert df.where(F.col("userId") == "hot").count() == 6000
