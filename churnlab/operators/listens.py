@@ -41,7 +41,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.functions import event_date, event_hour, page_flag
+from churnlab.functions import event_date, event_hour, page_flag, unix_day
 from churnlab.functions.columns import MS_PER_DAY
 from churnlab.operators.days import day_features, user_days
 from churnlab.operators.events import with_flags
@@ -61,7 +61,7 @@ def listen_positions(
     roles: PageRoles = DEFAULT_ROLES,
     horizon: int | None = REFERENCE_FILL_HORIZON,
     bucket_ms: int = 3_600_000,
-    day_columns: DataFrame | None = None,
+    with_day_features: bool = False,
     hot_user_rows: int | None = HOT_USER_ROWS,
 ) -> DataFrame:
     """WIN3 + WIN4 for every event.
@@ -78,8 +78,12 @@ def listen_positions(
     users need the bucket summary (the second pass). ``hot_user_rows=None``
     buckets every user.
 
-    ``day_columns`` - a frame keyed by (userId, date) - is added to every
-    event.
+    ``with_day_features`` adds ``days_consec_listen`` and
+    ``days_since_last_listen`` of the event's day (WIN1, WIN2) without an
+    event-grain join: for whole-history groups they come from range
+    windows over the event day inside the same partition; hot users get
+    them through their small bucket summary (a bucket never spans two
+    dates).
     """
     if MS_PER_DAY % bucket_ms:
         raise ValueError("bucket_ms must divide one day")
@@ -128,6 +132,13 @@ def listen_positions(
     summary = summary.withColumn("_prev_listen_gpos", F.max("_last_listen_gpos").over(w_before)).select(
         "userId", "_bucket", "_rows_before", "_listens_before", "_prev_listen_gpos"
     )
+    if with_day_features:
+        days = day_features(user_days(events, roles)).select(
+            "userId", "date", F.col("days_consec_listen").alias("_h_consec"), F.col("days_since_last_listen").alias("_h_since")
+        )
+        bucket_date = F.date_from_unix_date(F.floor(F.col("_bucket") * F.lit(bucket_ms) / F.lit(MS_PER_DAY)).cast("int"))
+        summary = summary.withColumn("date", bucket_date).join(days, ["userId", "date"], "left").drop("date")
+        ev = _whole_history_day_features(ev)
 
     joined = ev.join(summary, ["userId", "_bucket"], "left")
     # Users without buckets start at zero; timed rows of hot users always
@@ -144,13 +155,45 @@ def listen_positions(
             "running_listens_mon": F.when(is_listen, cum),
             "running_listens_mon_fill": F.coalesce(F.when(reached, cum), F.lit(0)),
         }
-    ).drop(
+    )
+    if with_day_features:
+        out = out.withColumns(
+            {
+                "days_consec_listen": F.when(F.col("_hot"), F.col("_h_consec")).otherwise(F.col("_c_consec")),
+                "days_since_last_listen": F.when(F.col("_hot"), F.col("_h_since")).otherwise(F.col("_c_since")),
+            }
+        ).drop("_h_consec", "_h_since", "_c_consec", "_c_since")
+    return out.drop(
         "_hot", "_l", "_bucket", "_pos", "_listens_in", "_last_listen_pos",
         "_rows_before", "_listens_before", "_prev_listen_gpos",
     )
-    if day_columns is not None:
-        out = out.join(day_columns, ["userId", "date"], "left")
-    return out
+
+
+def _whole_history_day_features(ev: DataFrame) -> DataFrame:
+    """WIN1/WIN2 values of each event's day, from windows in its partition.
+
+    Right only where the partition holds the user's whole history (users
+    below the hot threshold); the caller uses the summary values for hot
+    users. All windows share the running counts' (ts, seq) order, so no
+    extra sort: in time order the first event of a day sees the previous
+    active day as its ``lag``, and later events of the day carry it on.
+    Events without a date get nulls, as a join on date would give.
+    """
+    by_time = Window.partitionBy("userId", "_bucket").orderBy("ts", "seq")
+    running = by_time.rowsBetween(_UNBOUNDED, _CURRENT)
+    dated = F.col("_uday").isNotNull()
+    ev = ev.withColumn("_uday", unix_day("ts")).withColumn("_lag_day", F.lag("_uday").over(by_time))
+    ev = ev.withColumn("_first", dated & F.coalesce(F.col("_lag_day") != F.col("_uday"), F.lit(True)))
+    ev = ev.withColumn(
+        "_prev_day", F.last(F.when(F.col("_first"), F.col("_lag_day")), ignorenulls=True).over(running)
+    )
+    adjacent = F.when(F.col("_first") & (F.col("_uday") - F.col("_prev_day") == 1), F.lit(1)).otherwise(F.lit(0))
+    ev = ev.withColumn("_adj", adjacent)
+    consec = F.sum("_adj").over(running).cast("long")
+    since = F.coalesce((F.col("_uday") - F.col("_prev_day")).cast("int"), F.lit(0))
+    return ev.withColumns(
+        {"_c_consec": F.when(dated, consec), "_c_since": F.when(dated, since)}
+    ).drop("_uday", "_lag_day", "_prev_day", "_first", "_adj")
 
 
 def running_listens(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
@@ -189,17 +232,21 @@ def most_listens_in_month(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -
     )
 
 
-def enriched_events(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, horizon: int | None = REFERENCE_FILL_HORIZON) -> DataFrame:
+def enriched_events(
+    events: DataFrame,
+    roles: PageRoles = DEFAULT_ROLES,
+    horizon: int | None = REFERENCE_FILL_HORIZON,
+    hot_user_rows: int | None = HOT_USER_ROWS,
+) -> DataFrame:
     """JN1: each event with its day features, running counts, flags, churn flag.
 
-    The day features come from the user-day table - the reference's two
-    day-level joins (JN1, JN2) share one day table - and ride on the
-    per-bucket summary of ``listen_positions``, so the events take part
-    in a single join. The running counts need no join on ts at all (JN3
-    removed), so there is no fan-out on tied timestamps.
+    The day features (the reference's two day-level joins JN1, JN2) come
+    without an event-grain join: from windows over the event day for
+    users below the hot threshold, from the bucket summary for hot users.
+    The running counts need no join on ts at all (JN3 removed), so there
+    is no fan-out on tied timestamps.
     """
-    days = day_features(user_days(events, roles)).select("userId", "date", "days_consec_listen", "days_since_last_listen")
-    ev = listen_positions(events, roles, horizon, day_columns=days)
+    ev = listen_positions(events, roles, horizon, with_day_features=True, hot_user_rows=hot_user_rows)
     ev = with_flags(ev.drop("listen_flag"), roles)
     return ev.select(
         "userId",

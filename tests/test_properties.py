@@ -108,3 +108,19 @@ def test_fanout_weight_matches_tie_counts(random_log):
 
 def test_blank_filter_keeps_all_real_users(random_log):
     assert drop_blank_users(random_log).count() == random_log.count()
+
+
+@pytest.mark.parametrize("hot_user_rows", [None, 0, 30, L.HOT_USER_ROWS])
+def test_enriched_day_features_equal_the_day_table_join(random_log, hot_user_rows):
+    days = D.day_features(D.user_days(random_log)).select("userId", "date", "days_consec_listen", "days_since_last_listen")
+    want = {
+        r.seq: (r.days_consec_listen, r.days_since_last_listen)
+        for r in random_log.withColumn("date", F.date_from_unix_date(F.floor(F.col("ts") / 86_400_000).cast("int")))
+        .join(days, ["userId", "date"], "left")
+        .collect()
+    }
+    got = {
+        r.seq: (r.days_consec_listen, r.days_since_last_listen)
+        for r in L.enriched_events(random_log, hot_user_rows=hot_user_rows).collect()
+    }
+    assert got == want
