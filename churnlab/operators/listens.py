@@ -92,15 +92,19 @@ def listen_positions(
     if hot_user_rows is None:
         ev = ev.withColumns({"_hot": F.lit(True), "_bucket": bucket})
     else:
-        # At most (total rows / hot_user_rows) users: a small table, which
-        # adaptive execution broadcasts once measured; no event moves here.
+        # Size bound by construction: each hot user has more than
+        # hot_user_rows events, so there are at most total/hot_user_rows of
+        # them (300,000 ids for 3e11 events at the default). It is broadcast
+        # explicitly: a sort-merge join here would shuffle the events by
+        # userId and put each hot user in one task - the very thing the
+        # split exists to avoid.
         hot = (
             ev.groupBy("userId")
             .agg(F.count(F.lit(1)).alias("_rows"))
             .where(F.col("_rows") > hot_user_rows)
             .select("userId", F.lit(True).alias("_hot"))
         )
-        ev = ev.join(hot, "userId", "left").withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
+        ev = ev.join(F.broadcast(hot), "userId", "left").withColumn("_hot", F.coalesce(F.col("_hot"), F.lit(False)))
         ev = ev.withColumn("_bucket", F.when(F.col("_hot"), bucket).otherwise(F.lit(-1).cast("long")))
 
     # Listens without a time never count: they cannot be ordered.
