@@ -101,11 +101,11 @@ s AS (
 ),
 n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY doc_id),
 i AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
 ),
 l AS (
   SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-  WHERE 100 * both >= 75 * (x.n_shingles + y.n_shingles - both)
+  WHERE 100 * shared >= 75 * (x.n_shingles + y.n_shingles - shared)
 ),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
