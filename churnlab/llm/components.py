@@ -9,12 +9,28 @@ skew join. Each round is stored with a reliable checkpoint.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed
 
 
+def forest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of links (p, q) and the smallest vertex of each one's component."""
+    nodes, at = np.unique(np.concatenate([p, q]), return_inverse=True)
+    a, b = at[: len(p)], at[len(p) :]
+    label = np.arange(len(nodes))
+    while True:
+        low, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id reachable, for every id with a link.
 

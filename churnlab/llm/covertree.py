@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed, ship
-from churnlab.llm.components import components
+from churnlab.llm.components import components, forest
 from churnlab.llm.vectors import matrix, ordered_dot, vectors
 
 #: Classes in a task's side, and pivots sampled at most (the sample bound).
@@ -84,21 +84,6 @@ class Node:
         self.children = [Node(u, points[owner == c]) for c in np.unique(owner)]
 
 
-def forest(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vertices of links (p, q) and the smallest vertex of each one's component."""
-    nodes, at = np.unique(np.concatenate([p, q]), return_inverse=True)
-    a, b = at[: len(p)], at[len(p) :]
-    label = np.arange(len(nodes))
-    while True:
-        low, new = np.minimum(label[a], label[b]), label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            return nodes, nodes[label]
-        label = new
-
-
 def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float):
     """Index pairs (p, q) of linked points, by pairs of leaves.
 

@@ -11,11 +11,14 @@ the concentration of independent samples.
 Texts with equal shingle sets are one class. Sketches are cut into bands;
 classes that share a band are candidates. In every bucket each class is
 first held against one hub, the member that shares buckets with most
-others, so a bucket of thousands costs thousands of comparisons. Links are
-confirmed on full sets, and only classes of a bucket that are still in
-different components are compared further, until none is left. A pair is
-passed over before the exact check only if its sketches agree in fewer than
-``MAYBE`` coordinates, over six standard deviations below the threshold.
+others, so a bucket of thousands costs thousands of comparisons; a hub is
+passed over only if the sketches agree in fewer than ``MAYBE`` coordinates,
+over six standard deviations below the threshold. Links are confirmed on
+full sets. Then the members of all buckets of one hub are a cell, and where
+a cell still has several components, its members outside the largest one
+are held against all its members, on full sets, in blocks. So every pair
+that shares a band is either linked, connected otherwise, or refuted
+exactly, and no pairs are ever stored.
 
 Defined cases: null, empty or wordless texts have an empty set and link
 with nothing; fewer than five words are one shingle; rows with one doc_id
@@ -26,14 +29,16 @@ empty table gives no rows. Extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import checkpointed, ship
-from churnlab.llm.components import components
+from churnlab.llm.common import checkpointed, partitions, ship
+from churnlab.llm.components import components, forest
 from churnlab.llm.shingles import mix64, shingle_sets
 
 WORDS = 5
@@ -44,7 +49,11 @@ MAYBE = 64
 #: Bytes of text handled at once inside a task.
 CHUNK = 4 << 20
 #: Ids broadcast at most; beyond, the ids are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
+BROADCAST_IDS = 500_000
+#: Members and shingles of a block of a cell.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
+#: Pairs of sets up to which a hash is counted pair by pair, and at once.
+RARE, PAIRS = 1024, 4_000_000
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
@@ -127,13 +136,18 @@ def _agree(pairs: DataFrame, marks: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(same >= MAYBE).select("a", "b")
 
 
+def _sets(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, elems): the shingle hashes of the named documents."""
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
+    return checkpointed(texts.mapInArrow(_set_batches, "id long, elems array<long>"))
+
+
 def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     """Pairs with 100 * intersection >= similarity * union, on full sets."""
     pairs = checkpointed(pairs)
     ids = checkpointed(pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct())
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS // 8 else ids
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(wanted, "id", "left_semi")
-    sets = checkpointed(texts.mapInArrow(_set_batches, "id long, elems array<long>"))
+    sets = _sets(ids, docs)
     left = sets.select(F.col("id").alias("a"), F.col("elems").alias("ea"))
     right = sets.select(F.col("id").alias("b"), F.col("elems").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
@@ -141,6 +155,96 @@ def _confirm(pairs: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(100 * both >= similarity * (sizes - both)).select("a", "b")
 
 
+def intersections(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each set of b.
+
+    A hash that few sets hold is counted pair by pair, one that many hold
+    by products of 0/1 columns, a thousand columns at a time.
+    """
+    sides = []
+    for sets in (a, b):
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        sides.append((np.concatenate(sets) if len(sets) else np.zeros(0, np.int64), owner))
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    columns = []
+    for values, owner in sides:
+        at = np.searchsorted(common, values)
+        at[at == len(common)] = 0
+        held = common[at] == values if len(common) else np.zeros(len(values), bool)
+        at, owner = at[held], owner[held]
+        order = np.argsort(at, kind="stable")
+        columns.append((owner[order], np.bincount(at, minlength=len(common))))
+    (own_a, n_a), (own_b, n_b) = columns
+    first_a, first_b = np.cumsum(n_a) - n_a, np.cumsum(n_b) - n_b
+    total = np.zeros(len(a) * len(b), np.float32)
+    rare = np.flatnonzero(n_a * n_b <= RARE)
+    step = np.cumsum(n_a[rare] * n_b[rare])
+    for part in np.split(rare, np.searchsorted(step, np.arange(PAIRS, step[-1] if len(step) else 0, PAIRS))):
+        pairs = n_a[part] * n_b[part]
+        r = np.arange(pairs.sum()) - np.repeat(np.cumsum(pairs) - pairs, pairs)
+        wide = np.repeat(n_b[part], pairs)
+        x = own_a[np.repeat(first_a[part], pairs) + r // wide]
+        y = own_b[np.repeat(first_b[part], pairs) + r % wide]
+        total += np.bincount(x * len(b) + y, minlength=len(total)).astype(np.float32)
+    total = total.reshape(len(a), len(b))
+    frequent = np.flatnonzero(n_a * n_b > RARE)
+    for i in range(0, len(frequent), 1024):
+        part = frequent[i : i + 1024]
+        ones = []
+        for own, n, first, rows in ((own_a, n_a, first_a, len(a)), (own_b, n_b, first_b, len(b))):
+            r = np.arange(n[part].sum()) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+            table = np.zeros((rows, len(part)), np.float32)
+            table[own[np.repeat(first[part], n[part]) + r], np.repeat(np.arange(len(part)), n[part])] = 1
+            ones.append(table)
+        total += ones[0] @ ones[1].T
+    return total
+
+
+def _link_cells(_, small: pd.DataFrame, large: pd.DataFrame, similarity: int) -> pd.DataFrame:
+    """Spanning links between components, cell by cell."""
+    places = large.groupby("hub").indices
+    out = [pd.DataFrame({"a": [], "b": []}, dtype="int64")]
+    for hub, few in small.groupby("hub"):
+        if hub not in places:
+            continue
+        all_ = large.iloc[places[hub]]
+        both = intersections(list(few["elems"]), list(all_["elems"]))
+        sizes = few["elems"].map(len).to_numpy()[:, None] + all_["elems"].map(len).to_numpy()[None, :]
+        apart = few["component"].to_numpy()[:, None] != all_["component"].to_numpy()[None, :]
+        p, q = np.nonzero((100 * both >= similarity * (sizes - both)) & apart)
+        if len(p):
+            node, low = forest(few["id"].to_numpy()[p], all_["id"].to_numpy()[q])
+            out.append(pd.DataFrame({"a": node, "b": low}))
+    return pd.concat(out)
+
+
+def _cell_links(inside: DataFrame, docs: DataFrame, similarity: int) -> DataFrame:
+    """Links between the components that meet in a cell.
+
+    ``inside``: hub, id, component, n_shingles. In every cell the members
+    outside its largest component are held against all members, on full
+    sets, in blocks of bounded rows and shingles; cells are dealt to tasks
+    of about the same number of rows. A task returns a spanning forest of
+    the links it finds, never the pairs.
+    """
+    parts = inside.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = parts.groupBy("hub").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    mixed = inside.join(top.select("hub", F.col("top.component").alias("top")), "hub").withColumn("few", F.col("component") != F.col("top"))
+    blocks = F.ceil(F.greatest(F.count("n") / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    mixed = mixed.withColumn("n", F.col("n_shingles"))
+    sides = mixed.groupBy("hub").agg(blocks.alias("j"), F.ceil(F.greatest(F.count(F.when(F.col("few"), 1)) / BLOCK_ROWS, F.sum(F.when(F.col("few"), F.col("n"))) / BLOCK_SHINGLES)).cast("int").alias("i"))
+    mixed = checkpointed(mixed.join(sides, "hub").select("hub", "id", "component", "few", "i", "j"))
+    tasks = max(1, -(-mixed.count() // BLOCK_ROWS), partitions(docs.sparkSession))
+    sets = _sets(checkpointed(mixed.select("id").distinct()), docs)
+    filled = mixed.join(sets, "id").withColumn("task", F.pmod(F.xxhash64("hub"), F.lit(tasks)).cast("int"))
+    own = F.xxhash64("id", F.lit(1))
+    few = filled.filter("few").withColumn("x", F.pmod(own, F.col("i")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("j") - 1)))
+    all_ = filled.withColumn("y", F.pmod(own, F.col("j")).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("i") - 1)))
+    columns = ["task", "x", "y", "hub", "id", "component", "elems"]
+    few, all_ = (side.select(*columns).toDF(*columns).groupBy("task", "x", "y") for side in (few, all_))
+    return few.cogroup(all_).applyInPandas(partial(_link_cells, similarity=similarity), "a long, b long")
+
+
 def near_groups(docs: DataFrame, similarity: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     ship(docs.sparkSession)
@@ -149,7 +253,7 @@ def near_groups(docs: DataFrame, similarity: int = 75) -> DataFrame:
     class_of = ["s1", "s2", "n_shingles"]
     full = marked.filter("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy(*class_of).agg(F.min("doc_id").alias("rep"))
-    reps = checkpointed(full.join(classes, class_of).filter("doc_id = rep").select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"]))
+    reps = checkpointed(full.join(classes, class_of).filter("doc_id = rep").select(F.col("rep").alias("id"), "n_shingles", "sketch").dropDuplicates(["id"]))
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BINS // ROWS - 1)), lambda i: F.xxhash64(F.slice("sketch", i * ROWS + 1, F.lit(ROWS)), i))
     members = reps.select("id", F.explode(bands).alias("bucket"))
@@ -163,21 +267,14 @@ def near_groups(docs: DataFrame, similarity: int = 75) -> DataFrame:
     stars = members.join(hubs, "bucket").select((-F.col("hub.back")).alias("a"), F.col("id").alias("b")).filter("a <> b").distinct()
     links = checkpointed(_confirm(_agree(stars, reps), rows, similarity))
 
-    # the rest: members of one bucket that are in different components so far
+    # the rest: a cell has the members of all buckets of one hub
+    found = components(links)
+    homes = hubs.select("bucket", (-F.col("hub.back")).alias("hub"))
+    inside = checkpointed(members.join(homes, "bucket").select("hub", "id").distinct())
+    sizes = reps.select("id", "n_shingles")
+    inside = inside.join(found, "id", "left").join(sizes, "id").select("hub", "id", F.coalesce("component", "id").alias("component"), "n_shingles")
+    links = links.unionAll(checkpointed(_cell_links(checkpointed(inside), rows, similarity)))
     found = components(links)
-    placed = checkpointed(members.join(found, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"), "mass"))
-    parts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    split = placed.join(largest.select("bucket", F.col("top.component").alias("top")), "bucket")
-    small = split.filter("component <> top").select("bucket", F.col("id").alias("a"), F.col("component").alias("ca"), "top")
-    others = split.select("bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = small.join(others, "bucket").filter("ca <> cb and (cb = top or a < b)")
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tried = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = checkpointed(_agree(rest.join(tried, ["a", "b"], "left_anti"), reps))
-    if rest.limit(1).count():
-        links = links.unionAll(_confirm(rest, rows, similarity))
-        found = components(links)
 
     grouped = classes.join(found, classes["rep"] == found["id"], "left").select(*class_of, F.coalesce("component", "rep").alias("component_id"))
     # one row per document: its class carries the component
