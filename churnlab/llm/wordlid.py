@@ -117,16 +117,19 @@ class Predictor:
         self.model, self.scores = model, _Scores(model)
 
     def __call__(self, column: pa.Array) -> Iterator[tuple[int, list[str], list[float]]]:
-        """(first row, languages, posteriors) of chunks of a column of texts."""
+        """(first row, languages, posteriors) of chunks of a column of texts.
+
+        The language is None where the text has words but nothing is learned.
+        """
         for first, texts in text_chunks(column):
             if len(self.scores) > CACHE_WORDS:
                 self.scores = _Scores(self.model)
             at = [list(map(self.scores.__getitem__, words_of(text))) for text in texts]
-            table = np.array(self.scores.rows, np.float64).reshape(len(self.scores.rows), -1)
+            table = np.array(self.scores.rows, np.float64)
             langs, values = [], []
             for words in at:
                 if not words or not self.model.languages:
-                    langs.append(UNKNOWN)
+                    langs.append(None if words else UNKNOWN)
                     values.append(0.0)
                     continue
                 total = table[words].sum(axis=0)
@@ -141,7 +144,7 @@ def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Rec
     for batch in batches:
         for first, langs, values in predict(batch.column(1)):
             doc_ids = batch.column(0).slice(first, len(langs))
-            yield pa.record_batch({"doc_id": doc_ids, "lang_pred": pa.array(langs), "score": pa.array(values, pa.float64())})
+            yield pa.record_batch({"doc_id": doc_ids, "lang_pred": pa.array([x or UNKNOWN for x in langs], pa.string()), "score": pa.array(values, pa.float64())})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -181,7 +184,10 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """The rows whose text has a language; a missing ``lang`` is filled in."""
+    """The rows whose text has a letter; a missing ``lang`` is filled in.
+
+    Where nothing is learned, ``lang`` stays as it is.
+    """
     model = fit(docs)
 
     @F.pandas_udf("string")
@@ -191,5 +197,5 @@ def identified(docs: DataFrame) -> DataFrame:
             column = pa.array(texts, pa.string(), from_pandas=True)
             yield pd.Series([x for _, langs, _ in predict(column) for x in langs], dtype=object)
 
-    kept = docs.withColumn("_lang", predicted("text")).filter(F.col("_lang") != UNKNOWN)
+    kept = docs.withColumn("_lang", predicted("text")).filter(F.col("_lang").isNull() | (F.col("_lang") != UNKNOWN))
     return kept.select(*(F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
