@@ -1,41 +1,33 @@
 """The user matrix and user-grain features (AGG6, AGG9, JN4, EXT1, EXT2).
 
-Shape of the plan (three branches, each starting with a partial aggregate
-so the event volume is reduced on the map side before any shuffle):
-
-    events -> group (userId, sessionId): 6 sums, max churn
-           -> group userId: totals, means, label             -- session branch
-    events -> group (userId, date) -> window per user (day grain)
-           -> group userId: day maxima                       -- day branch
-    events -> distinct (userId, gender) -> group userId: max -- gender branch
-    session branch JOIN day branch JOIN gender branch ON userId
-
-All branches end hash-partitioned by userId, so the joins add no
-exchange; adaptive execution may still turn them into broadcast joins
-when a measured side is small. No branch keys an event-grain window by
-userId alone, so a user holding a large share of the events is spread
-over sessions and days.
-
-Gender has its own branch because ``max`` of a string cannot live in a
-hash-aggregate buffer: inside the session aggregate it would force a
-sort-based aggregate over every event. As grouping keys strings are
-fine, so the distinct (userId, gender) pairs are hash-aggregated and the
-string ``max`` runs only over those few rows per user.
-
-``most_listens_one_month`` in the reference is the maximum of a row
-number over the user's listens (Q5), i.e. the user's listen count. It is
-taken unweighted even under ``fanout`` because the reference numbered
-the rows before its tie join.
+Shape of the plan - the events are read once:
+
+    events -> group (userId, sessionId, date, gender): 6 sums, max churn
+           -> windows per user over these rows: gaps between active days
+           -> group userId: totals, means, label, gender, day maxima
+
+The first aggregate is a hash aggregate with a map-side part, so the event
+volume is reduced before any shuffle and no event-grain window is keyed by
+userId: a user with a large share of the events is spread over its
+sessions and days. Gender is a grouping key there, because ``max`` of a
+string cannot live in a hash-aggregate buffer and would sort all events;
+the maximum is taken over the few rows per user.
+
+The streaming upkeep keeps the three parts of the matrix (sessions, days,
+genders) in tables of their own and assembles them with
+``assemble_matrix``.
+
+``most_listens_one_month`` is the maximum of a row number over the user's
+listens (Q5), i.e. the user's listen count. It is taken unweighted even
+under ``fanout``, where only the flag sums are weighted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.functions import churn_flag, event_date, page_flag, period_start
-from churnlab.operators.days import day_user_maxima, listen_gaps, longest_streak, user_days
-from churnlab.operators.listens import most_listens_in_month
+from churnlab.functions import churn_flag, days_between, event_date, page_flag, period_start
 from churnlab.operators.sessions import flagged
 from churnlab.schema import (
     DEFAULT_ROLES,
@@ -47,6 +39,7 @@ from churnlab.schema import (
     PageRoles,
 )
 
+NO_SESSION = -(1 << 63)  # events without a session form one session
 INTENDED_COLUMNS = ("most_listens_in_month", "longest_streak_days", "most_days_without_listen")
 
 
@@ -96,8 +89,13 @@ def session_rollup(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout:
 
 
 def gender_pairs(events: DataFrame) -> DataFrame:
-    """Distinct (userId, gender) pairs: strings as hash-aggregate keys."""
-    return events.select("userId", "gender").distinct()
+    """Distinct (userId, gender) pairs: strings as hash-aggregate keys.
+
+    The filter on the count keeps the optimizer from removing the pairs
+    below a later maximum, which would then sort all events.
+    """
+    pairs = events.groupBy("userId", "gender").agg(F.count(F.lit(1)).alias("_n"))
+    return pairs.where(F.col("_n") > 0).select("userId", "gender")
 
 
 def max_gender(pairs: DataFrame) -> DataFrame:
@@ -142,95 +140,71 @@ def user_attributes(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> Data
 
 def user_totals(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
     """AGG6: per-user maxima of the window features and totals of the flags."""
-    return user_matrix(events, roles, fanout).select("userId", *USER_MATRIX_COLUMNS[3:12])
-
+    return user_matrix(events, roles, fanout, gender=False).select("userId", *USER_MATRIX_COLUMNS[3:12])
 
-def matrix_base(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
-    """One partial aggregate per (userId, sessionId, date, gender).
 
-    Session sums, the user-day table and the gender pairs all derive from
-    it exactly (sums add up, maxima and distinct pairs merge), so a single
-    scan of the events feeds every branch of the matrix.
-    """
-    ev = flagged(events.select("userId", "sessionId", "ts", "page", "gender"), roles, fanout)
-    return ev.withColumn("date", event_date("ts")).groupBy("userId", "sessionId", "date", "gender").agg(
+def matrix_base(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False, gender: bool = True) -> DataFrame:
+    """One partial aggregate per (userId, sessionId, date, gender)."""
+    extra = ["gender"] if gender else []
+    ev = flagged(events.select("userId", "sessionId", "ts", "page", *extra), roles, fanout, extra)
+    return ev.withColumn("date", event_date("ts")).groupBy("userId", "sessionId", "date", *extra).agg(
         *[F.sum(F.col(f"w_{c}")).cast("long").alias(m) for c, m in zip(FLAG_COLUMNS, SESSION_MEASURES)],
         F.sum("listen_flag").cast("long").alias("_listens"),
         F.max("churn").alias("_churn"),
     )
 
 
-def base_days(base: DataFrame, only_listen_days: bool = False) -> DataFrame:
-    """The user-day table (AGG5) from the matrix base."""
-    days = base.groupBy("userId", "date").agg(F.max((F.col("_listens") > 0).cast("int")).alias("listen_flag"))
-    return days.where(F.col("listen_flag") == 1) if only_listen_days else days
-
-
-def matrix_from_base(base: DataFrame, only_listen_days: bool = False, intended: bool = False) -> DataFrame:
-    """The user matrix from a (usually materialized) matrix base."""
-    sessions = rollup_sessions(merge_session_parts(base.drop("date", "gender")))
-    days = base_days(base, only_listen_days)
-    genders = max_gender(base.select("userId", "gender").distinct())
-    matrix = assemble_matrix(sessions, day_user_maxima(days), genders, keep_users_without_days=only_listen_days)
-    if not intended:
-        return matrix
-    all_days = base_days(base)
-    monthly = (
-        base.groupBy("userId", F.trunc("date", "month").alias("month"))
-        .agg(F.sum("_listens").alias("n"))
-        .groupBy("userId")
-        .agg(F.max("n").cast("long").alias("most_listens_in_month"))
-    )
-    return (
-        matrix.join(monthly, "userId", "left")
-        .join(longest_streak(all_days), "userId", "left")
-        .join(listen_gaps(all_days), "userId", "left")
-        .select(*USER_MATRIX_COLUMNS, *INTENDED_COLUMNS)
-    )
-
-
 def user_matrix(
     events: DataFrame,
     roles: PageRoles = DEFAULT_ROLES,
     fanout: bool = False,
     only_listen_days: bool = False,
     intended: bool = False,
-    materialize: bool = False,
+    gender: bool = True,
 ) -> DataFrame:
     """JN4: the 18-column user matrix, one row per user.
 
-    ``intended=True`` appends ``most_listens_in_month``,
-    ``longest_streak_days`` and ``most_days_without_listen``, the values
-    the reference's feature names describe.
-
-    ``materialize=True`` scans the events once: the matrix base is
-    written to the session's checkpoint folder (an eager job) and every
-    branch reads it. The default stays lazy and lets each branch start
-    from its own partial aggregate of the events.
+    ``only_listen_days`` takes the day features over listening days (0 for
+    users without one). ``intended=True`` appends
+    ``most_listens_in_month``, ``longest_streak_days`` and
+    ``most_days_without_listen``, the values the feature names describe.
+    ``gender=False`` leaves that column out, for callers that do not need
+    the attribute source.
     """
-    if materialize:
-        from churnlab.session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(events.sparkSession)
-        base = matrix_base(events, roles, fanout).checkpoint(eager=True)
-        return matrix_from_base(base, only_listen_days, intended)
-    days = user_days(events, roles, only_listen_days)
-    matrix = assemble_matrix(
-        session_rollup(events, roles, fanout),
-        day_user_maxima(days),
-        user_gender(events),
-        keep_users_without_days=only_listen_days,
-    )
-    cols = list(USER_MATRIX_COLUMNS)
+    base = matrix_base(events, roles, fanout, gender)
+    by_day = Window.partitionBy("userId").orderBy("date")
+    before = by_day.rowsBetween(Window.unboundedPreceding, -1)
+    listened = F.when(F.col("_listens") > 0, F.col("date"))
+    # rows of one day follow each other: only the first of a day has a gap
+    day = listened if only_listen_days else F.col("date")
+    last = F.last(day, ignorenulls=True).over(before) if only_listen_days else F.lag("date").over(by_day)
+    rows = base.withColumn("_gap", F.when(day.isNotNull(), days_between("date", last)))
+    sessions = F.count_distinct(F.coalesce("sessionId", F.lit(NO_SESSION)))
+    columns = {
+        "churn": F.max("_churn"),
+        "most_listens_one_month": F.sum("_listens").cast("int"),
+        "most_days_since_last_listen": F.coalesce(F.max("_gap"), F.lit(0)),
+        "most_days_consec_listen": F.coalesce(F.sum((F.col("_gap") == 1).cast("int")), F.lit(0)).cast("long"),
+        **{t: F.sum(m).cast("long") for m, t in zip(SESSION_MEASURES, TOTAL_MEASURES)},
+        **{a: F.sum(m) / sessions for m, a in zip(SESSION_MEASURES, MEAN_MEASURES)},
+    }
+    if gender:
+        columns["gender"] = F.max("gender")
     if intended:
-        all_days = days if not only_listen_days else user_days(events, roles)
-        matrix = (
-            matrix.join(most_listens_in_month(events, roles), "userId", "left")
-            .join(longest_streak(all_days), "userId", "left")
-            .join(listen_gaps(all_days), "userId", "left")
-        )
-        cols += list(INTENDED_COLUMNS)
-    return matrix.select(*cols)
+        by_month = Window.partitionBy("userId", F.trunc("date", "month"))
+        rows = rows.withColumn("_month", F.sum("_listens").over(by_month))
+        silent = F.when(listened.isNotNull(), days_between("date", F.last(listened, ignorenulls=True).over(before)))
+        rows = rows.withColumn("_silent", silent)
+        # days of one run share the date less its rank
+        run = F.date_sub("date", F.dense_rank().over(by_day))
+        first = F.coalesce(F.lag("date").over(by_day) != F.col("date"), F.lit(True)).cast("int")
+        rows = rows.withColumn("_run", run).withColumn("_first", first)
+        rows = rows.withColumn("_streak", F.sum("_first").over(Window.partitionBy("userId", "_run")))
+        columns["most_listens_in_month"] = F.max("_month")
+        columns["longest_streak_days"] = F.max("_streak")
+        columns["most_days_without_listen"] = F.coalesce(F.max("_silent"), F.lit(0))
+    out = rows.groupBy("userId").agg(*[c.alias(n) for n, c in columns.items()])
+    return out.select(*[c for c in (*USER_MATRIX_COLUMNS, *INTENDED_COLUMNS) if c in out.columns])
 
 
 def thumbs_up_by_period(events: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:

@@ -9,6 +9,8 @@ join and no extra rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,25 +18,20 @@ from churnlab.operators.events import with_flags
 from churnlab.schema import DEFAULT_ROLES, FLAG_COLUMNS, MEAN_MEASURES, SESSION_MEASURES, PageRoles
 
 
-def tie_weight() -> F.Column:
-    """Per-event weight ``greatest(1, listens at the same (userId, ts))``.
+def flagged(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False, keys: Sequence[str] = ()) -> DataFrame:
+    """Events with the six flags and churn flag, and ``w_`` copies to sum.
 
-    The window is keyed by (userId, ts), so even a very heavy user is
-    spread over as many groups as it has distinct timestamps.
+    Under ``fanout`` the events are first summed per (userId, sessionId, ts
+    and ``keys``), then each row is weighted by ``greatest(1, listens at its
+    (userId, ts))``; the window moves these sums, not the events.
     """
-    w = Window.partitionBy("userId", "ts")
-    return F.greatest(F.lit(1), F.sum("listen_flag").over(w)).cast("long")
-
-
-def flagged(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:
-    """Events with the six flags and churn flag; weighted copies when ``fanout``."""
     ev = with_flags(events, roles)
-    if fanout:
-        ev = ev.withColumn("_w", tie_weight())
-        ev = ev.withColumns({f"w_{c}": F.col(c) * F.col("_w") for c in FLAG_COLUMNS})
-    else:
-        ev = ev.withColumns({f"w_{c}": F.col(c) for c in FLAG_COLUMNS})
-    return ev
+    if not fanout:
+        return ev.withColumns({f"w_{c}": F.col(c) for c in FLAG_COLUMNS})
+    sums = [F.sum(c).alias(c) for c in FLAG_COLUMNS]
+    ties = ev.groupBy("userId", "sessionId", "ts", *keys).agg(*sums, F.max("churn").alias("churn"))
+    weight = F.greatest(F.lit(1), F.sum("listen_flag").over(Window.partitionBy("userId", "ts")))
+    return ties.withColumn("_w", weight).withColumns({f"w_{c}": F.col(c) * F.col("_w") for c in FLAG_COLUMNS})
 
 
 def session_totals(events: DataFrame, roles: PageRoles = DEFAULT_ROLES, fanout: bool = False) -> DataFrame:

@@ -8,14 +8,13 @@ DuckDB oracles in ``churnlab.plans.oracle``.
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlab.functions import churn_flag, event_date, state
+from churnlab.functions import churn_flag, event_date, page_flag, state
 from churnlab.operators import days as D
 from churnlab.operators import explore as X
 from churnlab.operators import listens as L
@@ -25,7 +24,7 @@ from churnlab.operators import sessions as S
 from churnlab.operators.events import drop_blank_users, keep_page, with_flags, with_state, with_time_parts
 from churnlab.plans import model as ML
 from churnlab.schema import DEFAULT_ROLES, USER_MATRIX_COLUMNS
-from churnlab.sources.events import load_events, source_version
+from churnlab.sources.events import load_events, read_json_events, stream_events, to_events
 from churnlab.streaming import stream as STR
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,48 +45,22 @@ def raw_events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFram
     return load_events(spark, sf_dir, attrs)
 
 
-_PLANS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def _reuse(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Hand out the same lazy plan object for the same session and key.
-
-    Only the driver-side plan is reused (no data is cached): every query
-    still scans the input files in full when it runs.
-    """
-    plans = _PLANS.setdefault(spark, {})
-    if key not in plans:
-        plans[key] = build()
-    return plans[key]
-
-
-def events(spark: SparkSession, sf_dir: str, attrs: bool = True) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, attrs: bool = True, page: str | None = None) -> DataFrame:
     """Adapted events without blank / null users (FLT1)."""
-    key = ("events", sf_dir, attrs, source_version(sf_dir))
-    return _reuse(spark, key, lambda: drop_blank_users(load_events(spark, sf_dir, attrs)))
+    return drop_blank_users(load_events(spark, sf_dir, attrs, page))
 
 
 def matrix(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """The 18-column user matrix (unrounded), lazy three-branch form.
-
-    On columnar input each branch reads only its own columns and starts
-    with its own partial aggregate; measured at sf0.1 this beats scanning
-    once into a checkpointed base (``materialize=True``, used by the batch
-    job on JSON, where every scan parses whole lines).
-    """
-    if options:
-        return M.user_matrix(events(spark, sf_dir), **options)
-    return _reuse(spark, ("matrix", sf_dir, source_version(sf_dir)), lambda: M.user_matrix(events(spark, sf_dir)))
+    """The user matrix (unrounded); ``gender=False`` skips the attribute source."""
+    return M.user_matrix(events(spark, sf_dir, attrs=options.get("gender", True)), **options)
 
 
 def materialized_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A freshly planned matrix written once to the checkpoint folder.
+    """The matrix written once to the checkpoint folder.
 
-    For queries that read the matrix several times (MLlib fits, a scalar
-    subquery). The plan is built anew so no shuffle output of another
-    query is re-used.
+    For queries that read it several times (MLlib fits, a scalar subquery).
     """
-    return ML.materialized(M.user_matrix(events(spark, sf_dir)))
+    return ML.materialized(matrix(spark, sf_dir))
 
 
 # ------------------------------------------------------------------ profile
@@ -111,6 +84,13 @@ def prf3_locations(spark, sf):
     return P.distinct_values(events(spark, sf), "location")
 
 
+def prf2_schema(spark, sf):
+    """PRF2: the columns of the event frame and their types."""
+    frame = raw_events(spark, sf)
+    names = spark.createDataFrame([(f.name, f.dataType.simpleString(), i) for i, f in enumerate(frame.schema.fields)], "column string, type string, position int")
+    return names.join(frame.agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def prf4_distinct_counts(spark, sf):
     return P.distinct_counts(with_state(events(spark, sf)), ["state", "userId"])
 
@@ -136,7 +116,7 @@ def flt1_nonblank_events(spark, sf):
 
 
 def flt2_listen_events(spark, sf):
-    return keep_page(events(spark, sf, attrs=False), DEFAULT_ROLES.listen).select("userId", "sessionId", "ts", "seq")
+    return keep_page(events(spark, sf, attrs=False, page=DEFAULT_ROLES.listen), DEFAULT_ROLES.listen).select("userId", "sessionId", "ts", "seq")
 
 
 def scl1_state(spark, sf):
@@ -171,16 +151,21 @@ def agg1_page_visits(spark, sf):
 
 
 def agg2_listens_by_state(spark, sf):
-    return X.listens_by_state(events(spark, sf))
+    return X.listens_by_state(events(spark, sf, page=DEFAULT_ROLES.listen))
 
 
 def agg3_users_by_state(spark, sf):
     return X.users_by_state(events(spark, sf))
 
 
+def agg3_distinct_users_by_state(spark, sf):
+    """AGG3 as a distinct count of users per state."""
+    return with_state(events(spark, sf)).groupBy("state").agg(F.count_distinct("userId").alias("n_users"))
+
+
 def _listens_by(part: str) -> Query:
     def q(spark, sf):
-        return X.listens_by(events(spark, sf, attrs=False), part)
+        return X.listens_by(events(spark, sf, attrs=False, page=DEFAULT_ROLES.listen), part)
 
     q.__name__ = f"agg4_listens_by_{part}"
     return q
@@ -191,7 +176,7 @@ def agg5_user_days(spark, sf):
 
 
 def agg6_user_totals(spark, sf):
-    return matrix(spark, sf).select("userId", *USER_MATRIX_COLUMNS[3:12])
+    return M.user_totals(events(spark, sf, attrs=False))
 
 
 def agg7_session_totals(spark, sf):
@@ -207,7 +192,7 @@ def agg9_user_attributes(spark, sf):
 
 
 def agg10_class_balance(spark, sf):
-    return X.class_balance(M.user_attributes(events(spark, sf)))
+    return X.class_balance(M.user_churn(events(spark, sf, attrs=False)))
 
 
 def agg11_running_listens_by_churn(spark, sf):
@@ -215,19 +200,19 @@ def agg11_running_listens_by_churn(spark, sf):
 
 
 def agg12_cohort_stats(spark, sf):
-    return round_doubles(X.cohort_stats(matrix(spark, sf)))
+    return round_doubles(X.cohort_stats(matrix(spark, sf, gender=False)))
 
 
 def agg13_cohort_means_long(spark, sf):
-    return round_doubles(X.cohort_means_long(matrix(spark, sf)))
+    return round_doubles(X.cohort_means_long(matrix(spark, sf, gender=False)))
 
 
 def agg14_churn_by_gender(spark, sf):
-    return X.churn_by_gender(matrix(spark, sf))
+    return X.churn_by_gender(M.user_attributes(events(spark, sf)))
 
 
 def agg15_listens_by_part_long(spark, sf):
-    return X.listens_by_part_long(events(spark, sf, attrs=False))
+    return X.listens_by_part_long(events(spark, sf, attrs=False, page=DEFAULT_ROLES.listen))
 
 
 # ------------------------------------------------------------------ windows
@@ -259,6 +244,11 @@ def win4_filled_running_listens(spark, sf):
     return L.filled_running_listens(events(spark, sf, attrs=False))
 
 
+def win4_fill_parity(spark, sf):
+    """WIN4 in its parity form: the fill looks back at most seven rows."""
+    return L.filled_running_listens(events(spark, sf, attrs=False), horizon=L.REFERENCE_FILL_HORIZON)
+
+
 # ------------------------------------------------------------------ joins
 def jn1_enriched_events(spark, sf):
     return L.enriched_events(events(spark, sf, attrs=False))
@@ -288,6 +278,14 @@ def win1_consecutive_listen_days(spark, sf):
     return D.consecutive_days(events(spark, sf, attrs=False), only_listen_days=True)
 
 
+def src1_json_matrix(spark, sf):
+    """SRC1 to JN4: the events as a raw JSON log, read back into the matrix."""
+    folder = STR.scratch(spark, "json")
+    raw_events(spark, sf).withColumnRenamed("seq", "itemInSession").write.json(folder)
+    log = drop_blank_users(to_events(read_json_events(spark, folder)))
+    return round_doubles(STR.kept_result(M.user_matrix(log), folder))
+
+
 # ------------------------------------------------------------------ sort / limit
 def srt1_states_ranked(spark, sf):
     """SRT1: the ordered listing, with its order made visible as ``rank``.
@@ -295,15 +293,20 @@ def srt1_states_ranked(spark, sf):
     The ranking window has no partition key, but it runs over the
     per-state aggregate, whose size is bounded by the number of states.
     """
-    by_state = X.listens_by_state(events(spark, sf))
+    by_state = X.listens_by_state(events(spark, sf, page=DEFAULT_ROLES.listen))
     w = Window.orderBy(F.desc("count"), F.asc_nulls_first("state"))
     return by_state.select("state", "count", F.row_number().over(w).alias("rank"))
 
 
 def srt2_top_listeners(spark, sf):
-    return X.top_n(
-        matrix(spark, sf).select("userId", "total_listens"), 10, [F.desc("total_listens"), F.asc("userId")]
-    )
+    listens = page_flag("page", DEFAULT_ROLES.listen)
+    totals = events(spark, sf, attrs=False).groupBy("userId").agg(F.sum(listens).cast("long").alias("total_listens"))
+    return X.top_n(totals, 10, [F.desc("total_listens"), F.asc("userId")])
+
+
+def srt6_event_listing(spark, sf):
+    """SRT6: the first 20 events by user and time with their running listen count."""
+    return L.event_listing(events(spark, sf, attrs=False), 20)
 
 
 def srt5_streak_listing(spark, sf):
@@ -312,7 +315,7 @@ def srt5_streak_listing(spark, sf):
 
 # ------------------------------------------------------------------ model prep
 def ml1_gender_index(spark, sf):
-    return ML.index_gender(matrix(spark, sf))
+    return ML.index_gender(ML.materialized(M.user_gender(events(spark, sf))))
 
 
 def ml3_scaled_features(spark, sf):
@@ -320,7 +323,7 @@ def ml3_scaled_features(spark, sf):
 
 
 def ml4_split(spark, sf):
-    return ML.with_split(matrix(spark, sf)).select("userId", "churn", "split")
+    return ML.with_split(M.user_churn(events(spark, sf, attrs=False))).select("userId", "churn", "split")
 
 
 def ml12_baseline_metrics(spark, sf):
@@ -353,9 +356,9 @@ def ml14_feature_importances(spark, sf):
 
 
 def ml11_test_predictions(spark, sf):
+    """ML11: the tuned model on the test users."""
     prep = _prepared(spark, sf)
-    model = ML.estimators()["GBTClassifier"].fit(prep.train)
-    return ML.predict(model, prep.test).select("userId", "label", "prediction")
+    return ML.predict(ML.tune(prep).bestModel, prep.test).select("userId", "label", "prediction")
 
 
 def ext3_gbt_lift(spark, sf):
@@ -367,7 +370,7 @@ def ext3_gbt_lift(spark, sf):
 
 # ------------------------------------------------------------------ extensions
 def ext1_thumbs_up_by_period(spark, sf):
-    return M.thumbs_up_by_period(events(spark, sf, attrs=False))
+    return M.thumbs_up_by_period(events(spark, sf, attrs=False, page=DEFAULT_ROLES.thumbs_up))
 
 
 def ext2_thumbs_ratio(spark, sf):
@@ -380,11 +383,15 @@ def ext3_baseline_lift(spark, sf):
 
 # ------------------------------------------------------------------ streaming
 def str2_page_hour_counts(spark, sf):
-    return STR.streamed_page_hour_counts(spark, events(spark, sf, attrs=False))
+    return STR.streamed_page_hour_counts(spark, drop_blank_users(stream_events(spark, sf)))
 
 
 def str3_user_day_totals(spark, sf):
-    return STR.streamed_user_day_totals(spark, events(spark, sf, attrs=False))
+    return STR.streamed_user_day_totals(spark, stream_events(spark, sf))
+
+
+def str3_session_totals(spark, sf):
+    return STR.streamed_user_session_totals(spark, events(spark, sf, attrs=False))
 
 
 def str4_streamed_user_matrix(spark, sf):
@@ -407,6 +414,7 @@ def str5_scheduled_scores(spark, sf):
 
 QUERIES: dict[str, Query] = {
     "prf1_shape": prf1_shape,
+    "prf2_schema": prf2_schema,
     "prf3_levels": prf3_levels,
     "prf3_statuses": prf3_statuses,
     "prf3_user_ids": prf3_user_ids,
@@ -426,6 +434,7 @@ QUERIES: dict[str, Query] = {
     "agg1_page_visits": agg1_page_visits,
     "agg2_listens_by_state": agg2_listens_by_state,
     "agg3_users_by_state": agg3_users_by_state,
+    "agg3_distinct_users_by_state": agg3_distinct_users_by_state,
     "agg4_listens_by_hour": _listens_by("hour"),
     "agg4_listens_by_day": _listens_by("day"),
     "agg4_listens_by_month": _listens_by("month"),
@@ -449,14 +458,17 @@ QUERIES: dict[str, Query] = {
     "win3_running_listens": win3_running_listens,
     "win3b_most_listens_in_month": win3b_most_listens_in_month,
     "win4_filled_running_listens": win4_filled_running_listens,
+    "win4_fill_parity": win4_fill_parity,
     "jn1_enriched_events": jn1_enriched_events,
     "jn4_user_matrix": jn4_user_matrix,
+    "src1_json_matrix": src1_json_matrix,
     "jn4_user_matrix_fanout": jn4_user_matrix_fanout,
     "jn4_user_matrix_intended": jn4_user_matrix_intended,
     "jn4_user_matrix_listen_days": jn4_user_matrix_listen_days,
     "srt1_states_ranked": srt1_states_ranked,
     "srt2_top_listeners": srt2_top_listeners,
     "srt5_streak_listing": srt5_streak_listing,
+    "srt6_event_listing": srt6_event_listing,
     "ml1_gender_index": ml1_gender_index,
     "ml3_scaled_features": ml3_scaled_features,
     "ml4_split": ml4_split,
@@ -472,6 +484,7 @@ QUERIES: dict[str, Query] = {
     "ext3_baseline_lift": ext3_baseline_lift,
     "str2_page_hour_counts": str2_page_hour_counts,
     "str3_user_day_totals": str3_user_day_totals,
+    "str3_session_totals": str3_session_totals,
     "str4_streamed_user_matrix": str4_streamed_user_matrix,
     "str5_scheduled_scores": str5_scheduled_scores,
 }

@@ -37,9 +37,8 @@ def run(
 ) -> dict:
     """Run the whole job; returns test metrics and the output paths."""
     raw = read_json_events(spark, events_path) if fmt == "json" else spark.read.parquet(events_path)
-    # JSON has no column pruning: scan it once into the checkpointed matrix
-    # base, then write the finished matrix once more for the many fits.
-    matrix = ML.materialized(user_matrix(drop_blank_users(to_events(raw)), materialize=True))
+    # one scan of the log; the finished matrix is written once for the many fits
+    matrix = ML.materialized(user_matrix(drop_blank_users(to_events(raw))))
     prepared = ML.prepare(matrix, fit_on=fit_on, materialize=False)
     cv = ML.tune(prepared, preset=grid, metric=metric)
     metrics = ML.evaluate(ML.predict(cv, prepared.test))

@@ -85,14 +85,17 @@ dayc AS (
 
 DAYS = _days_sql()
 
-# Running listen count and "a listen within the last 7 rows" per event.
-RUNNING = """
+# Running listen count and its fill from any earlier listen, or only from
+# one at most ``rows`` rows back.
+def _running_sql(rows: int | None = None) -> str:
+    start = "UNBOUNDED" if rows is None else str(rows)
+    return f"""
 run AS (
   SELECT fl.*,
          SUM(listen_flag) OVER (PARTITION BY userId ORDER BY ts, seq
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
          MAX(listen_flag) OVER (PARTITION BY userId ORDER BY ts, seq
-                                ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS near
+                                ROWS BETWEEN {start} PRECEDING AND CURRENT ROW) AS near
   FROM fl
 ),
 runf AS (
@@ -102,6 +105,10 @@ runf AS (
   FROM run
 )"""
 
+
+RUNNING = _running_sql()
+
+
 def _matrix_sql(src: str = "fl", weight: str = "", listen_only: bool = False) -> str:
     """User-matrix CTEs over the flagged events ``src``.
 
@@ -404,6 +411,8 @@ SELECT userId, CAST(max(n) AS BIGINT) AS most_listens_in_month FROM (
 ) x GROUP BY userId""",
     "win4_filled_running_listens": _with(ADAPTER, RUNNING)
     + "\nSELECT userId, ts, seq, page, running_listens_mon, running_listens_mon_fill FROM runf",
+    "win4_fill_parity": _with(ADAPTER, _running_sql(7))
+    + "\nSELECT userId, ts, seq, page, running_listens_mon, running_listens_mon_fill FROM runf",
     # ------------------------------------------------------------ joins
     "jn1_enriched_events": _with(ADAPTER, DAYS, RUNNING)
     + f"""
@@ -463,6 +472,22 @@ SELECT userId, date, count(*) AS n_events, CAST(sum(listen_flag) AS BIGINT) AS n
 FROM fl GROUP BY userId, date""",
 }
 
+SQL["src1_json_matrix"] = SQL["jn4_user_matrix"]
+SQL["str3_session_totals"] = SQL["agg7_session_totals"]
+SQL["agg3_distinct_users_by_state"] = (
+    _with(ADAPTER) + "\nSELECT right(location, 2) AS state, count(DISTINCT userId) AS n_users FROM ev GROUP BY 1"
+)
+SQL["srt6_event_listing"] = (
+    _with(ADAPTER, RUNNING) + "\nSELECT userId, date, page, running_listens_mon FROM runf ORDER BY userId, ts, seq LIMIT 20"
+)
+SQL["prf2_schema"] = (
+    _with(ADAPTER)
+    + """
+SELECT c.*, (SELECT count(*) FROM ev_all) AS n_rows FROM (VALUES
+  ('userId', 'string', 0), ('sessionId', 'bigint', 1), ('ts', 'bigint', 2), ('page', 'string', 3), ('seq', 'bigint', 4),
+  ('gender', 'string', 5), ('location', 'string', 6), ('level', 'string', 7), ('status', 'int', 8)
+) AS c("column", "type", "position")"""
+)
 SQL["str4_streamed_user_matrix"] = SQL["jn4_user_matrix"]
 
 SQL["jn4_user_matrix_fanout"] = _with(ADAPTER, WEIGHTS, MATRIX_FANOUT) + f"\nSELECT {MATRIX_SELECT} FROM matrix"

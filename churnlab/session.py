@@ -35,26 +35,21 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, driver_me
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; create a local one only if unset.
+    """Return the cluster's checkpoint folder; create a local one only in local mode.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is
-    used as is. Only when nothing is configured (tests, local runs) is a
-    fresh temporary folder set.
+    On a cluster ``spark.checkpoint.dir`` must name a folder that the driver
+    and all executors share; where it is unset, this raises instead of
+    writing to a machine's own disk. Only a local master (tests, trial
+    runs) gets a fresh temporary folder.
     """
-    try:
-        sc = spark.sparkContext
-    except Exception:  # no SparkContext handle (remote session)
-        sc = None
-    current = (sc.getCheckpointDir() if sc is not None else None) or spark.conf.get(CHECKPOINT_CONF, None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir() or spark.conf.get(CHECKPOINT_CONF, None)
     if current:
-        if sc is not None and not sc.getCheckpointDir():
+        if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="churnlab-ckpt-")
-    if sc is not None:
-        sc.setCheckpointDir(path)
-    try:
-        spark.conf.set(CHECKPOINT_CONF, path)
-    except Exception:  # static in some deployments; the context setting suffices
-        pass
+    sc.setCheckpointDir(path)
     return path

@@ -10,9 +10,6 @@ All three return lazy DataFrames; nothing is collected.
 
 from __future__ import annotations
 
-import os
-import weakref
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,17 +101,17 @@ def _epoch_micros(ts: Column, dtype: T.DataType) -> Column:
 
 
 def _page_of(event_type: Column, value: Column) -> Column:
+    # one flat CASE of literals: a filter on a page becomes one on the raw column
+    is_click, is_signup = event_type == "click", event_type == "signup"
     return (
         F.when(event_type == "view", F.lit("NextSong"))
         .when(event_type == "error", F.lit("Error"))
         .when(event_type == "purchase", F.lit("Add to Playlist"))
-        .when(event_type == "click", F.when(value < 10, F.lit("Thumbs Down")).otherwise(F.lit("Thumbs Up")))
-        .when(
-            event_type == "signup",
-            F.when(value > 250, F.lit("Downgrade"))
-            .when(value > 150, F.lit("Cancellation Confirmation"))
-            .otherwise(F.lit("Add Friend")),
-        )
+        .when(is_click & (value < 10), F.lit("Thumbs Down"))
+        .when(is_click, F.lit("Thumbs Up"))
+        .when(is_signup & (value > 250), F.lit("Downgrade"))
+        .when(is_signup & (value > 150), F.lit("Cancellation Confirmation"))
+        .when(is_signup, F.lit("Add Friend"))
     )
 
 
@@ -138,44 +135,30 @@ def _sessions(ev: DataFrame) -> DataFrame:
     )
 
 
-_BUILT: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_TABLES = ("events", "customer", "nation", "region")
-
+# The raw type each page comes from (FIXTURES.md D1).
+RAW_TYPE = {
+    "NextSong": "view",
+    "Error": "error",
+    "Add to Playlist": "purchase",
+    "Thumbs Down": "click",
+    "Thumbs Up": "click",
+    "Downgrade": "signup",
+    "Cancellation Confirmation": "signup",
+    "Add Friend": "signup",
+}
 
-def source_version(sf_dir: str) -> tuple:
-    """Modification times of the adapter's input files (local paths only).
-
-    Part of the key under which built plans are reused, so replacing the
-    files gives a freshly listed plan. Remote paths give an empty tuple.
-    """
-    stamps = []
-    for t in _TABLES:
-        path = os.path.join(sf_dir, f"{t}.parquet")
-        stamps.append(os.path.getmtime(path) if os.path.exists(path) else None)
-    return tuple(stamps)
 
-
-def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, reuse: bool = True) -> DataFrame:
+def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, page: str | None = None) -> DataFrame:
     """SRC3: the driver's ``events`` table as a canonical event frame.
 
-    ``attrs=False`` leaves out gender, location and level, so queries that
-    do not need them skip the join with customer / nation / region.
+    ``page`` keeps the raw type that the page comes from (sessions are
+    still those of all events), as a filter that reaches the scan; the
+    caller filters on the page itself.
 
-    The returned DataFrame is a lazy plan; with ``reuse`` the same plan
-    object is handed out again for the same session and folder, which
-    saves re-reading parquet footers and re-analysing the adapter on the
-    driver. Every action still scans the files in full.
+    ``attrs=False`` leaves out gender, location and level, so queries that
+    do not need them skip the join with customer / nation / region. The
+    plan is built on every call, so files added to the table are seen.
     """
-    if not reuse:
-        return _build_events(spark, sf_dir, attrs)
-    built = _BUILT.setdefault(spark, {})
-    key = (sf_dir.rstrip("/"), attrs, source_version(sf_dir))
-    if key not in built:
-        built[key] = _build_events(spark, sf_dir, attrs)
-    return built[key]
-
-
-def _build_events(spark: SparkSession, sf_dir: str, attrs: bool) -> DataFrame:
     raw = spark.read.parquet(f"{sf_dir}/events.parquet")
     micros = _epoch_micros(F.col("ts"), raw.schema["ts"].dataType)
     t_us = F.lit(ORIGIN_US) + F.lit(STRETCH) * (micros - F.lit(ORIGIN_US))
@@ -187,7 +170,10 @@ def _build_events(spark: SparkSession, sf_dir: str, attrs: bool) -> DataFrame:
         t_us.alias("t_us"),
     ).withColumn("day", F.floor(F.col("t_us") / F.lit(DAY_US)))
 
-    ev = ev.join(_sessions(ev), ["user_id", "day"], "left")
+    sessions = _sessions(ev)
+    if page is not None:
+        ev = ev.where(F.col("event_type") == RAW_TYPE[page])
+    ev = ev.join(sessions, ["user_id", "day"], "left")
 
     user_id = F.col("user_id")
     out = ev.select(
@@ -238,3 +224,24 @@ def _build_events(spark: SparkSession, sf_dir: str, attrs: bool) -> DataFrame:
     return out.join(cust, "_user_id", "left").select(
         "userId", "sessionId", "ts", "page", "seq", "gender", "location", "level", "status"
     )
+
+
+def stream_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """The driver's ``events`` table as a stream: userId, ts, page, seq.
+
+    The columns of ``load_events`` that need no other row and no other
+    table; read from the given files as they are, without a copy.
+    """
+    path = f"{sf_dir}/events.parquet"
+    schema = spark.read.parquet(path).schema
+    # as a pattern, since the stream source takes a plain path for a folder only
+    files = f"{sf_dir}/{{events}}.parquet"
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(max_files_per_trigger)).parquet(files)
+    t_us = F.lit(ORIGIN_US) + F.lit(STRETCH) * (_epoch_micros(F.col("ts"), schema["ts"].dataType) - F.lit(ORIGIN_US))
+    blank = F.col("user_id") % BLANK_USER_MODULUS == BLANK_USER_REMAINDER
+    return raw.select(
+        F.when(blank, F.lit("")).otherwise(F.col("user_id").cast("string")).alias("userId"),
+        F.floor(t_us / F.lit(1000)).cast("long").alias("ts"),
+        _page_of(F.col("event_type"), F.col("value")).alias("page"),
+        F.col("event_id").cast("long").alias("seq"),
+    )

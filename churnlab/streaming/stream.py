@@ -1,9 +1,11 @@
 """Structured Streaming for the event log (STR1-STR5).
 
-STR1  ``read_event_stream`` + ``with_event_time``: file-source ingest with a
-      watermark; replays inside the watermark are dropped.
+STR1  ``read_event_stream`` + ``with_event_time``: file-source ingest, raw
+      logs mapped onto the canonical columns; optionally a watermark, and
+      replays inside it are dropped.
 STR2  ``page_hour_counts``: tumbling-window counts per page.
-STR3  ``user_day_totals``: per (user, day window) activity totals.
+STR3  ``user_day_totals``: per (user, day window) activity totals, and
+      ``user_session_totals``: per (user, session) flag totals.
 STR4  ``MatrixUpkeep``: keeps the user matrix current. Adjacency, gaps and
       session means need a user's ordered history, so they are not a plain
       streaming aggregate: each micro-batch appends mergeable partial
@@ -12,6 +14,12 @@ STR4  ``MatrixUpkeep``: keeps the user matrix current. Adjacency, gaps and
 STR5  ``score_matrix_updates``: scores matrix rows as they change, run on a
       schedule with ``trigger(availableNow=True)``.
 
+A watermark drops events that come later than it allows. Files of a landed
+log come in no order of event time, so without an explicit watermark at
+least as long as that disorder the operators keep their state (one row per
+result row) and are complete for any order. The upkeep needs no watermark:
+it keeps the keys of the events it has counted, by day, and counts none twice.
+
 Every sink writes one partition per micro-batch (``epoch=<id>``) with
 dynamic partition overwrite, so a micro-batch replayed after a failure
 replaces its own output instead of duplicating it. Readers take the
@@ -25,10 +33,10 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from churnlab.functions import event_date
 from churnlab.operators.days import day_user_maxima, user_days
-from churnlab.operators.events import drop_blank_users
+from churnlab.operators.events import drop_blank_users, with_flags
 from churnlab.operators.matrix import (
     assemble_matrix,
     gender_pairs,
@@ -37,11 +45,20 @@ from churnlab.operators.matrix import (
     rollup_sessions,
     session_parts,
 )
-from churnlab.schema import DEFAULT_ROLES, EVENT_SCHEMA, USER_MATRIX_COLUMNS, PageRoles
+from churnlab.schema import (
+    DEFAULT_ROLES,
+    EVENT_SCHEMA,
+    FLAG_COLUMNS,
+    RAW_EVENT_SCHEMA,
+    SESSION_MEASURES,
+    USER_MATRIX_COLUMNS,
+    PageRoles,
+)
 from churnlab.session import ensure_checkpoint_dir
+from churnlab.sources.events import to_events
 
 EVENT_TIME = "event_time"
-DEDUPE_KEYS = ("userId", "sessionId", "ts", "seq")
+DEDUPE_KEYS = ("userId", "sessionId", "ts", "seq", "page")
 
 
 # ------------------------------------------------------------------ STR1
@@ -49,21 +66,32 @@ def read_event_stream(
     spark: SparkSession,
     path: str,
     fmt: str = "parquet",
-    schema: T.StructType = EVENT_SCHEMA,
     max_files_per_trigger: int | None = None,
 ) -> DataFrame:
-    """STR1: a streaming frame over files of canonical events (fixed schema)."""
-    reader = spark.readStream.schema(schema).format(fmt)
+    """STR1: a streaming frame of canonical events over files (fixed schema).
+
+    ``parquet`` files hold canonical events; ``json`` files the raw log,
+    whose ``itemInSession`` becomes ``seq``.
+    """
+    reader = spark.readStream.schema(RAW_EVENT_SCHEMA if fmt == "json" else EVENT_SCHEMA).format(fmt)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
-    return reader.load(path)
+    stream = reader.load(path)
+    return to_events(stream) if fmt == "json" else stream
+
 
+def with_event_time(stream: DataFrame, watermark: str | None = None, dedupe: bool = False) -> DataFrame:
+    """STR1: event time from ``ts``; a watermark and replay removal within it.
 
-def with_event_time(stream: DataFrame, watermark: str = "2 hours", dedupe: bool = True) -> DataFrame:
-    """STR1: event time from ``ts``, a watermark, and replay removal within it."""
-    s = stream.withColumn(EVENT_TIME, F.timestamp_millis("ts")).withWatermark(EVENT_TIME, watermark)
+    Events later than the watermark are dropped, so it must cover the
+    disorder of the files; without one nothing is dropped.
+    """
+    s = stream.withColumn(EVENT_TIME, F.timestamp_millis("ts"))
+    if watermark:
+        s = s.withWatermark(EVENT_TIME, watermark)
     if dedupe:
-        s = s.dropDuplicatesWithinWatermark(list(DEDUPE_KEYS))
+        keys = [c for c in DEDUPE_KEYS if c in s.columns]
+        s = s.dropDuplicatesWithinWatermark(keys) if watermark else s.dropDuplicates(keys)
     return s
 
 
@@ -77,8 +105,8 @@ def page_hour_counts(stream: DataFrame, window: str = "1 hour") -> DataFrame:
 def user_day_totals(stream: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
     """STR3: per user and UTC day window: events, listens, listened flag.
 
-    Keyed by an event-time window so the watermark can drop closed days
-    from the state store.
+    Keyed by an event-time window so a watermark, if there is one, can
+    drop closed days from the state store.
     """
     listen = F.coalesce(F.col("page") == F.lit(roles.listen), F.lit(False)).cast("int")
     agg = drop_blank_users(stream).groupBy("userId", F.window(EVENT_TIME, "1 day").alias("w")).agg(
@@ -93,6 +121,14 @@ def user_day_totals(stream: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> Data
     )
 
 
+def user_session_totals(stream: DataFrame, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
+    """STR3: per user and session: the six flag totals (AGG7 on a stream)."""
+    ev = with_flags(drop_blank_users(stream), roles)
+    return ev.groupBy("userId", "sessionId").agg(
+        *[F.sum(c).cast("long").alias(m) for c, m in zip(FLAG_COLUMNS, SESSION_MEASURES)]
+    )
+
+
 # ------------------------------------------------------------------ epoch-partitioned sinks
 def write_epoch(df: DataFrame, path: str, epoch_id: int, partition_by: Sequence[str] = ()) -> None:
     """Write one micro-batch's rows as partition ``epoch=<id>``, idempotently.
@@ -190,8 +226,9 @@ def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
     through the latest epoch E into ``snapshots/<table>/gen=E`` (overwrite,
     so a crashed attempt is simply redone), then write the marker
     ``snapshots/_done/gen=E``. Readers switch to the snapshot only when
-    the marker exists. ``purge`` then deletes epoch folders before E and
-    older snapshots; correctness never depends on that deletion.
+    the marker exists. ``purge`` then deletes the epoch folders of the
+    partial aggregates before E and older snapshots. The matrix rows per
+    epoch stay: scheduled scoring (STR5) streams from them.
     """
     base = base.rstrip("/")
     if not path_exists(spark, f"{base}/sessions"):
@@ -221,16 +258,14 @@ def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
 
 
 def _purge(spark: SparkSession, base: str, gen: int) -> None:
-    """Delete epoch folders before ``gen`` and snapshots older than ``gen``.
+    """Delete partial aggregates before ``gen`` and snapshots older than ``gen``.
 
-    The files of epoch ``gen`` itself stay: readers already skip them, and
+    The matrix epochs are left for the scoring stream. The files of epoch ``gen`` itself stay: readers already skip them, and
     they keep every table readable (parquet needs a file to infer from).
     """
     for name in ("days", "sessions", "genders", "matrix"):
         root, fs = _fs_path(spark, f"{base}/{name}")
-        if not fs.exists(root):
-            continue
-        for top in fs.listStatus(root):
+        for top in fs.listStatus(root) if name != "matrix" and fs.exists(root) else []:
             targets = [top] if top.getPath().getName().startswith("epoch=") else list(fs.listStatus(top.getPath()))
             for st in targets:
                 label = st.getPath().getName()
@@ -247,6 +282,10 @@ def _purge(spark: SparkSession, base: str, gen: int) -> None:
 class MatrixUpkeep:
     """foreachBatch function that keeps the user matrix current.
 
+    An event counts once, however often it is delivered: ``seen/`` holds
+    the keys (two 64-bit hashes) of all counted events by date and epoch,
+    and a micro-batch is held against the keys of its own dates only.
+
     Layout under ``base``: ``days/``, ``sessions/``, ``genders/`` hold the
     partial aggregates of every micro-batch, partitioned by a hash bucket
     of userId and by epoch; ``matrix/`` holds, per epoch, the recomputed
@@ -270,10 +309,24 @@ class MatrixUpkeep:
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("userId"), F.lit(self.buckets)).cast("int")
 
+    def fresh(self, batch: DataFrame, epoch_id: int) -> DataFrame:
+        """The batch's events that no earlier epoch has counted, once each."""
+        keys = [F.xxhash64(*DEDUPE_KEYS).alias("_k1"), F.xxhash64(F.lit(1), *DEDUPE_KEYS).alias("_k2")]
+        once = batch.dropDuplicates(list(DEDUPE_KEYS)).select("*", event_date("ts").alias("_day"), *keys)
+        if not path_exists(batch.sparkSession, self.part("seen")):
+            return once
+        seen = batch.sparkSession.read.parquet(self.part("seen")).where(F.col("epoch") < epoch_id)
+        days = once.select("_day").distinct()
+        seen = seen.join(days, seen["date"].eqNullSafe(days["_day"]), "left_semi").select("_k1", "_k2")
+        return once.join(seen, ["_k1", "_k2"], "left_anti")
+
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        ev = drop_blank_users(batch).persist()
+        ev = self.fresh(drop_blank_users(batch), epoch_id).persist()
         try:
+            counted = ev.select(F.col("_day").alias("date"), "_k1", "_k2")
+            if not ev.limit(1).count():
+                return  # nothing but replays
             for name, part in (
                 ("days", user_days(ev, self.roles)),
                 ("sessions", session_parts(ev, self.roles)),
@@ -296,6 +349,8 @@ class MatrixUpkeep:
             genders = max_gender(stored("genders").distinct())
             rows = assemble_matrix(sessions, day_user_maxima(days), genders)
             write_epoch(rows, self.part("matrix"), epoch_id)
+            # last: a crash before leaves the epoch uncounted, and its replay redoes it
+            write_epoch(counted, self.part("seen"), epoch_id, ["date"])
         finally:
             ev.unpersist()
 
@@ -346,38 +401,53 @@ def land_events(events: DataFrame, path: str) -> str:
     return path
 
 
-def streamed_page_hour_counts(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """STR1 + STR2 end to end: land, stream, return the final counts."""
+def kept_result(df: DataFrame, base: str) -> DataFrame:
+    """Store a query's result with the session's checkpoints and delete its scratch folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    out = df.checkpoint(eager=True)
+    path, fs = _fs_path(df.sparkSession, base)
+    fs.delete(path, True)
+    return out
+
+
+def streamed_page_hour_counts(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """STR1 + STR2 end to end over a stream of events: the final counts."""
     base = scratch(spark, "str2")
-    land_events(events, f"{base}/landing")
-    counts = page_hour_counts(with_event_time(read_event_stream(spark, f"{base}/landing")))
-    run_available(counts, upsert_sink(f"{base}/out"), f"{base}/checkpoint", mode="update")
-    return latest_by_key(spark.read.parquet(f"{base}/out"), ["window_start", "page"])
+    run_available(page_hour_counts(with_event_time(stream)), upsert_sink(f"{base}/out"), f"{base}/checkpoint")
+    return kept_result(latest_by_key(spark.read.parquet(f"{base}/out"), ["window_start", "page"]), base)
 
 
-def streamed_user_day_totals(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """STR1 + STR3 end to end."""
+def streamed_user_day_totals(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """STR1 + STR3 end to end: the totals per user and day."""
     base = scratch(spark, "str3")
-    land_events(events, f"{base}/landing")
-    totals = user_day_totals(with_event_time(read_event_stream(spark, f"{base}/landing"), watermark="2 days"))
-    run_available(totals, upsert_sink(f"{base}/out"), f"{base}/checkpoint", mode="update")
-    return latest_by_key(spark.read.parquet(f"{base}/out"), ["userId", "date"])
+    run_available(user_day_totals(with_event_time(stream)), upsert_sink(f"{base}/out"), f"{base}/checkpoint")
+    return kept_result(latest_by_key(spark.read.parquet(f"{base}/out"), ["userId", "date"]), base)
+
+
+def landed(spark: SparkSession, events: DataFrame, base: str, files: int, per_trigger: int) -> DataFrame:
+    """Events written as ``files`` files and read as a stream of several batches."""
+    land_events(events.repartition(files), f"{base}/landing")
+    return read_event_stream(spark, f"{base}/landing", max_files_per_trigger=per_trigger)
+
+
+def streamed_user_session_totals(spark: SparkSession, events: DataFrame, files: int = 4, per_trigger: int = 1) -> DataFrame:
+    """STR1 + STR3 end to end: the totals per user and session, over several batches."""
+    base = scratch(spark, "str3s")
+    totals = user_session_totals(landed(spark, events, base, files, per_trigger))
+    run_available(totals, upsert_sink(f"{base}/out"), f"{base}/checkpoint")
+    return kept_result(latest_by_key(spark.read.parquet(f"{base}/out"), ["userId", "sessionId"]), base)
 
 
-def streamed_user_matrix(spark: SparkSession, events: DataFrame, files_per_trigger: int = 2) -> DataFrame:
+def streamed_user_matrix(spark: SparkSession, events: DataFrame, files: int = 4, per_trigger: int = 2) -> DataFrame:
     """STR1 + STR4 end to end, over several micro-batches."""
     base = scratch(spark, "str4")
-    land_events(events, f"{base}/landing")
-    stream = read_event_stream(spark, f"{base}/landing", max_files_per_trigger=files_per_trigger)
-    keep_matrix_current(stream, f"{base}/state", f"{base}/checkpoint")
-    return current_matrix(spark, f"{base}/state")
+    keep_matrix_current(landed(spark, events, base, files, per_trigger), f"{base}/state", f"{base}/checkpoint")
+    return kept_result(current_matrix(spark, f"{base}/state"), base)
 
 
-def streamed_scores(spark: SparkSession, events: DataFrame, model, files_per_trigger: int = 2) -> DataFrame:
+def streamed_scores(spark: SparkSession, events: DataFrame, model, files: int = 4, per_trigger: int = 2) -> DataFrame:
     """STR4 + STR5 end to end: keep the matrix current, then score the changed rows."""
     base = scratch(spark, "str5")
-    land_events(events, f"{base}/landing")
-    stream = read_event_stream(spark, f"{base}/landing", max_files_per_trigger=files_per_trigger)
-    keep_matrix_current(stream, f"{base}/state", f"{base}/checkpoint-upkeep")
+    keep_matrix_current(landed(spark, events, base, files, per_trigger), f"{base}/state", f"{base}/checkpoint-upkeep")
     score_matrix_updates(spark, model, f"{base}/state", f"{base}/scores", f"{base}/checkpoint-scores")
-    return latest_by_key(spark.read.parquet(f"{base}/scores"), ["userId"])
+    return kept_result(latest_by_key(spark.read.parquet(f"{base}/scores"), ["userId"]), base)

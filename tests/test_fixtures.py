@@ -45,9 +45,8 @@ def test_day_table_user_b(ev1):
     assert [(r.date_group, r.days_consec_listen, r.days_since_last_listen) for r in rows] == [(0, 0, 0)]
 
 
-@pytest.mark.parametrize("materialize", [False, True])
-def test_matrix_exact(ev1, materialize):
-    m = _by_user(M.user_matrix(ev1, materialize=materialize))
+def test_matrix_exact(ev1):
+    m = _by_user(M.user_matrix(ev1))
     a, b = m["a"], m["b"]
     assert (a["gender"], a["churn"], b["gender"], b["churn"]) == ("M", 1, "F", 0)
     assert a["most_listens_one_month"] == 6 and b["most_listens_one_month"] == 0
@@ -59,26 +58,23 @@ def test_matrix_exact(ev1, materialize):
     assert (b["avg_sess_listens"], b["avg_sess_thU"], b["avg_sess_thD"], b["avg_sess_err"]) == (0.0, 0.0, 1.0, 0.0)
 
 
-@pytest.mark.parametrize("materialize", [False, True])
-def test_matrix_fanout_parity(ev1, materialize):
-    a = _by_user(M.user_matrix(ev1, fanout=True, materialize=materialize))["a"]
+def test_matrix_fanout_parity(ev1):
+    a = _by_user(M.user_matrix(ev1, fanout=True))["a"]
     assert (a["total_listens"], a["total_thumbsU"], a["total_err"]) == (8, 3, 1)
     assert (a["avg_sess_listens"], a["avg_sess_thU"], a["avg_sess_err"]) == (2.0, 0.75, 0.25)
     # the row number is taken before the reference's tie join
     assert a["most_listens_one_month"] == 6
 
 
-@pytest.mark.parametrize("materialize", [False, True])
-def test_matrix_intended_columns(ev1, materialize):
-    m = _by_user(M.user_matrix(ev1, intended=True, materialize=materialize))
+def test_matrix_intended_columns(ev1):
+    m = _by_user(M.user_matrix(ev1, intended=True))
     assert (m["a"]["most_listens_in_month"], m["b"]["most_listens_in_month"]) == (5, 0)
     assert (m["a"]["longest_streak_days"], m["b"]["longest_streak_days"]) == (2, 1)
     assert (m["a"]["most_days_without_listen"], m["b"]["most_days_without_listen"]) == (26, 0)
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, 0, L.HOT_USER_ROWS])
-def test_running_and_filled_listens(ev1, hot_user_rows):
-    rows = L.filled_running_listens(ev1, hot_user_rows=hot_user_rows).where("userId = 'a'").orderBy("ts", "seq").collect()
+def test_running_and_filled_listens(ev1):
+    rows = L.filled_running_listens(ev1).where("userId = 'a'").orderBy("ts", "seq").collect()
     assert [r.running_listens_mon for r in rows] == [None, 1, None, 2, 3, None, 4, None, 5, 6, None, None]
     assert [r.running_listens_mon_fill for r in rows] == [0, 1, 1, 2, 3, 3, 4, 4, 5, 6, 6, 6]
     b = L.filled_running_listens(ev1).where("userId = 'b'").collect()
@@ -114,10 +110,9 @@ def test_state_edges(spark, ev2):
     assert got[None] is None and got["A"] == "A"
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
-def test_fill_before_first_listen_is_zero(ev2, hot_user_rows):
+def test_fill_before_first_listen_is_zero(ev2):
     rows = (
-        L.filled_running_listens(drop_blank_users(ev2), hot_user_rows=hot_user_rows)
+        L.filled_running_listens(drop_blank_users(ev2))
         .where("userId = 'late'")
         .orderBy("ts", "seq")
         .collect()
@@ -125,12 +120,11 @@ def test_fill_before_first_listen_is_zero(ev2, hot_user_rows):
     assert [r.running_listens_mon_fill for r in rows] == [0] * 10 + [1]
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
-def test_fill_stops_after_seven_rows_across_days(ev2, hot_user_rows):
+def test_fill_stops_after_seven_rows_across_days(ev2):
     ev = drop_blank_users(ev2)
-    rows = L.filled_running_listens(ev, hot_user_rows=hot_user_rows).where("userId = 'tail'").orderBy("ts", "seq").collect()
+    rows = L.filled_running_listens(ev, horizon=L.REFERENCE_FILL_HORIZON).where("userId = 'tail'").orderBy("ts", "seq").collect()
     assert [r.running_listens_mon_fill for r in rows] == [1] * 8 + [0, 0]
-    unbounded = L.filled_running_listens(ev, horizon=None, hot_user_rows=hot_user_rows).where("userId = 'tail'").collect()
+    unbounded = L.filled_running_listens(ev, horizon=None).where("userId = 'tail'").collect()
     assert all(r.running_listens_mon_fill == 1 for r in unbounded)
 
 
@@ -155,18 +149,16 @@ def test_time_parts_are_utc_whatever_the_session_zone(spark):
     assert (r.d.isoformat(), r.h) == ("2018-10-01", 23)
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
-def test_null_ts_rows_do_not_shift_running_counts(ev2, hot_user_rows):
-    rows = L.filled_running_listens(drop_blank_users(ev2), hot_user_rows=hot_user_rows).where("userId = 'c'").collect()
+def test_null_ts_rows_do_not_shift_running_counts(ev2):
+    rows = L.filled_running_listens(drop_blank_users(ev2)).where("userId = 'c'").collect()
     by_ts = {r.ts: (r.running_listens_mon, r.running_listens_mon_fill) for r in rows}
     assert by_ts[None] == (None, 0)
     timed = [v for k, v in sorted((k, v) for k, v in by_ts.items() if k is not None)]
     assert timed == [(None, 0), (1, 1)]
 
 
-@pytest.mark.parametrize("materialize", [False, True])
-def test_listen_day_matrix_keeps_users_without_listens(ev1, materialize):
-    m = _by_user(M.user_matrix(ev1, only_listen_days=True, materialize=materialize))
+def test_listen_day_matrix_keeps_users_without_listens(ev1):
+    m = _by_user(M.user_matrix(ev1, only_listen_days=True))
     assert set(m) == {"a", "b"}
     assert (m["b"]["most_days_since_last_listen"], m["b"]["most_days_consec_listen"]) == (0, 0)
     # listening days of a: 10-01, 10-02, 10-06, 11-01 -> one adjacent pair, largest gap 26

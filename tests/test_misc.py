@@ -55,18 +55,23 @@ def test_checkpoint_folder_is_taken_from_the_session(spark):
     assert spark.sparkContext.getCheckpointDir().rstrip("/").endswith(first.rstrip("/").split("/")[-1])
 
 
-def test_plan_reuse_follows_file_changes(spark, tmp_path):
+def test_files_added_under_a_partition_are_seen(spark, tmp_path):
     import shutil
 
-    from churnlab.plans.catalog import events
+    from pyspark.sql import functions as F
+
+    from churnlab.plans.catalog import QUERIES
     from conftest import SF001
 
     d = tmp_path / "sf"
-    shutil.copytree(SF001, d)
-    a = events(spark, str(d))
-    assert events(spark, str(d)) is a  # same plan object while the files are unchanged
-    import os
-
-    p = d / "events.parquet"
-    os.utime(p, (p.stat().st_atime, p.stat().st_mtime + 10))
-    assert events(spark, str(d)) is not a
+    d.mkdir()
+    for name in ("customer", "nation", "region"):
+        shutil.copy(f"{SF001}/{name}.parquet", d)
+    source = spark.read.parquet(f"{SF001}/events.parquet")
+    half = lambda n: source.where(F.col("event_id") % 2 == n).withColumn("part", F.lit(1))
+    half(0).write.partitionBy("part").parquet(str(d / "events.parquet"))
+    shape = lambda: QUERIES["prf1_shape"](spark, str(d)).first().n_rows
+    first = shape()
+    half(1).write.mode("append").partitionBy("part").parquet(str(d / "events.parquet"))
+    assert first < shape() == source.count()
+

@@ -12,7 +12,7 @@ from conftest import SF001
 from fixtures import h1
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
-STREAMING = {"str2_page_hour_counts", "str3_user_day_totals", "str4_streamed_user_matrix"}
+STREAMING = {"str2_page_hour_counts", "str3_user_day_totals", "str3_session_totals", "str4_streamed_user_matrix", "src1_json_matrix", "prf2_schema"}
 
 
 def plan_of(df):
@@ -77,13 +77,54 @@ def test_listen_windows_have_no_event_grain_window_by_user_alone(spark, parquet_
     assert _windows_by_user_alone_over_events(plan) == []
 
 
-def test_matrix_has_no_python_and_no_sort_aggregate_over_events(spark, parquet_log):
+def _sort_aggregates_over_scans(plan: str) -> list[str]:
+    """Sort aggregates with a scan below and no hash aggregate between."""
+    lines, bad = plan.splitlines(), []
+    for i, line in enumerate(lines):
+        if "SortAggregate(" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        for below in lines[i + 1 :]:
+            if len(below) - len(below.lstrip(" :+-*()0123456789")) <= depth or "HashAggregate(" in below:
+                break
+            if "FileScan" in below:
+                bad.append(line.strip()[:120])
+                break
+    return bad
+
+
+def test_no_sort_aggregate_over_the_events(spark, parquet_log):
     ev = drop_blank_users(spark.read.parquet(parquet_log))
-    plan = plan_of(M.user_matrix(ev))
-    assert not any(node in plan for node in PY_NODES)
-    # string max runs only over distinct (userId, gender) pairs
-    for m in re.finditer(r"SortAggregate\(key=\[([^\]]*)\]", plan):
-        assert "sessionId" not in m.group(1)
+    for df in (M.user_matrix(ev), M.user_matrix(ev, intended=True), M.user_gender(ev), M.user_attributes(ev)):
+        plan = plan_of(df)
+        assert not any(node in plan for node in PY_NODES)
+        assert _sort_aggregates_over_scans(plan) == []
+    from pyspark.sql import functions as F
+
+    assert _sort_aggregates_over_scans(plan_of(ev.groupBy("userId").agg(F.max("gender"))))
+
+
+def _nodes(plan: str, name: str) -> int:
+    return len(re.findall(rf"\b{name}\b", plan))
+
+
+def test_events_are_read_and_shuffled_once(spark, parquet_log):
+    from churnlab.operators import listens as L
+
+    ev = drop_blank_users(spark.read.parquet(parquet_log))
+    for options in ({}, {"intended": True}, {"fanout": True}, {"only_listen_days": True}):
+        assert _nodes(plan_of(M.user_matrix(ev, **options)), "FileScan") == 1
+    for df, scans in ((L.running_listens(ev), 2), (L.filled_running_listens(ev), 2), (L.running_listens_by_churn(ev), 2), (L.enriched_events(ev), 3)):
+        plan = plan_of(df)
+        assert _nodes(plan, "FileScan") <= scans
+        # an exchange of events carries the tie-break, summaries do not
+        exchanged = [x for x in plan.split("Exchange hashpartitioning")[1:] if "Aggregate" not in x.split("FileScan")[0]]
+        assert len(exchanged) == 1, plan
+
+
+def test_page_filter_reaches_the_raw_column(spark):
+    plan = plan_of(QUERIES["flt2_listen_events"](spark, SF001))
+    assert "EqualTo(event_type,view)" in plan
 
 
 def test_json_source_pushes_blank_filter(spark, tmp_path):

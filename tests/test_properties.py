@@ -43,24 +43,29 @@ def _fill_by_plain_window(ev, horizon):
 
 @pytest.mark.parametrize("horizon", [0, 1, 3, 7, None])
 @pytest.mark.parametrize("bucket_ms", [60_000, 3_600_000, 86_400_000])
-@pytest.mark.parametrize("hot_user_rows", [None, 0, 30])
-def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms, hot_user_rows):
-    """None: every user two-level; 0: every user hot; 30: a mix of both paths."""
+def test_two_level_fill_equals_plain_window(random_log, horizon, bucket_ms):
     got = {
         r.seq: (r.running_listens_mon_fill, r.running_listens_mon)
         for r in L.filled_running_listens(
-            random_log, horizon=horizon, bucket_ms=bucket_ms, hot_user_rows=hot_user_rows
+            random_log, horizon=horizon, bucket_ms=bucket_ms
         ).collect()
     }
     want = {r.seq: (r.fill, r.run) for r in _fill_by_plain_window(random_log, horizon).collect()}
     assert got == want
 
 
-def test_materialized_matrix_equals_lazy(random_log):
-    for kw in ({}, {"fanout": True}, {"intended": True}, {"only_listen_days": True}):
-        lazy = sorted(M.user_matrix(random_log, **kw).collect())
-        mat = sorted(M.user_matrix(random_log, materialize=True, **kw).collect())
-        assert lazy == mat, kw
+def test_matrix_equals_its_parts(random_log):
+    """The one-pass matrix against the tables the streaming upkeep keeps."""
+    for kw in ({}, {"fanout": True}):
+        parts = M.assemble_matrix(
+            M.rollup_sessions(M.session_parts(random_log, **kw)), D.day_user_maxima(D.user_days(random_log)), M.user_gender(random_log)
+        )
+        assert sorted(parts.collect()) == sorted(M.user_matrix(random_log, **kw).collect())
+    days = D.user_days(random_log)
+    table = D.longest_streak(days).join(D.listen_gaps(days), "userId").join(L.most_listens_in_month(random_log), "userId")
+    for kw in ({}, {"only_listen_days": True}):
+        whole = M.user_matrix(random_log, intended=True, **kw).select("userId", *M.INTENDED_COLUMNS)
+        assert sorted(table.select("userId", *M.INTENDED_COLUMNS).collect()) == sorted(whole.collect())
 
 
 def test_results_do_not_depend_on_layout(random_log):
@@ -88,9 +93,8 @@ def test_streak_bounds(spark):
     assert bad.count() == 0
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, L.HOT_USER_ROWS])
-def test_unbounded_fill_is_running_count_after_first_listen(random_log, hot_user_rows):
-    df = L.filled_running_listens(random_log, horizon=None, hot_user_rows=hot_user_rows)
+def test_unbounded_fill_is_running_count_after_first_listen(random_log):
+    df = L.filled_running_listens(random_log)
     w = Window.partitionBy("userId").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
     seen = F.max(F.col("running_listens_mon").isNotNull().cast("int")).over(w)
     check = df.withColumn("seen", seen).where("seen = 1 AND running_listens_mon_fill = 0")
@@ -110,8 +114,7 @@ def test_blank_filter_keeps_all_real_users(random_log):
     assert drop_blank_users(random_log).count() == random_log.count()
 
 
-@pytest.mark.parametrize("hot_user_rows", [None, 0, 30, L.HOT_USER_ROWS])
-def test_enriched_day_features_equal_the_day_table_join(random_log, hot_user_rows):
+def test_enriched_day_features_equal_the_day_table_join(random_log):
     days = D.day_features(D.user_days(random_log)).select("userId", "date", "days_consec_listen", "days_since_last_listen")
     want = {
         r.seq: (r.days_consec_listen, r.days_since_last_listen)
@@ -121,6 +124,6 @@ def test_enriched_day_features_equal_the_day_table_join(random_log, hot_user_row
     }
     got = {
         r.seq: (r.days_consec_listen, r.days_since_last_listen)
-        for r in L.enriched_events(random_log, hot_user_rows=hot_user_rows).collect()
+        for r in L.enriched_events(random_log).collect()
     }
     assert got == want

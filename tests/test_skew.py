@@ -53,22 +53,13 @@ def test_bucket_key_spreads_the_hot_user(hot_log):
     assert largest_share(hot_log, "userId", "sessionId") < 0.15
 
 
-@pytest.mark.parametrize("hot_user_rows", [1000, L.HOT_USER_ROWS])
-def test_results_exact_under_skew(hot_log, hot_user_rows):
+@pytest.mark.parametrize("horizon", [7, None])
+def test_results_exact_under_skew(hot_log, horizon):
     from test_properties import _fill_by_plain_window
 
-    got = {r.seq: r.running_listens_mon_fill for r in L.filled_running_listens(hot_log, hot_user_rows=hot_user_rows).collect()}
-    want = {r.seq: r.fill for r in _fill_by_plain_window(hot_log, 7).collect()}
+    got = {r.seq: r.running_listens_mon_fill for r in L.filled_running_listens(hot_log, horizon=horizon).collect()}
+    want = {r.seq: r.fill for r in _fill_by_plain_window(hot_log, horizon).collect()}
     assert got == want
     hot = M.user_matrix(hot_log).where("userId = 'hot'").first()
     n_listens = hot_log.where("userId = 'hot' AND page = 'NextSong'").count()
     assert hot.total_listens == n_listens == hot.most_listens_one_month
-
-
-def test_only_hot_users_are_bucketed_in_one_plan(hot_log):
-    from pyspark.sql import functions as F
-
-    df = L.filled_running_listens(hot_log, hot_user_rows=1000)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert "_hot" in plan and "LeftAnti" not in plan and "Union" not in plan
-    assert df.where(F.col("userId") == "hot").count() == 6000

@@ -2,6 +2,7 @@
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import SQLTransformer
 
 from churnlab.operators import matrix as M
 from churnlab.plans import model as ML
@@ -13,7 +14,7 @@ from fixtures import frame
 
 def test_streamed_matrix_equals_batch(spark):
     ev = adapted_events(spark, SF001)
-    streamed = STR.streamed_user_matrix(spark, ev, files_per_trigger=1)
+    streamed = STR.streamed_user_matrix(spark, ev, per_trigger=1)
     batch = M.user_matrix(ev)
     assert sorted(streamed.collect()) == sorted(batch.collect())
 
@@ -23,7 +24,7 @@ def test_late_events_beyond_watermark_are_dropped(spark, tmp_path):
     on_time = frame(spark, [("a", 1, "2018-10-10 10:00", "NextSong", "M", "X, CA")] * 3)
     late = frame(spark, [("a", 1, "2018-10-01 10:00", "NextSong", "M", "X, CA")])
     STR.land_events(on_time, f"{base}/in/part1")
-    counts = STR.page_hour_counts(STR.with_event_time(STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1), dedupe=False))
+    counts = STR.page_hour_counts(STR.with_event_time(STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1), watermark="2 hours"))
     STR.run_available(counts, STR.upsert_sink(f"{base}/out"), f"{base}/ckpt")
     STR.land_events(late, f"{base}/in/part2")
     STR.run_available(counts, STR.upsert_sink(f"{base}/out"), f"{base}/ckpt")
@@ -61,12 +62,69 @@ def test_replayed_events_counted_once(spark, tmp_path):
                        ("a", 1, "2018-10-10 10:05", "NextSong", "M", "X, CA")])
     STR.land_events(ev, f"{base}/in/part1")
     STR.land_events(ev, f"{base}/in/part2")  # the same events delivered twice
-    counts = STR.page_hour_counts(STR.with_event_time(STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1)))
+    counts = STR.page_hour_counts(STR.with_event_time(STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1), watermark="2 hours", dedupe=True))
     STR.run_available(counts, STR.upsert_sink(f"{base}/out"), f"{base}/ckpt")
     got = STR.latest_by_key(spark.read.parquet(f"{base}/out"), ["window_start", "page"]).collect()
     assert [(r.page, r.n_events) for r in got] == [("NextSong", 2)]
 
 
+def test_raw_json_keeps_different_events_of_one_instant(spark, tmp_path):
+    import json
+
+    rows = [{"userId": "a", "sessionId": 1, "ts": 1538388000000, "page": p} for p in ("NextSong", "Home", "Thumbs Up")]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "log.json").write_text("\n".join(json.dumps(r) for r in rows + rows))
+    stream = STR.with_event_time(STR.read_event_stream(spark, str(tmp_path / "in"), fmt="json"), dedupe=True)
+    STR.run_available(STR.page_hour_counts(stream), STR.upsert_sink(str(tmp_path / "out")), str(tmp_path / "ckpt"))
+    got = STR.latest_by_key(spark.read.parquet(str(tmp_path / "out")), ["window_start", "page"]).collect()
+    assert sorted((r.page, r.n_events) for r in got) == [("Home", 1), ("NextSong", 1), ("Thumbs Up", 1)]
+
+
+def test_counts_are_complete_over_files_in_any_order(spark, tmp_path):
+    ev = adapted_events(spark, SF001, attrs=False)
+    STR.land_events(ev.repartition(6), str(tmp_path / "in"))
+    stream = lambda: STR.read_event_stream(spark, str(tmp_path / "in"), max_files_per_trigger=1)
+    hours = STR.streamed_page_hour_counts(spark, stream()).collect()
+    assert sum(r.n_events for r in hours) == ev.count()
+    days = STR.streamed_user_day_totals(spark, stream()).collect()
+    assert sum(r.n_events for r in days) == ev.count() and len(days) == len({(r.userId, r.date) for r in days})
+
+
+def test_replays_do_not_change_the_matrix(spark, tmp_path):
+    base, ev = str(tmp_path), adapted_events(spark, SF001)
+    STR.land_events(ev, f"{base}/in/part1")
+    STR.land_events(ev.limit(100), f"{base}/in/part2")
+    stream = lambda: STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1)
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    STR.land_events(ev, f"{base}/in/part3")  # the whole log again, in a later run
+    STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == sorted(M.user_matrix(ev).collect())
+
+
+def test_purge_leaves_every_user_to_scoring(spark, tmp_path):
+    base, (ev, first, second) = str(tmp_path), _halves(spark)
+    stream = lambda: STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=2)
+    for part, rows in (("part1", first), ("part2", second)):
+        STR.land_events(rows, f"{base}/in/{part}")
+        STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
+    STR.compact(spark, f"{base}/state", purge=True)
+    rule = SQLTransformer(statement="SELECT *, CAST(total_listens < 10 AS DOUBLE) AS prediction FROM __THIS__")
+    STR.score_matrix_updates(spark, rule, f"{base}/state", f"{base}/scores", f"{base}/ckpt2")
+    got = {r.userId: r.predicted_churn for r in STR.latest_by_key(spark.read.parquet(f"{base}/scores"), ["userId"]).collect()}
+    assert got == {r.userId: float(r.total_listens < 10) for r in M.user_matrix(ev).collect()}
+
+
+def test_scratch_folders_are_deleted(spark):
+    import os
+
+    from churnlab.session import ensure_checkpoint_dir
+
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = {d for d in os.listdir(root) if d.startswith("churnlab-")}
+    STR.streamed_user_session_totals(spark, adapted_events(spark, SF001, attrs=False)).count()
+    assert {d for d in os.listdir(root) if d.startswith("churnlab-")} == before
+
+
 def _halves(spark):
     from pyspark.sql import functions as F
 
