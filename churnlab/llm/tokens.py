@@ -11,7 +11,10 @@ those of encoding the whole text (tested against it).
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -20,19 +23,27 @@ LATIN = re.compile("[\x00-\xff]*")
 RUN = re.compile(r"\s\s")
 #: A word with the white space before it, or white space at the end.
 WORD = re.compile(r"\s*\S+|\s+")
-#: Words and pieces held in each of two generations of a task's cache, and
-#: the longest word held.
-CACHE_WORDS, CACHE_CHARS = 200_000, 64
+#: Words held before a worker's cache starts anew, and a quarter as many pieces.
+CACHE_WORDS = 1_000_000
 #: Characters of text handled at once.
 CHUNK = 4 << 20
 
 
 class _Words(dict):
-    """word -> its number in this chunk's list; a new word gets the next."""
+    """word -> its slot; a new word is encoded and gets the next slot.
+
+    Words after a space are kept without it, all others behind a NUL.
+    """
+
+    def __init__(self, spaced, whole):
+        super().__init__()
+        self.spaced, self.whole, self.ids, self.first = spaced, whole, array("I"), array("q", [0])
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        return number
+        self.ids.extend(self.whole(word[1:]) if word[:1] == "\0" else self.spaced(word))
+        slot = self[word] = len(self.first) - 1
+        self.first.append(len(self.ids))
+        return slot
 
 
 class WordEncoder:
@@ -44,85 +55,95 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.normalizer, self.cutter, self.model = (getattr(self.tokenizer, k) for k in ("normalizer", "pre_tokenizer", "model"))
-        # what the file makes of Latin-1 letters after a space, and of one
-        # character of punctuation after them; asked once, letter by letter
+        # what the file makes of Latin-1 letters after a space, asked letter
+        # by letter, and of a run of punctuation after them, as it comes up
         self.mark = self._cut(" Ab")[0][:-2]
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.letters = {ord(c): self._cut(f" {c}")[0].removeprefix(self.mark) for c in letters}
-        cut = {c: self._cut(f" Ab{c}") for c in map(chr, range(33, 127)) if not c.isalnum()}
-        self.tails = {c: got[1] for c, got in cut.items() if len(got) == 2}
-        self.new: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        ascii_letters = [c for c in letters if c.isascii()]
+        self.keeps = all(self.letters[ord(c)] == c for c in ascii_letters)
+        self.lowers = all(self.letters[ord(c)] == c.lower() for c in ascii_letters)
+        self.tails: dict[str, tuple[int, ...]] = {"": ()}
+        self.words = _Words(self._spaced, self._whole)
+        self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _cut(self, text: str) -> list[str]:
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
         return [p for p, _ in self.cutter.pre_tokenize_str(text)]
 
-    def _piece(self, piece: str) -> list[int]:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.pieces.get(piece)
         if got is None:
-            got = [t.id for t in self.model.tokenize(piece)]
-            if len(piece) <= CACHE_CHARS:
-                self.pieces[piece] = got
+            got = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(piece)])
         return got
 
-    def _word(self, word: str) -> list[int]:
-        """Ids of a word with its leading white space; looked up first."""
-        got = self.new.get(word)
+    def _tail(self, run: str) -> tuple[int, ...]:
+        got = self.tails.get(run)
         if got is None:
-            got = self.old.get(word)
-            if got is None:
-                tail = self.tails.get(word[-1])
-                plain = word[1:] if tail is None else word[1:-1]
-                if word[0] == " " and plain.isalpha() and LATIN.fullmatch(plain):
-                    got = self._piece(self.mark + plain.translate(self.letters))
-                    if tail is not None:
-                        got = got + self._piece(tail)
-                else:
-                    got = [x for piece in self._cut(word) for x in self._piece(piece)]
-            if len(word) <= CACHE_CHARS:
-                self.new[word] = got
+            if len(self.tails) > 10_000:
+                self.tails = {"": ()}
+            got = self.tails[run] = tuple([x for piece in self._cut(f" Ab{run}")[1:] for x in self._piece(piece)])
         return got
 
+    def _spaced(self, word: str) -> tuple[int, ...]:
+        """Ids of a word after a space; plain words take a short way."""
+        plain = word.rstrip(punctuation)
+        if not plain.isalpha():
+            return self._whole(" " + word)
+        if plain.isascii() and (self.keeps or self.lowers):
+            piece = self.mark + (plain if self.keeps else plain.lower())
+        elif LATIN.fullmatch(plain):
+            piece = self.mark + plain.translate(self.letters)
+        else:
+            return self._whole(" " + word)
+        got = self.pieces.get(piece) or self._piece(piece)
+        return got if len(plain) == len(word) else got + self._tail(word[len(plain) :])
+
+    def _whole(self, word: str) -> tuple[int, ...]:
+        """Ids of a word with its leading white space, cut by the file's rules."""
+        return tuple([x for piece in self._cut(word) for x in self._piece(piece)])
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offset of each text's first id."""
-        spaced, whole = _Words(), _Words()
-        numbers: list[int] = []
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self._spaced, self._whole)
+        if len(self.pieces) > CACHE_WORDS // 4:
+            self.pieces = {}
+        slot = self.words.__getitem__
+        slots: list[int] = []
         counts = np.zeros(len(texts), np.int64)
-        # words after a space have numbers from 0, all others from -1 down
         for i, text in enumerate(texts):
             if not text:
                 continue
-            before = len(numbers)
+            before = len(slots)
             if RUN.search(text):
-                numbers += [-1 - whole[w] for w in WORD.findall(text)]
+                slots += [slot("\0" + w) for w in WORD.findall(text)]
             else:
                 words = text.split(" ")
                 if words[0]:
-                    numbers.append(-1 - whole[words[0]])
-                if len(words) > 1:
-                    numbers += map(spaced.__getitem__, words[1:])
-            counts[i] = len(numbers) - before
-        ids = [self._word(" " + w) for w in spaced] + [self._word(w) for w in whole]
-        if len(self.new) > CACHE_WORDS:
-            self.new, self.old = {}, self.new
-        if len(self.pieces) > CACHE_WORDS:
-            self.pieces = {}
+                    slots.append(slot("\0" + words[0]))
+                del words[0]
+                slots += map(slot, words)
+            counts[i] = len(slots) - before
         starts = np.concatenate(([0], np.cumsum(counts)))
-        if not numbers:
+        if not slots:
             return np.zeros(0, np.uint32), starts * 0
-        at = np.array(numbers, np.int64)
-        at = np.where(at < 0, len(spaced) - 1 - at, at)
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for word in ids for x in word), np.uint32, int(size.sum()))
-        first, lengths = np.cumsum(size) - size, size[at]
+        at = np.array(slots, np.int64)
+        flat = np.array(self.words.ids, np.uint32)
+        first = np.array(self.words.first, np.int64)
+        begin, lengths = first[at], np.diff(first)[at]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        out = flat[np.repeat(first[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        out = flat[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])]
         return out, ends[starts]
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """The worker's encoder of a file: a reused worker keeps its cache."""
+    return WordEncoder(path)
+
+
 def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The ids with an end id after each text."""
     n = len(offsets) - 1

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed, ship
-from churnlab.llm.tokens import WordEncoder, text_chunks, with_end
+from churnlab.llm.tokens import encoder, text_chunks, with_end
 
 TOKENS = 2048
 BUCKET_ROWS = 4000
@@ -48,11 +48,11 @@ def cut(total: int, limit: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encoder = WordEncoder(path)
+    encode = encoder(path).encode
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
         for first, texts in text_chunks(batch.column(1)):
-            ids, offsets = with_end(*encoder.encode(texts), end)
+            ids, offsets = with_end(*encode(texts), end)
             ids = ids.astype("<u4")
             rows, parts = [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
