@@ -23,12 +23,12 @@ from pathlib import Path
 ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
 
-from churnlab.plans.catalog import NO_ORACLE, QUERIES  # noqa: E402
+from churnlab.plans.catalog import NO_ORACLE, QUERIES, TRAINING  # noqa: E402
 from churnlab.session import local_session  # noqa: E402
 
 # Model training runs are benchmarked separately (they are iterative and
 # dominated by MLlib); streaming queries write files by design.
-SKIP = set(NO_ORACLE)
+SKIP = set(NO_ORACLE) | TRAINING
 
 
 def main() -> None:
@@ -44,6 +44,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["agg1_page_visits"](spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
 
+    # a plain scan of the events, to compare runs on machines of other speed
+    t0 = time.perf_counter()
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.format("noop").mode("overwrite").save()
+    calibration = time.perf_counter() - t0
+
     times: dict[str, float] = {}
     for name in names:
         best = None
@@ -65,6 +70,7 @@ def main() -> None:
                 "sf": float(m.group(1)) if m else sf_dir,
                 "cpus": cpus,
                 "n_queries": len(times),
+                "calibration_scan": round(calibration, 3),
             }
         )
     )

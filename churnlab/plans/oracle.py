@@ -488,6 +488,21 @@ SELECT c.*, (SELECT count(*) FROM ev_all) AS n_rows FROM (VALUES
   ('gender', 'string', 5), ('location', 'string', 6), ('level', 'string', 7), ('status', 'int', 8)
 ) AS c("column", "type", "position")"""
 )
+_TEST = _with(ADAPTER, MATRIX, SPLIT)
+SQL["ml8_scored_rows"] = (
+    _TEST
+    + """
+SELECT model, label, count(*) AS n_scored FROM pred, (VALUES ('LogisticRegression'), ('GBTClassifier'), ('RandomForestClassifier')) AS m(model)
+WHERE split = 'test' GROUP BY model, label"""
+)
+SQL["ml11_scored_users"] = _TEST + "\nSELECT userId, label FROM pred WHERE split = 'test'"
+SQL["ml13_script_grid"] = """
+SELECT d AS "maxDepth", b AS "maxBins", true AS in_range, 1 AS n_best
+FROM (VALUES (3), (5), (7)) AS x(d), (VALUES (16), (32), (64)) AS y(b)"""
+SQL["ml14_importance_sum"] = "SELECT CAST(16 AS BIGINT) AS n_features, CAST(16 AS BIGINT) AS n_valid, CAST(1.0 AS DOUBLE) AS total"
+SQL["str5_rule_scores"] = (
+    _with(ADAPTER, MATRIX) + '\nSELECT userId, CAST(total_listens < 20 AS DOUBLE) AS predicted_churn FROM matrix'
+)
 SQL["str4_streamed_user_matrix"] = SQL["jn4_user_matrix"]
 
 SQL["jn4_user_matrix_fanout"] = _with(ADAPTER, WEIGHTS, MATRIX_FANOUT) + f"\nSELECT {MATRIX_SELECT} FROM matrix"

@@ -6,13 +6,13 @@ import pytest
 
 from churnlab.operators import matrix as M
 from churnlab.operators.events import drop_blank_users
-from churnlab.plans.catalog import NO_ORACLE, QUERIES
+from churnlab.plans.catalog import NO_ORACLE, QUERIES, TRAINING
 from churnlab.sources.events import to_events
 from conftest import SF001
 from fixtures import h1
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas", "MapInPandas")
-STREAMING = {"str2_page_hour_counts", "str3_user_day_totals", "str3_session_totals", "str4_streamed_user_matrix", "src1_json_matrix", "prf2_schema"}
+STREAMING = {"str2_page_hour_counts", "str3_user_day_totals", "str3_session_totals", "str4_streamed_user_matrix", "src1_json_matrix", "prf2_schema", "str5_rule_scores", *TRAINING}
 
 
 def plan_of(df):
