@@ -105,18 +105,22 @@ def splitters(rows: DataFrame, shards: int, pieces: int, fan: int = 64, piece_to
         return []
     total = whole[0].bytes
     tolerance = piece_tolerance * total / pieces
-    cells, live, first = whole, rows.withColumn("cell", F.lit(0).cast("long")), True
-    active = {0: whole[0]} if not whole[0].single else {}
+    cells, live, active = whole, None, {0: whole[0]} if not whole[0].single else {}
     while active:
-        width = (1 << FIRST_BITS) if first else fan
-        first = False
-        table = [{"cell": i, **c.probes(width)} for i, c in active.items()]
-        # as many rows as cells under refinement: at most `pieces`
-        probes = F.broadcast(inline_table(spark, "cell bigint,on_k boolean,lo bigint,step bigint,shift int", table))
+        if live is None:  # the first probes divide all rows: no lookup
+            width = 1 << FIRST_BITS
+            only = whole[0].probes(width)
+            asked = rows.withColumns({"cell": F.lit(0).cast("long"), **{k: F.lit(v) for k, v in only.items()}})
+        else:
+            width = fan
+            table = [{"cell": i, **c.probes(width)} for i, c in active.items()]
+            # as many rows as cells under refinement: at most `pieces`
+            probes = inline_table(spark, "cell bigint,on_k boolean,lo bigint,step bigint,shift int", table)
+            asked = live.join(F.broadcast(probes), "cell")
         along = F.when(F.col("on_k"), F.col("k")).otherwise(F.col("d"))
         along = F.when(F.col("shift") == 1, F.shiftright(along, 1)).otherwise(along)
-        live = live.join(probes, "cell").withColumn("at", along - F.col("lo"))
-        live = live.withColumn("cell", F.col("cell") * width + F.expr("at div step")).select("size", "k", "d", "cell")
+        placed = asked.withColumn("at", along - F.col("lo"))
+        live = placed.select("size", "k", "d", (F.col("cell") * width + F.expr("at div step")).alias("cell"))
         found: dict[int, list[tuple[int, _Cell]]] = {}
         for h in _histogram(live):
             found.setdefault(h.cell // width, []).append((h.cell, _cells([h])[0]))
@@ -128,10 +132,8 @@ def splitters(rows: DataFrame, shards: int, pieces: int, fan: int = 64, piece_to
         _count_below(cells)
         number = {id(c): i for i, c in fresh if i is not None}
         wanted = _unresolved(cells, total, pieces, per, tolerance)
-        # a cell outside this round's lineage already meets its boundary
-        nxt = {number[id(c)]: c for c in wanted}
-        live = live.join(F.broadcast(inline_table(spark, "cell bigint", [{"cell": i} for i in nxt])), "cell", "left_semi") if nxt else live
-        active = nxt
+        # a cell that no boundary falls into any more leaves the next round by the join
+        active = {number[id(c)]: c for c in wanted}
     return _boundaries(cells, total, pieces, per)
 
 
