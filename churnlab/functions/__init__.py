@@ -14,7 +14,6 @@ from churnlab.functions.columns import (
     next_day_flag,
     page_flag,
     period_start,
-    round6,
     state,
     unix_day,
 )
@@ -33,7 +32,6 @@ __all__ = [
     "next_day_flag",
     "page_flag",
     "period_start",
-    "round6",
     "state",
     "unix_day",
 ]

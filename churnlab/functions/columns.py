@@ -113,8 +113,3 @@ def hash_percent(key: str | Column) -> Column:
     on it are reproducible across runs and cluster sizes.
     """
     return F.pmod(F.conv(F.substring(F.md5(_c(key)), 1, 8), 16, 10).cast("long"), F.lit(100)).cast("int")
-
-
-def round6(c: str | Column) -> Column:
-    """Round a double to 6 places (results compared across engines)."""
-    return F.round(_c(c), 6)
