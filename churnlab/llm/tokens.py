@@ -32,7 +32,8 @@ CHUNK = 4 << 20
 class _Words(dict):
     """word -> its slot; a new word is encoded and gets the next slot.
 
-    Words after a space are kept without it, all others behind a NUL.
+    Words after a space are kept without it, all others behind a NUL, with
+    the white space before them.
     """
 
     def __init__(self, spaced, whole):
@@ -56,8 +57,11 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True
         self.normalizer, self.cutter, self.model = (getattr(self.tokenizer, k) for k in ("normalizer", "pre_tokenizer", "model"))
         # what the file makes of Latin-1 letters after a space, asked letter
-        # by letter, and of a run of punctuation after them, as it comes up
+        # by letter, and of a run of punctuation after them, as it comes up;
+        # what it puts before the letters after a space and after a line end
         self.mark = self._cut(" Ab")[0][:-2]
+        line = self._cut("\nAb")
+        self.line, self.line_mark = line[:-1], line[-1][:-2]
         letters = [chr(c) for c in range(256) if chr(c).isalpha()]
         self.letters = {ord(c): self._cut(f" {c}")[0].removeprefix(self.mark) for c in letters}
         ascii_letters = [c for c in letters if c.isascii()]
@@ -86,22 +90,31 @@ class WordEncoder:
             got = self.tails[run] = tuple([x for piece in self._cut(f" Ab{run}")[1:] for x in self._piece(piece)])
         return got
 
-    def _spaced(self, word: str) -> tuple[int, ...]:
-        """Ids of a word after a space; plain words take a short way."""
+    def _plain(self, word: str, mark: str) -> tuple[int, ...] | None:
+        """Ids of letters and punctuation behind them; None for other words."""
         plain = word.rstrip(punctuation)
         if not plain.isalpha():
-            return self._whole(" " + word)
+            return None
         if plain.isascii() and (self.keeps or self.lowers):
-            piece = self.mark + (plain if self.keeps else plain.lower())
+            piece = mark + (plain if self.keeps else plain.lower())
         elif LATIN.fullmatch(plain):
-            piece = self.mark + plain.translate(self.letters)
+            piece = mark + plain.translate(self.letters)
         else:
-            return self._whole(" " + word)
+            return None
         got = self.pieces.get(piece) or self._piece(piece)
         return got if len(plain) == len(word) else got + self._tail(word[len(plain) :])
 
+    def _spaced(self, word: str) -> tuple[int, ...]:
+        """Ids of a word after a space."""
+        got = self._plain(word, self.mark)
+        return self._whole(" " + word) if got is None else got
+
     def _whole(self, word: str) -> tuple[int, ...]:
         """Ids of a word with its leading white space, cut by the file's rules."""
+        if word[0] == "\n":
+            got = self._plain(word[1:], self.line_mark)
+            if got is not None:
+                return tuple([x for piece in self.line for x in self._piece(piece)]) + got
         return tuple([x for piece in self._cut(word) for x in self._piece(piece)])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,11 +133,14 @@ class WordEncoder:
             if RUN.search(text):
                 slots += [slot("\0" + w) for w in WORD.findall(text)]
             else:
-                words = text.split(" ")
-                if words[0]:
-                    slots.append(slot("\0" + words[0]))
-                del words[0]
-                slots += map(slot, words)
+                lead = "\0"
+                for line in text.split("\n"):
+                    words = line.split(" ")
+                    words[0] = lead + words[0]
+                    if words[0] == "\0":
+                        del words[0]
+                    slots += map(slot, words)
+                    lead = "\0\n"
             counts[i] = len(slots) - before
         starts = np.concatenate(([0], np.cumsum(counts)))
         if not slots:
