@@ -197,5 +197,7 @@ def identified(docs: DataFrame) -> DataFrame:
             column = pa.array(texts, pa.string(), from_pandas=True)
             yield pd.Series([x for _, langs, _ in predict(column) for x in langs], dtype=object)
 
+    # evaluated once: the filter below would otherwise be pushed under it
+    predicted = predicted.asNondeterministic()
     kept = docs.withColumn("_lang", predicted("text")).filter(F.col("_lang").isNull() | (F.col("_lang") != UNKNOWN))
     return kept.select(*(F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
