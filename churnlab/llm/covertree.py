@@ -115,7 +115,7 @@ def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float):
 
 
 def _join(keys, side_a: pd.DataFrame, side_b: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    same = keys[0] == keys[1]
+    same = keys[0] == keys[1] and keys[2] == keys[3]
     empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
     if not len(side_a) or not (same or len(side_b)):
         return empty
@@ -185,31 +185,28 @@ def near_vectors(df: DataFrame, cosine: float = 0.9) -> DataFrame:
     dealt = classes.select("rep", "n", "v", "dims").mapInPandas(partial(_deal, pivots=pivots), "rep long, n long, v array<double>, pivot int, away double")
     dealt = checkpointed(dealt)
 
-    # cells above CELL classes are cut into parts; at most MAX_PIVOTS rows
+    # at most MAX_PIVOTS cells; those above CELL classes are cut into parts
     cells = dealt.groupBy("pivot").agg(F.max("away").alias("radius"), F.count(F.lit(1)).alias("size")).collect()
     center = {first + i: c for first, own in pivots.values() for i, c in enumerate(own)}
-    pairs, number, parts = [], 0, []
-    for c in cells:
-        n_parts = -(-c["size"] // CELL)
-        parts.append({"pivot": c.pivot, "first": number, "parts": n_parts})
-        number += n_parts
     reach = np.sqrt(2 - 2 * cosine) + 1e-9
-    at = {c["pivot"]: c for c in parts}
+    pairs = []
     for i, c in enumerate(cells):
         for d in cells[i:]:
             known = c.pivot in center and d.pivot in center and center[c.pivot].shape == center[d.pivot].shape
             if c.pivot == d.pivot or known and np.sqrt(((center[c.pivot] - center[d.pivot]) ** 2).sum()) <= c.radius + d.radius + reach:
-                pairs.append((at[c.pivot], at[d.pivot]))
+                pairs.append((c.pivot, d.pivot, -(-c["size"] // CELL), -(-d["size"] // CELL)))
     if not pairs:
         return _result(df, rows, classes, None)
-    tasks = [(s, t) for p, q in pairs for s in range(p["first"], p["first"] + p["parts"]) for t in range(q["first"], q["first"] + q["parts"]) if p is not q or s <= t]
-    tasks = spark.createDataFrame([(min(x), max(x)) for x in tasks], "s int, t int")
-    table = spark.createDataFrame([tuple(p.values()) for p in parts], "pivot int, first int, parts int")
-    placed = dealt.join(F.broadcast(table), "pivot").select("rep", "n", "v", (F.col("first") + F.pmod(F.xxhash64("rep"), F.col("parts"))).cast("int").alias("part"))
-    side = ["rep", "n", "v", "s", "t"]
-    left = placed.join(F.broadcast(tasks), F.col("part") == F.col("s")).select(*side).toDF(*side)
-    right = placed.join(F.broadcast(tasks.filter("s <> t")), F.col("part") == F.col("t")).select(*side).toDF(*side)
-    found = left.groupBy("s", "t").cogroup(right.groupBy("s", "t")).applyInPandas(partial(_join, cosine=cosine), LINKS)
+    # a row per pair of pivots, at most MAX_PIVOTS squared; the parts are unfolded by the tasks
+    near = F.broadcast(spark.createDataFrame(pairs, "p int, q int, p_parts int, q_parts int"))
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("pivot") == F.col("p"), F.col("p_parts")).otherwise(F.col("q_parts"))).cast("int")
+    side = ["rep", "n", "v", "p", "q", "s", "t"]
+    left = dealt.join(near, F.col("pivot") == F.col("p")).withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    left = left.filter("p <> q or s <= t").select(*side).toDF(*side)
+    right = dealt.join(near, F.col("pivot") == F.col("q")).withColumn("t", own).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
+    right = right.filter("p <> q or s < t").select(*side).toDF(*side)
+    tasks = ["p", "q", "s", "t"]
+    found = left.groupBy(*tasks).cogroup(right.groupBy(*tasks)).applyInPandas(partial(_join, cosine=cosine), LINKS)
     return _result(df, rows, classes, checkpointed(found))
 
 

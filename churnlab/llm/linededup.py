@@ -36,6 +36,8 @@ from churnlab.llm.common import BLANKS, ascii_lower, checkpointed, partitions, s
 from churnlab.llm.cuckoo import FilterStack
 
 MIN_CHARS = 10
+#: Lines a task probes at once, at most.
+GROUP_LINES = 500_000
 KEY = ["h1", "h2"]
 
 
@@ -170,7 +172,7 @@ class LineIndex:
         lines = line_keys(docs, self.shards) if lines is None else lines
         repeated, filters = self.repeated(), self.filters()
         sizes = checkpointed(lines.groupBy("shard").agg(F.count(F.lit(1)).alias("n")))
-        share = max(1000, int((sizes.agg(F.avg("n")).first()[0] or 0) * 1.5))
+        share = min(GROUP_LINES, max(1000, int((sizes.agg(F.avg("n")).first()[0] or 0) * 1.5)))
         # one row per shard
         parts = F.broadcast(sizes.select("shard", F.ceil(F.col("n") / share).cast("int").alias("parts")))
         dealt = lines.join(parts, "shard").withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.col("parts")).cast("int"))
