@@ -51,7 +51,9 @@ HINT = re.compile(
     r"|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|copyright|disclaimer|legal|login|signup|search)(?:$|[\s_-])",
     re.I,
 )
-MAIN_HINT = re.compile(r"(?:^|\s)(?:(?:post|entry|article|story|main|page)[_-]?(?:content|body|text)|content|articlebody)(?:$|\s)", re.I)
+MAIN_HINT = re.compile(r"(?:^|\s)(?:(?:post|entry|article|story|main|page)[_-]?(?:content|body|text)|main|article|post|story|entry|content|articlebody)(?:$|\s)", re.I)
+#: Names that say what a page has or lacks, not what the element is.
+ABOUT = re.compile(r"(?:^|\s)(?:has|with|no|without|is)[_-]\S+", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Frequent function words of the languages read.
@@ -90,6 +92,9 @@ def _place(tag: str, attributes: str, inside: int) -> int:
             kind = value
         elif key == "hidden" or "display:none" in value.replace(" ", "").lower():
             return BAD
+    if tag in ("html", "body"):
+        return inside
+    names = ABOUT.sub(" ", names)
     if tag in BOILERPLATE or role in ROLES or (names and HINT.search(names)):
         return BAD
     if tag in ("article", "main") or role in ("main", "article") or (names and MAIN_HINT.search(names)) or kind.lower() == "articlebody":

@@ -85,6 +85,11 @@ def test_page_without_an_article_element():
     assert htmltext.main_text(page) == WANT
 
 
+def test_names_about_the_page_are_no_hints():
+    page = f'<html><body class="single menu-open"><div class="wrap has-sidebar"><div class="post">{ARTICLE}</div><div class="sidebar"><p>The list of all the other texts that are on the site and that you may like to read.</p></div></div></body></html>'
+    assert htmltext.main_text(page) == WANT
+
+
 def test_broken_markup_and_references():
     assert htmltext.main_text("<article><p>a &lt;b&gt; &eacute;&nbsp;x<p><b>c<br>d<p>e</article><p") == "a <b> é x\n\nc d\n\ne"
     assert htmltext.main_text("<article><p>cut off <scr") == "cut off"
