@@ -24,7 +24,7 @@ RUN = re.compile(r"\s\s")
 #: A word with the white space before it, or white space at the end.
 WORD = re.compile(r"\s*\S+|\s+")
 #: Words held before a worker's cache starts anew, and a quarter as many pieces.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Characters of text handled at once.
 CHUNK = 4 << 20
 
@@ -154,7 +154,7 @@ class WordEncoder:
         return out, ends[starts]
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str) -> WordEncoder:
     """The worker's encoder of a file: a reused worker keeps its cache."""
     return WordEncoder(path)

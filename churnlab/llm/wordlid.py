@@ -23,8 +23,9 @@ Extra columns are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import partial
 
 import numpy as np
@@ -38,7 +39,7 @@ from churnlab.llm.tokens import text_chunks
 
 SAMPLE, MIN_WORD, LONGEST = 1000, 3, 5
 SMOOTH = 0.5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -70,31 +71,42 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Log frequencies of words and n-grams; one column per language."""
+    """Log frequencies of words and n-grams; one column per language.
 
-    def __init__(self, languages: list[str], counts: list[tuple[str, int, str, int]]):
+    ``places`` has, per size (0: whole words), the row of each part in
+    ``rows``, one matrix of 32-bit floats.
+    """
+
+    def __init__(self, languages: list[str], counts: Iterable[tuple[str, int, str, int]]):
         self.languages = sorted(languages)
         column = {x: i for i, x in enumerate(self.languages)}
-        tables: dict[int, dict[str, np.ndarray]] = {}
+        self.places: dict[int, dict[str, int]] = {}
+        cells, total = array("q"), 0
         for lang, size, part, n in counts:
-            row = tables.setdefault(size, {}).setdefault(part, np.zeros(len(column)))
-            row[column[lang]] += n
-        self.tables: dict[int, dict[str, np.ndarray]] = {}
-        for size, table in tables.items():
-            rows = np.array(list(table.values())) + SMOOTH
-            self.tables[size] = dict(zip(table, np.log(rows / rows.sum(axis=0)).astype(np.float32), strict=True))
-        self.none = np.zeros(len(column), np.float32)
+            table = self.places.setdefault(size, {})
+            at = table.get(part)
+            if at is None:
+                at = table[part] = total
+                total += 1
+            cells.extend((at, column[lang], n))
+        at, lang, n = np.array(cells, np.int64).reshape(-1, 3).T
+        rows = np.full((total, len(column)), SMOOTH)
+        np.add.at(rows, (at, lang), n)
+        for table in self.places.values():
+            own = np.fromiter(table.values(), np.int64, len(table))
+            rows[own] = np.log(rows[own] / rows[own].sum(axis=0))
+        self.rows = rows.astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        known = self.tables.get(0, {}).get(word)
+        known = self.places.get(0, {}).get(word)
         if known is not None:
-            return known
+            return self.rows[known]
         for n in range(LONGEST, 0, -1):
-            table = self.tables.get(n, {})
-            rows = [r for r in map(table.get, grams(word, n)) if r is not None]
-            if rows:
-                return np.mean(rows, axis=0)
-        return self.none
+            table = self.places.get(n, {})
+            at = [r for r in map(table.get, grams(word, n)) if r is not None]
+            if at:
+                return self.rows[at].mean(axis=0)
+        return np.zeros(len(self.languages), np.float32)
 
 
 class _Scores(dict):
@@ -102,13 +114,16 @@ class _Scores(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows = model, []
+        self.model, self.rows = model, array("f")
 
     def __missing__(self, word: str) -> int:
-        number = self[word] = len(self.rows)
-        self.rows.append(self.model.word(word))
+        number = self[word] = len(self)
+        self.rows.extend(self.model.word(word).tolist())
         return number
 
+    def table(self) -> np.ndarray:
+        return np.array(self.rows, np.float32).reshape(len(self), -1)
+
 
 class Predictor:
     """Predicts texts, keeping the scores of the words met so far."""
@@ -125,14 +140,14 @@ class Predictor:
             if len(self.scores) > CACHE_WORDS:
                 self.scores = _Scores(self.model)
             at = [list(map(self.scores.__getitem__, words_of(text))) for text in texts]
-            table = np.array(self.scores.rows, np.float64)
+            table = self.scores.table() if self.scores else None
             langs, values = [], []
             for words in at:
                 if not words or not self.model.languages:
                     langs.append(None if words else UNKNOWN)
                     values.append(0.0)
                     continue
-                total = table[words].sum(axis=0)
+                total = table[words].sum(axis=0, dtype=np.float64)
                 best = int(total.argmax())
                 langs.append(self.model.languages[best])
                 values.append(float(1 / np.exp(total - total[best]).sum()))
@@ -166,7 +181,9 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     whole = Window.partitionBy("size", "part")
     summed = counts.groupBy("lang", "size", "part").agg(F.sum("n").alias("n")).withColumn("all", F.sum("n").over(whole))
     kept = summed.filter(F.col("all") >= MIN_WORD).drop("all")
-    rows = [tuple(r) for r in kept.orderBy("size", "part", "lang").collect()]
+    # bounded by the sample, and columns on the driver
+    found = kept.orderBy("size", "part", "lang").toArrow()
+    rows = zip(*(c.to_pylist() for c in found.select(["lang", "size", "part", "n"]).columns), strict=True)
     return Model([r.lang for r in totals.collect()], rows)
 
 

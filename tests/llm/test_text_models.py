@@ -43,11 +43,11 @@ def test_label_source_and_id_are_no_inputs(spark):
 
 def test_backoff_uses_the_longest_known_grams():
     model = wordlid.Model(["a", "b"], [("a", 0, "known", 5), ("a", 3, "unk", 9), ("b", 3, "unk", 1), ("b", 3, "xyz", 9), ("b", 1, "z", 50), ("a", 1, "y", 50)])
-    assert (model.word("known") == model.tables[0]["known"]).all()
+    assert (model.word("known") == model.rows[model.places[0]["known"]]).all()
     assert model.word("unkz")[0] > model.word("unkz")[1]
     assert model.word("zzz")[1] > model.word("zzz")[0]
     assert model.word("qqq").tolist() == [0, 0]
-    assert (model.word("unkz") == model.tables[3]["unk"]).all()
+    assert (model.word("unkz") == model.rows[model.places[3]["unk"]]).all()
 
 
 def test_nothing_learned(spark):
