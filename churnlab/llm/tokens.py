@@ -169,12 +169,13 @@ def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) in pieces of about ``limit`` characters; null is empty."""
     first, size, held = 0, 0, []
-    for i, text in enumerate(column.to_pylist()):
-        text = text or ""
-        if held and size + len(text) > limit:
-            yield first, held
-            first, size, held = i, 0, []
-        held.append(text)
-        size += len(text)
+    for at in range(0, len(column), 256):
+        for i, text in enumerate(column.slice(at, 256).to_pylist(), at):
+            text = text or ""
+            if held and size + len(text) > limit:
+                yield first, held
+                first, size, held = i, 0, []
+            held.append(text)
+            size += len(text)
     if held:
         yield first, held
