@@ -3,19 +3,22 @@
 A page is cut into blocks at block-level tags; scripts, styles, templates
 and comments are passed over. A block keeps its length, the share of its
 characters inside links, the share of its words that are stop words, and
-where it stands: inside an article, inside boilerplate (navigation, header,
-footer, sidebar, form, advert, notice, reader comments, by tag, role or the
-words of class and id), or neither.
-
-Pass one decides what the rules can: boilerplate and blocks of links are
-bad; a block that is long enough and has the density of stop words of
-running text is good; long blocks with few stop words are bad outside an
-article. The others are ambiguous: short ones, and long ones with few stop
-words inside an article. In pass two an ambiguous block takes the label of
+where it stands: inside an article, inside boilerplate (by tag or role:
+navigation, header, footer, sidebar, form, dialog; or by a whole class name
+or id: those, adverts, notices, reader comments, ...), or neither. An article
+or main element is one whatever its class names; class names that speak for
+both say nothing.
+
+Pass one decides, wherever a block stands, what the rules can: boilerplate
+and blocks of links are bad; a block that is long enough and has the density
+of stop words of running text is good; long blocks with few stop words are
+bad outside an article. The others are ambiguous: short ones, and long ones
+with few stop words inside an article. In pass two an ambiguous block takes the label of
 its nearest decided neighbour, inside an article of its nearest decided
 neighbours in that article. Equally near neighbours that differ leave it
 good in an article or before a good block if it is a heading, else bad; an
-article without any decided block is kept whole.
+article without any decided block is kept whole. Where no block is good,
+boilerplate by class name or id alone is held against the rules as well.
 
 Defined cases: null and empty html give an empty text; unclosed or crossed
 tags and cut-off pages are read as far as they go; repeated rows get a row
@@ -45,15 +48,16 @@ VOID = frozenset("area base br col hr img input link meta param source track wbr
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOILERPLATE = frozenset("nav footer aside form menu head dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Whole class names and ids of boilerplate.
 HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead"
-    r"|comments?|commentlist|respond|replies|disqus|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay"
-    r"|newsletter|subscri\w+|share|sharing|social|related|recommend\w*|widgets?|toolbar|pagination|pager|copyright|disclaimer|legal|login|signup|search)(?:$|[\s_-])",
+    r"""(?<![^\s"'=])(?:(?:site|page|main|global)[_-])?(?:ads?|advert(?:s|isements?|ising)?|ad[_-](?:banner|block|box|container|slot|unit|wrapper)|banner|sponsor(?:s|ed)?|promo(?:s|tions?)?"""
+    r"""|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?(?:[_-]?(?:list|section|area|form))?|respond|replies|disqus(?:_thread)?"""
+    r"""|cookies?(?:[_-](?:notice|banner|bar|consent|popup|message))?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay"""
+    r"""|newsletter(?:[_-](?:signup|form|box))?|subscri(?:be|ption)|share|sharing|share[_-](?:buttons|bar|links)|social(?:[_-](?:share|sharing|links|media|icons))?"""
+    r"""|related(?:[_-](?:posts|articles|stories|content|links|news))?|recommend(?:ed|ations)|widgets?|toolbar|pagination|pager|copyright|disclaimer|legal|login|signup|search)(?![^\s"'>/])""",
     re.I,
 )
 MAIN_HINT = re.compile(r"(?:^|\s)(?:(?:post|entry|article|story|main|page)[_-]?(?:content|body|text)|main|article|post|story|entry|content|articlebody)(?:$|\s)", re.I)
-#: Names that say what a page has or lacks, not what the element is.
-ABOUT = re.compile(r"(?:^|\s)(?:has|with|no|without|is)[_-]\S+", re.I)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|itemprop|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
 #: Frequent function words of the languages read.
@@ -68,7 +72,8 @@ STOP_WORDS = frozenset(
 SHORT, DENSE, LINKED = 70, 0.3, 0.33
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
-NONE, MAIN, BAD = 0, 1, 2
+#: NAMED is boilerplate by class name or id alone.
+NONE, MAIN, BAD, NAMED = 0, 1, 2, 3
 
 
 class Block:
@@ -94,11 +99,13 @@ def _place(tag: str, attributes: str, inside: int) -> int:
             return BAD
     if tag in ("html", "body"):
         return inside
-    names = ABOUT.sub(" ", names)
-    if tag in BOILERPLATE or role in ROLES or (names and HINT.search(names)):
-        return BAD
-    if tag in ("article", "main") or role in ("main", "article") or (names and MAIN_HINT.search(names)) or kind.lower() == "articlebody":
+    if tag in ("article", "main") or role in ("main", "article"):
         return MAIN
+    if tag in BOILERPLATE or role in ROLES:
+        return BAD
+    bad, main = bool(names and HINT.search(names)), bool(names and MAIN_HINT.search(names)) or kind.lower() == "articlebody"
+    if bad != main:
+        return NAMED if bad else MAIN
     return inside
 
 
@@ -150,7 +157,7 @@ def blocks_of(page: str) -> list[Block]:
             held.append((" ", state["link"]))
             if state["breaks"] > 1:
                 flush()
-        elif tag in BLOCK or (not closing and HINT.search(attributes) and _place(tag, attributes, NONE) == BAD) or any(tag == s[0] for s in stack):
+        elif tag in BLOCK or (not closing and HINT.search(attributes) and _place(tag, attributes, NONE) >= BAD) or any(tag == s[0] for s in stack):
             flush()
             if tag in VOID:
                 continue
@@ -163,6 +170,8 @@ def blocks_of(page: str) -> list[Block]:
                 top_header = tag == "header" and inside != MAIN
                 if top_header or (inside == BAD and not (place == MAIN and any(s[0] == "form" and s[1] == BAD for s in stack) and not any(s[1] == BAD and s[0] != "form" for s in stack))):
                     place = BAD
+                elif inside == NAMED and place != BAD and not (place == MAIN and (tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I))):
+                    place = NAMED
                 elif place == MAIN and inside != MAIN:
                     state["articles"] += 1
                     article = state["articles"]
@@ -181,27 +190,40 @@ def blocks_of(page: str) -> list[Block]:
     return out
 
 
+def words_of(text: str) -> list[str]:
+    return [TRIM.sub("", w) for w in text.lower().split()]
+
+
 def stop_density(text: str) -> float:
-    words = text.lower().split()
-    return sum(TRIM.sub("", w) in STOP_WORDS for w in words) / max(1, len(words))
+    words = words_of(text)
+    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+
+
+def is_long(b: Block) -> bool:
+    """Long enough for the rules, with few links and no heading."""
+    return not b.heading and b.linked <= LINKED and len(b.text) >= SHORT
 
 
 def classify(blocks: list[Block]) -> None:
     """Both passes; every block gets a label."""
-    has_article = any(b.place == MAIN for b in blocks)
+    _classify(blocks, (BAD, NAMED))
+    if not any(b.label for b in blocks) and any(b.place == NAMED for b in blocks):
+        _classify(blocks, (BAD,))
+
+
+def _classify(blocks: list[Block], bad: tuple[int, ...]) -> None:
+    long = [b for b in blocks if b.place not in bad and is_long(b)]
+    dense = {b for b in long if stop_density(b.text) >= DENSE}
+    long = set(long)
     for b in blocks:
-        if b.place == BAD or b.linked > LINKED and len(b.text) > 0 and not (b.heading and b.place == MAIN):
+        if b.place in bad or b.linked > LINKED and not (b.heading and b.place == MAIN):
             b.label = False
-        elif b.place == NONE and has_article:
-            b.label = False
-        elif len(b.text) < SHORT or b.heading:
+        elif b not in long:
             b.label = None
-        elif stop_density(b.text) >= DENSE:
+        elif b in dense:
             b.label = True
-        elif b.place == MAIN:
-            b.label = None
         else:
-            b.label = False
+            b.label = None if b.place == MAIN else False
     decided = [b.label for b in blocks]
     for i, b in enumerate(blocks):
         if decided[i] is not None:

@@ -106,6 +106,19 @@ def test_short_blocks_follow_their_neighbours():
     assert "Near the text" in text and "Near the links" not in text
 
 
+BODY = "".join(f"<p>This is paragraph {i} of the text that stands on the page, and it is long enough to be read as running text.</p>" for i in range(3))
+
+
+def test_text_beside_an_article_card_is_kept():
+    page = f"<body><div>{BODY}</div><article><h3>More</h3><a href='/x'>Another of the texts on the site</a></article></body>"
+    assert htmltext.main_text(page).count("This is paragraph") == 3
+
+
+def test_class_names_that_hold_a_hint_are_none():
+    for start in ("<article class='post-12 post category-legal tag-social'>", "<div class='right-sidebar'>", "<div class='content-sidebar-wrap'>", "<div class='post widget'>", "<div class='sidebar'><main>", "<div class='legal'>"):
+        assert htmltext.main_text(f"<body>{start}{BODY}").count("This is paragraph") == 3, start
+
+
 def test_extract_over_a_table(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "x", 1), (2, None, None, "x", 1), (3, "v", "", None, None), (None, "w", "<article>é</article>", "x", 1), (1, "u", f"<article>{ARTICLE}</article>", "x", 1), (4, "long", "<article>" + "<p>the word</p>" * 20_000 + "</article>", "", 0)]
