@@ -13,13 +13,19 @@ Pass one decides, wherever a block stands, what the rules can: boilerplate
 and blocks of links are bad; a block that is long enough and has the density
 of stop words of running text is good; long blocks with few stop words are
 bad outside an article. The others are ambiguous: short ones, and long ones
-with few stop words inside an article. In pass two an ambiguous block takes the label of
+with few stop words inside an article. Where stop words say nothing (scripts
+without spaces, pages whose long blocks have next to none) long blocks
+without links are good. In pass two an ambiguous block takes the label of
 its nearest decided neighbour, inside an article of its nearest decided
 neighbours in that article. Equally near neighbours that differ leave it
 good in an article or before a good block if it is a heading, else bad; an
 article without any decided block is kept whole. Where no block is good,
 boilerplate by class name or id alone is held against the rules as well.
 
+Stop words are those of four languages, and for each language that pages
+declare (none is one, too) the words that most of its pages have in their
+long blocks, counted over all pages.
+
 Defined cases: null and empty html give an empty text; unclosed or crossed
 tags and cut-off pages are read as far as they go; repeated rows get a row
 each; an empty table gives no rows. Extra columns are not read.
@@ -29,13 +35,15 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import ship
+from churnlab.llm.common import checkpointed, ship
 from churnlab.llm.tokens import text_chunks
 
 MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
@@ -70,6 +78,16 @@ STOP_WORDS = frozenset(
     ).split()
 )
 SHORT, DENSE, LINKED = 70, 0.3, 0.33
+#: Stop words say something on a page where dense blocks have this share of its long blocks' characters.
+EVIDENCE = 0.1
+#: A learned stop word stands on this share of a language's pages; a language has pages enough, and words at most.
+COMMON, LEAST_PAGES, MOST_WORDS = 0.4, 20, 100
+#: Words counted before a task hands its counts on.
+COUNTED = 200_000
+LANGUAGE = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
+#: Letters of scripts without spaces between words; one of the first kind counts as three characters.
+SYLLABLES = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 
 #: NAMED is boilerplate by class name or id alone.
@@ -194,33 +212,41 @@ def words_of(text: str) -> list[str]:
     return [TRIM.sub("", w) for w in text.lower().split()]
 
 
-def stop_density(text: str) -> float:
+def stop_density(text: str, stop_words: frozenset[str] = STOP_WORDS) -> float:
     words = words_of(text)
-    return sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    return sum(w in stop_words for w in words) / max(1, len(words))
 
 
 def is_long(b: Block) -> bool:
     """Long enough for the rules, with few links and no heading."""
-    return not b.heading and b.linked <= LINKED and len(b.text) >= SHORT
+    return not b.heading and b.linked <= LINKED and (len(b.text) >= SHORT or len(b.text) + 2 * len(SYLLABLES.findall(b.text)) >= SHORT)
+
+
+def is_unspaced(text: str) -> bool:
+    return not text.isascii() and 2 * len(UNSPACED.findall(text)) > sum(map(str.isalpha, text))
 
 
-def classify(blocks: list[Block]) -> None:
+def classify(blocks: list[Block], stop_words: frozenset[str] = STOP_WORDS) -> None:
     """Both passes; every block gets a label."""
-    _classify(blocks, (BAD, NAMED))
+    _classify(blocks, stop_words, (BAD, NAMED))
     if not any(b.label for b in blocks) and any(b.place == NAMED for b in blocks):
-        _classify(blocks, (BAD,))
+        _classify(blocks, stop_words, (BAD,))
 
 
-def _classify(blocks: list[Block], bad: tuple[int, ...]) -> None:
+def _classify(blocks: list[Block], stop_words: frozenset[str], bad: tuple[int, ...]) -> None:
     long = [b for b in blocks if b.place not in bad and is_long(b)]
-    dense = {b for b in long if stop_density(b.text) >= DENSE}
+    unspaced = {b for b in long if is_unspaced(b.text)}
+    spaced = [b for b in long if b not in unspaced]
+    dense = {b for b in spaced if stop_density(b.text, stop_words) >= DENSE}
+    tells = sum(len(b.text) for b in dense) >= EVIDENCE * sum(len(b.text) for b in long)
+    good = dense | unspaced if tells else set(long)
     long = set(long)
     for b in blocks:
         if b.place in bad or b.linked > LINKED and not (b.heading and b.place == MAIN):
             b.label = False
         elif b not in long:
             b.label = None
-        elif b in dense:
+        elif b in good:
             b.label = True
         else:
             b.label = None if b.place == MAIN else False
@@ -250,16 +276,59 @@ def _near(blocks: list[Block], decided: list[bool | None], i: int, step: int) ->
     return None
 
 
-def main_text(page: str) -> str:
+def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
     blocks = blocks_of(page)
-    classify(blocks)
+    classify(blocks, stop_words)
     return "\n\n".join(b.text for b in blocks if b.label)
 
 
-def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def language(page: str) -> str:
+    """The language a page declares, without its region; empty where none."""
+    found = LANGUAGE.search(page[:4096])
+    return found[1].lower() if found else ""
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """lang, word, pages: pages with the word in a long block; the empty word counts the pages."""
+    counts: Counter[tuple[str, str]] = Counter()
+
+    def counted() -> pa.RecordBatch:
+        langs, words = zip(*counts, strict=True) if counts else ((), ())
+        return pa.record_batch({"lang": pa.array(langs, pa.string()), "word": pa.array(words, pa.string()), "pages": pa.array(counts.values(), pa.int64())})
+
+    for batch in batches:
+        for _, texts in text_chunks(batch.column(0)):
+            for page in texts:
+                long = [b.text for b in blocks_of(page) if b.place < BAD and is_long(b)]
+                if long:
+                    lang = language(page)
+                    counts.update((lang, w) for w in {w for text in long for w in words_of(text) if w.isalpha() and len(w) <= 20} | {""})
+                if len(counts) > COUNTED:
+                    yield counted()
+                    counts.clear()
+    yield counted()
+
+
+def learned_words(pages: DataFrame) -> dict[str, frozenset[str]]:
+    """Stop words of each declared language: the given ones and its pages' most frequent."""
+    ship(pages.sparkSession)
+    rows = pages.select(F.col("html").cast("string").alias("html"))
+    counts = rows.mapInArrow(_count, "lang string, word string, pages long").groupBy("lang", "word").agg(F.sum("pages").alias("pages"))
+    counts = checkpointed(counts.filter(F.col("pages") >= LEAST_PAGES * COMMON))
+    totals = counts.filter(F.col("word") == "").select("lang", F.col("pages").alias("total")).filter(F.col("total") >= LEAST_PAGES)
+    # one row per language
+    common = counts.join(F.broadcast(totals), "lang").filter((F.col("word") != "") & (F.col("pages") >= COMMON * F.col("total")))
+    found: dict[str, list[tuple[int, str]]] = {}
+    # at most a page's words over COMMON for each language
+    for r in common.select("lang", "word", "pages").collect():
+        found.setdefault(r["lang"], []).append((-r["pages"], r["word"]))
+    return {lang: STOP_WORDS.union(w for _, w in sorted(words)[:MOST_WORDS]) for lang, words in found.items()}
+
+
+def _extract(batches: Iterator[pa.RecordBatch], learned: dict[str, frozenset[str]]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, texts in text_chunks(batch.column(2)):
-            found = [main_text(t) for t in texts]
+            found = [main_text(t, learned.get(language(t), STOP_WORDS)) for t in texts]
             yield pa.record_batch(
                 {
                     "page_id": batch.column(0).slice(first, len(texts)),
@@ -274,4 +343,4 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return rows.mapInArrow(partial(_extract, learned=learned_words(pages)), "page_id long, url string, text string, n_chars long")

@@ -119,6 +119,26 @@ def test_class_names_that_hold_a_hint_are_none():
         assert htmltext.main_text(f"<body>{start}{BODY}").count("This is paragraph") == 3, start
 
 
+SWEDISH = ["Det var en gång en liten flicka som bodde i ett hus vid skogen och som hade en katt och en hund.", "Hon gick ut i skogen och det var en dag som var så vacker att hon inte ville gå hem till sitt hus."]
+
+
+def test_languages_without_given_stop_words():
+    page = "<body><ul><li><a href='/a'>Hem</a></li></ul><div>" + "".join(f"<p>{x}</p>" for x in SWEDISH) + "</div></body>"
+    assert htmltext.main_text(page) == "\n\n".join(SWEDISH)
+    japanese = "これは空白のない言葉で書かれた長い文章であり、本文として読まれるべきものです。"
+    notice = "We use the cookies that are on the site to make it better for you and for all of the others."
+    assert japanese in htmltext.main_text(f"<body><div><p>{japanese}</p><p>{japanese}</p></div><div><p>{notice}</p></div></body>")
+
+
+def test_stop_words_are_learned_from_the_pages(spark):
+    listed = "Bokhylla Matbord Stolar Lampor Mattor Gardiner Kuddar Speglar Sängar Soffor Hyllor Skåp Byråer Garderober"
+    rows = [(i, "u", f"<html lang='sv-SE'><body><div><p>{SWEDISH[0]} {i}</p><p>{SWEDISH[1]}</p></div>{f'<div><p>{listed}</p></div>' if i == 7 else ''}</body></html>") for i in range(30)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {"och", "som", "en"} <= htmltext.learned_words(table)["sv"]
+    got = {r.page_id: r.text for r in htmltext.extract(table).collect()}
+    assert got == {i: f"{SWEDISH[0]} {i}\n\n{SWEDISH[1]}" for i in range(30)}
+
+
 def test_extract_over_a_table(spark):
     schema = "page_id long, url string, html string, text string, n_chars int"
     rows = [(1, "u", f"<article>{ARTICLE}</article>", "x", 1), (2, None, None, "x", 1), (3, "v", "", None, None), (None, "w", "<article>é</article>", "x", 1), (1, "u", f"<article>{ARTICLE}</article>", "x", 1), (4, "long", "<article>" + "<p>the word</p>" * 20_000 + "</article>", "", 0)]
