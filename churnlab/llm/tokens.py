@@ -21,8 +21,9 @@ import pyarrow as pa
 
 LATIN = re.compile("[\x00-\xff]*")
 RUN = re.compile(r"\s\s")
-#: A word with the white space before it, or white space at the end.
-WORD = re.compile(r"\s*\S+|\s+")
+#: A word with the white space before it, or white space at the end. The
+#: files' white space is Unicode's: without Python's U+001C to U+001F.
+WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Words held before a worker's cache starts anew, and a quarter as many pieces.
 CACHE_WORDS = 400_000
 #: Characters of text handled at once.

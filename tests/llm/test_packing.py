@@ -37,6 +37,17 @@ def test_word_encoder_equals_whole_texts(path):
         assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_are_cut_at_the_files_white_space(path):
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    rng = random.Random(6)
+    texts = ["!\x1c  a", ".\x1f\n"] + ["".join(rng.choice("aB1!. \n\t\x1c\x1d\x1e\x1f\x85\xa0\u2028\u200b'") for _ in range(14)) for _ in range(500)]
+    ids, offsets = WordEncoder(path).encode(texts)
+    for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_cut_only_the_first_may_be_shorter():
     assert vecfit.cut(5, 4) == [(0, 1), (1, 5)]
     assert vecfit.cut(8, 4) == [(0, 4), (4, 8)]
