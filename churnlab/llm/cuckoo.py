@@ -37,9 +37,24 @@ class CuckooFilter:
     def _step(self, mark) -> np.ndarray:
         return mix64(np.asarray(mark).astype(np.uint64) + np.uint64(1)) & np.uint64(len(self.table) - 1)
 
-    def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    def marked(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Keys whose fingerprint is in the table."""
         mark, i, j = self._places(h1, h2)
-        found = (self.table[i] == mark[:, None]).any(axis=1) | (self.table[j] == mark[:, None]).any(axis=1)
+        return (self.table[i] == mark[:, None]).any(axis=1) | (self.table[j] == mark[:, None]).any(axis=1)
+
+    def listed(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Keys of the overflow list, exactly."""
+        found = np.isin(h1.view(np.uint64), self.overflow[:, 0])
+        over = set(map(tuple, self.overflow.tolist()))
+        for x in np.flatnonzero(found).tolist():
+            found[x] = (int(h1[x].view(np.uint64)), int(h2[x].view(np.uint64))) in over
+        return found
+
+    def list_exactly(self, h1: np.ndarray, h2: np.ndarray) -> None:
+        self.overflow = np.concatenate([self.overflow, np.column_stack([h1.view(np.uint64), h2.view(np.uint64)])])
+
+    def contains(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        found = self.marked(h1, h2)
         if len(self.overflow):
             found |= np.isin(h1.view(np.uint64), self.overflow[:, 0]) & np.isin(h2.view(np.uint64), self.overflow[:, 1])
         return found
@@ -100,7 +115,12 @@ class CuckooFilter:
 
 
 class FilterStack:
-    """Cuckoo filters of one shard; another, larger one once the last is full."""
+    """Cuckoo filters of one shard; another, larger one once the last is full.
+
+    Only the last filter takes keys. A key whose fingerprint an earlier one
+    holds goes to the last one's exact list instead, so the first filter
+    with a key's fingerprint is the one that holds the key.
+    """
 
     def __init__(self, parts: list[CuckooFilter] | None = None, keys: list[int] | None = None):
         self.parts, self.keys = parts or [], keys or []
@@ -120,18 +140,24 @@ class FilterStack:
                 self.parts.append(CuckooFilter(size))
                 self.keys.append(0)
                 continue
-            self.parts[-1].insert(h1[at : at + room], h2[at : at + room])
-            self.keys[-1] += len(h1[at : at + room])
+            a, b = h1[at : at + room], h2[at : at + room]
+            met = np.zeros(len(a), bool)
+            for part in self.parts[:-1]:
+                met |= part.marked(a, b)
+            self.parts[-1].insert(a[~met], b[~met])
+            self.parts[-1].list_exactly(a[met], b[met])
+            self.keys[-1] += len(a)
             at += room
 
     def delete(self, h1: np.ndarray, h2: np.ndarray) -> None:
-        """Each key from the first filter that holds its fingerprint."""
+        """Each key from the list or the filter that holds it."""
         left = np.arange(len(h1))
-        for n, part in enumerate(self.parts):
-            here = part.contains(h1[left], h2[left])
-            part.delete(h1[left[here]], h2[left[here]])
-            self.keys[n] -= int(here.sum())
-            left = left[~here]
+        for held in (CuckooFilter.listed, CuckooFilter.marked):
+            for n, part in enumerate(self.parts):
+                here = held(part, h1[left], h2[left])
+                part.delete(h1[left[here]], h2[left[here]])
+                self.keys[n] -= int(here.sum())
+                left = left[~here]
 
     def dump(self) -> bytes:
         out, arrays = io.BytesIO(), {"keys": np.array(self.keys, np.int64)}

@@ -110,3 +110,15 @@ def test_full_filter_overflows_exactly_and_stack_grows():
     assert len(stack.parts) > 1 and stack.contains(a, b).all()
     stack.delete(a, b)
     assert sum(stack.keys) == 0 and not stack.contains(a, b).any()
+
+
+def test_deleting_from_a_grown_stack_keeps_the_other_keys():
+    stack, (a, b) = FilterStack(), keys(160_000, 4)
+    for i in range(0, 160_000, 20_000):
+        stack.insert(a[i : i + 20_000], b[i : i + 20_000])
+    assert len(stack.parts) > 1 and stack.contains(a, b).all()
+    gone = np.arange(len(a)) % 4 > 0
+    stack.delete(a[gone], b[gone])
+    assert stack.contains(a[~gone], b[~gone]).all() and sum(stack.keys) == (~gone).sum()
+    stack.delete(a[~gone], b[~gone])
+    assert sum(stack.keys) == 0 and not any(p.table.any() or len(p.overflow) for p in stack.parts)
