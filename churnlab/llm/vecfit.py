@@ -6,6 +6,8 @@ dimension. Pieces go from the longest to the shortest into the open
 sequence where they fit in every dimension and leave the smallest weighted
 residual norm (``score="norm"``), or whose residual has the largest weighted
 dot product with them (``score="dot"``); where none fits, a new one opens.
+The query asks for the fewest sequences of 2048 tokens: there only the token
+capacity binds, and documents and attention act through the score.
 
 Pieces of one length are equal vectors, so the choice is made for all of
 them at once from the table of lengths, and sequences with equal contents

@@ -78,6 +78,12 @@ def test_plan_respects_every_capacity(lengths, score, documents, attention):
         assert sequences <= 11 / 9 * max(1, -(-tokens // 64)) + 2 + sum(n for k, n in lengths.items() if k > 32)
 
 
+def test_default_plan_is_bound_by_tokens_only():
+    lengths = {1: 70, 3: 40, 17: 9, 33: 5, 64: 2}
+    assert vecfit.plan(lengths, 64) == vecfit.plan(lengths, 64, documents=64, attention=64 * 64)
+    assert "act through the score" in vecfit.__doc__
+
+
 def sample(n=150):
     rng = random.Random(2)
     words = ["the", "Of", "année", "zzyzx", "12", "x.", "über"]
