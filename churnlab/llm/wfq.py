@@ -104,9 +104,10 @@ def mix_sizes(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int =
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each taken document once or, where taken twice, twice."""
-    rows = docs.withColumn("_rid", F.xxhash64("doc_id", "text", "source"))
+    # every row has its own id, repeated rows too; stored, so that it stays
+    rows = checkpointed(docs.withColumn("_rid", F.monotonically_increasing_id()))
     sizes = rows.select(F.col("_rid").alias("rid"), "doc_id", source_key().alias("skey"), token_count(F.col("text")).alias("size"))
-    out = mix_sizes(checkpointed(sizes.distinct()), **options)
+    out = mix_sizes(checkpointed(sizes), **options)
     times = out.filter(F.col("taken") > 0).select(F.col("rid").alias("_rid"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
     kept = rows.join(times, "_rid")
     return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -81,3 +81,9 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         frame = stage(spark, frame, SF001)
     assert frame.count() == 0
+
+
+def test_near_dedup_keeps_one_of_repeated_rows(spark):
+    rows = [(1, "the words of the text", "en", "a")] * 3 + [(1, "other words are in here", "en", "a"), (2, "one more text with words", "en", "a"), (None, "no id", "en", "a")]
+    got = corpus_pipeline.near_dedup(spark, docs(spark, rows), SF001).collect()
+    assert sorted(r.text for r in got) == sorted({r[1] for r in rows})

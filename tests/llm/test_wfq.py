@@ -91,3 +91,10 @@ def test_mixed_documents_repeat_what_is_taken_twice(spark):
     for r in wfq.mixed_documents(frame).collect():
         counts[r.doc_id] = counts.get(r.doc_id, 0) + 1
     assert counts == taken
+
+
+def test_repeated_rows_count_each_against_the_budget(spark):
+    rows = [(i, "some words of it", None, "a") for i in range(40)] + [(100, "a row that is there again", None, "b")] * 60
+    frame = docs(spark, rows)
+    words = sum(r[2] for r in rows_of(wfq.mix(frame), "doc_id", "size", "taken"))
+    assert sum(len(r.text.split()) for r in wfq.mixed_documents(frame).collect()) == words
