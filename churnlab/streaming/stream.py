@@ -425,9 +425,19 @@ def streamed_user_day_totals(spark: SparkSession, stream: DataFrame) -> DataFram
 
 
 def landed(spark: SparkSession, events: DataFrame, base: str, files: int, per_trigger: int) -> DataFrame:
-    """Events written as ``files`` files and read as a stream of several batches."""
-    land_events(events.repartition(files), f"{base}/landing")
-    return read_event_stream(spark, f"{base}/landing", max_files_per_trigger=per_trigger)
+    """Events written by the tasks that made them, read as a stream of several batches.
+
+    What fewer than ``files`` tasks wrote is small and is dealt again to
+    that many. ``per_trigger`` of ``files`` files, and the same share of
+    more, are a batch.
+    """
+    path = land_events(events, f"{base}/landing")
+    found = len(spark.read.schema(EVENT_SCHEMA).parquet(path).inputFiles())
+    if found < files:
+        path = land_events(spark.read.schema(EVENT_SCHEMA).parquet(path).repartition(files), f"{base}/dealt")
+        found = files
+    batches = max(2, files // per_trigger)
+    return read_event_stream(spark, path, max_files_per_trigger=max(1, found // batches))
 
 
 def streamed_user_session_totals(spark: SparkSession, events: DataFrame, files: int = 4, per_trigger: int = 1) -> DataFrame:

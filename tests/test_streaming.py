@@ -161,3 +161,14 @@ def test_snapshot_without_marker_is_ignored(spark, tmp_path):
     STR.land_events(second, f"{base}/landing/part2")
     STR.keep_matrix_current(stream(), f"{base}/state", f"{base}/ckpt")
     assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == sorted(M.user_matrix(ev).collect())
+
+
+def test_landing_has_as_many_files_as_its_input_has_parts(spark, tmp_path):
+    rows = [(f"u{i}", 1, "2018-10-10 10:00", "NextSong", "M", "X, CA") for i in range(240)]
+    for parts, files in ((12, 12), (1, 4)):
+        stream = STR.landed(spark, frame(spark, rows).repartition(parts), str(tmp_path / f"in{parts}"), 4, 2)
+        query = stream.writeStream.format("memory").queryName(f"landed{parts}").trigger(availableNow=True).start()
+        query.awaitTermination()
+        found = [p for p in (tmp_path / f"in{parts}").glob("*/part-*.parquet") if files == 12 or p.parent.name == "dealt"]
+        assert len(found) == files and spark.table(f"landed{parts}").count() == 240
+        assert sum(p["numInputRows"] > 0 for p in query.recentProgress) >= 2
