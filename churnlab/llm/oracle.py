@@ -111,4 +111,49 @@ reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b F
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
 SELECT d.doc_id, coalesce(n_shingles, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id""",
+    "op13_burst_trie": f"""
+WITH bits AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS i))
+),
+t AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS pos, id, words FROM (
+    SELECT conv_id, turn, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS id,
+      len(regexp_extract_all(coalesce(text, ''), {TOKEN}))::BIGINT AS words
+    FROM conversations WHERE conv_id IS NOT NULL)
+),
+c AS (
+  SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+    lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), bits
+),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, id, words FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 20 AND t.pos <= c.h
+  UNION ALL SELECT c.conv_id, 1, pos, id, words FROM c JOIN t ON t.conv_id = c.conv_id AND t.pos > c.h
+),
+s AS (
+  SELECT c.conv_id, coalesce(list(id ORDER BY part, pos) FILTER (id IS NOT NULL), []) AS ids,
+    coalesce(list(words ORDER BY part, pos) FILTER (id IS NOT NULL), []) AS words
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id GROUP BY c.conv_id
+),
+p AS (
+  SELECT conv_id, d AS depth, array_to_string(ids[1:d], ',') AS path, array_to_string(ids[1:d - 1], ',') AS up,
+    CASE WHEN d = 0 THEN 0 ELSE words[d] END AS words, d = len(ids) AS ends
+  FROM (SELECT *, unnest(range(len(ids) + 1)) AS d FROM s)
+),
+n AS (
+  SELECT depth, path, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY depth, path
+),
+k AS (SELECT depth - 1 AS depth, up AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY depth, up),
+f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (depth, path)),
+b AS (
+  SELECT a.depth, a.path, sum(CASE WHEN d.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((d.n_convs - 1) * d.words) AS saved_tokens
+  FROM f a JOIN f d ON d.depth >= a.depth AND (a.depth = 0 OR left(d.path, a.depth::BIGINT * 33 - 1) = a.path) GROUP BY ALL
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, b.n_leaves::BIGINT AS n_leaves,
+  b.saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM f JOIN b USING (depth, path) LEFT JOIN n u ON u.depth = f.depth - 1 AND u.path = f.up""",
 }

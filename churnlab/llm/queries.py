@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from churnlab.llm import covertree, fastsketch, histsort, htmltext, linededup, orcout, rabitq, vecfit, wfq, wordlid
+from churnlab.llm import bursttrie, covertree, fastsketch, histsort, htmltext, isoforest, linededup, orcout, qdwh, rabitq, vecfit, wfq, wordlid
 from churnlab.llm.oracle import SQL as SQL
 
 
@@ -70,6 +70,21 @@ def op10_block_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics of every document, and whether it is kept."""
+    return isoforest.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_qdwh_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whitened coordinates of every vector on the first 8 components."""
+    return qdwh.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_burst_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return bursttrie.prefix_trie(bursttrie.rebuilt(_table(spark, sf_dir, "conversations")))
+
+
 OPERATORS = (
     op1_rabitq,
     op2_histogram_sort,
@@ -81,5 +96,8 @@ OPERATORS = (
     op8_orc_tokens,
     op9_word_backoff,
     op10_block_rules,
+    op11_isolation_forest,
+    op12_qdwh_whitening,
+    op13_burst_trie,
 )
 QUERIES = {f.__name__: f for f in OPERATORS} | {"pipeline": corpus_pipeline.run}
