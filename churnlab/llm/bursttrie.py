@@ -5,19 +5,20 @@ first turns is a node, and conversations that begin with it are its members.
 Conversations with the same sequence are put together first, so a sequence
 that a third of all conversations repeat is one row with a count. The rows
 then lie in containers of suffixes under trie heads, the first being the
-root. A container of more than ``LIMIT`` sequences or ``TURNS`` turns bursts:
-its head becomes a node of its own, and its rows go on to containers by
-their next turn id, round by round, until none is too large. The containers
-that remain are dealt over shards, sorted, and swept into nodes, one bounded
-container at a time; heads get the sums of the containers below them.
+root. A container of more than ``LIMIT`` sequences bursts: its head becomes a
+chain of nodes (one for each turn that all its suffixes share), and its rows
+go on to containers by their next turn id, round by round, until none is too
+large. The containers that remain are dealt over shards, sorted, and swept
+into nodes, one bounded container at a time; heads get the sums of the
+containers below them.
 
 Turn ids are MD5 digests of role and text. The ids of conversations that end
 at one node are sorted in ranges and joined to pieces of at most ``PIECE``
 ids, whatever number of them ends there; only the digest of the pieces is
 taken in order by one task, holding one piece. A conversation is one record,
-as a document is: about 40 bytes a turn, whole texts are never gathered. A
-round is one level of the trie, so there are as many as the longest prefix
-that more than ``LIMIT`` different conversations share.
+as a document is: about 40 bytes a turn, whole texts are never gathered.
+There are as many rounds as places on one path where more than ``LIMIT``
+different conversations branch.
 
 Defined cases: turns come by ``turn`` (null first), ties by their digest;
 null role and text are empty; rows without a conv_id take no part; repeated
@@ -31,13 +32,13 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed, ship, token_count
 
-#: Sequences and turns that a container holds before it bursts.
-LIMIT, TURNS = 256, 65_536
+#: Sequences that a container holds before it bursts.
+LIMIT = 256
 #: Ids of one piece of a list of conversations.
 PIECE = 65_536
 #: Heads that burst in one round and are sent to all tasks (about 60 bytes
@@ -234,11 +235,7 @@ def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch_of()
 
 
-def _next(head: Column, turn: Column) -> Column:
-    return F.unhex(F.md5(F.concat(head, turn)))
-
-
-def prefix_trie(conversations: DataFrame, limit: int = LIMIT, turns: int = TURNS) -> DataFrame:
+def prefix_trie(conversations: DataFrame, limit: int = LIMIT) -> DataFrame:
     """The nodes of the trie of (conv_id, turns); columns ``COLUMNS``."""
     spark = conversations.sparkSession
     ship(spark)
@@ -246,48 +243,52 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, turns: int = TURNS
         "rep",
         "n",
         "sha",
-        "turns",
+        F.col("turns").alias("rest"),
         F.unhex(F.md5(F.lit(""))).alias("hkey"),
+        F.lit(0).cast("long").alias("top"),
+        F.lit(0).cast("long").alias("top_words"),
         F.lit(None).cast("long").alias("parent"),
         F.array().cast("array<binary>").alias("heads"),
     )
-    active = checkpointed(active)
-    settled, burst, depth = [], [], 0
+    settled, burst = [], []
     while True:
-        words = F.lit(0).cast("long") if depth == 0 else F.element_at("turns", depth)["words"]
-        active = active.withColumn("top_words", words)
-        sizes = active.groupBy("hkey", "heads", "parent", "top_words").agg(
-            F.count(F.lit(1)).alias("m"), F.sum(F.size("turns") - depth).alias("t"), F.sum("n").alias("n_convs"), F.min("rep").alias("conv_id")
-        )
-        big = checkpointed(sizes.filter(f"m > {limit} or (t > {turns} and m > 1)"))
+        active = checkpointed(active)
+        sizes = active.groupBy("hkey", "top", "top_words", "parent", "heads").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n_convs"), F.min("rep").alias("conv_id"))
+        big = checkpointed(sizes.filter(F.col("m") > limit))
         found = big.count()
         if not found:
-            settled.append(_suffixes(active, depth))
+            settled.append(active)
             break
         marks = big.select("hkey", F.col("conv_id").alias("head_conv"))
         marked = active.join(F.broadcast(marks) if found <= BROADCAST_HEADS else marks, "hkey", "left")
-        settled.append(_suffixes(marked.filter("head_conv is null"), depth))
+        settled.append(marked.filter("head_conv is null").drop("head_conv"))
         inside = marked.filter("head_conv is not null")
-        # at most one sequence ends at a head
-        ends = inside.filter(F.size("turns") == depth).select("hkey", "sha")
-        burst.append(big.join(ends, "hkey", "left").withColumn("depth", F.lit(depth).cast("long")))
-        active = checkpointed(
-            inside.filter(F.size("turns") > depth).select(
-                "rep",
-                "n",
-                "sha",
-                "turns",
-                _next(F.col("hkey"), F.element_at("turns", depth + 1)["id"]).alias("hkey"),
-                F.col("head_conv").alias("parent"),
-                F.concat("heads", F.array("hkey")).alias("heads"),
-            )
+        # what the first and the last suffix share, all between them share
+        edges = inside.groupBy("hkey").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        shared = checkpointed(edges.select("hkey", F.expr("slice(low, 1, " + _COMMON + ")").alias("run")))
+        runs = F.broadcast(shared) if found <= BROADCAST_HEADS else shared
+        inside = inside.join(runs.withColumn("s", F.size("run")).drop("run"), "hkey")
+        # at most one sequence ends where a head branches
+        ends = inside.filter(F.size("rest") == F.col("s")).select("hkey", "sha")
+        burst.append(big.join(shared, "hkey").join(ends, "hkey", "left"))
+        going = inside.filter(F.size("rest") > F.col("s"))
+        turn = F.element_at("rest", F.col("s") + 1)
+        active = going.select(
+            "rep",
+            "n",
+            "sha",
+            F.expr("slice(rest, s + 2, greatest(size(rest) - s - 1, 0))").alias("rest"),
+            F.unhex(F.md5(F.concat("hkey", turn["id"]))).alias("hkey"),
+            (F.col("top") + F.col("s") + 1).alias("top"),
+            turn["words"].alias("top_words"),
+            F.col("head_conv").alias("parent"),
+            F.concat("heads", F.array("hkey")).alias("heads"),
         )
-        depth += 1
     rows = settled[0]
     for more in settled[1:]:
         rows = rows.unionByName(more)
-    order = ["hkey", "top", "top_words", "parent", "heads", "rep", "n", "sha", "ids", "words"]
-    swept = rows.select(*order).repartition("hkey").sortWithinPartitions("hkey", "ids").mapInArrow(_sweep, _NODE_SCHEMA)
+    rows = rows.select("hkey", "top", "top_words", "parent", "heads", "rep", "n", "sha", F.col("rest.id").alias("ids"), F.col("rest.words").alias("words"))
+    swept = rows.repartition("hkey").sortWithinPartitions("hkey", "ids").mapInArrow(_sweep, _NODE_SCHEMA)
     if not burst:
         return swept.select(*COLUMNS)
     swept = checkpointed(swept)
@@ -297,29 +298,35 @@ def prefix_trie(conversations: DataFrame, limit: int = LIMIT, turns: int = TURNS
     return swept.select(*COLUMNS).unionByName(_head_nodes(checkpointed(heads), swept))
 
 
-def _suffixes(active: DataFrame, depth: int) -> DataFrame:
-    rest = F.slice("turns", depth + 1, F.greatest(F.size("turns") - depth, F.lit(0)))
-    rows = active.withColumn("rest", rest).withColumn("top", F.lit(depth).cast("long"))
-    return rows.select("hkey", "top", "top_words", "parent", "heads", "rep", "n", "sha", F.col("rest.id").alias("ids"), F.col("rest.words").alias("words"))
+#: The number of turns that ``low`` and ``high`` begin with alike.
+_COMMON = "ifnull(nullif(array_position(zip_with(low, high, (a, b) -> ifnull(a = b, false)), false), 0) - 1, least(size(low), size(high)))"
 
 
 def _head_nodes(heads: DataFrame, swept: DataFrame) -> DataFrame:
-    """The nodes of burst containers, with the sums of what lies below them."""
-    own = (F.col("n_convs") - 1) * F.col("top_words")
+    """The nodes of burst containers, with the sums of what lies below them.
+
+    A head stands for a chain of nodes with the same members: the container's
+    own, and one for each turn of the run that all its suffixes share.
+    """
+    words = F.concat(F.array("top_words"), F.col("run.words"))
+    own = (F.col("n_convs") - 1) * F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + w)
     below = swept.filter("heads is not null").select("heads", "n_leaves", "saved_tokens")
     below = below.unionByName(heads.select("heads", F.lit(0).cast("long").alias("n_leaves"), own.alias("saved_tokens")))
     # a container adds to every head above it, and is a child of the last one
     spread = below.select(F.size("heads").alias("k"), "n_leaves", "saved_tokens", F.posexplode("heads").alias("at", "hkey"))
     sums = spread.groupBy("hkey").agg(
-        F.sum(F.when(F.col("at") == F.col("k") - 1, 1).otherwise(0)).alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("below")
+        F.sum(F.when(F.col("at") == F.col("k") - 1, 1).otherwise(0)).alias("kids"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("below")
     )
-    return heads.join(sums, "hkey").select(
+    chain = heads.join(sums, "hkey").select("*", F.size("run").alias("s"), F.posexplode(words).alias("i", "w"))
+    down = F.sum("w").over(Window.partitionBy("hkey").orderBy(F.desc("i")))
+    last = F.col("i") == F.col("s")
+    return chain.withColumn("down", down).select(
         "conv_id",
-        "depth",
-        F.col("parent").alias("parent_conv_id"),
+        (F.col("top") + F.col("i")).alias("depth"),
+        F.when(F.col("i") == 0, F.col("parent")).otherwise(F.col("conv_id")).alias("parent_conv_id"),
         "n_convs",
-        "n_children",
+        F.when(last, F.col("kids")).otherwise(F.lit(1)).cast("long").alias("n_children"),
         "n_leaves",
-        (F.col("below") + own).alias("saved_tokens"),
-        F.coalesce("sha", F.lit(NOTHING)).alias("ends_sha256"),
+        (F.col("below") + (F.col("n_convs") - 1) * F.col("down")).alias("saved_tokens"),
+        F.when(last, F.coalesce("sha", F.lit(NOTHING))).otherwise(F.lit(NOTHING)).alias("ends_sha256"),
     )

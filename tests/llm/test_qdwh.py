@@ -1,0 +1,113 @@
+"""Whitening against a plain eigendecomposition and exact integers."""
+
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from churnlab.llm import qdwh
+from llm_data import rows_of
+
+SCHEMA = "vec_id long, embedding array<float>, label int, n int, x int, dims int, w int, component int"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, v, 0, 1, 1, 1, 1, 1) for i, v in rows], SCHEMA)
+
+
+def symmetric(n, kind, rng):
+    q, _ = np.linalg.qr(rng.standard_normal((n, n)))
+    values = {
+        "plain": rng.standard_normal(n),
+        "repeated": np.repeat([3.0, 1.0], [n // 2, n - n // 2]),
+        "close": 1 + 1e-9 * np.arange(n),
+        "wide": np.logspace(0, -14, n),
+        "one": np.full(n, 2.0),
+        "nothing": np.zeros(n),
+    }[kind]
+    a = (q * values) @ q.T
+    return (a + a.T) / 2
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated", "close", "wide", "one", "nothing"])
+@pytest.mark.parametrize("n", [1, 2, 7, 64])
+def test_spectral_equals_lapack(n, kind):
+    a = symmetric(n, kind, np.random.default_rng(n))
+    values, vectors = qdwh.spectral(a)
+    size = max(np.linalg.norm(a), 1e-300)
+    assert np.abs(np.sort(values) - np.linalg.eigvalsh(a)).max() <= 1e-13 * size
+    assert np.linalg.norm(a @ vectors - vectors * values) <= 1e-13 * size
+    assert np.linalg.norm(vectors.T @ vectors - np.eye(n)) <= 1e-12
+
+
+def test_polar_factor_is_the_sign():
+    a = symmetric(30, "plain", np.random.default_rng(1))
+    values, vectors = np.linalg.eigh(a)
+    assert np.abs(qdwh.polar(a) - (vectors * np.sign(values)) @ vectors.T).max() < 1e-12
+
+
+def whole(v):
+    return [int(np.floor(1024 * float(np.float32(c)))) + 100_000 for c in v]
+
+
+def check(got, rows):
+    """Held against exact sums and numpy's eigenvectors."""
+    x = [whole(v) for _, v in rows]
+    n, dims = len(x), len(x[0])
+    total = [sum(r[d] for r in x) for d in range(dims)]
+    centred = np.array([[float(Fraction(n * r[d] - total[d], n)) for d in range(dims)] for r in x])
+    values, vectors = np.linalg.eigh(centred.T @ centred / n)
+    values, vectors = values[::-1], vectors[:, ::-1]
+    k = min(8, dims)
+    assert len(got) == n * k
+    by = {}
+    for r in got:
+        by.setdefault(r["component"], {})[r["vec_id"]] = r
+    for c in range(1, k + 1):
+        want = centred @ vectors[:, c - 1] / np.sqrt(values[c - 1])
+        found = np.array([by[c][i]["whitened"] for i, _ in rows])
+        assert min(np.abs(found - want).max(), np.abs(found + want).max()) < 1e-8
+        assert abs(by[c][rows[0][0]]["explained"] - values[c - 1] / values.sum()) < 1e-9
+    for (i, _), r in zip(rows, x, strict=True):
+        assert by[1][i]["deviation"] == sum((n * a - s) ** 2 for a, s in zip(r, total, strict=True))
+        assert by[1][i]["n"] == n
+    assert len({r["identity_error"] for r in got}) == 1 and got[0]["identity_error"] < 1e-10
+
+
+def cloud(n, dims, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims)) * np.linspace(3, 0.3, dims) + rng.standard_normal(dims)
+    x[: n // 3] = x[0]  # a group of copies
+    return [(i * 3 - 30, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+
+
+@pytest.mark.parametrize("dims", [3, 20])
+def test_whitened_equals_plain(spark, dims, monkeypatch):
+    monkeypatch.setattr(qdwh, "BLOCK", 32)
+    rows = cloud(200, dims)
+    odd = [(1, None), (2, [float("nan")] * dims), (3, [float("inf")] * dims), (4, [None] * dims), (5, [1.0]), (6, [])]
+    check(qdwh.whitened(table(spark, rows + odd)).collect(), rows)
+
+
+def test_huge_entries_stay_exact(spark):
+    rows = [(i, [float(v) * 3e6, float(v) * 0.5 + i % 7, i * 1.0]) for i, v in enumerate(np.linspace(-1, 1, 40))]
+    got = qdwh.whitened(table(spark, rows)).collect()
+    x = [whole(v) for _, v in rows]
+    total = [sum(c) for c in zip(*x, strict=True)]
+    want = {i: sum((40 * a - s) ** 2 for a, s in zip(r, total, strict=True)) for (i, _), r in zip(rows, x, strict=True)}
+    assert {r["vec_id"]: r["deviation"] for r in got} == {i: v if v < 2**63 else None for i, v in want.items()}
+    assert got[0]["identity_error"] < 1e-9
+
+
+def test_flat_directions_are_left_out(spark):
+    rows = [(i, [float(i % 5), 2.0, float(i % 5)]) for i in range(30)]
+    got = qdwh.whitened(table(spark, rows)).collect()
+    assert {r["component"] for r in got} == {1} and abs(got[0]["explained"] - 1) < 1e-12
+    assert qdwh.whitened(table(spark, [(1, [1.0, 2.0])])).collect() == []
+    assert qdwh.whitened(table(spark, [])).collect() == []
+
+
+def test_repeated_rows_and_null_ids_get_rows(spark):
+    rows = [(7, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [0.0, 2.0]), (8, [3.0, 1.0])]
+    got = rows_of(qdwh.whitened(table(spark, rows)), "vec_id", "component", "n")
+    assert got == [(None, 1, 4), (None, 2, 4), (7, 1, 4), (7, 1, 4), (7, 2, 4), (7, 2, 4), (8, 1, 4), (8, 2, 4)]
