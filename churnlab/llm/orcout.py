@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed, running_total, scratch_folder, ship
-from churnlab.llm.tokens import encoder, text_chunks, with_end
+from churnlab.llm.tokens import ENCODE_BYTES, column_chunks, encoder
 
 SCHEMA = "doc_id long, ids array<int>"
 STRIPE_BYTES, ROW_INDEX, BLOOM_RATE = 16 << 20, 1000, 0.01
@@ -37,8 +37,8 @@ STRIPE_BYTES, ROW_INDEX, BLOOM_RATE = 16 << 20, 1000, 0.01
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     encode = encoder(path).encode
     for batch in batches:
-        for first, texts in text_chunks(batch.column(1)):
-            ids, offsets = with_end(*encode(texts), end)
+        for first, texts in column_chunks(batch.column(1), ENCODE_BYTES):
+            ids, offsets = encode(texts, end)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view(np.int32)))
             yield pa.record_batch({"doc_id": batch.column(0).slice(first, len(texts)), "ids": lists})
 

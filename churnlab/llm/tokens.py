@@ -18,34 +18,39 @@ from string import punctuation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LATIN = re.compile("[\x00-\xff]*")
-RUN = re.compile(r"\s\s")
+#: Two characters of white space (Python's), as Arrow writes it.
+RUN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}"
 #: A word with the white space before it, or white space at the end. The
 #: files' white space is Unicode's: without Python's U+001C to U+001F.
 WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Words held before a worker's cache starts anew, and a quarter as many pieces.
 CACHE_WORDS = 400_000
-#: Characters of text handled at once.
+#: Characters or bytes of text handled at once.
 CHUNK = 4 << 20
+#: Bytes of text encoded at once: fewer distinct words to look up, more memory.
+ENCODE_BYTES = 4 << 20
 
 
-class _Words(dict):
-    """word -> its slot; a new word is encoded and gets the next slot.
+class _Words:
+    """Slots of encoded words: words after a space are kept without it, in
+    ``spaced``; all others with the white space before them, in ``whole``."""
 
-    Words after a space are kept without it, all others behind a NUL, with
-    the white space before them.
-    """
+    def __init__(self):
+        self.spaced: dict[str, int] = {}
+        self.whole: dict[str, int] = {}
+        self.ends: dict[int, int] = {}
+        self.ids, self.first = array("I"), array("q", [0])
 
-    def __init__(self, spaced, whole):
-        super().__init__()
-        self.spaced, self.whole, self.ids, self.first = spaced, whole, array("I"), array("q", [0])
-
-    def __missing__(self, word: str) -> int:
-        self.ids.extend(self.whole(word[1:]) if word[:1] == "\0" else self.spaced(word))
-        slot = self[word] = len(self.first) - 1
+    def add(self, ids: tuple[int, ...]) -> int:
+        self.ids.extend(ids)
         self.first.append(len(self.ids))
-        return slot
+        return len(self.first) - 2
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
 
 
 class WordEncoder:
@@ -69,7 +74,7 @@ class WordEncoder:
         self.keeps = all(self.letters[ord(c)] == c for c in ascii_letters)
         self.lowers = all(self.letters[ord(c)] == c.lower() for c in ascii_letters)
         self.tails: dict[str, tuple[int, ...]] = {"": ()}
-        self.words = _Words(self._spaced, self._whole)
+        self.words = _Words()
         self.pieces: dict[str, tuple[int, ...]] = {}
 
     def _cut(self, text: str) -> list[str]:
@@ -118,41 +123,82 @@ class WordEncoder:
                 return tuple([x for piece in self.line for x in self._piece(piece)]) + got
         return tuple([x for piece in self._cut(word) for x in self._piece(piece)])
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the offset of each text's first id."""
+    def _slot(self, word: str) -> int:
+        """The slot of a word after a space, or after a line end that it begins with."""
+        if word[:1] == "\n":
+            return self._whole_slot(word)
+        slot = self.words.spaced.get(word)
+        if slot is None:
+            slot = self.words.spaced[word] = self.words.add(self._spaced(word))
+        return slot
+
+    def _whole_slot(self, word: str) -> int:
+        slot = self.words.whole.get(word)
+        if slot is None:
+            slot = self.words.whole[word] = self.words.add(self._whole(word))
+        return slot
+
+    def _slots(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Slots of all words, and how many each text has.
+
+        Arrow cuts the texts and numbers their words; Python sees each
+        distinct word of the column once.
+        """
+        # a line end becomes a word's beginning, so one cut at spaces does
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        at, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        offsets = offsets - offsets[0]
+        slots = np.fromiter(map(self._slot, known), np.int64, len(known))[at]
+        # the first word of a text stands after nothing; if empty, it is none
+        counts, first = np.diff(offsets), offsets[:-1]
+        keep = np.ones(len(slots), bool)
+        for place in first[counts > 0].tolist():
+            word = known[at[place]]
+            if word:
+                slots[place] = self._whole_slot(word)
+            else:
+                keep[place] = False
+        counts = np.add.reduceat(np.append(keep, False).astype(np.int64), offsets[:-1]) * (counts > 0) if len(counts) else counts
+        return slots[keep], counts
+
+    def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the offset of each text's first id; ``end`` follows each text."""
+        column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
         if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self._spaced, self._whole)
+            self.words = _Words()
         if len(self.pieces) > CACHE_WORDS // 4:
             self.pieces = {}
-        slot = self.words.__getitem__
-        slots: list[int] = []
-        counts = np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            before = len(slots)
-            if RUN.search(text):
-                slots += [slot("\0" + w) for w in WORD.findall(text)]
-            else:
-                lead = "\0"
-                for line in text.split("\n"):
-                    words = line.split(" ")
-                    words[0] = lead + words[0]
-                    if words[0] == "\0":
-                        del words[0]
-                    slots += map(slot, words)
-                    lead = "\0\n"
-            counts[i] = len(slots) - before
+        odd = np.flatnonzero(pc.match_substring_regex(column, RUN).to_numpy(zero_copy_only=False))
+        if len(odd):
+            mask = np.zeros(len(column), bool)
+            mask[odd] = True
+            slots, counts = self._slots(pc.if_else(pa.array(mask), "", column))
+            before = np.concatenate(([0], np.cumsum(counts)))
+            parts, at = [], 0
+            for i in odd.tolist():
+                own = [self._whole_slot(w) for w in WORD.findall(column[i].as_py())]
+                parts += [slots[at : before[i]], np.array(own, np.int64)]
+                at, counts[i] = before[i], len(own)
+            slots = np.concatenate([*parts, slots[at:]])
+        else:
+            slots, counts = self._slots(column)
         starts = np.concatenate(([0], np.cumsum(counts)))
-        if not slots:
+        if end is not None:
+            if end not in self.words.ends:
+                self.words.ends[end] = self.words.add((end,))
+            slots = np.insert(slots, starts[1:], self.words.ends[end])
+            starts = starts + np.arange(len(starts))
+        if not len(slots):
             return np.zeros(0, np.uint32), starts * 0
-        at = np.array(slots, np.int64)
         flat = np.array(self.words.ids, np.uint32)
         first = np.array(self.words.first, np.int64)
-        begin, lengths = first[at], np.diff(first)[at]
+        begin, lengths = first[slots], np.diff(first)[slots]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        out = flat[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])]
-        return out, ends[starts]
+        place = np.repeat(begin - ends[:-1], lengths)
+        place += np.arange(ends[-1])
+        return flat[place], ends[starts]
 
 
 @lru_cache(maxsize=1)
@@ -161,10 +207,15 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def with_end(ids: np.ndarray, offsets: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ids with an end id after each text."""
-    n = len(offsets) - 1
-    return np.insert(ids, offsets[1:], np.uint32(end)), offsets + np.arange(n + 1)
+def column_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) in slices of about ``limit`` bytes, or a row."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        used = sizes[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(sizes, used + limit, side="right")))
+        yield at, column.slice(at, stop - at)
+        at = stop
 
 
 def text_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, list[str]]]:

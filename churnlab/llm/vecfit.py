@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from churnlab.llm.common import checkpointed, ship
-from churnlab.llm.tokens import encoder, text_chunks, with_end
+from churnlab.llm.tokens import ENCODE_BYTES, column_chunks, encoder
 
 TOKENS = 2048
 BUCKET_ROWS = 4000
@@ -53,8 +53,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int,
     encode = encoder(path).encode
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
-        for first, texts in text_chunks(batch.column(1)):
-            ids, offsets = with_end(*encode(texts), end)
+        for first, texts in column_chunks(batch.column(1), ENCODE_BYTES):
+            ids, offsets = encode(texts, end)
             ids = ids.astype("<u4")
             rows, parts = [], []
             for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):

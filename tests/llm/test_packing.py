@@ -18,6 +18,7 @@ BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.pa
 ODD = [
     "", " ", "a", "  two  spaces ", "line\n\nbreaks\r\n\tand tabs", "it's we'll DON'T", "<|endoftext|> a<|startoftext|>b", "a\x1cb \x1d c", "é é ́x",
     "a b 　c", "ΑΣ ΣΑΣ İ ǅ 123 45!! ²½", "​ x \x85 y", "🤦🏼‍♂️ x", " \n", "a\n b", "a \nb", "word. word, (word) «word» ﬁ", "x" * 300,
+    "end \0", "a \0b", "\0", "\0a \0\n\0 b", "\n", "\nb", "a\n", " \0",
 ]
 
 
@@ -31,7 +32,7 @@ def test_word_encoder_equals_whole_texts(path):
     whole.encode_special_tokens = True
     encoder = WordEncoder(path)
     rng = random.Random(5)
-    texts = ODD + ["".join(rng.choice("aB é\n \t.,!1ß中́'’") for _ in range(rng.randrange(60))) for _ in range(400)]
+    texts = ODD + ["".join(rng.choice("aB é\n \t.,!1ß中́'’\0") for _ in range(rng.randrange(60))) for _ in range(400)]
     ids, offsets = encoder.encode(texts)
     for text, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
         assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
