@@ -187,22 +187,23 @@ class LineIndex:
     def dedupe(self, docs: DataFrame, lines: DataFrame | None = None) -> DataFrame:
         """The rows of docs with their repeated lines dropped from ``text``.
 
-        Adds n_lines (before) and n_dropped. Text without dropped lines is
-        unchanged, but for null, which becomes empty.
+        Adds n_lines (before) and n_dropped, in place of columns of these
+        names. Text without dropped lines is unchanged, but for null, which
+        becomes empty.
         """
-        gone = self.dropped(docs, lines).withColumnsRenamed({"doc_id": "_doc", "row": "_row", "dropped": "_gone"})
-        rows = docs.withColumn("_hash", F.xxhash64("text"))
-        joined = rows.join(gone, (F.col("doc_id").cast("long") == F.col("_doc")) & (F.col("_hash") == F.col("_row")), "left")
+        # the columns of docs go under names of their own, so that none clashes
+        names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+        doc_id, text = (F.col(names[c]) for c in ("doc_id", "text"))
+        gone = self.dropped(docs, lines).toDF("doc", "row", "gone")
+        joined = docs.toDF(*names.values()).join(gone, (doc_id.cast("long") == F.col("doc")) & (F.xxhash64(text) == F.col("row")), "left")
         cut = F.pandas_udf(_drop_lines, "string")
         # rows that keep all lines send no text to Python
-        kept = cut(F.when(F.col("_gone").isNotNull(), F.col("text")), F.col("_gone"))
-        joined = joined.withColumn("_kept", kept)
-        n_dropped = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+        joined = joined.withColumn("kept", cut(F.when(F.col("gone").isNotNull(), text), F.col("gone")))
+        own = {"n_lines": F.size(text_lines(text)).cast("long"), "n_dropped": F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")}
         return joined.select(
-            *(F.col(c) for c in docs.columns if c != "text"),
-            F.size(text_lines(F.col("text"))).cast("long").alias("n_lines"),
-            n_dropped.alias("n_dropped"),
-            F.coalesce("_kept", "text", F.lit("")).alias("text"),
+            *(F.col(n).alias(c) for c, n in names.items() if c != "text" and c not in own),
+            *(v.alias(c) for c, v in own.items()),
+            F.coalesce("kept", text, F.lit("")).alias("text"),
         )
 
 

@@ -33,6 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from churnlab.llm.common import checkpointed, ship
 from churnlab.llm.tokens import text_chunks
@@ -200,21 +201,25 @@ def languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def _with_language(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
+    predict = Predictor(model)
+    for batch in batches:
+        found = [x for _, langs, _ in predict(batch.column(at)) for x in langs]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "predicted"])
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """The rows whose text has a letter; a missing ``lang`` is filled in.
 
-    Where nothing is learned, ``lang`` stays as it is.
+    Where nothing is learned, ``lang`` stays as it is. Whole rows pass
+    through the tasks as Arrow batches: nothing waits in the JVM meanwhile.
     """
     model = fit(docs)
-
-    @F.pandas_udf("string")
-    def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        predict = Predictor(model)
-        for texts in batches:
-            column = pa.array(texts, pa.string(), from_pandas=True)
-            yield pd.Series([x for _, langs, _ in predict(column) for x in langs], dtype=object)
-
-    # evaluated once: the filter below would otherwise be pushed under it
-    predicted = predicted.asNondeterministic()
-    kept = docs.withColumn("_lang", predicted("text")).filter(F.col("_lang").isNull() | (F.col("_lang") != UNKNOWN))
-    return kept.select(*(F.coalesce("lang", "_lang").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    ship(docs.sparkSession)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    text, lang = (names[docs.columns.index(c)] for c in ("text", "lang"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("predicted", T.StringType())])
+    found = rows.mapInArrow(partial(_with_language, model=model, at=names.index(text)), schema)
+    kept = found.filter(F.col("predicted").isNull() | (F.col("predicted") != UNKNOWN))
+    return kept.select(*(F.coalesce(lang, "predicted").alias(c) if n == lang else F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)))

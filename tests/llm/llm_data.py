@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names the operators use themselves; as extra columns they must not clash.
-CLASHES = "size shard k d cell piece slot skey rid target taken finish row pos key ids length start bucket component hub id label n h1 h2 shard_ v dims".split()
+CLASHES = "size shard k d cell piece slot skey rid target taken finish row pos key ids length start bucket component hub id label n h1 h2 shard_ v dims n_lines n_dropped doc gone kept predicted c0 c1 _doc _row _gone score".split()
 
 
 def docs(spark, rows):

@@ -28,7 +28,7 @@ def test_query_equals_its_sql(spark, monkeypatch, name):
 
 
 def test_every_operator_is_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)] + ["pipeline"]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)] + ["pipeline"]
     assert corpus_pipeline.ORACLE_SQL is None
 
 
