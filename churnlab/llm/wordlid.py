@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -31,6 +32,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,40 +73,64 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "size": [k[0] for k in parts], "part": [k[1] for k in parts], "n": list(parts.values())})
 
 
+def _key(size: int, part: str) -> int:
+    """64 bits of a part and its size."""
+    return xxhash.xxh3_64_intdigest(f"{size} {part}".encode("utf-8", "surrogatepass"))
+
+
+class _Parts:
+    """The rows of the parts of one size, found by their hashes."""
+
+    def __init__(self, keys: array, size: int):
+        self.keys, self.size = keys, size
+
+    def get(self, part: str) -> int | None:
+        key = _key(self.size, part)
+        at = bisect_left(self.keys, key)
+        return at if at < len(self.keys) and self.keys[at] == key else None
+
+    def __getitem__(self, part: str) -> int:
+        at = self.get(part)
+        if at is None:
+            raise KeyError(part)
+        return at
+
+
 class Model:
     """Log frequencies of words and n-grams; one column per language.
 
     ``places`` has, per size (0: whole words), the row of each part in
-    ``rows``, one matrix of 32-bit floats.
+    ``rows``, one matrix of 32-bit floats. Parts are kept as one sorted array
+    of 64-bit hashes, so that a worker holds and unpickles no strings.
     """
 
     def __init__(self, languages: list[str], counts: Iterable[tuple[str, int, str, int]]):
         self.languages = sorted(languages)
         column = {x: i for i, x in enumerate(self.languages)}
-        self.places: dict[int, dict[str, int]] = {}
-        cells, total = array("q"), 0
+        cells = array("q")
+        keys, sizes = array("Q"), array("b")
         for lang, size, part, n in counts:
-            table = self.places.setdefault(size, {})
-            at = table.get(part)
-            if at is None:
-                at = table[part] = total
-                total += 1
-            cells.extend((at, column[lang], n))
-        at, lang, n = np.array(cells, np.int64).reshape(-1, 3).T
-        rows = np.full((total, len(column)), SMOOTH)
+            keys.append(_key(size, part))
+            sizes.append(size)
+            cells.extend((column[lang], n))
+        found, first, at = np.unique(np.array(keys, np.uint64), return_index=True, return_inverse=True)
+        lang, n = np.array(cells, np.int64).reshape(-1, 2).T
+        rows = np.full((len(found), len(column)), SMOOTH)
         np.add.at(rows, (at, lang), n)
-        for table in self.places.values():
-            own = np.fromiter(table.values(), np.int64, len(table))
+        of = np.array(sizes, np.int8)[first]
+        for size in np.unique(of):
+            own = of == size
             rows[own] = np.log(rows[own] / rows[own].sum(axis=0))
+        ordered = array("Q", found.tobytes())
+        self.places = {size: _Parts(ordered, size) for size in range(LONGEST + 1)}
         self.rows = rows.astype(np.float32)
 
     def word(self, word: str) -> np.ndarray:
-        known = self.places.get(0, {}).get(word)
+        known = self.places[0].get(word)
         if known is not None:
             return self.rows[known]
         for n in range(LONGEST, 0, -1):
-            table = self.places.get(n, {})
-            at = [r for r in map(table.get, grams(word, n)) if r is not None]
+            at = [r for r in map(self.places[n].get, grams(word, n)) if r is not None]
             if at:
                 return self.rows[at].mean(axis=0)
         return np.zeros(len(self.languages), np.float32)
@@ -204,6 +230,7 @@ def languages(docs: DataFrame) -> DataFrame:
 def _with_language(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     predict = Predictor(model)
     for batch in batches:
+        pa.default_memory_pool().release_unused()
         found = [x for _, langs, _ in predict(batch.column(at)) for x in langs]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "predicted"])
 
