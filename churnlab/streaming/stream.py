@@ -7,10 +7,10 @@ STR2  ``page_hour_counts``: tumbling-window counts per page.
 STR3  ``user_day_totals``: per (user, day window) activity totals, and
       ``user_session_totals``: per (user, session) flag totals.
 STR4  ``MatrixUpkeep``: keeps the user matrix current. Adjacency, gaps and
-      session means need a user's ordered history, so they are not a plain
-      streaming aggregate: each micro-batch appends mergeable partial
-      aggregates (user-day rows, session parts, gender pairs) to stored
-      tables and recomputes the matrix rows of the users it touched.
+      session means need a user's ordered history; it is kept as one
+      mergeable row per user (sums, sessions counted, active days as bit
+      blocks), so a micro-batch in any order of time is merged into the rows
+      of the users it touches and no older events or days are read.
 STR5  ``score_matrix_updates``: scores matrix rows as they change, run on a
       schedule with ``trigger(availableNow=True)``.
 
@@ -31,26 +31,20 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from churnlab.functions import event_date
-from churnlab.operators.days import day_user_maxima, user_days
 from churnlab.operators.events import drop_blank_users, with_flags
-from churnlab.operators.matrix import (
-    assemble_matrix,
-    gender_pairs,
-    max_gender,
-    merge_session_parts,
-    rollup_sessions,
-    session_parts,
-)
+from churnlab.operators.matrix import NO_SESSION, gender_pairs, max_gender, session_parts
 from churnlab.schema import (
     DEFAULT_ROLES,
     EVENT_SCHEMA,
     FLAG_COLUMNS,
+    MEAN_MEASURES,
     RAW_EVENT_SCHEMA,
     SESSION_MEASURES,
+    TOTAL_MEASURES,
     USER_MATRIX_COLUMNS,
     PageRoles,
 )
@@ -227,26 +221,21 @@ def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
     so a crashed attempt is simply redone), then write the marker
     ``snapshots/_done/gen=E``. Readers switch to the snapshot only when
     the marker exists. ``purge`` then deletes the epoch folders of the
-    partial aggregates before E and older snapshots. The matrix rows per
+    stored tables before E and older snapshots. The matrix rows per
     epoch stay: scheduled scoring (STR5) streams from them.
     """
     base = base.rstrip("/")
-    if not path_exists(spark, f"{base}/sessions"):
+    if not path_exists(spark, f"{base}/seen"):
         return None
-    last = spark.read.parquet(f"{base}/sessions").agg(F.max("epoch").alias("e")).first().e  # one value
+    last = spark.read.parquet(f"{base}/seen").agg(F.max("epoch").alias("e")).first().e  # complete epochs only
     if last is None or last == snapshot_generation(spark, base):
         return snapshot_generation(spark, base)
     # Rows keep the bucket the upkeep gave them (a function of userId), so
     # the upkeep's bucket pruning finds them in the snapshot too.
-    for name in ("days", "sessions", "genders"):
-        merged = read_stored(spark, base, name).where(F.col("epoch") <= last).drop("epoch")
-        if name == "days":
-            merged = merged.groupBy("ubucket", "userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
-        elif name == "sessions":
-            merged = merge_session_parts(merged, extra_keys=("ubucket",))
-        else:
-            merged = merged.select("ubucket", "userId", "gender").distinct()
-        merged.write.mode("overwrite").partitionBy("ubucket").parquet(f"{base}/snapshots/{name}/gen={last}")
+    for name in STORES:
+        rows = read_stored(spark, base, name).where(F.col("epoch") <= last)
+        merged = latest_by_key(rows, ["ubucket", "userId"]) if name == "users" else rows.drop("epoch")
+        by_bucket(merged, STORES[name]).write.mode("overwrite").partitionBy("ubucket").parquet(f"{base}/snapshots/{name}/gen={last}")
     matrix = latest_by_key(read_stored(spark, base, "matrix").where(F.col("epoch") <= last), ["userId"])
     matrix.write.mode("overwrite").parquet(f"{base}/snapshots/matrix/gen={last}")
     spark.range(1).select(F.lit(last).cast("long").alias("epoch_through")).write.mode("overwrite").parquet(
@@ -258,12 +247,12 @@ def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
 
 
 def _purge(spark: SparkSession, base: str, gen: int) -> None:
-    """Delete partial aggregates before ``gen`` and snapshots older than ``gen``.
+    """Delete stored epochs before ``gen`` and snapshots older than ``gen``.
 
     The matrix epochs are left for the scoring stream. The files of epoch ``gen`` itself stay: readers already skip them, and
     they keep every table readable (parquet needs a file to infer from).
     """
-    for name in ("days", "sessions", "genders", "matrix"):
+    for name in (*STORES, "matrix"):
         root, fs = _fs_path(spark, f"{base}/{name}")
         for top in fs.listStatus(root) if name != "matrix" and fs.exists(root) else []:
             targets = [top] if top.getPath().getName().startswith("epoch=") else list(fs.listStatus(top.getPath()))
@@ -279,29 +268,79 @@ def _purge(spark: SparkSession, base: str, gen: int) -> None:
                     fs.delete(st.getPath(), True)
 
 
-class MatrixUpkeep:
-    """foreachBatch function that keeps the user matrix current.
+#: The upkeep's stored tables, and what their files are sorted by.
+STORES = {"users": ["userId"], "sessions": ["userId", "sid"], "seen": ["date", "_k1"]}
+#: Days of one block: the bits of a long.
+BLOCK_DAYS = 64
+
+
+def by_bucket(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """One sorted run per bucket, so a write makes at most one file of each."""
+    return df.repartition("ubucket").sortWithinPartitions("ubucket", *order)
+
+
+def day_blocks(events: DataFrame) -> DataFrame:
+    """(userId, block, bits): active days as bits of blocks of 64 days.
+
+    Blocks merge by ``bit_or`` in any order and any number of times. Events
+    without a time give the block null.
+    """
+    day = F.unix_date(event_date("ts"))
+    bit = F.expr("shiftleft(1L, cast(pmod(_day_no, 64) as int))")
+    rows = events.select("userId", day.alias("_day_no")).withColumn("block", F.floor(F.col("_day_no") / BLOCK_DAYS).cast("int"))
+    return rows.withColumn("bits", F.coalesce(bit, F.lit(0).cast("long"))).groupBy("userId", "block").agg(F.bit_or("bits").alias("bits"))
+
+
+def block_maxima(blocks: DataFrame) -> DataFrame:
+    """The day features of the matrix from a user's merged blocks.
 
-    An event counts once, however often it is delivered: ``seen/`` holds
-    the keys (two 64-bit hashes) of all counted events by date and epoch,
-    and a micro-batch is held against the keys of its own dates only.
+    Per block: first and last day, the largest gap and the adjacent pairs
+    inside; across blocks the last day before and the first day after.
+    """
+    inside = blocks.withColumn("d", F.expr("filter(sequence(0, 63), i -> shiftrightunsigned(bits, i) & 1 = 1)"))
+    inside = inside.select(
+        "userId",
+        "block",
+        (F.col("block") * BLOCK_DAYS + F.expr("get(d, 0)")).alias("first"),
+        (F.col("block") * BLOCK_DAYS + F.expr("get(d, size(d) - 1)")).alias("last"),
+        F.expr("array_max(zip_with(slice(d, 2, 64), slice(d, 1, greatest(size(d) - 1, 0)), (b, a) -> b - a))").alias("gap"),
+        F.expr("bit_count(bits & shiftrightunsigned(bits, 1))").alias("pairs"),
+    )
+    step = F.col("first") - F.lag("last").over(Window.partitionBy("userId").orderBy("block"))
+    return inside.withColumn("step", step).groupBy("userId").agg(
+        F.coalesce(F.greatest(F.max("gap"), F.max("step")), F.lit(0)).cast("int").alias("most_days_since_last_listen"),
+        (F.sum("pairs") + F.coalesce(F.sum((F.col("step") == 1).cast("int")), F.lit(0))).cast("long").alias("most_days_consec_listen"),
+    )
 
-    Layout under ``base``: ``days/``, ``sessions/``, ``genders/`` hold the
-    partial aggregates of every micro-batch, partitioned by a hash bucket
-    of userId and by epoch; ``matrix/`` holds, per epoch, the recomputed
-    rows of the users touched in that epoch. The current matrix is the
-    latest row per user (``current_matrix``).
 
-    Each micro-batch reads back only the buckets it touched (partition
-    pruning on a list of at most ``buckets`` integers) and, inside them,
-    only the touched users (semi join), then recomputes those users'
-    rows with the same operators as the batch matrix.
+class MatrixUpkeep:
+    """foreachBatch function that keeps the user matrix current.
+
+    Layout under ``base``, every table partitioned by a hash bucket of userId
+    and by epoch, one sorted file per bucket and epoch at most:
+
+    ``users``     one row per user touched in the epoch, merged over all time:
+                  the sums, listens, churn, gender, the number of sessions and
+                  the active days as blocks of 64 bits
+    ``sessions``  the keys of sessions that the epoch saw first
+    ``seen``      the keys (two 64-bit hashes) of the events it counted, by
+                  date; written last, it marks the epoch complete
+    ``matrix``    the matrix rows of the touched users (by epoch only)
+
+    An event counts once, however often it is delivered: a micro-batch is held
+    against the seen keys of its own buckets and range of dates. Then it reads
+    the latest row of each touched user, merges its own sums and days into it
+    and derives the matrix row. What is read of a user is one row for each
+    epoch since the last compaction that touched the user, however long the
+    history: days merge as bits, and sessions only have to be known or new.
+    ``compact_every`` epochs the stored tables are merged into a snapshot.
     """
 
-    def __init__(self, base: str, roles: PageRoles = DEFAULT_ROLES, buckets: int = 16):
+    def __init__(self, base: str, roles: PageRoles = DEFAULT_ROLES, buckets: int = 16, compact_every: int | None = 16):
         self.base = base.rstrip("/")
         self.roles = roles
         self.buckets = buckets
+        self.compact_every = compact_every
 
     def part(self, name: str) -> str:
         return f"{self.base}/{name}"
@@ -309,50 +348,90 @@ class MatrixUpkeep:
     def bucket(self) -> F.Column:
         return F.pmod(F.xxhash64("userId"), F.lit(self.buckets)).cast("int")
 
-    def fresh(self, batch: DataFrame, epoch_id: int) -> DataFrame:
-        """The batch's events that no earlier epoch has counted, once each."""
-        keys = [F.xxhash64(*DEDUPE_KEYS).alias("_k1"), F.xxhash64(F.lit(1), *DEDUPE_KEYS).alias("_k2")]
-        once = batch.dropDuplicates(list(DEDUPE_KEYS)).select("*", event_date("ts").alias("_day"), *keys)
-        if not path_exists(batch.sparkSession, self.part("seen")):
+    def stored(self, spark: SparkSession, name: str, epoch_id: int, hot: list[int]) -> DataFrame | None:
+        """What earlier epochs stored in the touched buckets."""
+        if not path_exists(spark, self.part(name)):
+            return None
+        return read_stored(spark, self.base, name).where((F.col("epoch") < epoch_id) & F.col("ubucket").isin(hot))
+
+    def write(self, df: DataFrame, name: str, epoch_id: int) -> None:
+        write_epoch(by_bucket(df, STORES[name]), self.part(name), epoch_id, ["ubucket"])
+
+    def fresh(self, once: DataFrame, epoch_id: int, hot: list[int]) -> DataFrame:
+        """The batch's events that no earlier epoch has counted."""
+        seen = self.stored(once.sparkSession, "seen", epoch_id, hot)
+        if seen is None:
             return once
-        seen = batch.sparkSession.read.parquet(self.part("seen")).where(F.col("epoch") < epoch_id)
-        days = once.select("_day").distinct()
-        seen = seen.join(days, seen["date"].eqNullSafe(days["_day"]), "left_semi").select("_k1", "_k2")
-        return once.join(seen, ["_k1", "_k2"], "left_anti")
+        span = once.agg(F.min("_day").alias("a"), F.max("_day").alias("b"), F.max(F.col("_day").isNull()).alias("n")).first()
+        # literals reach the scan, which skips row groups of other dates
+        near = F.lit(False) if span.a is None else F.col("date").between(span.a, span.b)
+        seen = seen.where(near | F.col("date").isNull() if span.n else near)
+        return once.join(seen.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
+
+    def merged(self, ev: DataFrame, epoch_id: int, hot: list[int]) -> DataFrame:
+        """The touched users' rows with this batch merged in; stores new sessions."""
+        spark = ev.sparkSession
+        parts = session_parts(ev, self.roles).withColumn("sid", F.coalesce("sessionId", F.lit(NO_SESSION)))
+        new = parts.select("userId", "sid")
+        known = self.stored(spark, "sessions", epoch_id, hot)
+        if known is not None:
+            new = new.join(known.select("userId", "sid"), ["userId", "sid"], "left_anti")
+        self.write(new.withColumn("ubucket", self.bucket()), "sessions", epoch_id)
+        new = spark.read.parquet(self.part("sessions")).where((F.col("epoch") == epoch_id) & F.col("ubucket").isin(hot))
+        sums = [*SESSION_MEASURES, "_listens"]
+        delta = (
+            parts.groupBy("userId").agg(*[F.sum(c).cast("long").alias(c) for c in sums], F.max("_churn").alias("_churn"))
+            .join(max_gender(gender_pairs(ev)), "userId")
+            .join(new.groupBy("userId").agg(F.count(F.lit(1)).alias("n_sessions")), "userId", "left")
+        )
+        blocks = day_blocks(ev)
+        users = self.stored(spark, "users", epoch_id, hot)
+        if users is not None:
+            touched = delta.select("userId")
+            old = latest_by_key(users.drop("ubucket").join(touched, "userId", "left_semi"), ["userId"])
+            delta = delta.unionByName(old.drop("days"))
+            blocks = blocks.unionByName(old.select("userId", F.inline("days")))
+            blocks = blocks.groupBy("userId", "block").agg(F.bit_or("bits").alias("bits"))
+        totals = delta.groupBy("userId").agg(
+            *[F.sum(c).cast("long").alias(c) for c in sums],
+            F.max("_churn").alias("_churn"),
+            F.max("gender").alias("gender"),
+            F.sum(F.coalesce("n_sessions", F.lit(0))).cast("long").alias("n_sessions"),
+        )
+        return totals.join(blocks.groupBy("userId").agg(F.sort_array(F.collect_list(F.struct("block", "bits"))).alias("days")), "userId")
 
     def __call__(self, batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        ev = self.fresh(drop_blank_users(batch), epoch_id).persist()
+        done = snapshot_generation(spark, self.base)
+        if done is not None and done >= epoch_id:
+            return  # a replay of an epoch that a snapshot holds whole
+        keys = [F.xxhash64(*DEDUPE_KEYS).alias("_k1"), F.xxhash64(F.lit(1), *DEDUPE_KEYS).alias("_k2")]
+        once = drop_blank_users(batch).dropDuplicates(list(DEDUPE_KEYS)).select("*", event_date("ts").alias("_day"), self.bucket().alias("ubucket"), *keys).persist()
+        hot = [r.ubucket for r in once.select("ubucket").distinct().collect()]  # <= self.buckets values
+        ev = self.fresh(once, epoch_id, hot).persist()
+        state = None
         try:
-            counted = ev.select(F.col("_day").alias("date"), "_k1", "_k2")
             if not ev.limit(1).count():
                 return  # nothing but replays
-            for name, part in (
-                ("days", user_days(ev, self.roles)),
-                ("sessions", session_parts(ev, self.roles)),
-                ("genders", gender_pairs(ev)),
-            ):
-                write_epoch(part.withColumn("ubucket", self.bucket()), self.part(name), epoch_id, ["ubucket"])
-            touched = ev.select("userId").distinct().withColumn("ubucket", self.bucket())
-            hot = [r.ubucket for r in touched.select("ubucket").distinct().collect()]  # <= self.buckets values
-
-            def stored(name: str) -> DataFrame:
-                return (
-                    read_stored(spark, self.base, name)
-                    .where(F.col("ubucket").isin(hot))
-                    .join(touched, ["ubucket", "userId"], "left_semi")
-                    .drop("epoch", "ubucket")
-                )
-
-            days = stored("days").groupBy("userId", "date").agg(F.max("listen_flag").alias("listen_flag"))
-            sessions = rollup_sessions(merge_session_parts(stored("sessions")))
-            genders = max_gender(stored("genders").distinct())
-            rows = assemble_matrix(sessions, day_user_maxima(days), genders)
-            write_epoch(rows, self.part("matrix"), epoch_id)
+            state = self.merged(ev, epoch_id, hot).persist()
+            self.write(state.withColumn("ubucket", self.bucket()), "users", epoch_id)
+            days = block_maxima(state.select("userId", F.inline("days")))
+            rows = state.join(days, "userId").select(
+                "*",
+                F.col("_churn").alias("churn"),
+                F.col("_listens").cast("int").alias("most_listens_one_month"),
+                *[F.col(m).alias(t) for m, t in zip(SESSION_MEASURES, TOTAL_MEASURES)],
+                *[(F.col(m) / F.col("n_sessions")).alias(a) for m, a in zip(SESSION_MEASURES, MEAN_MEASURES)],
+            )
+            write_epoch(rows.select(*USER_MATRIX_COLUMNS), self.part("matrix"), epoch_id)
             # last: a crash before leaves the epoch uncounted, and its replay redoes it
-            write_epoch(counted, self.part("seen"), epoch_id, ["date"])
+            self.write(ev.select("ubucket", F.col("_day").alias("date"), "_k1", "_k2"), "seen", epoch_id)
         finally:
-            ev.unpersist()
+            for df in (once, ev, state):
+                if df is not None:
+                    df.unpersist()
+        if self.compact_every and (epoch_id + 1) % self.compact_every == 0:
+            compact(spark, self.base, purge=True)
 
 
 def current_matrix(spark: SparkSession, base: str) -> DataFrame:

@@ -172,3 +172,57 @@ def test_landing_has_as_many_files_as_its_input_has_parts(spark, tmp_path):
         found = [p for p in (tmp_path / f"in{parts}").glob("*/part-*.parquet") if files == 12 or p.parent.name == "dealt"]
         assert len(found) == files and spark.table(f"landed{parts}").count() == 240
         assert sum(p["numInputRows"] > 0 for p in query.recentProgress) >= 2
+
+
+def _deal(spark, base, ev, n):
+    """The log in n files, each a random share of the events in no order of time."""
+    from pyspark.sql import functions as F
+
+    cols = ev.withColumn("share", F.pmod(F.xxhash64("seq", "userId"), F.lit(n)))
+    for i in range(n):
+        STR.land_events(cols.where(F.col("share") == (i * 5) % n).drop("share").coalesce(1), f"{base}/in/part{i}")
+
+
+def test_nine_batches_in_any_order_equal_the_batch_matrix(spark, tmp_path):
+    base, ev = str(tmp_path), adapted_events(spark, SF001).cache()
+    _deal(spark, base, ev, 9)
+    stream = STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1)
+    STR.run_available(stream, STR.MatrixUpkeep(f"{base}/state", buckets=4, compact_every=4), f"{base}/ckpt", mode="append")
+    assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == sorted(M.user_matrix(ev).collect())
+    assert STR.snapshot_generation(spark, f"{base}/state") == 7
+    # a user is one row in the snapshot and one for each epoch after it
+    users = STR.read_stored(spark, f"{base}/state", "users").groupBy("userId").count()
+    assert users.agg({"count": "max"}).first()[0] <= 2
+    # one file of each table per bucket and epoch at most, and only epochs since the compaction
+    for name in STR.STORES:
+        files = list((tmp_path / "state" / name).glob("ubucket=*/epoch=*/part-*.parquet"))
+        assert files and len(files) == len({f.parent for f in files}) <= 4 * 2
+
+
+def test_replayed_epochs_change_nothing(spark, tmp_path):
+    base, (ev, first, second) = str(tmp_path), _halves(spark)
+    upkeep = STR.MatrixUpkeep(f"{base}/state", buckets=4)
+    upkeep(first, 0)
+    upkeep(second, 1)
+    upkeep(second, 1)  # after a crash before the commit
+    want = sorted(M.user_matrix(ev).collect())
+    assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == want
+    STR.compact(spark, f"{base}/state", purge=True)
+    upkeep(second, 1)  # the snapshot already holds it
+    upkeep(first, 2)  # all of it again, as a new epoch
+    assert sorted(STR.current_matrix(spark, f"{base}/state").collect()) == want
+
+
+def test_day_blocks_equal_day_windows(spark):
+    import random
+
+    from churnlab.operators.days import day_user_maxima, user_days
+
+    rng = random.Random(8)
+    day = 86_400_000
+    rows = [(f"u{u}", day * (rng.randrange(-200, 400) if u % 3 else 60 + rng.randrange(12)), "NextSong") for u in range(30) for _ in range(rng.randrange(1, 25))]
+    rows += [("late", None, "NextSong"), ("late", 5 * day, "Home"), ("none", None, "Home"), ("edge", 63 * day, "Home"), ("edge", 64 * day, "Home"), ("edge", -day, "Home"), ("edge", 0, "Home")]
+    ev = spark.createDataFrame(rows, "userId string, ts long, page string")
+    got, want = STR.block_maxima(STR.day_blocks(ev)), day_user_maxima(user_days(ev))
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
