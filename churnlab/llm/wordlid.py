@@ -75,7 +75,7 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _key(size: int, part: str) -> int:
     """64 bits of a part and its size."""
-    return xxhash.xxh3_64_intdigest(f"{size} {part}".encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(part, size)
 
 
 class _Parts:
