@@ -27,7 +27,7 @@ RUN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 #: files' white space is Unicode's: without Python's U+001C to U+001F.
 WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 #: Words held before a worker's cache starts anew, and a quarter as many pieces.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 250_000
 #: Characters or bytes of text handled at once.
 CHUNK = 4 << 20
 #: Bytes of text encoded at once: fewer distinct words to look up, more memory.
