@@ -16,18 +16,22 @@ bad outside an article. The others are ambiguous: short ones, and long ones
 with few stop words inside an article. Where stop words say nothing (scripts
 without spaces, pages whose long blocks have next to none) long blocks
 without links are good. In pass two an ambiguous block takes the label of
-its nearest decided neighbour, inside an article of its nearest decided
-neighbours in that article. Equally near neighbours that differ leave it
+its nearest decided neighbour, inside an article of the nearest decided
+block of that article that is not in boilerplate. Equally near neighbours that differ leave it
 good in an article or before a good block if it is a heading, else bad; an
 article without any decided block is kept whole. Where no block is good,
 boilerplate by class name or id alone is held against the rules as well.
 
 Stop words are those of four languages, and for each language that pages
 declare (none is one, too) the words that most of its pages have in their
-long blocks, counted over all pages.
+long blocks, counted over all pages: at most ``MOST_WORDS`` of a language,
+each of at most 20 letters.
+
+A page is read in time linear in its length, however deep or broken.
 
 Defined cases: null and empty html give an empty text; unclosed or crossed
-tags and cut-off pages are read as far as they go; repeated rows get a row
+tags and cut-off pages are read as far as they go; a quote left open ends
+with its tag; repeated rows get a row
 each; an empty table gives no rows. Extra columns are not read.
 """
 
@@ -46,7 +50,8 @@ from pyspark.sql import functions as F
 from churnlab.llm.common import checkpointed, ship
 from churnlab.llm.tokens import text_chunks
 
-MARKUP = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: A tag up to its attributes' end. A quoted value may hold ``>`` only where what follows its end can follow a value.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^">]*+"|'[^'>]*+'|"[^"]*+"(?=[\s/>])|'[^']*+'(?=[\s/>]))*+)""")
 #: Elements whose content is no text.
 SILENT = frozenset("script style noscript template svg math iframe object embed canvas audio video map select textarea title button datalist".split())
 BLOCK = frozenset(
@@ -59,7 +64,9 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 #: Whole class names and ids of boilerplate.
 HINT = re.compile(
     r"""(?<![^\s"'=])(?:(?:site|page|main|global)[_-])?(?:ads?|advert(?:s|isements?|ising)?|ad[_-](?:banner|block|box|container|slot|unit|wrapper)|banner|sponsor(?:s|ed)?|promo(?:s|tions?)?"""
-    r"""|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?(?:[_-]?(?:list|section|area|form))?|respond|replies|disqus(?:_thread)?"""
+    r"""|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|respond|replies|disqus(?:_thread)?"""
+    r"""|(?:(?:readers?|users?|visitors?|guests?|public|post|article|story|blog|facebook|fb)[_-]?)?comments?(?:[_-]?(?:list|section|area|form|content|body|text|threads?|box|block|wrapper|wrap|container|items?|author|meta|reply|replies|feed|stream))?"""
+    r"""|(?:readers?|users?)[_-](?:replies|responses|reviews|feedback)|discussion[_-](?:list|section|threads?)"""
     r"""|cookies?(?:[_-](?:notice|banner|bar|consent|popup|message))?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay"""
     r"""|newsletter(?:[_-](?:signup|form|box))?|subscri(?:be|ption)|share|sharing|share[_-](?:buttons|bar|links)|social(?:[_-](?:share|sharing|links|media|icons))?"""
     r"""|related(?:[_-](?:posts|articles|stories|content|links|news))?|recommend(?:ed|ations)|widgets?|toolbar|pagination|pager|copyright|disclaimer|legal|login|signup|search)(?![^\s"'>/])""",
@@ -84,7 +91,8 @@ EVIDENCE = 0.1
 COMMON, LEAST_PAGES, MOST_WORDS = 0.4, 20, 100
 #: Words counted before a task hands its counts on.
 COUNTED = 200_000
-LANGUAGE = re.compile(r"""<html\b[^>]*?\slang\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
+LANGUAGE = re.compile(r"""(?:^|\s)lang\s*=\s*["']?([a-zA-Z]{2,3})\b""", re.I)
+HTML = re.compile(r"<html\b", re.I)
 #: Letters of scripts without spaces between words; one of the first kind counts as three characters.
 SYLLABLES = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
@@ -127,83 +135,163 @@ def _place(tag: str, attributes: str, inside: int) -> int:
     return inside
 
 
+def pieces(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(None, False, text) or (tag, closing, attributes) in page order, without what is no text.
+
+    Each character is looked at a bounded number of times: a quote that is
+    never closed ends with its tag, at the next ``>``, and once a tag has run
+    into the page's end quotes count no more.
+    """
+    at, end, quotes = 0, len(page), True
+    while at < end:
+        start = page.find("<", at)
+        if start < 0:
+            yield None, False, page[at:]
+            return
+        if start > at:
+            yield None, False, page[at:start]
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 4)
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith("<![CDATA[", start):
+            close = page.find("]]>", start + 9)
+            yield None, False, html.escape(page[start + 9 : close if close >= 0 else end])
+            at = close + 3 if close >= 0 else end
+            continue
+        if page.startswith(("<!", "<?"), start):
+            close = page.find(">", start)
+            at = close + 1 if close >= 0 else end
+            continue
+        m = TAG.match(page, start) if quotes else None
+        if m and m.end() < end and page[m.end()] == ">":
+            closing, tag, attributes, at = bool(m[1]), m[2], m[3], m.end() + 1
+        else:
+            head = start + 2 if page.startswith("</", start) else start + 1
+            if not page[head : head + 1].isascii() or not page[head : head + 1].isalpha():
+                # a tag cut off by the page's end is no text
+                if head < end or head == start + 1:
+                    yield None, False, "<"
+                at = start + 1 if head < end or head == start + 1 else end
+                continue
+            quotes = quotes and m.end() < end
+            close = page.find(">", m.end() if quotes else head)
+            if close < 0:
+                # no tag ends any more; the last one is cut off
+                yield None, False, page[start : page.rfind("<")]
+                return
+            name = re.split(r"[\s/]", page[head : min(close, head + 64)], maxsplit=1)[0]
+            closing, tag, attributes, at = head == start + 2, name, page[head + len(name) : close], close + 1
+        tag = tag.lower()
+        if tag in SILENT:
+            if not closing and not attributes.endswith("/"):
+                close = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                over = page.find(">", close.end()) if close else -1
+                at = over + 1 if over >= 0 else end
+            continue
+        yield tag, closing, attributes
+
+
+class Open:
+    """The open elements; what is asked of all of them is counted."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int, int]] = []  # tag, place, number of the article
+        self.tags: Counter[str] = Counter()
+        self.headings = self.bad_forms = self.bad_others = 0
+
+    def _count(self, tag: str, place: int, by: int) -> None:
+        self.tags[tag] += by
+        self.headings += by * (tag in HEADINGS)
+        self.bad_forms += by * (place == BAD and tag == "form")
+        self.bad_others += by * (place == BAD and tag != "form")
+
+    def push(self, tag: str, place: int, article: int) -> None:
+        self.stack.append((tag, place, article))
+        self._count(tag, place, 1)
+
+    def pop(self) -> str:
+        tag, place, _ = self.stack.pop()
+        self._count(tag, place, -1)
+        return tag
+
+    def close(self, tag: str) -> None:
+        """Down to the last element of this name, if one is open."""
+        while self.tags[tag] and self.pop() != tag:
+            pass
+
+    def clear(self) -> None:
+        self.__init__()
+
+    @property
+    def place(self) -> int:
+        return self.stack[-1][1] if self.stack else NONE
+
+    @property
+    def article(self) -> int:
+        return self.stack[-1][2] if self.stack else 0
+
+
+def _placed(tag: str, attributes: str, above: Open) -> int:
+    """The place of an element under the open ones."""
+    inside, own = above.place, _place(tag, attributes, above.place)
+    if tag == "header" and inside != MAIN:
+        return BAD
+    if inside == BAD:
+        # some sites wrap the whole page in a form: an article in nothing worse than forms is one
+        only_forms = above.bad_forms and not above.bad_others
+        return MAIN if own == MAIN and only_forms else BAD
+    if inside == NAMED and own != BAD:
+        is_main = tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I)
+        return MAIN if own == MAIN and is_main else NAMED
+    return own
+
+
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order."""
+    """The page's blocks in order, in time linear in its length."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # tag, place, number of the article
+    above = Open()
     held: list[tuple[str, bool]] = []
-    state = {"place": NONE, "article": 0, "articles": 0, "link": False, "breaks": 0}
-    headings = 0
+    link, breaks, articles = False, 0, 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(t for t, _ in held)).split())
         if text:
             linked = sum(len(t) for t, a in held if a) / max(1, sum(len(t) for t, _ in held))
-            place = state["place"]
-            out.append(Block(text, place, state["article"], headings > 0, linked))
+            out.append(Block(text, above.place, above.article, above.headings > 0, linked))
         held.clear()
-        state["breaks"] = 0
 
-    at, end = 0, len(page)
-    while at < end:
-        m = MARKUP.search(page, at)
-        if m is None:
-            rest = page[at:]
-            # a tag cut off by the page's end is no text
-            cut = re.search(r"<[/a-zA-Z!?][^<]*\Z", rest)
-            held.append((rest[: cut.start()] if cut else rest, state["link"]))
-            break
-        if m.start() > at:
-            held.append((page[at : m.start()], state["link"]))
-            if page[at : m.start()].strip():
-                state["breaks"] = 0
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                held.append((html.escape(m[0][9:-3]), state["link"]))
-            continue
-        closing, tag, attributes = bool(m[1]), m[2].lower(), m[3] or ""
-        if tag in SILENT:
-            if not closing and not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                at = close.end() if close else end
-            continue
-        if tag == "a":
-            state["link"] = not closing
+    for tag, closing, content in pieces(page):
+        if tag is None:
+            held.append((content, link))
+            if breaks and content.strip():
+                breaks = 0
+        elif tag == "a":
+            link = not closing
         elif tag == "br":
-            state["breaks"] += 1
-            held.append((" ", state["link"]))
-            if state["breaks"] > 1:
+            breaks += 1
+            held.append((" ", link))
+            if breaks > 1:
                 flush()
-        elif tag in BLOCK or (not closing and HINT.search(attributes) and _place(tag, attributes, NONE) >= BAD) or any(tag == s[0] for s in stack):
+                breaks = 0
+        elif tag in BLOCK or above.tags[tag] or (not closing and HINT.search(content) and _place(tag, content, NONE) >= BAD):
             flush()
+            breaks = 0
             if tag in VOID:
                 continue
-            if not closing:
-                if tag == "body":
-                    stack.clear()
-                inside = stack[-1][1] if stack else NONE
-                article = stack[-1][2] if stack else 0
-                place = _place(tag, attributes, inside)
-                top_header = tag == "header" and inside != MAIN
-                if top_header or (inside == BAD and not (place == MAIN and any(s[0] == "form" and s[1] == BAD for s in stack) and not any(s[1] == BAD and s[0] != "form" for s in stack))):
-                    place = BAD
-                elif inside == NAMED and place != BAD and not (place == MAIN and (tag == "main" or re.search(r"\brole\s*=\s*[\"']?main\b", attributes, re.I))):
-                    place = NAMED
-                elif place == MAIN and inside != MAIN:
-                    state["articles"] += 1
-                    article = state["articles"]
-                if tag == "p" and stack and stack[-1][0] == "p":
-                    stack.pop()
-                stack.append((tag, place, article))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                state["link"] = False
-            headings = sum(s[0] in HEADINGS for s in stack)
-            state["place"], state["article"] = (stack[-1][1], stack[-1][2]) if stack else (NONE, 0)
+            if closing:
+                above.close(tag)
+                link = False
+                continue
+            if tag == "body":
+                above.clear()
+            place, article = _placed(tag, content, above), above.article
+            if place == MAIN and above.place != MAIN:
+                articles += 1
+                article = articles
+            if tag == "p" and above.stack and above.stack[-1][0] == "p":
+                above.pop()
+            above.push(tag, place, article)
     flush()
     return out
 
@@ -250,11 +338,11 @@ def _classify(blocks: list[Block], stop_words: frozenset[str], bad: tuple[int, .
             b.label = True
         else:
             b.label = None if b.place == MAIN else False
-    decided = [b.label for b in blocks]
-    for i, b in enumerate(blocks):
-        if decided[i] is not None:
+    lefts = _nearest(blocks, range(len(blocks)))
+    rights = _nearest(blocks, range(len(blocks) - 1, -1, -1))
+    for b, left, right in zip(blocks, lefts, rights, strict=True):
+        if b.label is not None:
             continue
-        left, right = _near(blocks, decided, i, -1), _near(blocks, decided, i, 1)
         if left is None and right is None:
             b.label = b.place == MAIN
         elif left is None or right is None:
@@ -265,15 +353,21 @@ def _classify(blocks: list[Block], stop_words: frozenset[str], bad: tuple[int, .
             b.label = b.place == MAIN or (b.heading and right[1])
 
 
-def _near(blocks: list[Block], decided: list[bool | None], i: int, step: int) -> tuple[int, bool] | None:
-    """(distance, label) of the nearest decided block on one side."""
-    j = i + step
-    while 0 <= j < len(blocks):
-        same = blocks[i].place != MAIN or (blocks[j].place == MAIN and blocks[j].article == blocks[i].article)
-        if same and decided[j] is not None:
-            return abs(j - i), decided[j]
-        j += step
-    return None
+def _nearest(blocks: list[Block], order: range) -> list[tuple[int, bool] | None]:
+    """(distance, label) of each block's nearest decided one before it in ``order``, in its article if it has one."""
+    out: list[tuple[int, bool] | None] = [None] * len(blocks)
+    last: dict[int, int] = {}
+    for i in order:
+        b = blocks[i]
+        # an article's blocks look in it, all others anywhere (-1)
+        j = last.get(b.article if b.place == MAIN else -1)
+        if j is not None:
+            out[i] = abs(j - i), blocks[j].label
+        if b.label is not None:
+            last[-1] = i
+            if b.place == MAIN:
+                last[b.article] = i
+    return out
 
 
 def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
@@ -284,8 +378,12 @@ def main_text(page: str, stop_words: frozenset[str] = STOP_WORDS) -> str:
 
 def language(page: str) -> str:
     """The language a page declares, without its region; empty where none."""
-    found = LANGUAGE.search(page[:4096])
-    return found[1].lower() if found else ""
+    if HTML.search(page):
+        for tag, closing, attributes in pieces(page):
+            if tag == "html" and not closing:
+                found = LANGUAGE.search(attributes)
+                return found[1].lower() if found else ""
+    return ""
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
