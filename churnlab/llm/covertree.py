@@ -7,18 +7,26 @@ a cell's covering radius is the exact largest distance to its pivot. Pairs
 of cells further apart than their radii and the reach are pruned, the
 others are joined by tasks of their own.
 
-Inside a task each side is a cover tree: nested levels whose radii halve,
-every node's points within its covering radius of its centre. The dual
-traversal descends pairs of nodes, prunes a pair when the centres' distance
-less both covering radii exceeds the reach, splits the wider node, and
-compares the points of what is left at the leaves. A task returns the
-number of links of each vector and a spanning forest of its links, never
-the pairs, so a group of thousands of near copies costs thousands of rows.
+Inside a task each side is a cover tree. Level i has the radius 2^(1 - i);
+level 0 holds any unit vectors. A node is on the last level whose radius
+covers its points (levels without a split are left out), and its children
+are a greedy net of half that radius over its points: its own centre and as
+many others as it takes, more than that half radius apart, each point with
+its nearest centre. So radii halve from level to level, and every node also
+has its exact covering radius.
+
+The dual traversal takes pairs of nodes, holds the children's centres of
+both against each other in one matrix product, and prunes a pair of children
+when the centres' distance less both covering radii exceeds the reach. Pairs
+left go down together; small nodes are compared point by point. A task
+returns the number of links of each vector and a spanning forest of its
+links, never the pairs, so a group of thousands of near copies costs
+thousands of rows.
 
 The covering bounds hold for any sample, so the pairs are exact whatever
-the pivots. In many dimensions unrelated vectors are nearly orthogonal and
-no covering bound separates them; then the traversal reaches most leaves
-and the work is quadratic, in blocks.
+the pivots. In many dimensions unrelated vectors are nearly orthogonal: a
+net of radius 1 then has a child for each of them, the root's product prunes
+nearly all pairs at once, and the work is quadratic, in blocks.
 
 Defined cases: unusable vectors have 0 links and themselves as component;
 vectors of different lengths never link; rows with one vec_id and different
@@ -42,8 +50,10 @@ from churnlab.llm.vectors import matrix, ordered_dot, vectors
 
 #: Classes in a task's side, and pivots sampled at most (the sample bound).
 CELL, MAX_PIVOTS = 4096, 256
-#: Points in a leaf and children of a node at most.
-LEAF, NET = 256, 16
+#: Points in a leaf at most, and rows of a matrix product.
+LEAF, BLOCK = 256, 256
+#: Added to distances taken from products of unit vectors; nodes narrower than NARROW are leaves.
+SLACK, NARROW = 1e-7, 1e-6
 #: Cosines this near the threshold are computed again, summed in order.
 CLOSE = 1e-9
 LINKS = "a long, b long, n long"
@@ -57,61 +67,144 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-class Node:
-    """A cover tree node over ``points``; ``radius`` is exact.
+def net(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centres, owner): rows of ``u``, the first among them, more than ``radius`` apart, and each row's nearest."""
+    cut = 1 - radius * radius / 2 + 1e-12
+    nearest, owner = u @ u[0], np.zeros(len(u), np.int64)
+    nearest[0] = np.inf
+    centers = [0]
+    open_rows = np.nonzero(nearest < cut)[0]
+    while len(open_rows):
+        block = open_rows[:BLOCK]
+        own = u[block] @ u[block].T
+        free = np.ones(len(block), bool)
+        chosen = []
+        for i in range(len(block)):
+            if free[i]:
+                chosen.append(block[i])
+                free &= own[i] < cut
+        dots = u @ u[chosen].T
+        best = dots.argmax(axis=1)
+        value = dots[np.arange(len(u)), best]
+        nearer = value > nearest
+        owner[nearer], nearest[nearer] = best[nearer] + len(centers), value[nearer]
+        owner[chosen], nearest[chosen] = np.arange(len(chosen)) + len(centers), np.inf
+        centers += chosen
+        open_rows = open_rows[nearest[open_rows] < cut]
+    return np.array(centers), owner
 
-    Its children are the cells of a net of half its radius, picked farthest
-    first; where ``NET`` centres do not cover every point, a point joins its
-    nearest centre.
-    """
 
-    __slots__ = ("center", "radius", "points", "children")
+class Node:
+    """A cover tree node over ``points``; ``radius`` is exact, ``level`` the last one that covers it."""
 
-    def __init__(self, u: np.ndarray, points: np.ndarray):
-        self.center, self.points, self.children = u[points[0]], points, []
-        away = distances(u[points], self.center)
-        self.radius = float(away.max())
-        if len(points) <= LEAF or self.radius == 0:
+    __slots__ = ("center", "radius", "points", "children", "level")
+
+    def __init__(self, u: np.ndarray, points: np.ndarray, radius: float | None = None):
+        self.center, self.points, self.children, self.level = int(points[0]), points, [], None
+        self.radius = float(distances(u[points], u[points[0]]).max()) if radius is None else radius
+        if len(points) <= LEAF or self.radius < NARROW:
             return
-        owner = np.zeros(len(points), np.int64)
-        for child in range(1, NET):
-            far = int(away.argmax())
-            if away[far] <= self.radius / 2:
-                break
-            to_far = distances(u[points], u[points[far]])
-            nearer = to_far < away
-            owner[nearer], away[nearer] = child, to_far[nearer]
-        self.children = [Node(u, points[owner == c]) for c in np.unique(owner)]
+        self.level = max(0, int(np.floor(np.log2(2 / self.radius))))
+        centers, owner = net(u[points], 2.0 ** -self.level)
+        away = np.sqrt(((u[points] - u[points[centers[owner]]]) ** 2).sum(axis=1))
+        # each child's points together, its centre first
+        is_center = np.zeros(len(points), bool)
+        is_center[centers] = True
+        order = np.lexsort((~is_center, owner))
+        starts = np.searchsorted(owner[order], np.arange(len(centers)))
+        radii = np.maximum.reduceat(away[order], starts)
+        self.children = [Node(u, own, float(r)) for own, r in zip(np.split(points[order], starts[1:]), radii, strict=True)]
+
+
+class _Parts:
+    """What a side of a pair is taken apart into: a node's children, else points."""
+
+    def __init__(self, side: Node | np.ndarray):
+        self.kids = side.children if isinstance(side, Node) else []
+        if self.kids:
+            self.centers = np.array([k.center for k in self.kids])
+            self.radii = np.array([k.radius for k in self.kids])
+            self.inner = np.array([bool(k.children) for k in self.kids])
+            self.single = np.array([len(k.points) == 1 for k in self.kids])
+        else:
+            self.centers = _points(side)
+            self.radii = np.zeros(len(self.centers))
+            self.inner, self.single = np.zeros(len(self.centers), bool), np.ones(len(self.centers), bool)
+        self.small = ~self.inner & ~self.single
 
+    def points(self, which: np.ndarray) -> np.ndarray:
+        """All points of the parts with these numbers."""
+        return np.concatenate([self.kids[i].points for i in which]) if self.kids else self.centers[which]
 
-def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float):
-    """Index pairs (p, q) of linked points, by pairs of leaves.
 
-    ``left is right`` joins a side with itself, each pair once.
+def _points(side: Node | np.ndarray) -> np.ndarray:
+    return side.points if isinstance(side, Node) else side
+
+
+def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float, compared: list[int] | None = None):
+    """Index pairs (p, q) of linked points, in blocks.
+
+    ``left is right`` joins a side with itself, each pair once. The numbers
+    of pairs of points that no bound pruned are added to ``compared``.
     """
-    reach = np.sqrt(2 - 2 * cosine) + 1e-9
-    stack = [(left, right)]
+    reach = np.sqrt(2 - 2 * cosine) + SLACK
+
+    def linked(dots, rows, cols, asked):
+        if compared is not None:
+            compared.append(int(np.broadcast_to(asked, dots.shape).sum()))
+        i, j = np.nonzero(asked & (dots >= cosine - CLOSE))
+        keep = np.ones(len(i), bool)
+        edge = dots[i, j] < cosine + CLOSE
+        if edge.any():
+            a, b = xa[rows[i[edge]]], xb[cols[j[edge]]]
+            keep[edge] = ordered_dot(a, b) / (np.sqrt(ordered_dot(a, a)) * np.sqrt(ordered_dot(b, b))) >= cosine
+        if keep.any():
+            yield rows[i[keep]], cols[j[keep]]
+
+    def each(p, q, same=False):
+        for start in range(0, len(p), BLOCK):
+            rows = p[start : start + BLOCK]
+            asked = np.arange(start, start + len(rows))[:, None] < np.arange(len(q)) if same else np.True_
+            yield from linked(ua[rows] @ ub[q].T, rows, q, asked)
+
+    def is_inner(side):
+        return isinstance(side, Node) and bool(side.children)
+
+    stack: list[tuple[Node | np.ndarray, Node | np.ndarray]] = [(left, right)]
     while stack:
         m, n = stack.pop()
-        if m is not n and np.sqrt(((m.center - n.center) ** 2).sum()) > m.radius + n.radius + reach:
+        same = m is n
+        if not is_inner(m) and not is_inner(n):
+            yield from each(_points(m), _points(n), same)
             continue
-        if m is n and m.children:
-            kids = m.children
-            stack += [(kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids))]
-        elif m.children and (not n.children or m.radius >= n.radius):
-            stack += [(c, n) for c in m.children]
-        elif n.children:
-            stack += [(m, c) for c in n.children]
-        else:
-            dots = ua[m.points] @ ub[n.points].T
-            i, j = np.nonzero(dots >= cosine - CLOSE)
-            keep = i < j if m is n else np.ones(len(i), bool)
-            edge = keep & (dots[i, j] < cosine + CLOSE)
-            if edge.any():
-                a, b = xa[m.points[i[edge]]], xb[n.points[j[edge]]]
-                keep[edge] = ordered_dot(a, b) / (np.sqrt(ordered_dot(a, a)) * np.sqrt(ordered_dot(b, b))) >= cosine
-            if keep.any():
-                yield m.points[i[keep]], n.points[j[keep]]
+        a = _Parts(m)
+        b = a if same else _Parts(n)
+        for start in range(0, len(a.centers), BLOCK):
+            rows = np.arange(start, min(start + BLOCK, len(a.centers)))
+            dots = ua[a.centers[rows]] @ ub[b.centers].T
+            alive = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= a.radii[rows][:, None] + b.radii + reach
+            if same:
+                alive &= rows[:, None] <= np.arange(len(b.centers))
+            strict = alive & (rows[:, None] != np.arange(len(b.centers))) if same else alive
+            yield from linked(dots, a.centers[rows], b.centers, strict & a.single[rows][:, None] & b.single)
+            for i in np.nonzero(~a.single[rows])[0]:
+                kid, flat = a.kids[rows[i]], np.nonzero(strict[i] & ~b.inner)[0]
+                if a.inner[rows[i]]:
+                    stack += [(kid, b.kids[j]) for j in np.nonzero(alive[i] & b.inner)[0]]
+                    if len(flat):
+                        stack.append((kid, b.points(flat)))
+                    continue
+                if same:
+                    yield from each(kid.points, kid.points, True)
+                if len(flat):
+                    yield from each(kid.points, b.points(flat))
+            for j in np.nonzero(strict.any(axis=0) & ~b.single)[0]:
+                # inner parts take all flat ones of the other side, small parts the single points
+                flat = rows[strict[:, j] & (a.single[rows] if b.small[j] else ~a.inner[rows])]
+                if len(flat) and b.small[j]:
+                    yield from each(a.points(flat), b.kids[j].points)
+                elif len(flat):
+                    stack.append((a.points(flat), b.kids[j]))
 
 
 def _join(keys, side_a: pd.DataFrame, side_b: pd.DataFrame, cosine: float) -> pd.DataFrame:

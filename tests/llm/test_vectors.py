@@ -1,6 +1,7 @@
 """Nearest neighbours and near-duplicate vectors against brute force."""
 
 import numpy as np
+import pytest
 
 from churnlab.llm import covertree, rabitq
 from llm_data import rows_of
@@ -106,12 +107,66 @@ def test_no_vectors(spark):
     assert rows_of(covertree.near_vectors(table(spark, ODD[:2])), "vec_id", "n_links", "component_id", "kept") == [(9000, 0, 9000, True), (9001, 0, 9001, True)]
 
 
-def test_tree_nodes_cover_their_points():
-    x = covertree.unit(clouds(3000, 8))
-    stack = [covertree.Node(x, np.arange(3000))]
+def unrelated(n, dims=64, seed=3):
+    return np.random.default_rng(seed).normal(size=(n, dims))
+
+
+def nested_clouds(n=2000, dims=16, seed=4):
+    """Clusters in clusters, with spreads that fall by four."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(8, dims))
+    for spread in (0.5, 0.12, 0.03):
+        x = np.repeat(x, 8, axis=0) + spread * rng.normal(size=(8 * len(x), dims))
+    return x[rng.permutation(len(x))[:n]]
+
+
+@pytest.mark.parametrize("x", [clouds(3000, 8), unrelated(1500), nested_clouds(), np.repeat(unrelated(30), 40, axis=0)], ids=["clouds", "unrelated", "nested", "copies"])
+def test_levels_halve_nest_and_separate(x, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", 16)
+    u = covertree.unit(x)
+    stack, depth = [(covertree.Node(u, np.arange(len(u))), 0)], 0
     while stack:
-        node = stack.pop()
-        assert covertree.distances(x[node.points], node.center).max() <= node.radius + 1e-12
-        if node.children:
-            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
-        stack += node.children
+        node, level = stack.pop()
+        depth = max(depth, level)
+        assert covertree.distances(u[node.points], u[node.center]).max() <= node.radius + 1e-12
+        if not node.children:
+            assert len(node.points) <= 16 or node.radius < covertree.NARROW
+            continue
+        half = 2.0 ** -node.level
+        assert half < node.radius <= 2 * half and all(c.radius <= half for c in node.children)
+        assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
+        assert node.center in {c.center for c in node.children}
+        centers = u[[c.center for c in node.children]]
+        apart = np.sqrt(np.maximum(0, 2 - 2 * centers @ centers.T)) + 9 * np.eye(len(centers))
+        assert apart.min() > half - 1e-6
+        for c in node.children:
+            assert c.level is None or c.level > node.level
+            stack.append((c, level + 1))
+    assert depth >= 1
+
+
+@pytest.mark.parametrize("x", [clouds(700, 8), unrelated(400), nested_clouds(900), np.repeat(unrelated(12), 30, axis=0) * np.arange(1, 361)[:, None]], ids=["clouds", "unrelated", "nested", "copies"])
+@pytest.mark.parametrize("leaf", [1, 8, 64])
+@pytest.mark.parametrize("block", [7, 256])
+def test_dual_traversal_finds_each_pair_once(x, leaf, block, monkeypatch):
+    monkeypatch.setattr(covertree, "LEAF", leaf)
+    monkeypatch.setattr(covertree, "BLOCK", block)
+    u = covertree.unit(x)
+    near = u @ u.T >= 0.9 - 1e-12
+    tree = covertree.Node(u, np.arange(len(u)))
+    got = [(min(p, q), max(p, q)) for ps, qs in covertree.traverse(tree, tree, x, u, x, u, 0.9) for p, q in zip(ps, qs, strict=True)]
+    assert sorted(got) == list(zip(*np.nonzero(np.triu(near, 1)), strict=True))
+    half = len(x) // 2
+    a, b = covertree.Node(u[:half], np.arange(half)), covertree.Node(u[half:], np.arange(len(x) - half))
+    got = [(p, q) for ps, qs in covertree.traverse(a, b, x[:half], u[:half], x[half:], u[half:], 0.9) for p, q in zip(ps, qs, strict=True)]
+    assert sorted(got) == list(zip(*np.nonzero(near[:half, half:]), strict=True))
+
+
+@pytest.mark.parametrize("x", [nested_clouds(4096), unrelated(4096)], ids=["nested", "unrelated"])
+def test_bounds_prune_most_pairs(x):
+    u = covertree.unit(x)
+    tree, compared = covertree.Node(u, np.arange(len(u))), []
+    for _ in covertree.traverse(tree, tree, x, u, x, u, 0.9, compared):
+        pass
+    # 12 % and 5 %; of the nested ones 2.2 % are links
+    assert sum(compared) < 0.15 * len(u) * (len(u) - 1) / 2
