@@ -7,7 +7,7 @@ a cell's covering radius is the exact largest distance to its pivot. Pairs
 of cells further apart than their radii and the reach are pruned, the
 others are joined by tasks of their own.
 
-Inside a task each side is a cover tree. Level i has the radius 2^(1 - i);
+Each part of a cell has a cover tree, grown once. Level i has the radius 2^(1 - i);
 level 0 holds any unit vectors. A node is on the last level whose radius
 covers its points (levels without a split are left out), and its children
 are a greedy net of half that radius over its points: its own centre and as
@@ -25,8 +25,8 @@ thousands of rows.
 
 The covering bounds hold for any sample, so the pairs are exact whatever
 the pivots. In many dimensions unrelated vectors are nearly orthogonal: a
-net of radius 1 then has a child for each of them, the root's product prunes
-nearly all pairs at once, and the work is quadratic, in blocks.
+net of radius 1 then has a child for each of them, the product of the root's
+children is the comparison, and the work is quadratic, in blocks.
 
 Defined cases: unusable vectors have 0 links and themselves as component;
 vectors of different lengths never link; rows with one vec_id and different
@@ -57,6 +57,9 @@ SLACK, NARROW = 1e-7, 1e-6
 #: Cosines this near the threshold are computed again, summed in order.
 CLOSE = 1e-9
 LINKS = "a long, b long, n long"
+#: A class in its part's tree: place in the tree's order, depths of the nodes that begin there.
+GROWN = ["rep", "n", "v", "pivot", "part", "place", "top", "bottom"]
+GROWN_TYPES = "rep long, n long, v array<double>, pivot int, part int, place int, top int, bottom int"
 
 
 def distances(u: np.ndarray, center: np.ndarray) -> np.ndarray:
@@ -95,52 +98,98 @@ def net(u: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Node:
-    """A cover tree node over ``points``; ``radius`` is exact, ``level`` the last one that covers it."""
-
-    __slots__ = ("center", "radius", "points", "children", "level")
-
-    def __init__(self, u: np.ndarray, points: np.ndarray, radius: float | None = None):
-        self.center, self.points, self.children, self.level = int(points[0]), points, [], None
-        self.radius = float(distances(u[points], u[points[0]]).max()) if radius is None else radius
-        if len(points) <= LEAF or self.radius < NARROW:
-            return
-        self.level = max(0, int(np.floor(np.log2(2 / self.radius))))
-        centers, owner = net(u[points], 2.0 ** -self.level)
-        away = np.sqrt(((u[points] - u[points[centers[owner]]]) ** 2).sum(axis=1))
-        # each child's points together, its centre first
-        is_center = np.zeros(len(points), bool)
-        is_center[centers] = True
-        order = np.lexsort((~is_center, owner))
-        starts = np.searchsorted(owner[order], np.arange(len(centers)))
-        radii = np.maximum.reduceat(away[order], starts)
-        self.children = [Node(u, own, float(r)) for own, r in zip(np.split(points[order], starts[1:]), radii, strict=True)]
+    """A cover tree node over ``points``, its centre first.
+
+    ``radius`` is the exact covering radius; a node with children has the
+    last ``level`` that covers it.
+    """
+
+    __slots__ = ("points", "radius", "children")
+
+    def __init__(self, points: np.ndarray, radius: float, children: list[Node]):
+        self.points, self.radius, self.children = points, radius, children
+
+    @property
+    def level(self) -> int:
+        return max(0, int(np.floor(np.log2(2 / self.radius))))
+
+
+def _radii(u: np.ndarray, points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Largest distance to the first of each run of ``points``."""
+    first = np.repeat(points[starts], np.diff(starts, append=len(points)))
+    away = np.sqrt(((u[points] - u[first]) ** 2).sum(axis=1))
+    return np.maximum.reduceat(away, starts)
+
+
+def grow(u: np.ndarray, points: np.ndarray, radius: float | None = None) -> Node:
+    radius = float(_radii(u, points, np.zeros(1, int))[0]) if radius is None else radius
+    node = Node(points, radius, [])
+    if len(points) <= LEAF or radius < NARROW:
+        return node
+    centers, owner = net(u[points], 2.0 ** -node.level)
+    later = np.ones(len(points), bool)
+    later[centers] = False
+    order = np.lexsort((later, owner))
+    starts = np.searchsorted(owner[order], np.arange(len(centers)))
+    own = points[order]
+    node.children = [grow(u, *x) for x in zip(np.split(own, starts[1:]), _radii(u, own, starts).tolist(), strict=True)]
+    node.points = np.concatenate([c.points for c in node.children])
+    return node
+
+
+def outline(tree: Node) -> tuple[np.ndarray, np.ndarray]:
+    """(top, bottom) of each of the tree's points in its order: the depths of the nodes that begin there, 1 to 0 if none."""
+    top, bottom = np.ones(len(tree.points), np.int32), np.zeros(len(tree.points), np.int32)
+    stack = [(tree, 0, 0)]
+    while stack:
+        node, at, depth = stack.pop()
+        # a node comes before those below it, so the first to begin at a point is the top
+        if top[at] > bottom[at]:
+            top[at] = depth
+        bottom[at] = depth
+        for child in node.children:
+            stack.append((child, at, depth + 1))
+            at += len(child.points)
+    return top, bottom
+
+
+def regrow(u: np.ndarray, top: np.ndarray, bottom: np.ndarray) -> Node:
+    """The tree of an outline over the rows of ``u``, which are in its order."""
+
+    def node(low: int, high: int, radius: float, depth: int) -> Node:
+        points = np.arange(low, high)
+        if bottom[low] == depth:
+            return Node(points, radius, [])
+        begins = (top[low:high] == depth + 1) & (bottom[low:high] >= depth + 1)
+        begins[0] = True
+        starts = np.nonzero(begins)[0]
+        ends = np.append(starts[1:], high - low) + low
+        radii = _radii(u, points, starts).tolist()
+        return Node(points, radius, [node(lo, hi, r, depth + 1) for lo, hi, r in zip((starts + low).tolist(), ends.tolist(), radii, strict=True)])
+
+    return node(0, len(u), float(_radii(u, np.arange(len(u)), np.zeros(1, int))[0]), 0)
 
 
 class _Parts:
     """What a side of a pair is taken apart into: a node's children, else points."""
 
     def __init__(self, side: Node | np.ndarray):
-        self.kids = side.children if isinstance(side, Node) else []
-        if self.kids:
-            self.centers = np.array([k.center for k in self.kids])
-            self.radii = np.array([k.radius for k in self.kids])
-            self.inner = np.array([bool(k.children) for k in self.kids])
-            self.single = np.array([len(k.points) == 1 for k in self.kids])
-        else:
-            self.centers = _points(side)
-            self.radii = np.zeros(len(self.centers))
-            self.inner, self.single = np.zeros(len(self.centers), bool), np.ones(len(self.centers), bool)
-        self.small = ~self.inner & ~self.single
-
-    def points(self, which: np.ndarray) -> np.ndarray:
-        """All points of the parts with these numbers."""
-        return np.concatenate([self.kids[i].points for i in which]) if self.kids else self.centers[which]
+        kids = side.children if isinstance(side, Node) else []
+        self.wide = [k for k in kids if len(k.points) > 1]
+        self.single = np.array([k.points[0] for k in kids if len(k.points) == 1], np.int64) if kids else _points(side)
+        self.centers = np.array([k.points[0] for k in self.wide], np.int64)
+        self.radii = np.array([k.radius for k in self.wide])
+        self.inner = np.array([bool(k.children) for k in self.wide], bool)
 
 
 def _points(side: Node | np.ndarray) -> np.ndarray:
     return side.points if isinstance(side, Node) else side
 
 
+def _is_inner(side: Node | np.ndarray) -> bool:
+    return isinstance(side, Node) and bool(side.children)
+
+
 def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float, compared: list[int] | None = None):
     """Index pairs (p, q) of linked points, in blocks.
 
@@ -149,62 +198,85 @@ def traverse(left: Node, right: Node, xa, ua, xb, ub, cosine: float, compared: l
     """
     reach = np.sqrt(2 - 2 * cosine) + SLACK
 
-    def linked(dots, rows, cols, asked):
-        if compared is not None:
-            compared.append(int(np.broadcast_to(asked, dots.shape).sum()))
-        i, j = np.nonzero(asked & (dots >= cosine - CLOSE))
-        keep = np.ones(len(i), bool)
-        edge = dots[i, j] < cosine + CLOSE
-        if edge.any():
-            a, b = xa[rows[i[edge]]], xb[cols[j[edge]]]
-            keep[edge] = ordered_dot(a, b) / (np.sqrt(ordered_dot(a, a)) * np.sqrt(ordered_dot(b, b))) >= cosine
-        if keep.any():
-            yield rows[i[keep]], cols[j[keep]]
-
     def each(p, q, same=False):
+        """The links among points."""
         for start in range(0, len(p), BLOCK):
-            rows = p[start : start + BLOCK]
-            asked = np.arange(start, start + len(rows))[:, None] < np.arange(len(q)) if same else np.True_
-            yield from linked(ua[rows] @ ub[q].T, rows, q, asked)
-
-    def is_inner(side):
-        return isinstance(side, Node) and bool(side.children)
+            rows, cols = p[start : start + BLOCK], q[start:] if same else q
+            dots = ua[rows] @ ub[cols].T
+            found = dots >= cosine - CLOSE
+            if same:
+                found &= np.arange(len(rows))[:, None] < np.arange(len(cols))
+            if compared is not None:
+                compared.append(found.size)
+            i, j = np.nonzero(found)
+            keep = np.ones(len(i), bool)
+            edge = dots[i, j] < cosine + CLOSE
+            if edge.any():
+                a, b = xa[rows[i[edge]]], xb[cols[j[edge]]]
+                keep[edge] = ordered_dot(a, b) / (np.sqrt(ordered_dot(a, a)) * np.sqrt(ordered_dot(b, b))) >= cosine
+            if keep.any():
+                yield rows[i[keep]], cols[j[keep]]
+
+    def near(p, radii, q, others):
+        """(number, those of q in reach) of each ball around p."""
+        for start in range(0, len(p) if len(q) else 0, BLOCK):
+            rows = slice(start, start + BLOCK)
+            gaps = np.sqrt(np.maximum(0, 2 - 2 * p[rows] @ q.T))
+            for i, row in enumerate(gaps <= radii[rows, None] + others + reach, start):
+                if row.any():
+                    yield i, np.nonzero(row)[0]
 
     stack: list[tuple[Node | np.ndarray, Node | np.ndarray]] = [(left, right)]
     while stack:
         m, n = stack.pop()
         same = m is n
-        if not is_inner(m) and not is_inner(n):
+        if not _is_inner(m) and not _is_inner(n):
             yield from each(_points(m), _points(n), same)
             continue
         a = _Parts(m)
         b = a if same else _Parts(n)
-        for start in range(0, len(a.centers), BLOCK):
-            rows = np.arange(start, min(start + BLOCK, len(a.centers)))
-            dots = ua[a.centers[rows]] @ ub[b.centers].T
-            alive = np.sqrt(np.maximum(0, 2 - 2 * dots)) <= a.radii[rows][:, None] + b.radii + reach
+        yield from each(a.single, b.single, same)
+        # points of one side under the balls of the other
+        for j, i in near(ub[b.centers], b.radii, ua[a.single], 0.0):
+            if b.inner[j]:
+                stack.append((a.single[i], b.wide[j]))
+            else:
+                yield from each(a.single[i], b.wide[j].points)
+        for i, j in near(ua[a.centers], a.radii, ub[b.single], 0.0) if not same else ():
+            if a.inner[i]:
+                stack.append((a.wide[i], b.single[j]))
+            else:
+                yield from each(a.wide[i].points, b.single[j])
+        # balls of both: leaves in reach of one are compared at once
+        for i, js in near(ua[a.centers], a.radii, ub[b.centers], b.radii):
             if same:
-                alive &= rows[:, None] <= np.arange(len(b.centers))
-            strict = alive & (rows[:, None] != np.arange(len(b.centers))) if same else alive
-            yield from linked(dots, a.centers[rows], b.centers, strict & a.single[rows][:, None] & b.single)
-            for i in np.nonzero(~a.single[rows])[0]:
-                kid, flat = a.kids[rows[i]], np.nonzero(strict[i] & ~b.inner)[0]
-                if a.inner[rows[i]]:
-                    stack += [(kid, b.kids[j]) for j in np.nonzero(alive[i] & b.inner)[0]]
-                    if len(flat):
-                        stack.append((kid, b.points(flat)))
-                    continue
-                if same:
-                    yield from each(kid.points, kid.points, True)
-                if len(flat):
-                    yield from each(kid.points, b.points(flat))
-            for j in np.nonzero(strict.any(axis=0) & ~b.single)[0]:
-                # inner parts take all flat ones of the other side, small parts the single points
-                flat = rows[strict[:, j] & (a.single[rows] if b.small[j] else ~a.inner[rows])]
-                if len(flat) and b.small[j]:
-                    yield from each(a.points(flat), b.kids[j].points)
-                elif len(flat):
-                    stack.append((a.points(flat), b.kids[j]))
+                if a.inner[i]:
+                    stack.append((a.wide[i], a.wide[i]))
+                else:
+                    yield from each(a.wide[i].points, a.wide[i].points, True)
+                js = js[js > i]
+            leaves = [b.wide[j].points for j in js if not b.inner[j]]
+            if leaves and a.inner[i]:
+                stack.append((a.wide[i], np.concatenate(leaves)))
+            elif leaves:
+                yield from each(a.wide[i].points, np.concatenate(leaves))
+            own = a.wide[i] if a.inner[i] else a.wide[i].points
+            stack += [(own, b.wide[j]) for j in js if b.inner[j]]
+
+
+def _grow(frame: pd.DataFrame) -> pd.DataFrame:
+    """A part's rows in the order of its tree, with the outline."""
+    u = unit(matrix(frame["v"]))
+    tree = grow(u, np.arange(len(u)))
+    top, bottom = outline(tree)
+    return frame.iloc[tree.points].assign(place=np.arange(len(u), dtype=np.int32), top=top, bottom=bottom)[GROWN]
+
+
+def _side(frame: pd.DataFrame) -> tuple[pd.DataFrame, Node, np.ndarray, np.ndarray]:
+    frame = frame.sort_values("place")
+    x = matrix(frame["v"])
+    u = unit(x)
+    return frame, regrow(u, frame["top"].to_numpy(), frame["bottom"].to_numpy()), x, u
 
 
 def _join(keys, side_a: pd.DataFrame, side_b: pd.DataFrame, cosine: float) -> pd.DataFrame:
@@ -212,15 +284,12 @@ def _join(keys, side_a: pd.DataFrame, side_b: pd.DataFrame, cosine: float) -> pd
     empty = pd.DataFrame({"a": [], "b": [], "n": []}, dtype="int64")
     if not len(side_a) or not (same or len(side_b)):
         return empty
-    xa = matrix(side_a["v"])
-    ua = unit(xa)
-    tree = Node(ua, np.arange(len(ua)))
+    side_a, tree, xa, ua = _side(side_a)
     if same:
         ids, weight, shift, other = side_a["rep"].to_numpy(), side_a["n"].to_numpy(), 0, (tree, xa, ua)
     else:
-        xb = matrix(side_b["v"])
-        ub = unit(xb)
-        other, shift = (Node(ub, np.arange(len(ub))), xb, ub), len(xa)
+        side_b, *other = _side(side_b)
+        shift = len(xa)
         ids = np.concatenate([side_a["rep"], side_b["rep"]])
         weight = np.concatenate([side_a["n"], side_b["n"]])
     count = np.zeros(len(ids), np.int64)
@@ -292,11 +361,14 @@ def near_vectors(df: DataFrame, cosine: float = 0.9) -> DataFrame:
         return _result(df, rows, classes, None)
     # a row per pair of pivots, at most MAX_PIVOTS squared; the parts are unfolded by the tasks
     near = F.broadcast(spark.createDataFrame(pairs, "p int, q int, p_parts int, q_parts int"))
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("pivot") == F.col("p"), F.col("p_parts")).otherwise(F.col("q_parts"))).cast("int")
-    side = ["rep", "n", "v", "p", "q", "s", "t"]
-    left = dealt.join(near, F.col("pivot") == F.col("p")).withColumn("s", own).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+    # a row per cell; each part's tree is grown once and goes to its tasks as an outline
+    parts = F.broadcast(spark.createDataFrame([(c.pivot, -(-c["size"] // CELL)) for c in cells], "pivot int, parts int"))
+    cut = dealt.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")).drop("parts", "away")
+    grown = checkpointed(cut.groupBy("pivot", "part").applyInPandas(_grow, GROWN_TYPES))
+    side = [*(c for c in GROWN if c not in ("pivot", "part")), "p", "q", "s", "t"]
+    left = grown.join(near, F.col("pivot") == F.col("p")).withColumn("s", F.col("part")).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
     left = left.filter("p <> q or s <= t").select(*side).toDF(*side)
-    right = dealt.join(near, F.col("pivot") == F.col("q")).withColumn("t", own).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
+    right = grown.join(near, F.col("pivot") == F.col("q")).withColumn("t", F.col("part")).withColumn("s", F.explode(F.sequence(F.lit(0), F.col("p_parts") - 1)))
     right = right.filter("p <> q or s < t").select(*side).toDF(*side)
     tasks = ["p", "q", "s", "t"]
     found = left.groupBy(*tasks).cogroup(right.groupBy(*tasks)).applyInPandas(partial(_join, cosine=cosine), LINKS)
