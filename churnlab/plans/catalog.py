@@ -22,6 +22,7 @@ from churnlab.operators import listens as L
 from churnlab.operators import matrix as M
 from churnlab.operators import profile as P
 from churnlab.operators import sessions as S
+from churnlab.operators import sketches as K
 from churnlab.operators.events import drop_blank_users, keep_page, with_flags, with_state, with_time_parts
 from churnlab.plans import model as ML
 from churnlab.plans import registry
@@ -98,6 +99,20 @@ def prf4_distinct_counts(spark, sf):
     return P.distinct_counts(with_state(events(spark, sf)), ["state", "userId"])
 
 
+def prf4_stored_sketches(spark, sf):
+    """PRF4 by month from stored daily sketches, next to the exact counts: are they within 5 %?"""
+    names = ["userId", "state"]
+    ev = with_state(events(spark, sf))
+    folder = STR.scratch(spark, "sketches")
+    K.store_sketches(K.daily_sketches(ev, names), folder)
+    month = F.trunc("date", "month").alias("month")
+    about = K.distinct_from_sketches(K.read_sketches(spark, folder).withColumn("month", month), names, ["month"])
+    about = STR.kept_result(about, folder).withColumnsRenamed({f"n_distinct_{c}": f"about_{c}" for c in names})
+    exact = ev.groupBy(F.trunc(event_date("ts"), "month").alias("month")).agg(*[F.count_distinct(c).alias(f"n_distinct_{c}") for c in names])
+    close = [(F.abs(F.col(f"about_{c}") - F.col(f"n_distinct_{c}")) <= 0.05 * F.col(f"n_distinct_{c}")).alias(f"close_{c}") for c in names]
+    return exact.join(about, "month").select("month", *[f"n_distinct_{c}" for c in names], *close)
+
+
 def prf5_null_counts(spark, sf):
     return P.null_counts(raw_events(spark, sf))
 
@@ -329,6 +344,11 @@ def ml4_split(spark, sf):
     return ML.with_split(M.user_churn(events(spark, sf, attrs=False))).select("userId", "churn", "split")
 
 
+def ml4_stratified_split(spark, sf):
+    """ML4, each churn class split at its own exact quantile."""
+    return ML.with_split(ML.materialized(M.user_churn(events(spark, sf, attrs=False))), stratified=True).select("userId", "churn", "split")
+
+
 def ml12_baseline_metrics(spark, sf):
     preds = ML.baseline_predictions(materialized_matrix(spark, sf)).where(F.col("split") == "test")
     return round_doubles(ML.metrics_frame(preds))
@@ -459,7 +479,8 @@ def str3_user_day_totals(spark, sf):
 
 
 def str3_session_totals(spark, sf):
-    return STR.streamed_user_session_totals(spark, events(spark, sf, attrs=False))
+    """STR3: sessions found on the stream of the given table itself."""
+    return STR.streamed_user_session_totals(spark, stream_events(spark, sf))
 
 
 def str4_streamed_user_matrix(spark, sf):
@@ -489,6 +510,7 @@ QUERIES: dict[str, Query] = {
     "prf3_user_ids": prf3_user_ids,
     "prf3_locations": prf3_locations,
     "prf4_distinct_counts": prf4_distinct_counts,
+    "prf4_stored_sketches": prf4_stored_sketches,
     "prf5_null_counts": prf5_null_counts,
     "prf1_matrix_shape": prf1_matrix_shape,
     "prf5_running_listen_nulls": prf5_running_listen_nulls,
@@ -541,6 +563,7 @@ QUERIES: dict[str, Query] = {
     "ml1_gender_index": ml1_gender_index,
     "ml3_scaled_features": ml3_scaled_features,
     "ml4_split": ml4_split,
+    "ml4_stratified_split": ml4_stratified_split,
     "ml12_baseline_metrics": ml12_baseline_metrics,
     "ml8_compare_models": ml8_compare_models,
     "ml10_tuned_gbt_metrics": ml10_tuned_gbt_metrics,

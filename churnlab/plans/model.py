@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from churnlab.functions import hash_percent
+from churnlab.operators.selection import hash_key, order_statistics
 from churnlab.schema import FEATURE_COLUMNS
 from churnlab.session import ensure_checkpoint_dir
 
@@ -70,25 +71,22 @@ def with_split(matrix: DataFrame, train_percent: int = TRAIN_PERCENT, stratified
     """ML4: ``split`` = 'train' / 'test' from a hash of userId (Q13).
 
     The plain split is stratified in expectation (the hash does not see the
-    label). ``stratified=True`` makes each churn class split at its own
-    ``train_percent`` quantile of a 32-bit userId hash; the quantiles come
-    from ``percentile_approx`` - one row per class, a bounded table - so no
-    class is ever ranked inside a single task.
+    label). ``stratified=True`` splits each churn class at its own exact
+    quantile of a 60-bit userId hash: the first ``train_percent`` percent of
+    a class's users (rounded up) in the order of the hash train. The quantile
+    comes from counted hash ranges, so no class is ever sorted or ranked
+    inside a single task.
     """
     if not stratified:
         return matrix.withColumn(
             "split", F.when(hash_percent("userId") < train_percent, F.lit("train")).otherwise(F.lit("test"))
         )
-    h = F.conv(F.substring(F.md5(F.col("userId")), 1, 8), 16, 10).cast("long")
-    hashed = matrix.withColumn("_h", h)
-    cuts = hashed.groupBy("churn").agg(
-        F.percentile_approx("_h", train_percent / 100.0, 100_000).alias("_cut")
-    )
-    return (
-        hashed.join(cuts, "churn", "left")
-        .withColumn("split", F.when(F.col("_h") <= F.col("_cut"), F.lit("train")).otherwise(F.lit("test")))
-        .drop("_h", "_cut")
-    )
+    keys = materialized(matrix.select("churn", hash_key("userId").alias("_h")))
+    cuts = order_statistics(keys, ["churn"], "_h", lambda n: F.floor((n * train_percent + 99) / 100))
+    cuts = cuts.select(F.col("churn").alias("_class"), F.col("value").alias("_cut"))
+    joined = matrix.join(cuts, F.col("churn").eqNullSafe(F.col("_class")), "left")
+    trains = hash_key("userId") <= F.col("_cut")
+    return joined.withColumn("split", F.when(trains, F.lit("train")).otherwise(F.lit("test"))).drop("_class", "_cut")
 
 
 def scaled_features_long(matrix: DataFrame) -> DataFrame:

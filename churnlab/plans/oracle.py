@@ -473,6 +473,20 @@ FROM fl GROUP BY userId, date""",
 }
 
 SQL["src1_json_matrix"] = SQL["jn4_user_matrix"]
+SQL["prf4_stored_sketches"] = (
+    _with(ADAPTER)
+    + """
+SELECT CAST(date_trunc('month', date) AS DATE) AS month, count(DISTINCT userId) AS "n_distinct_userId",
+       count(DISTINCT right(location, 2)) AS n_distinct_state, true AS "close_userId", true AS close_state
+FROM ev GROUP BY 1"""
+)
+SQL["ml4_stratified_split"] = (
+    _with(ADAPTER, MATRIX)
+    + """
+, keyed AS (SELECT userId, churn, CAST(concat('0x', substr(md5(userId), 1, 15)) AS BIGINT) AS h FROM matrix),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY churn ORDER BY h) AS r, count(*) OVER (PARTITION BY churn) AS n FROM keyed)
+SELECT userId, churn, CASE WHEN r <= (n * 80 + 99) // 100 THEN 'train' ELSE 'test' END AS split FROM ranked"""
+)
 SQL["str3_session_totals"] = SQL["agg7_session_totals"]
 SQL["agg3_distinct_users_by_state"] = (
     _with(ADAPTER) + "\nSELECT right(location, 2) AS state, count(DISTINCT userId) AS n_users FROM ev GROUP BY 1"

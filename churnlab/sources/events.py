@@ -227,7 +227,7 @@ def load_events(spark: SparkSession, sf_dir: str, attrs: bool = True, page: str
 
 
 def stream_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """The driver's ``events`` table as a stream: userId, ts, page, seq.
+    """The driver's ``events`` table as a stream: userId, ts, page, seq, event_time.
 
     The columns of ``load_events`` that need no other row and no other
     table; read from the given files as they are, without a copy.
@@ -244,4 +244,5 @@ def stream_events(spark: SparkSession, sf_dir: str, max_files_per_trigger: int =
         F.floor(t_us / F.lit(1000)).cast("long").alias("ts"),
         _page_of(F.col("event_type"), F.col("value")).alias("page"),
         F.col("event_id").cast("long").alias("seq"),
+        F.timestamp_micros(t_us).alias("event_time"),
     )

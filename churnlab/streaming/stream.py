@@ -5,7 +5,9 @@ STR1  ``read_event_stream`` + ``with_event_time``: file-source ingest, raw
       replays inside it are dropped.
 STR2  ``page_hour_counts``: tumbling-window counts per page.
 STR3  ``user_day_totals``: per (user, day window) activity totals, and
-      ``user_session_totals``: per (user, session) flag totals.
+      ``user_session_totals``: per (user, session) flag totals of events
+      that carry a session; ``SessionPieces`` finds the sessions of events
+      that carry none, in any order of time.
 STR4  ``MatrixUpkeep``: keeps the user matrix current. Adjacency, gaps and
       session means need a user's ordered history; it is kept as one
       mergeable row per user (sums, sessions counted, active days as bit
@@ -49,7 +51,7 @@ from churnlab.schema import (
     PageRoles,
 )
 from churnlab.session import ensure_checkpoint_dir
-from churnlab.sources.events import to_events
+from churnlab.sources.events import SESSION_GAP_US, to_events
 
 EVENT_TIME = "event_time"
 DEDUPE_KEYS = ("userId", "sessionId", "ts", "seq", "page")
@@ -123,6 +125,68 @@ def user_session_totals(stream: DataFrame, roles: PageRoles = DEFAULT_ROLES) ->
     )
 
 
+def session_pieces(events: DataFrame, gap_us: int = SESSION_GAP_US, roles: PageRoles = DEFAULT_ROLES) -> DataFrame:
+    """STR3: ``(userId, bucket, first_us, last_us, totals)`` of events with ``event_time``.
+
+    A bucket is as long as the gap, so a session never breaks inside one:
+    pieces of the same bucket merge by minimum, maximum and sum in any order,
+    and a hash aggregate makes them, partial per task, whatever a user's
+    share of the events. Events without a time are in no session.
+    """
+    us = F.unix_micros(EVENT_TIME)
+    ev = with_flags(drop_blank_users(events).where(F.col(EVENT_TIME).isNotNull()), roles)
+    ev = ev.withColumns({"first_us": us, "last_us": us, "bucket": F.floor(us / F.lit(gap_us))})
+    return _merged_pieces(ev.withColumnsRenamed(dict(zip(FLAG_COLUMNS, SESSION_MEASURES))))
+
+
+def _merged_pieces(pieces: DataFrame) -> DataFrame:
+    sums = [F.sum(m).cast("long").alias(m) for m in SESSION_MEASURES]
+    return pieces.groupBy("userId", "bucket").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *sums)
+
+
+def sessions_of(pieces: DataFrame, gap_us: int = SESSION_GAP_US) -> DataFrame:
+    """``(userId, sessionId, first_us, last_us, totals)``: the sessions that pieces make, numbered from 1 by time.
+
+    A session ends where the user's next event is more than the gap later.
+    The window runs over a user's buckets, bounded by the calendar.
+    """
+    ordered = Window.partitionBy("userId").orderBy("bucket")
+    begins = F.coalesce(F.col("first_us") - F.lag("last_us").over(ordered) > F.lit(gap_us), F.lit(True))
+    rows = _merged_pieces(pieces).withColumn("_begins", begins.cast("long"))
+    rows = rows.withColumn("sessionId", F.sum("_begins").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    sums = [F.sum(m).cast("long").alias(m) for m in SESSION_MEASURES]
+    return rows.groupBy("userId", "sessionId").agg(F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), *sums)
+
+
+class SessionPieces:
+    """foreachBatch sink: each micro-batch's session pieces under ``base``.
+
+    A batch reads nothing that was stored before, so its cost does not grow
+    with history, late events extend or join sessions however late they come,
+    and a replayed micro-batch replaces its own pieces. ``merge`` folds the
+    epochs so far into one row per user and bucket.
+    """
+
+    def __init__(self, base: str, gap_us: int = SESSION_GAP_US, roles: PageRoles = DEFAULT_ROLES):
+        self.base, self.gap_us, self.roles = base.rstrip("/"), gap_us, roles
+
+    def __call__(self, batch: DataFrame, epoch_id: int) -> None:
+        done = snapshot_generation(batch.sparkSession, self.base)
+        if done is None or done < epoch_id:
+            write_epoch(session_pieces(batch, self.gap_us, self.roles), f"{self.base}/pieces", epoch_id)
+
+    def sessions(self, spark: SparkSession) -> DataFrame:
+        return sessions_of(read_stored(spark, self.base, "pieces"), self.gap_us)
+
+    def merge(self, spark: SparkSession) -> None:
+        """Fold all epochs into a snapshot; readers take it once its marker is there. Not beside a running stream."""
+        last = spark.read.parquet(f"{self.base}/pieces").agg(F.max("epoch")).first()[0]
+        if last is None or last == snapshot_generation(spark, self.base):
+            return
+        _merged_pieces(read_stored(spark, self.base, "pieces")).write.mode("overwrite").parquet(f"{self.base}/snapshots/pieces/gen={last}")
+        spark.range(1).write.mode("overwrite").parquet(f"{self.base}/snapshots/_done/gen={last}")
+
+
 # ------------------------------------------------------------------ epoch-partitioned sinks
 def write_epoch(df: DataFrame, path: str, epoch_id: int, partition_by: Sequence[str] = ()) -> None:
     """Write one micro-batch's rows as partition ``epoch=<id>``, idempotently.
@@ -519,12 +583,12 @@ def landed(spark: SparkSession, events: DataFrame, base: str, files: int, per_tr
     return read_event_stream(spark, path, max_files_per_trigger=max(1, found // batches))
 
 
-def streamed_user_session_totals(spark: SparkSession, events: DataFrame, files: int = 4, per_trigger: int = 1) -> DataFrame:
-    """STR1 + STR3 end to end: the totals per user and session, over several batches."""
+def streamed_user_session_totals(spark: SparkSession, stream: DataFrame, gap_us: int = SESSION_GAP_US) -> DataFrame:
+    """STR1 + STR3 end to end over a stream of events with ``event_time``: the totals per user and session."""
     base = scratch(spark, "str3s")
-    totals = user_session_totals(landed(spark, events, base, files, per_trigger))
-    run_available(totals, upsert_sink(f"{base}/out"), f"{base}/checkpoint")
-    return kept_result(latest_by_key(spark.read.parquet(f"{base}/out"), ["userId", "sessionId"]), base)
+    pieces = SessionPieces(f"{base}/out", gap_us)
+    run_available(stream, pieces, f"{base}/checkpoint", mode="append")
+    return kept_result(pieces.sessions(spark).select("userId", "sessionId", *SESSION_MEASURES), base)
 
 
 def streamed_user_matrix(spark: SparkSession, events: DataFrame, files: int = 4, per_trigger: int = 2) -> DataFrame:

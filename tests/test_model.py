@@ -80,3 +80,33 @@ def test_stratified_split_keeps_class_shares(spark):
     assert all(abs(r.s - 0.8) < 0.02 for r in shares)
     again = ML.with_split(matrix(spark, SF01), stratified=True)
     assert sorted(m.select("userId", "split").collect()) == sorted(again.select("userId", "split").collect())
+
+
+def test_order_statistics_are_exact(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from churnlab.operators.selection import order_statistics
+
+    rng = random.Random(3)
+    rows = [("hot", rng.randrange(2**60)) for _ in range(500)] + [("tied", 7)] * 20 + [("tied", 2**60 - 1)] * 5 + [(None, rng.randrange(50)) for _ in range(40)] + [("one", 0), ("one", None)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    for percent in (1, 50, 80, 100):
+        got = {r.g: r.value for r in order_statistics(df, ["g"], "k", lambda n: F.ceil(n * percent / 100)).collect()}
+        for g in ("hot", "tied", None, "one"):
+            keys = sorted(k for name, k in rows if name == g and k is not None)
+            assert got[g] == keys[-(-len(keys) * percent // 100) - 1], (g, percent)
+    assert order_statistics(df, ["g"], "k", lambda n: n + 1).count() == 0
+
+
+def test_stratified_split_is_exact_in_every_class(spark):
+    rows = [(f"u{i}", i % 10 == 0, i) for i in range(237)] + [(f"n{i}", None, i) for i in range(11)]
+    df = spark.createDataFrame(rows, "userId string, churn boolean, x int")
+    for percent in (0, 30, 80, 100):
+        out = ML.with_split(df, percent, stratified=True)
+        assert out.columns == ["userId", "churn", "x", "split"]
+        got = {(r.churn, r.split): r["count"] for r in out.groupBy("churn", "split").count().collect()}
+        for churn, n in ((True, 24), (False, 213), (None, 11)):
+            assert got.get((churn, "train"), 0) == -(-n * percent // 100)
+            assert got.get((churn, "test"), 0) == n - -(-n * percent // 100)

@@ -7,6 +7,7 @@ from pyspark.ml.feature import SQLTransformer
 from churnlab.operators import matrix as M
 from churnlab.plans import model as ML
 from churnlab.plans.catalog import events as adapted_events
+from churnlab.sources.events import SESSION_GAP_US, stream_events
 from churnlab.streaming import stream as STR
 from conftest import SF001
 from fixtures import frame
@@ -121,7 +122,7 @@ def test_scratch_folders_are_deleted(spark):
 
     root = ensure_checkpoint_dir(spark).removeprefix("file:")
     before = {d for d in os.listdir(root) if d.startswith("churnlab-")}
-    STR.streamed_user_session_totals(spark, adapted_events(spark, SF001, attrs=False)).count()
+    STR.streamed_user_session_totals(spark, stream_events(spark, SF001)).count()
     assert {d for d in os.listdir(root) if d.startswith("churnlab-")} == before
 
 
@@ -226,3 +227,77 @@ def test_day_blocks_equal_day_windows(spark):
     got, want = STR.block_maxima(STR.day_blocks(ev)), day_user_maxima(user_days(ev))
     assert sorted(got.collect()) == sorted(want.collect())
     assert [f.dataType for f in got.schema] == [f.dataType for f in want.schema]
+
+
+def _timed(spark, rows, path):
+    """Events (user, microseconds, page) as files of a stream, one row of ``rows`` a file."""
+    schema = "userId string, event_time timestamp, page string"
+    for n, events in enumerate(rows):
+        df = spark.createDataFrame([(u, t, p) for u, t, p in events], "userId string, us long, page string")
+        df.selectExpr("userId", "timestamp_micros(us) AS event_time", "page").coalesce(1).write.parquet(f"{path}/part{n}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{path}/*")
+
+
+def _plain_sessions(events, gap):
+    out = {}
+    for user in sorted({u for u, _, _ in events if u}):
+        last, number = None, 0
+        for t, page in sorted((t, p) for u, t, p in events if u == user and t is not None):
+            if last is None or t - last > gap:
+                number += 1
+            last = t
+            out.setdefault((user, number), []).append(page)
+    return sorted((u, n, sum(p == "NextSong" for p in pages), sum(p == "Error" for p in pages)) for (u, n), pages in out.items())
+
+
+def test_sessions_merge_over_batches_in_any_order(spark, tmp_path):
+    import random
+
+    rng = random.Random(5)
+    gap = SESSION_GAP_US
+    events = [("a", 0, "NextSong"), ("a", gap, "Error"), ("a", 2 * gap + 1, "NextSong"), ("b", -5 * gap, "NextSong"), ("b", -5 * gap, "NextSong"), ("", 3, "Error"), ("c", None, "Error")]
+    events += [(rng.choice("bcd"), rng.randrange(40 * gap), rng.choice(["NextSong", "Error", "Home"])) for _ in range(300)]
+    # one user holds a third of the events
+    events += [("hot", rng.randrange(90 * gap), "NextSong") for _ in range(150)]
+    rng.shuffle(events)
+    stream = _timed(spark, [events[i::9] for i in range(9)], str(tmp_path / "in"))
+    pieces = STR.SessionPieces(str(tmp_path / "out"))
+    STR.run_available(stream, pieces, str(tmp_path / "ckpt"), mode="append")
+    assert spark.read.parquet(str(tmp_path / "out/pieces")).select("epoch").distinct().count() == 9
+    want = _plain_sessions(events, gap)
+
+    def got():
+        return sorted((r.userId, r.sessionId, r.sess_listens, r.sess_err) for r in pieces.sessions(spark).collect())
+
+    assert got() == want
+    # a replayed micro-batch replaces its own pieces, before and after a merge
+    batch = spark.createDataFrame([(u, t, p) for u, t, p in events[0::9]], "userId string, us long, page string").selectExpr("userId", "timestamp_micros(us) AS event_time", "page")
+    parts = {r.epoch: r.n for r in spark.read.parquet(str(tmp_path / "out/pieces")).groupBy("epoch").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    pieces.merge(spark)
+    pieces.merge(spark)
+    assert got() == want
+    pieces(batch, max(parts))
+    assert got() == want
+    # a bridge that comes last joins two sessions
+    late = [("a", gap + gap // 2, "Home")]
+    pieces(spark.createDataFrame(late, "userId string, us long, page string").selectExpr("userId", "timestamp_micros(us) AS event_time", "page"), 20)
+    assert got() == _plain_sessions(events + late, gap)
+
+
+def test_streamed_sessions_of_the_given_table_equal_batch(spark):
+    from churnlab.operators.sessions import session_totals
+
+    streamed = STR.streamed_user_session_totals(spark, stream_events(spark, SF001))
+    assert sorted(streamed.collect()) == sorted(session_totals(adapted_events(spark, SF001, attrs=False)).collect())
+
+
+def test_a_batch_of_session_pieces_reads_no_history(spark, tmp_path):
+    base = str(tmp_path)
+    pieces = STR.SessionPieces(base)
+    rows = [("u", i * SESSION_GAP_US * 2, "NextSong") for i in range(50)]
+    df = spark.createDataFrame(rows, "userId string, us long, page string").selectExpr("userId", "timestamp_micros(us) AS event_time", "page")
+    for epoch in range(5):
+        pieces(df.limit(3), epoch)
+    assert spark.read.parquet(f"{base}/pieces").where("epoch = 4").count() == 3
+    plan = STR.session_pieces(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "parquet" not in plan
