@@ -7,7 +7,10 @@ whole and never changed:
 - ``refs``: the exact references (key, doc_id) of every batch of documents,
 - ``gone``: the doc_ids of every deletion,
 - ``filters``: one cuckoo filter per shard of keys, holding the keys that
-  at least two documents refer to.
+  at least two documents refer to,
+- ``log``: a row per version, written last. ``LineIndex.open`` takes up an
+  index at its last logged version, on any driver; what a lost driver left
+  of a version without its row is not read and is written over.
 
 ``add`` and ``remove`` count the references of the touched keys before and
 after, insert keys that come to have two documents and delete keys that
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 
 from churnlab.llm.common import BLANKS, ascii_lower, checkpointed, partitions, scratch_folder, ship
 from churnlab.llm.cuckoo import FilterStack
+from churnlab.streaming.stream import path_exists
 
 MIN_CHARS = 10
 #: Lines a task probes at once, at most.
@@ -93,6 +97,21 @@ class LineIndex:
         self.spark, self.folder, self.version = spark, folder, 0
         self.shards, self.batches, self.removals = shards, [], []
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> LineIndex:
+        """The index in ``folder`` as its last whole version left it; a new one if there is none."""
+        index = cls(spark, folder)
+        if path_exists(spark, f"{folder}/log"):
+            # one row a version
+            for row in spark.read.schema("kind string, shards int, version int").parquet(f"{folder}/log").orderBy("version").collect():
+                index.version, index.shards = row["version"], row["shards"]
+                (index.batches if row["kind"] == "add" else index.removals).append(row["version"])
+        return index
+
+    def _log(self, kind: str) -> None:
+        row = self.spark.range(1, numPartitions=1).select(F.lit(kind).alias("kind"), F.lit(self.shards).cast("int").alias("shards"))
+        row.write.mode("overwrite").parquet(self._path("log", self.version))
+
     def _path(self, kind: str, version: int) -> str:
         return f"{self.folder}/{kind}/version={version}"
 
@@ -131,21 +150,24 @@ class LineIndex:
         lines = line_keys(docs, self.shards) if lines is None else lines
         before, self.version = self.version, self.version + 1
         refs = lines.select("doc_id", *KEY, "shard").distinct()
-        refs.write.parquet(self._path("refs", self.version))
+        refs.write.mode("overwrite").parquet(self._path("refs", self.version))
         first = not self.batches
         self.batches.append(self.version)
         touched = None if first else self.spark.read.parquet(self._path("refs", self.version)).select(*KEY).distinct()
         self._update(before, touched)
+        self._log("add")
 
     def remove(self, doc_ids: DataFrame) -> None:
         """Delete documents, by a table with their doc_id."""
+        if not self.batches:
+            return  # nothing to delete
         before, self.version = self.version, self.version + 1
-        doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.parquet(self._path("gone", self.version))
+        doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.mode("overwrite").parquet(self._path("gone", self.version))
         self.removals.append(self.version)
         gone = self.spark.read.parquet(self._path("gone", self.version))
-        refs = self.references(before)
-        if refs is not None:
-            self._update(before, refs.join(gone, "doc_id", "left_semi").select(*KEY).distinct())
+        touched = self.references(before).join(gone, "doc_id", "left_semi").select(*KEY).distinct()
+        self._update(before, touched)
+        self._log("remove")
 
     def _update(self, before: int, touched: DataFrame | None) -> None:
         now = self.counts(touched=touched).select(*KEY, "shard", (F.col("n_docs") > 1).cast("int").alias("now"))
@@ -161,7 +183,7 @@ class LineIndex:
         if old is None:
             old = self.spark.createDataFrame([], columns)
         new = old.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_changed, columns)
-        new.write.parquet(self._path("filters", self.version))
+        new.write.mode("overwrite").parquet(self._path("filters", self.version))
 
     def filters(self, version: int | None = None) -> DataFrame | None:
         version = self.version if version is None else version

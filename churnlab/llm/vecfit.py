@@ -33,11 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import checkpointed, ship
+from churnlab.llm.common import checkpointed, partitions, ship
 from churnlab.llm.tokens import ENCODE_BYTES, column_chunks, encoder
 
 TOKENS = 2048
-BUCKET_ROWS = 4000
+#: Pieces of one length in a task's window: a share of all, within these bounds.
+BUCKET_ROWS, LEAST_ROWS = 4000, 250
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -151,7 +152,8 @@ def pack(parts: DataFrame, tokens: int = TOKENS, **capacities) -> DataFrame:
     # at most `tokens` lengths, whatever the number of pieces
     counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots, _ = plan(counts, tokens, **capacities)
-    sizes = spark.createDataFrame([(k, -(-n // BUCKET_ROWS)) for k, n in counts.items()], "length long, buckets long")
+    share = min(BUCKET_ROWS, max(LEAST_ROWS, sum(counts.values()) // (4 * partitions(spark))))
+    sizes = spark.createDataFrame([(k, -(-n // share)) for k, n in counts.items()], "length long, buckets long")
     dealt = parts.join(F.broadcast(sizes), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets")))
     dealt = dealt.drop("buckets")
     ordered = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")

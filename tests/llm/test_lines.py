@@ -122,3 +122,36 @@ def test_deleting_from_a_grown_stack_keeps_the_other_keys():
     assert stack.contains(a[~gone], b[~gone]).all() and sum(stack.keys) == (~gone).sum()
     stack.delete(a[~gone], b[~gone])
     assert sum(stack.keys) == 0 and not any(p.table.any() or len(p.overflow) for p in stack.parts)
+
+
+def test_index_is_taken_up_where_it_was_left(spark, tmp_path):
+    rows = random_docs(80, 4)
+    early, late = rows[:50], rows[50:]
+    folder = str(tmp_path / "index")
+    index = LineIndex.open(spark, folder)
+    assert index.version == 0
+    index.remove(spark.createDataFrame([(1,)], "doc_id long"))
+    index.shards = 4
+    index.add(docs(spark, early))
+    del index
+    index = LineIndex.open(spark, folder)
+    assert (index.version, index.shards, index.batches) == (1, 4, [1])
+    index.add(docs(spark, late))
+    index = LineIndex.open(spark, folder)
+    assert result(index.dedupe(docs(spark, rows))) == brute(rows)
+    index.remove(spark.createDataFrame([(r[0],) for r in early[:20]], "doc_id long"))
+    # a driver lost in the middle of a version: its files are there, its row is not
+    lost = LineIndex.open(spark, folder)
+    lost._log = lambda kind: None
+    lost.add(docs(spark, random_docs(30, 9)))
+    index = LineIndex.open(spark, folder)
+    assert index.version == 3
+    assert result(index.dedupe(docs(spark, rows[20:]))) == brute(rows[20:])
+    index.remove(spark.createDataFrame([(r[0],) for r in late], "doc_id long"))
+    index = LineIndex.open(spark, folder)
+    assert (index.version, index.batches, index.removals) == (4, [1, 2], [3, 4])
+    assert result(index.dedupe(docs(spark, rows[20:50]))) == brute(rows[20:50])
+    again = random_docs(30, 9)
+    index.add(docs(spark, [(r[0] + 10_000, *r[1:]) for r in again]))
+    both = rows[20:50] + [(r[0] + 10_000, *r[1:]) for r in again]
+    assert result(LineIndex.open(spark, folder).dedupe(docs(spark, both))) == brute(both)
