@@ -286,7 +286,8 @@ def compact(spark: SparkSession, base: str, purge: bool = False) -> int | None:
     ``snapshots/_done/gen=E``. Readers switch to the snapshot only when
     the marker exists. ``purge`` then deletes the epoch folders of the
     stored tables before E and older snapshots. The matrix rows per
-    epoch stay: scheduled scoring (STR5) streams from them.
+    epoch stay, since scheduled scoring (STR5) streams from them;
+    ``purge_scored`` deletes those that it has scored.
     """
     base = base.rstrip("/")
     if not path_exists(spark, f"{base}/seen"):
@@ -518,16 +519,54 @@ def score_matrix_updates(spark: SparkSession, model, matrix_base: str, out: str,
     """
     src = f"{matrix_base.rstrip('/')}/matrix"
     schema = spark.read.parquet(src).schema
-    stream = spark.readStream.schema(schema).parquet(src)
+    stream = spark.readStream.schema(schema).parquet(src).select("*", F.col("_metadata.file_path").alias("_file"))
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
-        latest = latest_by_key(batch, ["userId"])
+        # what purge_scored may delete once this micro-batch is committed
+        write_epoch(batch.select("_file").distinct(), scored_files(out), epoch_id)
+        latest = latest_by_key(batch.drop("_file"), ["userId"])
         scored = model.transform(latest).select("userId", F.col("prediction").alias("predicted_churn"))
         write_epoch(scored, out, epoch_id)
 
     run_available(stream, sink, checkpoint, mode="append")
 
 
+def scored_files(out: str) -> str:
+    return f"{out.rstrip('/')}_files"
+
+
+def purge_scored(spark: SparkSession, matrix_base: str, out: str, checkpoint: str) -> list[int]:
+    """STR5: delete the matrix epochs that are in a snapshot and wholly scored; returns them.
+
+    An epoch goes when a completed snapshot holds its rows and micro-batches
+    that the scoring ``checkpoint`` has committed read every one of its
+    files; one that was read by an uncommitted micro-batch stays for its
+    replay. Run between scheduled runs, after ``compact``. A scoring job with
+    a checkpoint of its own starts from ``current_matrix``.
+    """
+    base = matrix_base.rstrip("/")
+    gen = snapshot_generation(spark, base)
+    commits, fs = _fs_path(spark, f"{checkpoint.rstrip('/')}/commits")
+    if gen is None or not fs.exists(commits) or not path_exists(spark, scored_files(out)):
+        return []
+    committed = max((int(s.getPath().getName()) for s in fs.listStatus(commits) if s.getPath().getName().isdigit()), default=-1)
+    files = spark.read.parquet(scored_files(out)).where(F.col("epoch") <= committed)
+    of = F.regexp_extract("_file", r"epoch=(\d+)/[^/]+$", 1).cast("long")
+    # one row an epoch
+    read = {r.of: r.n for r in files.groupBy(of.alias("of")).agg(F.count_distinct("_file").alias("n")).collect()}
+    root, fs = _fs_path(spark, f"{base}/matrix")
+    gone = []
+    for folder in fs.listStatus(root):
+        label = folder.getPath().getName()
+        epoch = int(label.split("=", 1)[1]) if label.startswith("epoch=") else gen
+        # the files of epoch gen itself keep the table readable
+        if epoch < gen and epoch in read:
+            held = sum(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(folder.getPath()))
+            if held == read[epoch] and fs.delete(folder.getPath(), True):
+                gone.append(epoch)
+    return sorted(gone)
+
+
 # ------------------------------------------------------------------ helpers for registered queries
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint folder (shared on clusters)."""

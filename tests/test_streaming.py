@@ -301,3 +301,54 @@ def test_a_batch_of_session_pieces_reads_no_history(spark, tmp_path):
     assert spark.read.parquet(f"{base}/pieces").where("epoch = 4").count() == 3
     plan = STR.session_pieces(df)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "parquet" not in plan
+
+
+def test_purge_scored_deletes_what_scoring_has_committed(spark, tmp_path):
+    import os
+
+    base = str(tmp_path)
+    state, out, ckpt = f"{base}/state", f"{base}/scores", f"{base}/score-ckpt"
+    rule = SQLTransformer(statement="SELECT *, CAST(total_listens < 2 AS DOUBLE) AS prediction FROM __THIS__")
+
+    def land(name, users):
+        STR.land_events(frame(spark, [(u, 1, "2018-10-10 10:00", "NextSong", "M", "X, CA") for u in users]), f"{base}/in/{name}")
+        stream = STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1)
+        STR.run_available(stream, STR.MatrixUpkeep(state, buckets=4, compact_every=0), f"{base}/ckpt", mode="append")
+
+    def epochs():
+        return sorted(int(x.split("=")[1]) for x in os.listdir(f"{state}/matrix") if x.startswith("epoch="))
+
+    def score():
+        STR.score_matrix_updates(spark, rule, state, out, ckpt)
+
+    assert STR.purge_scored(spark, state, out, ckpt) == []
+    land("a", ["u1", "u2"])
+    score()
+    land("b", ["u3"])
+    land("c", ["u1", "u4"])
+    before = epochs()
+    assert len(before) >= 3
+    STR.compact(spark, state, purge=True)
+    # only what was scored goes; nothing is lost for the next run
+    gone = STR.purge_scored(spark, state, out, ckpt)
+    assert gone and set(gone) < set(before) and epochs() == [e for e in before if e not in gone]
+    assert STR.current_matrix(spark, state).count() == 4
+    score()
+    land("d", ["u5"])
+    score()
+    STR.compact(spark, state, purge=True)
+    # a micro-batch whose commit is missing keeps its epochs
+    last = max(int(x) for x in os.listdir(f"{ckpt}/commits") if x.isdigit())
+    kept = f"{ckpt}/commits/{last}"
+    content = open(kept, "rb").read()
+    unread = {r.e for r in spark.read.parquet(STR.scored_files(out)).where(f"epoch = {last}").selectExpr("CAST(regexp_extract(_file, 'epoch=([0-9]+)/', 1) AS INT) AS e").collect()}
+    os.rename(kept, f"{base}/held")
+    held = STR.purge_scored(spark, state, out, ckpt)
+    assert not set(held) & unread
+    os.rename(f"{base}/held", kept)
+    assert open(kept, "rb").read() == content
+    STR.purge_scored(spark, state, out, ckpt)
+    assert epochs() == [STR.snapshot_generation(spark, state)]
+    scores = STR.latest_by_key(spark.read.parquet(out), ["userId"])
+    assert {r.userId: r.predicted_churn for r in scores.collect()} == {"u1": 0.0, "u2": 1.0, "u3": 1.0, "u4": 1.0, "u5": 1.0}
+    assert STR.current_matrix(spark, state).count() == 5
