@@ -311,7 +311,7 @@ def test_purge_scored_deletes_what_scoring_has_committed(spark, tmp_path):
     rule = SQLTransformer(statement="SELECT *, CAST(total_listens < 2 AS DOUBLE) AS prediction FROM __THIS__")
 
     def land(name, users):
-        STR.land_events(frame(spark, [(u, 1, "2018-10-10 10:00", "NextSong", "M", "X, CA") for u in users]), f"{base}/in/{name}")
+        STR.land_events(frame(spark, [(u, 1, f"2018-10-10 1{ord(name) - ord('a')}:00", "NextSong", "M", "X, CA") for u in users]), f"{base}/in/{name}")
         stream = STR.read_event_stream(spark, f"{base}/in/*", max_files_per_trigger=1)
         STR.run_available(stream, STR.MatrixUpkeep(state, buckets=4, compact_every=0), f"{base}/ckpt", mode="append")
 
