@@ -47,7 +47,7 @@ BINS, ROWS = 128, 4
 #: Coordinates of BINS that must agree before the exact check.
 MAYBE = 64
 #: Bytes of text handled at once inside a task.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Ids broadcast at most; beyond, the ids are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Members and shingles of a block of a cell.
@@ -100,11 +100,20 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values, kind))
 
 
+def _byte_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, texts as bytes) in pieces; 256 rows at a time leave Arrow, null is empty."""
+    pa.default_memory_pool().release_unused()
+    for at in range(0, len(column), 256):
+        texts = [t or b"" for t in column.slice(at, 256).cast(pa.large_binary()).to_pylist()]
+        for a, b in chunks(texts):
+            yield at + a, texts[a:b]
+
+
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        for a, b in chunks(texts):
-            s, off = shingle_sets(texts[a:b], WORDS)
+        for a, texts in _byte_chunks(batch.column(1)):
+            b = a + len(texts)
+            s, off = shingle_sets(texts, WORDS)
             marks = sketches(s, off)
             with np.errstate(over="ignore"):
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(s ^ np.uint64(0x5851F42D4C957F2D)))))
@@ -122,9 +131,9 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [t or b"" for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
-        for a, b in chunks(texts):
-            s, off = shingle_sets(texts[a:b], WORDS)
+        for a, texts in _byte_chunks(batch.column(1)):
+            b = a + len(texts)
+            s, off = shingle_sets(texts, WORDS)
             yield pa.record_batch({"id": batch.column(0).slice(a, b - a), "elems": _lists(s.view(np.int64), off, pa.int64())})
 
 
