@@ -53,7 +53,7 @@ BROADCAST_IDS = 500_000
 #: Members and shingles of a block of a cell.
 BLOCK_ROWS, BLOCK_SHINGLES = 256, 200_000
 #: Pairs of sets up to which a hash is counted pair by pair, and at once.
-RARE, PAIRS = 1024, 4_000_000
+RARE, PAIRS = 1024, 1_000_000
 
 
 def sketches(hashes: np.ndarray, offsets: np.ndarray, bins: int = BINS) -> np.ndarray:
