@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import re
 from array import array
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import partial
@@ -38,11 +37,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from churnlab.llm.common import checkpointed, ship
+from churnlab.llm.shingles import mix64
 from churnlab.llm.tokens import text_chunks
 
 SAMPLE, MIN_WORD, LONGEST = 1000, 3, 5
 SMOOTH = 0.5
 CACHE_WORDS = 100_000
+#: Characters of text handled at once, and words scored at once.
+CHUNK, AT_ONCE = 1 << 20, 20_000
+MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
 
@@ -73,25 +76,32 @@ def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"lang": lang, "size": [k[0] for k in parts], "part": [k[1] for k in parts], "n": list(parts.values())})
 
 
-def _key(size: int, part: str) -> int:
-    """64 bits of a part and its size."""
-    return xxhash.xxh64_intdigest(part, size)
+def _windows(text: str, n: int) -> np.ndarray:
+    """Keys of the runs of n code points of a text: 64 bits each."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    keys = np.full(max(len(codes) - n + 1, 0), n, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            keys = mix64(keys * MULTIPLIER + codes[j : j + len(keys)])
+    return keys
 
 
-class _Parts:
-    """The rows of the parts of one size, found by their hashes."""
+def _keys(size: int, parts: list[str]) -> np.ndarray:
+    """64 bits of each part of one size."""
+    if size:
+        return _windows("".join(parts), size)[::size]
+    return np.fromiter(map(xxhash.xxh64_intdigest, parts), np.uint64, len(parts))
+
 
-    def __init__(self, keys: array, size: int):
-        self.keys, self.size = keys, size
+class _Parts:
+    """The rows of the parts of one size."""
 
-    def get(self, part: str) -> int | None:
-        key = _key(self.size, part)
-        at = bisect_left(self.keys, key)
-        return at if at < len(self.keys) and self.keys[at] == key else None
+    def __init__(self, model: Model, size: int):
+        self.model, self.size = model, size
 
     def __getitem__(self, part: str) -> int:
-        at = self.get(part)
-        if at is None:
+        at = int(self.model.find(_keys(self.size, [part]))[0])
+        if at < 0:
             raise KeyError(part)
         return at
 
@@ -99,54 +109,89 @@ class _Parts:
 class Model:
     """Log frequencies of words and n-grams; one column per language.
 
-    ``places`` has, per size (0: whole words), the row of each part in
-    ``rows``, one matrix of 32-bit floats. Parts are kept as one sorted array
-    of 64-bit hashes, so that a worker holds and unpickles no strings.
+    ``rows`` is one matrix of 32-bit floats, in the order of ``keys``, a
+    sorted array of 64-bit hashes of the parts, so that a worker holds and
+    unpickles no strings; ``places`` has the row of a part by its size (0:
+    whole words). All words of a batch are looked up at once.
     """
 
     def __init__(self, languages: list[str], counts: Iterable[tuple[str, int, str, int]]):
         self.languages = sorted(languages)
         column = {x: i for i, x in enumerate(self.languages)}
         cells = array("q")
-        keys, sizes = array("Q"), array("b")
+        sizes, parts = array("b"), []
         for lang, size, part, n in counts:
-            keys.append(_key(size, part))
             sizes.append(size)
+            parts.append(part)
             cells.extend((column[lang], n))
-        found, first, at = np.unique(np.array(keys, np.uint64), return_index=True, return_inverse=True)
+        keys, of = np.zeros(len(parts), np.uint64), np.array(sizes, np.int8)
+        for size in np.unique(of):
+            own = np.flatnonzero(of == size)
+            keys[own] = _keys(int(size), [parts[i] for i in own])
+        found, first, at = np.unique(keys, return_index=True, return_inverse=True)
         lang, n = np.array(cells, np.int64).reshape(-1, 2).T
         rows = np.full((len(found), len(column)), SMOOTH)
         np.add.at(rows, (at, lang), n)
-        of = np.array(sizes, np.int8)[first]
+        of = of[first]
         for size in np.unique(of):
             own = of == size
             rows[own] = np.log(rows[own] / rows[own].sum(axis=0))
-        ordered = array("Q", found.tobytes())
-        self.places = {size: _Parts(ordered, size) for size in range(LONGEST + 1)}
-        self.rows = rows.astype(np.float32)
+        self.keys, self.rows = found, rows.astype(np.float32)
+
+    @property
+    def places(self) -> dict[int, _Parts]:
+        return {size: _Parts(self, size) for size in range(LONGEST + 1)}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it is not known."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """A row of scores per word: its own if known, else the mean over its
+        longest known n-grams, else 0."""
+        table = np.zeros((len(words), len(self.languages)), np.float32)
+        at = self.find(_keys(0, words))
+        table[at >= 0] = self.rows[at[at >= 0]]
+        rest = np.flatnonzero(at < 0)
+        for n in range(LONGEST, 0, -1):
+            marked = [f"<{words[i]}>" if n > 1 else words[i] for i in rest]
+            lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+            grams_of = np.maximum(lengths - n + 1, 0)
+            owner = np.repeat(np.arange(len(marked)), grams_of)
+            inside = np.arange(len(owner)) - np.repeat(np.cumsum(grams_of) - grams_of, grams_of)
+            at = self.find(_windows("".join(marked), n)[inside + (np.cumsum(lengths) - lengths)[owner]])
+            known = np.bincount(owner[at >= 0], minlength=len(marked))
+            some = known > 0
+            if some.any():
+                sums = np.add.reduceat(self.rows[at[at >= 0]], (np.cumsum(known) - known)[some])
+                table[rest[some]] = sums / known[some, None].astype(np.float32)
+            rest = rest[~some]
+            if not len(rest):
+                break
+        return table
 
     def word(self, word: str) -> np.ndarray:
-        known = self.places[0].get(word)
-        if known is not None:
-            return self.rows[known]
-        for n in range(LONGEST, 0, -1):
-            at = [r for r in map(self.places[n].get, grams(word, n)) if r is not None]
-            if at:
-                return self.rows[at].mean(axis=0)
-        return np.zeros(len(self.languages), np.float32)
+        return self.words([word])[0]
 
 
 class _Scores(dict):
-    """word -> its row of scores; filled on first use."""
+    """word -> its row of scores."""
 
     def __init__(self, model: Model):
         super().__init__()
         self.model, self.rows = model, array("f")
 
-    def __missing__(self, word: str) -> int:
-        number = self[word] = len(self)
-        self.rows.extend(self.model.word(word).tolist())
-        return number
+    def learn(self, words: set[str]) -> None:
+        """Score the words that are not held yet, all at once."""
+        fresh = list(words.difference(self))
+        for i in range(0, len(fresh), AT_ONCE):
+            some = fresh[i : i + AT_ONCE]
+            self.rows.frombytes(self.model.words(some).tobytes())
+            self.update(zip(some, range(len(self), len(self) + len(some)), strict=True))
 
     def table(self) -> np.ndarray:
         return np.array(self.rows, np.float32).reshape(len(self), -1)
@@ -163,10 +208,13 @@ class Predictor:
 
         The language is None where the text has words but nothing is learned.
         """
-        for first, texts in text_chunks(column):
+        for first, texts in text_chunks(column, CHUNK):
             if len(self.scores) > CACHE_WORDS:
                 self.scores = _Scores(self.model)
-            at = [list(map(self.scores.__getitem__, words_of(text))) for text in texts]
+            words = [words_of(text) for text in texts]
+            self.scores.learn(set().union(*words))
+            at = [list(map(self.scores.__getitem__, w)) for w in words]
+            del words
             table = self.scores.table() if self.scores else None
             langs, values = [], []
             for words in at:
