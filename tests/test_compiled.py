@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 
 from churnlab.plans import model as ML
 from churnlab.plans import registry
-from churnlab.plans.catalog import matrix
+from churnlab.plans.catalog import QUERIES, matrix
 from churnlab.plans.compiled import compile_model
 from conftest import SF01
 
@@ -36,6 +36,15 @@ def test_expression_equals_transform_and_duckdb(spark, users, name):
     assert dict(con.sql(f"SELECT userId, {compiled.sql} FROM users").fetchall()) == want
 
 
+def test_nested_pipeline_and_the_query_that_fits_one(spark, users):
+    train = ML.with_split(users).where("split = 'train'").selectExpr("*", "CAST(churn AS DOUBLE) AS label")
+    model = Pipeline(stages=[ML.preparation(), ML.estimators()["GBTClassifier"]]).fit(train)
+    want = by_user(model.transform(users))
+    assert by_user(compile_model(model).transform(users)) == want
+    streamed = QUERIES["str5_scheduled_scores"](spark, SF01)
+    assert by_user(streamed.withColumnRenamed("predicted_churn", "prediction")) == want and streamed.count() == len(want)
+
+
 def test_unknown_gender_and_null_feature(spark, users):
     train = users.selectExpr("*", "CAST(churn AS DOUBLE) AS label")
     model = Pipeline(stages=[*ML.preparation().getStages(), ML.estimators()["LogisticRegression"]]).fit(train)
