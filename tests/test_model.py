@@ -1,6 +1,11 @@
 """ML1-ML14, EXT3 by properties: seeded repeat, evaluator parity, reload."""
 
+import threading
+
 import pytest
+from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
 
 from churnlab.plans import model as ML
 from churnlab.plans.catalog import matrix
@@ -28,6 +33,37 @@ def test_seeded_gbt_repeats(prepared):
     assert a == b
 
 
+def test_points_of_all_folds_are_fitted_side_by_side(prepared, monkeypatch):
+    monkeypatch.setattr(ML, "GRID_PRESETS", {"tiny": {"maxDepth": [2], "maxBins": [16, 32]}})
+    gbt = GBTClassifier(seed=ML.SEED)
+    rows = ML.dealt(prepared.train)
+    plain = CrossValidator(
+        estimator=gbt, estimatorParamMaps=ML.param_grid(gbt, "tiny"), evaluator=MulticlassClassificationEvaluator(), foldCol="fold", seed=ML.SEED
+    ).fit(rows)
+    # none of the 3 x 2 fits begins before all have been called
+    together, fit = threading.Barrier(6), GBTClassifier.fit
+
+    def waiting(self, *args):
+        if threading.current_thread() is not threading.main_thread():
+            together.wait(timeout=60)
+        return fit(self, *args)
+
+    monkeypatch.setattr(GBTClassifier, "fit", waiting)
+    found = ML.tune(prepared, "tiny")
+    assert list(found.avgMetrics) == pytest.approx(list(plain.avgMetrics), abs=1e-12)
+    assert list(found.stdMetrics) == pytest.approx(list(plain.stdMetrics), abs=1e-12)
+    assert found.bestModel.toDebugString.split("\n", 1)[1] == plain.bestModel.toDebugString.split("\n", 1)[1]
+
+
+def test_parts_of_a_search_follow_the_rows_and_not_the_layout(prepared):
+    n = prepared.train.count()
+    one, many = ML.dealt(prepared.train.repartition(7)), ML.dealt(prepared.train, -(-n // 3))
+    assert one.rdd.getNumPartitions() == 1 and many.rdd.getNumPartitions() == 3
+    users = lambda df: [[r.userId for r in part] for part in df.rdd.glom().collect()]
+    assert users(many) == users(ML.dealt(prepared.train.repartition(5), -(-n // 3)))
+    assert sorted(u for part in users(many) for u in part) == users(one)[0] and len(users(one)[0]) == n
+
+
 def test_metrics_frame_equals_evaluator(prepared):
     scored = ML.estimators()["RandomForestClassifier"].fit(prepared.train).transform(prepared.test)
     want = ML.evaluate(scored)
