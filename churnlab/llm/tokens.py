@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from string import punctuation
 
@@ -26,8 +26,9 @@ RUN = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 #: A word with the white space before it, or white space at the end. The
 #: files' white space is Unicode's: without Python's U+001C to U+001F.
 WORD = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-#: Words held before a worker's cache starts anew, and a quarter as many pieces.
-CACHE_WORDS = 250_000
+#: Words held before a worker's cache starts anew, and a quarter as many pieces
+#: of words that stand after no space.
+CACHE_WORDS = 400_000
 #: Characters or bytes of text handled at once.
 CHUNK = 4 << 20
 #: Bytes of text encoded at once: fewer distinct words to look up, more memory.
@@ -44,11 +45,14 @@ class _Words:
         self.ends: dict[int, int] = {}
         self.ids, self.first = array("I"), array("q", [0])
 
-    def add(self, ids: tuple[int, ...]) -> int:
+    def add(self, ids: Iterable[int]) -> int:
         self.ids.extend(ids)
         self.first.append(len(self.ids))
         return len(self.first) - 2
 
+    def of(self, slot: int) -> array:
+        return self.ids[self.first[slot] : self.first[slot + 1]]
+
     def __len__(self) -> int:
         return len(self.first) - 1
 
@@ -82,10 +86,13 @@ class WordEncoder:
             text = self.normalizer.normalize_str(text)
         return [p for p, _ in self.cutter.pre_tokenize_str(text)]
 
+    def _ids(self, piece: str) -> list[int]:
+        return [t.id for t in self.model.tokenize(piece)]
+
     def _piece(self, piece: str) -> tuple[int, ...]:
         got = self.pieces.get(piece)
         if got is None:
-            got = self.pieces[piece] = tuple([t.id for t in self.model.tokenize(piece)])
+            got = self.pieces[piece] = tuple(self._ids(piece))
         return got
 
     def _tail(self, run: str) -> tuple[int, ...]:
@@ -96,24 +103,33 @@ class WordEncoder:
             got = self.tails[run] = tuple([x for piece in self._cut(f" Ab{run}")[1:] for x in self._piece(piece)])
         return got
 
-    def _plain(self, word: str, mark: str) -> tuple[int, ...] | None:
-        """Ids of letters and punctuation behind them; None for other words."""
-        plain = word.rstrip(punctuation)
+    def _letters(self, plain: str) -> str | None:
+        """What the file makes of Latin-1 letters; None for other words."""
         if not plain.isalpha():
             return None
         if plain.isascii() and (self.keeps or self.lowers):
-            piece = mark + (plain if self.keeps else plain.lower())
-        elif LATIN.fullmatch(plain):
-            piece = mark + plain.translate(self.letters)
-        else:
+            return plain if self.keeps else plain.lower()
+        return plain.translate(self.letters) if LATIN.fullmatch(plain) else None
+
+    def _plain(self, word: str, mark: str) -> tuple[int, ...] | None:
+        """Ids of letters and punctuation behind them; None for other words."""
+        plain = word.rstrip(punctuation)
+        letters = self._letters(plain)
+        if letters is None:
             return None
-        got = self.pieces.get(piece) or self._piece(piece)
+        got = self._piece(mark + letters)
         return got if len(plain) == len(word) else got + self._tail(word[len(plain) :])
 
-    def _spaced(self, word: str) -> tuple[int, ...]:
-        """Ids of a word after a space."""
-        got = self._plain(word, self.mark)
-        return self._whole(" " + word) if got is None else got
+    def _spaced(self, word: str) -> int:
+        """A new slot of a word after a space; letters with punctuation behind
+        them take the ids of the letters, which are a word too."""
+        letters = self._letters(word)
+        if letters is not None:
+            return self.words.add(self._ids(self.mark + letters))
+        plain = word.rstrip(punctuation)
+        if plain == word or self._letters(plain) is None:
+            return self.words.add(self._whole(" " + word))
+        return self.words.add(self.words.of(self._slot(plain)) + array("I", self._tail(word[len(plain) :])))
 
     def _whole(self, word: str) -> tuple[int, ...]:
         """Ids of a word with its leading white space, cut by the file's rules."""
@@ -125,11 +141,11 @@ class WordEncoder:
 
     def _slot(self, word: str) -> int:
         """The slot of a word after a space, or after a line end that it begins with."""
-        if word[:1] == "\n":
-            return self._whole_slot(word)
         slot = self.words.spaced.get(word)
         if slot is None:
-            slot = self.words.spaced[word] = self.words.add(self._spaced(word))
+            if word[:1] == "\n":
+                return self._whole_slot(word)
+            slot = self.words.spaced[word] = self._spaced(word)
         return slot
 
     def _whole_slot(self, word: str) -> int:
@@ -148,7 +164,7 @@ class WordEncoder:
         cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
         offsets = cut.offsets.to_numpy().astype(np.int64)
         coded = cut.flatten().dictionary_encode()
-        at, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        at, known = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         offsets = offsets - offsets[0]
         slots = np.fromiter(map(self._slot, known), np.int64, len(known))[at]
         # the first word of a text stands after nothing; if empty, it is none
@@ -196,8 +212,9 @@ class WordEncoder:
         first = np.array(self.words.first, np.int64)
         begin, lengths = first[slots], np.diff(first)[slots]
         ends = np.concatenate(([0], np.cumsum(lengths)))
-        place = np.repeat(begin - ends[:-1], lengths)
-        place += np.arange(ends[-1])
+        number = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+        place = np.repeat((begin - ends[:-1]).astype(number), lengths)
+        place += np.arange(ends[-1], dtype=number)
         return flat[place], ends[starts]
 
 

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from churnlab.llm import orcout, vecfit
+from churnlab.llm import orcout, tokens, vecfit
 from churnlab.llm.tokens import WordEncoder
 from llm_data import docs, rows_of
 
@@ -49,6 +49,26 @@ def test_words_are_cut_at_the_files_white_space(path):
         assert ids[a:b].tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_letters_are_looked_up_once_for_all_words_that_hold_them(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 8)
+
+    class Counted:
+        def __init__(self, model):
+            self.model, self.asked = model, []
+
+        def tokenize(self, piece):
+            self.asked.append(piece)
+            return self.model.tokenize(piece)
+
+    encoder = WordEncoder(BYTES)
+    encoder.model = counted = Counted(encoder.model)
+    first, _ = encoder.encode(["- alpha beta gamma"])
+    again, _ = encoder.encode(["- alpha. beta, gamma"])
+    assert [p for p in counted.asked if p.isalpha()] == ["\u0120alpha", "\u0120beta", "\u0120gamma"]
+    whole = Tokenizer.from_file(BYTES)
+    assert first.tolist() == whole.encode("- alpha beta gamma").ids and again.tolist() == whole.encode("- alpha. beta, gamma").ids
+
+
 def test_cut_only_the_first_may_be_shorter():
     assert vecfit.cut(5, 4) == [(0, 1), (1, 5)]
     assert vecfit.cut(8, 4) == [(0, 4), (4, 8)]
