@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import checkpointed, partitions, ship
+from churnlab.llm.common import checkpointed, give_back, partitions, ship
 from churnlab.llm.components import components, forest
 from churnlab.llm.shingles import mix64, shingle_sets
 
@@ -102,7 +102,7 @@ def _lists(values: np.ndarray, offsets: np.ndarray, kind) -> pa.Array:
 
 def _byte_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
     """(first row, texts as bytes) in pieces; 256 rows at a time leave Arrow, null is empty."""
-    pa.default_memory_pool().release_unused()
+    give_back()
     for at in range(0, len(column), 256):
         texts = [t or b"" for t in column.slice(at, 256).cast(pa.large_binary()).to_pylist()]
         for a, b in chunks(texts):

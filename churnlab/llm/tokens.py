@@ -60,9 +60,10 @@ class _Words:
 class WordEncoder:
     """Encodes texts with a tokenizers file; keeps what words encode to."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int | None = None):
         from tokenizers import Tokenizer
 
+        self.limit = limit or CACHE_WORDS
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.normalizer, self.cutter, self.model = (getattr(self.tokenizer, k) for k in ("normalizer", "pre_tokenizer", "model"))
@@ -182,9 +183,9 @@ class WordEncoder:
     def encode(self, texts: list[str] | pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the offset of each text's first id; ``end`` follows each text."""
         column = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts, "")
-        if len(self.words) > CACHE_WORDS:
+        if len(self.words) > self.limit:
             self.words = _Words()
-        if len(self.pieces) > CACHE_WORDS // 4:
+        if len(self.pieces) > self.limit // 4:
             self.pieces = {}
         odd = np.flatnonzero(pc.match_substring_regex(column, RUN).to_numpy(zero_copy_only=False))
         if len(odd):
@@ -219,9 +220,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder of a file: a reused worker keeps its cache."""
-    return WordEncoder(path)
+def encoder(path: str, limit: int | None = None) -> WordEncoder:
+    """The worker's encoder of a file: a reused worker keeps its cache of about ``limit`` words."""
+    return WordEncoder(path, limit)
 
 
 def column_chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, pa.Array]]:

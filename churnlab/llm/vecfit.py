@@ -33,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from churnlab.llm.common import checkpointed, partitions, ship
-from churnlab.llm.tokens import ENCODE_BYTES, column_chunks, encoder
+from churnlab.llm.common import checkpointed, give_back, partitions, ship
+from churnlab.llm.tokens import column_chunks, encoder
 
 TOKENS = 2048
 #: Pieces of one length in a task's window: a share of all, within these bounds.
 BUCKET_ROWS, LEAST_ROWS = 4000, 250
+#: Bytes of text encoded at once, and words that a worker holds: packing runs in
+#: workers that other stages have used, beside a heap that they have filled.
+ENCODE_BYTES, CACHE_WORDS = 1 << 20, 200_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -51,7 +54,8 @@ def cut(total: int, limit: int) -> list[tuple[int, int]]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path).encode
+    give_back()
+    encode = encoder(path, CACHE_WORDS).encode
     for batch in batches:
         doc_ids = batch.column(0).to_pylist()
         for first, texts in column_chunks(batch.column(1), ENCODE_BYTES):
@@ -70,6 +74,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, limit: int,
             if with_ids:
                 arrays["ids"] = pa.array(parts, pa.list_(pa.int32()))
             yield pa.record_batch(arrays)
+        give_back()
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int = 0, limit: int = TOKENS, with_ids: bool = False) -> DataFrame:

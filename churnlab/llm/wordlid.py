@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from churnlab.llm.common import checkpointed, ship
+from churnlab.llm.common import checkpointed, give_back, ship
 from churnlab.llm.shingles import mix64
 from churnlab.llm.tokens import text_chunks
 
@@ -278,9 +278,11 @@ def languages(docs: DataFrame) -> DataFrame:
 def _with_language(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     predict = Predictor(model)
     for batch in batches:
-        pa.default_memory_pool().release_unused()
+        give_back()
         found = [x for _, langs, _ in predict(batch.column(at)) for x in langs]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "predicted"])
+    del predict
+    give_back()
 
 
 def identified(docs: DataFrame) -> DataFrame:

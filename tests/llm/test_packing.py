@@ -1,16 +1,19 @@
 """Packing, token pieces and ORC files: invariants and exact round trips."""
 
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from churnlab.llm import orcout, tokens, vecfit
+from churnlab.llm import orcout, tokens, vecfit, wordlid
 from churnlab.llm.tokens import WordEncoder
 from llm_data import docs, rows_of
 
@@ -184,3 +187,37 @@ def test_orc_bloom_filters_skip_row_groups(spark, tmp_path):
 def test_orc_of_an_empty_table(spark):
     assert rows_of(orcout.token_files(docs(spark, []), WORDS)) == []
     assert rows_of(orcout.token_files(docs(spark, [(None, None), (3, "x")]), WORDS), "doc_id", "start", "n_tokens") == [(None, 0, 1), (3, 1, 2)]
+
+
+def resident():
+    """Anonymous memory of this process in MB."""
+    return int(re.search(r"\nRssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+@pytest.mark.parametrize("step", ["pack", "language"])
+def test_a_reused_worker_gives_back_what_earlier_tasks_freed(step):
+    batch = pa.record_batch({"doc_id": pa.array([1]), "text": pa.array(["a few words"])})
+    model = wordlid.Model(["en"], [("en", 0, "few", 3)])
+    run = {"pack": lambda: list(vecfit._pieces(iter([batch]), BYTES, 0, 2048, False)), "language": lambda: list(wordlid._with_language(iter([batch]), model, 1))}[step]
+    run()
+    before = resident()
+    # blocks of malloc below its mmap threshold; every 500th stays, so none of the heap's end is free
+    earlier = [bytes(2000) for _ in range(100_000)]
+    held = earlier[::500]
+    del earlier
+    assert resident() - before > 100
+    run()
+    assert resident() - before < 50
+    assert len(held) == 200
+
+
+def test_packing_holds_few_words_and_encodes_little_at_once(monkeypatch):
+    monkeypatch.setattr(vecfit, "CACHE_WORDS", 100)
+    monkeypatch.setattr(vecfit, "ENCODE_BYTES", 500)
+    texts = [" ".join(f"{chr(97 + i % 26)}{i}w{j}" for j in range(20)) for i in range(200)]
+    batch = pa.record_batch({"doc_id": pa.array(range(200)), "text": pa.array(texts)})
+    tokens.encoder.cache_clear()
+    found = pa.Table.from_batches(vecfit._pieces(iter([batch]), BYTES, 0, 2048, False)).to_pylist()
+    assert len(tokens.encoder(BYTES, 100).words) < 250
+    whole = Tokenizer.from_file(BYTES)
+    assert [r["ids_crc32"] for r in found] == [crc(whole.encode(t, add_special_tokens=False).ids + [0]) for t in texts]
