@@ -3,6 +3,9 @@
 import duckdb
 import pytest
 from pyspark.ml import Pipeline
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.sql import functions as F
 
 from churnlab.plans import model as ML
 from churnlab.plans import registry
@@ -55,6 +58,38 @@ def test_unknown_gender_and_null_feature(spark, users):
     assert set(by_user(compiled.transform(gap)).values()) == {None}
 
 
+@pytest.mark.parametrize("name", ["GBTClassifier", "RandomForestClassifier"])
+def test_a_full_forest_is_no_generated_code(spark, name):
+    # 620 splits or so, as on half a million users; as code they are more than a method can hold
+    columns = [f"f{i}" for i in range(16)]
+    rows = spark.range(4000).select("id", *[(F.xxhash64("id", F.lit(c)) % 1000 / 100).alias(c) for c in columns])
+    rows = ML.materialized(rows.withColumn("label", (F.xxhash64("id") % 2 == 0).cast("double")))
+    stages = [VectorAssembler(inputCols=columns, outputCol="raw_features"), ML.scaler()]
+    model = Pipeline(stages=[*stages, ML.estimators()[name]]).fit(rows)
+    scored = compile_model(model).transform(rows).select("id", "prediction")
+    want = model.transform(rows).select("id", "prediction")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert scored.exceptAll(want).count() == 0 and scored.count() == 4000
+        assert len(scored._jdf.queryExecution().executedPlan().toString()) < 60_000
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
+
+
+def test_categories_and_single_leaves(spark):
+    rows = spark.range(400).selectExpr("id", "substr('abcdefgh', id % 8 + 1, 1) AS letter", "CAST(id % 8 IN (1, 2, 5) AS DOUBLE) AS label", "CAST(id % 3 AS DOUBLE) AS f")
+    stages = [StringIndexer(inputCol="letter", outputCol="index"), VectorAssembler(inputCols=["index", "f"], outputCol="features")]
+    for estimator in (RandomForestClassifier(seed=1, numTrees=5), GBTClassifier(seed=1, maxIter=3), GBTClassifier(maxDepth=0, maxIter=2)):
+        model = Pipeline(stages=[*stages, estimator]).fit(rows)
+        compiled = compile_model(model)
+        want = {r["id"]: r["prediction"] for r in model.transform(rows).collect()}
+        assert {r["id"]: r["prediction"] for r in compiled.transform(rows).collect()} == want
+        con = duckdb.connect()
+        con.register("rows", rows.toArrow())
+        assert dict(con.sql(f"SELECT id, {compiled.sql} FROM rows").fetchall()) == want
+        assert (" IN (" in compiled.sql) == (estimator.getMaxDepth() > 0)
+
+
 def test_fingerprint_sees_rows_and_parameters(spark, users):
     same = registry.fingerprint(users.repartition(7), seed=1)
     assert registry.fingerprint(users, seed=1) == same
